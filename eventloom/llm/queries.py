@@ -27,9 +27,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path(BPE), keep=["doc_id"]).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
