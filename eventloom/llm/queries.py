@@ -27,6 +27,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path(BPE), keep=["doc_id"]).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.secret_scan import BASE_RULES, digest, scan
+
+    found, _ = scan(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    base = [r.name for r in BASE_RULES]
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(digest(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.near_dedup import near_duplicates
 
@@ -36,6 +49,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_secret_scans": op4_secret_scans,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
