@@ -44,24 +44,21 @@ def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", e
     """The pieces of every document: uid, doc_id, piece, start, length, ids_crc32, and with ``keep_ids`` the ids themselves."""
     source = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = PIECES.format(id=source.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if keep_ids else "")
-    kind = "<u4"
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, uid = encoder(path, kind), TaskContext.get().partitionId() << 36
-        last = np.array([end_id], kind).tobytes()
+        enc, uid = encoder(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows, number, start, length, crc, ids = [], [], [], [], [], []
-            for k, raw in enumerate(enc.encode_bytes([t or "" for t in batch.column(1).to_pylist()])):
-                raw += last
-                for p, (at, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    part = raw[4 * at : 4 * (at + n)]
+            for k, t in enumerate(batch.column(1)):
+                all_ids = np.append(enc.encode(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                for p, (at, n) in enumerate(cut(len(all_ids), capacity)):
+                    part = all_ids[at : at + n]
                     rows.append(k)
                     number.append(p)
                     start.append(at)
                     length.append(n)
                     crc.append(zlib.crc32(part))
                     if keep_ids:
-                        ids.append(np.frombuffer(part, kind).astype(np.int32))
+                        ids.append(part.astype(np.int32))
             columns = [
                 pa.array(np.arange(uid, uid + len(rows))),
                 batch.column(0).take(pa.array(rows, pa.int64())),

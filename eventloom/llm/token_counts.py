@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.bpe import CACHE_WORDS, PRETOKENS, encoder
+from eventloom.llm.bpe import CACHE_WORDS, PRETOKENS, byte_alphabet, encoder
 from eventloom.llm.common import mix
 
 _B = np.uint64(0xD6E8FEB86659FD93)
@@ -39,7 +39,7 @@ class PrefixTable:
     def __init__(self, path: str):
         self.encoder = encoder(path)
         lib = self.encoder.library
-        back = _byte_alphabet()
+        back = byte_alphabet()
         self.tokens: dict[bytes, int] = {}
         for text, i in lib.get_vocab(with_added_tokens=False).items():
             raw = bytes(back[c] for c in text if c in back)
@@ -191,14 +191,7 @@ class PrefixTable:
         return out
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable characters that byte-level vocabularies write for bytes: printable Latin-1 for itself, the others from 256 up."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
-_ALPHABET = {b: c for c, b in _byte_alphabet().items()}
+_ALPHABET = {b: c for c, b in byte_alphabet().items()}
 _SPACE_RUN = re.compile(r"\s{2,}")
 
 
