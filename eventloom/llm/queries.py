@@ -34,7 +34,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.name for r in BASE_RULES]
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+        *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint) n_{k}") for k in base],
         F.sha2(digest(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         digest(F.col("spans")).alias("spans"),
     )
