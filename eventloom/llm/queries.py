@@ -46,11 +46,21 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.toxicity import score, train
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = train(docs, labels.where(~held_out))
+    return score(docs, model, columns=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scans": op4_secret_scans,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
