@@ -64,6 +64,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, columns=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
