@@ -49,6 +49,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.token_files import write_and_read
+
+    return write_and_read(_table(spark, sf_dir, "documents"), tokenizer_path(BPE))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.near_dedup import near_duplicates
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scans": op4_secret_scans,
+    "op6_token_files": op6_token_files,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
