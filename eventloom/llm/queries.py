@@ -61,6 +61,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.toxicity import score, train
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op6_token_files": op6_token_files,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
