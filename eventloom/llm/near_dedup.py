@@ -9,9 +9,9 @@ what is near the threshold is confirmed on full sets.
 
 Equal sets are one class first. Within a band's bucket each class is paired with the smallest one.
 The confirmed links give components; buckets that then still hold several components have all their
-pairs across components compared, in blocks of bounded size. Pairs inside a component need no
-comparison, as they change nothing. So components are those of all links, and no step emits all
-pairs of a group.
+pairs across components compared, in blocks of bounded size: first by registers, then on full sets.
+Pairs inside a component need no comparison, as they change nothing. So components are those of all
+links, and no step emits all pairs of a group: a block emits links that join what was apart.
 
 Defined results: null texts and texts without words have an empty set, size 0, and are linked with
 nothing; their component is themselves. A row with a null id belongs to the class of its set; a class that has only null ids
@@ -36,8 +36,8 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Pairs whose estimate is this far under the threshold are not confirmed; the estimate's deviation is at most 0.045.
 SLACK = 0.2
-#: Classes of a bucket that are compared at once with as many others; bounds a task's memory.
-BLOCK = 512
+#: Classes, and shingles, of a bucket that are compared at once with as many others; bounds a task's memory.
+BLOCK, BLOCK_SHINGLES = 512, 1_500_000
 
 _ONE = np.uint64(1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -234,24 +234,32 @@ def _sets(docs: DataFrame, id: str, text: str, size: int, reps: DataFrame) -> Da
     return source.mapInArrow(build, "rep long, hashes binary")
 
 
-def _across(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Near pairs (a, b) of one bucket and different components, from comparing blocks with blocks.
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough of them to join all that are linked.
 
-    ``members``: band, key, rep, component of the buckets with several components, and n, the bucket's size.
+    ``members``: band, key, rep, component of the buckets with several components, and the bucket's number of blocks.
     """
-    rows = members.join(classes.select("rep", "n_shingles", "sig"), "rep").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    rows = members.join(classes.select("rep", "n_shingles", "sig"), "rep").join(sets, "rep")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sig")
+    rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sig", "hashes")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(table):
         band = table.column("band")[0].as_py()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block = table.column("block").to_numpy()
         rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         sig = _matrix(table.column("sig").combine_chunks())
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
+        found: list[tuple[int, int]] = []
         for x in left.tolist():
             y = right[component[right] != component[x]]
             y = y[(rep[y] > rep[x])] if i == j else y
@@ -260,18 +268,25 @@ def _across(members: DataFrame, classes: DataFrame, threshold: float) -> DataFra
                 continue
             same = sig[y] == sig[x]
             # a pair is compared in the first band that it shares
-            shared = same.reshape(len(y), BANDS, ROWS).all(axis=2)
-            mine = shared.argmax(axis=1) == band
+            mine = same.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
             y, same = y[mine], same[mine]
             chance = collision_rate(n[y], np.full(len(y), n[x]))
             y = y[(same.mean(axis=1) - chance) / (1 - chance) >= threshold - SLACK]
-            found_a.append(np.full(len(y), rep[x]))
-            found_b.append(rep[y])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if not len(y):
+                continue
+            own = hashes[x]
+            flat = np.concatenate([hashes[k] for k in y.tolist()])
+            at = np.searchsorted(own, flat)
+            at[at == len(own)] = 0
+            shared = np.add.reduceat(own[at] == flat, np.concatenate([[0], np.cumsum(n[y])[:-1]]), dtype=np.int64)
+            for k in y[100 * shared >= percent * (n[y] + len(own) - shared)].tolist():
+                p, q = find(int(component[x])), find(int(component[k]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append((int(rep[x]), int(rep[k])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(lambda table: compare(table), "a long, b long")
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -284,9 +299,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     rows = scratch.save(sketches(docs, id, text, size), "rows")
     classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = scratch.save(classes.withColumn("rep", F.col("at")), "classes")
-    bands = classes.where("rep is not null").select("rep", F.explode(F.expr(f"sequence(0, {BANDS - 1})")).alias("band"), "sig").selectExpr("rep", "band", f"substring(sig, 1 + band * {2 * ROWS}, {2 * ROWS}) key")
-    shared = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "shared")
-    members = scratch.save(bands.join(shared, ["band", "key"]), "members")
+    bands = classes.where("rep is not null").select("rep", F.explode(F.expr(f"sequence(0, {BANDS - 1})")).alias("band"), "n_shingles", "sig").selectExpr("rep", "band", "n_shingles", f"substring(sig, 1 + band * {2 * ROWS}, {2 * ROWS}) key")
+    shared = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1"), "shared")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    members = scratch.save(bands.drop("n_shingles").join(shared.select("band", "key", "hub", blocks), ["band", "key"]), "members")
 
     involved = members.select("rep").distinct().join(classes.select("rep", "at", "h1", "h2"), "rep")
     sets = _sets(docs, id, text, size, involved)
@@ -297,9 +313,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     links = scratch.save(_confirmed(_near(stars, classes, threshold), sets, percent), "links")
     found = components(scratch, links, "first")
 
-    placed = members.join(found, members["rep"] == found["node"], "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(found, members["rep"] == found["node"], "left").select("band", "key", "rep", "blocks", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    more = _confirmed(scratch.save(_across(placed.join(mixed, ["band", "key"]), classes, threshold), "across"), sets, percent)
+    more = scratch.save(_across(placed.join(mixed, ["band", "key"]), classes, sets, threshold, percent), "across")
     found = components(scratch, links.unionByName(more), "all")
     scratch.drop("shared", "members", "across")
 
