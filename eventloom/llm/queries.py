@@ -49,6 +49,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.token_files import write_and_read
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scans": op4_secret_scans,
+    "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
