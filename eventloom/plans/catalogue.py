@@ -1,4 +1,461 @@
-"""Registered queries of the event-sequence operators."""
+"""Registered queries of the event-sequence operators, each with independent DuckDB SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.functions import bits, descriptors, text
+from eventloom.operators import attribution as at
+from eventloom.operators import joins, placement, stats
+from eventloom.operators import windows as w
+from eventloom.plans.surrogate import DELTA, KEYS, dispatches, runs, states, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_K = "callsite_id, compile_id"
+#: Shared parts of the SQL, in the order in which they build on one another.
+_PARTS = {
+    "e": "SELECT event_id, event_type, user_id AS callsite_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, epoch_us(ts) AS t_us FROM events",
+    "d": "SELECT callsite_id, k % 2 AS compile_id, event_type AS class, t_us, k FROM e",
+    "a": f"SELECT {_K}, min(t_us) AS t0, max(t_us) AS t_end FROM d GROUP BY ALL",
+    "c": f"SELECT {_K}, t0, (t_us - t0) // {DELTA} AS win, class, count(*) AS n FROM d JOIN a USING ({_K}) GROUP BY ALL",
+    "r": f"SELECT *, sum(n) OVER (PARTITION BY {_K}, win) AS total, n / CAST(sum(n) OVER (PARTITION BY {_K}, win) AS DOUBLE) AS ratio FROM c",
+    "nw": f"SELECT DISTINCT {_K}, t0, win FROM c",
+    "p": f"SELECT * FROM (SELECT *, lag(win) OVER (PARTITION BY {_K} ORDER BY win) AS prev_win, t0 // {DELTA} + win - 1 AS label FROM nw) WHERE prev_win IS NOT NULL",
+    "cl": f"SELECT DISTINCT {_K}, class FROM c",
+    "z": f"SELECT p.*, cl.class, coalesce(x.ratio, 0) AS r1, coalesce(y.ratio, 0) AS r2 FROM p JOIN cl USING ({_K}) LEFT JOIN r x ON x.callsite_id = p.callsite_id AND x.compile_id = p.compile_id AND x.win = p.prev_win AND x.class = cl.class LEFT JOIN r y ON y.callsite_id = p.callsite_id AND y.compile_id = p.compile_id AND y.win = p.win AND y.class = cl.class",
+    "ch": f"SELECT {_K}, t0, prev_win, win, label FROM z GROUP BY ALL HAVING max(abs(r1 - r2)) > CAST(0.1 AS DOUBLE)",
+    "rk": f"SELECT {_K}, win, list(class ORDER BY ratio DESC, class) AS names FROM r GROUP BY ALL",
+    "iv": f"SELECT p.*, x.names AS prev_rank, y.names AS rank FROM p JOIN rk x ON x.callsite_id = p.callsite_id AND x.compile_id = p.compile_id AND x.win = p.prev_win JOIN rk y ON y.callsite_id = p.callsite_id AND y.compile_id = p.compile_id AND y.win = p.win WHERE x.names[1:least(len(x.names), len(y.names))] <> y.names[1:least(len(x.names), len(y.names))]",
+    "st": "SELECT callsite_id, CASE WHEN event_type = 'signup' THEN 'C' ELSE 'D' END AS tag, CAST(k % 5 AS VARCHAR) AS id, CASE WHEN k % 3 = 0 THEN 'c1' ELSE 'c2' END AS kind, t_us // 1000 * 1000 AS time_us, event_id FROM e WHERE event_type IN ('signup', 'error')",
+    "sp": f"SELECT {_K}, min(t0) AS t0, max(win) + 1 AS n_windows FROM c GROUP BY ALL",
+    "sf": f"SELECT st.*, compile_id, t0, n_windows, row_number() OVER (PARTITION BY {_K}, tag ORDER BY time_us, event_id) - 1 AS j, CASE WHEN time_us // 1000 - t0 // 1000 + 1 <= 0 THEN 0 ELSE ((time_us // 1000 - t0 // 1000 + 1) * 1000 + {DELTA} - 1) // {DELTA} END AS f FROM st JOIN sp USING (callsite_id)",
+    "pl": f"SELECT *, j + max(f - j) OVER (PARTITION BY {_K}, tag ORDER BY time_us, event_id ROWS UNBOUNDED PRECEDING) AS step FROM sf",
+    "tc": f"SELECT {_K}, win - 1 AS step, 'W' AS tag, 2 AS kind_ord, NULL AS id, NULL AS kind FROM ch UNION ALL SELECT {_K}, step, tag, CASE tag WHEN 'C' THEN 0 ELSE 1 END, id, kind FROM pl WHERE step <= n_windows - 2",
+    "ti": f"SELECT {_K}, win - 1 AS step, 'W' AS tag, 2 AS kind_ord, NULL AS id, NULL AS kind, prev_win, win, prev_rank, rank FROM iv UNION ALL SELECT {_K}, step, tag, CASE tag WHEN 'C' THEN 0 ELSE 1 END, id, kind, NULL, NULL, NULL, NULL FROM pl WHERE step <= n_windows - 2",
+    "tr": f"SELECT {_K}, win AS step, 'W' AS tag, 2 AS kind_ord, NULL AS id, NULL AS kind FROM nw UNION ALL SELECT {_K}, step, tag, CASE tag WHEN 'C' THEN 0 ELSE 1 END, id, kind FROM pl WHERE step <= n_windows - 1",
+}
+
+
+def _attributed(name: str, begins: str = "tag = 'C'") -> str:
+    """SQL of a timeline with the state in force at each row."""
+    part, upto = f"PARTITION BY {_K}", "ROWS UNBOUNDED PRECEDING"
+    return (
+        f"SELECT *, CASE WHEN own IS NULL OR max(CASE WHEN tag = 'D' AND id = own THEN 1 ELSE 0 END) OVER ({part}, epoch ORDER BY step, kind_ord {upto}) = 1 THEN 'interpreter' ELSE own END AS state "
+        f"FROM (SELECT *, max(CASE WHEN {begins} THEN id END) OVER ({part}, epoch) AS own "
+        f"FROM (SELECT *, sum(CASE WHEN {begins} THEN 1 ELSE 0 END) OVER ({part} ORDER BY step, kind_ord {upto}) AS epoch FROM {name}))"
+    )
+
+
+_PARTS |= {"ac": _attributed("tc"), "ai": _attributed("ti"), "ai2": _attributed("ti", "tag = 'C' AND kind = 'c2'"), "ar": _attributed("tr")}
+_PARTS |= {
+    "bd": f"SELECT x.callsite_id, x.compile_id, x.id, count(*) AS n FROM (SELECT {_K}, id, max(step * 3 + kind_ord) AS e FROM ai2 WHERE tag = 'D' GROUP BY ALL) x JOIN ai2 y ON y.callsite_id = x.callsite_id AND y.compile_id = x.compile_id AND y.tag = 'W' AND y.state = x.id AND y.step * 3 + y.kind_ord < x.e GROUP BY ALL",
+    "sg": f"SELECT {_K}, state, step, array_to_string(prev_rank, ' - ') AS first_sig, array_to_string(rank, ' - ') AS second_sig, row_number() OVER (PARTITION BY {_K} ORDER BY min_step, step) AS place FROM (SELECT *, min(step) OVER (PARTITION BY {_K}, state) AS min_step FROM ai WHERE tag = 'W' AND state <> 'interpreter')",
+}
+
+
+def _sql(select: str) -> str:
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _PARTS.items()) + " " + select
+
+
+def _query(name: str, sql: str | None = None, parts: bool = True):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = _sql(sql) if parts else sql
+        return f
+
+    return add
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return w.window_counts(dispatches(spark, d), KEYS, "class", DELTA)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = w.window_pairs(w.share_vectors(_counts(spark, d), KEYS, "class"), KEYS)
+    return pairs.withColumn("label", w.label(F.col("t0"), F.col("step"), DELTA))
+
+
+# ------------------------------------------------------------------ windows
+@_query("dispatch_counts", f"SELECT {_K}, t0, win, class, CAST(n AS BIGINT) AS n FROM c")
+def dispatch_counts(spark, d):
+    return _counts(spark, d).select(*KEYS, "t0", "win", "class", "n")
+
+
+@_query("group_spans", f"SELECT {_K}, t0, t_end FROM a")
+def group_spans(spark, d):
+    return w.anchors(dispatches(spark, d), KEYS)
+
+
+@_query("receiver_ratio", f"SELECT {_K}, win, class, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, round(ratio, 6) AS ratio FROM r")
+def receiver_ratio(spark, d):
+    return w.window_shares(_counts(spark, d), KEYS, "class").select(*KEYS, "win", "class", "n", "total", F.round("ratio", 6).alias("ratio"))
+
+
+@_query(
+    "dense_windows",
+    f"SELECT g.callsite_id, g.compile_id, g.win, cl.class, CAST(coalesce(r.n, 0) AS BIGINT) AS n, round(coalesce(r.ratio, 0), 6) AS ratio FROM (SELECT {_K}, unnest(generate_series(0, max(win))) AS win FROM c GROUP BY {_K}) g JOIN cl USING ({_K}) LEFT JOIN r ON r.callsite_id = g.callsite_id AND r.compile_id = g.compile_id AND r.win = g.win AND r.class = cl.class",
+)
+def dense_windows(spark, d):
+    return w.dense_shares(_counts(spark, d), KEYS, "class").select(*KEYS, "win", "class", "n", F.round("ratio", 6).alias("ratio"))
+
+
+@_query("nonempty_lag", f"SELECT {_K}, prev_win, win, label FROM p")
+def nonempty_lag(spark, d):
+    return _pairs(spark, d).select(*KEYS, "prev_win", "win", "label")
+
+
+@_query("ratio_changes", f"SELECT {_K}, prev_win, win, label FROM ch")
+def ratio_changes(spark, d):
+    return w.share_changes(_pairs(spark, d)).select(*KEYS, "prev_win", "win", "label")
+
+
+@_query("rank_inversions", f"SELECT {_K}, prev_win, win, label, array_to_string(prev_rank, ',') AS prev_rank, array_to_string(rank, ',') AS rank FROM iv")
+def rank_inversions(spark, d):
+    return w.rank_inversions(_pairs(spark, d)).select(*KEYS, "prev_win", "win", "label", F.array_join("prev_rank", ",").alias("prev_rank"), F.array_join("rank", ",").alias("rank"))
+
+
+@_query("raw_windows", f"SELECT {_K}, win, CAST(any_value(total) AS BIGINT) AS total, string_agg(class || ': ' || printf('%.6f', ratio), ', ' ORDER BY class) AS shares FROM r GROUP BY {_K}, win")
+def raw_windows(spark, d):
+    vectors = w.share_vectors(_counts(spark, d), KEYS, "class")
+    return vectors.select(*KEYS, "win", "total", w.shares_text(F.col("shares")).alias("shares"))
+
+
+@_query("class_semi", f"SELECT {_K}, (t_us - t0) // {DELTA} AS win, class, CAST(count(*) AS BIGINT) AS n FROM d JOIN a USING ({_K}) WHERE class IN (SELECT DISTINCT event_type FROM events WHERE event_type <> 'view') GROUP BY ALL")
+def class_semi(spark, d):
+    events = dispatches(spark, d)
+    known = events.select("class").where("class <> 'view'").distinct()
+    return w.window_counts(events, KEYS, "class", DELTA, known=known).select(*KEYS, "win", "class", "n")
+
+
+@_query("callsite_dict_join", "SELECT d.callsite_id, c_name AS site, class, CAST(count(*) AS BIGINT) AS n FROM d LEFT JOIN customer ON c_custkey = d.callsite_id + 1 GROUP BY ALL")
+def callsite_dict_join(spark, d):
+    names = table(spark, d, "customer").select((F.col("c_custkey") - 1).alias("callsite_id"), F.col("c_name").alias("site"))
+    counts = dispatches(spark, d).groupBy("callsite_id", "class").agg(F.count("*").alias("n"))
+    return joins.decode(counts, names, "callsite_id").select("callsite_id", "site", "class", "n")
+
+
+# ---------------------------------------------------------------- state events
+def _placed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return placement.place(states(spark, d), placement.spans(_counts(spark, d), KEYS), KEYS, DELTA, on=["callsite_id"], order=("event_id",), whole=whole)
+
+
+@_query("jit_event_placement", f"SELECT {_K}, tag, id, time_us, event_id, CAST(step AS BIGINT) AS step FROM pl WHERE step <= n_windows - 2")
+def jit_event_placement(spark, d):
+    return _placed(spark, d).select(*KEYS, "tag", "id", "time_us", "event_id", F.col("step").cast("long").alias("step"))
+
+
+def _timeline(spark: SparkSession, d: str, section: str) -> DataFrame:
+    if section == "raw":
+        rows = w.share_vectors(_counts(spark, d), KEYS, "class").withColumn("step", F.col("win"))
+        rows = rows.withColumn("names", w.ranking(F.col("shares")))
+        return placement.timeline(rows, _placed(spark, d, True), KEYS, ["names"])
+    pairs = _pairs(spark, d)
+    rows = w.share_changes(pairs) if section == "changes" else w.rank_inversions(pairs)
+    return placement.timeline(rows, _placed(spark, d), KEYS, ["prev_win", "win", *(["prev_rank", "rank"] if section == "inversions" else [])])
+
+
+@_query("merged_timeline", f"SELECT {_K}, CAST(step AS BIGINT) AS step, tag, CAST(kind_ord AS INTEGER) AS kind_ord, id, kind FROM ti")
+def merged_timeline(spark, d):
+    return _timeline(spark, d, "inversions").select(*KEYS, F.col("step").cast("long").alias("step"), "tag", "kind_ord", "id", "kind")
+
+
+@_query("raw_timeline", f"SELECT {_K}, CAST(step AS BIGINT) AS step, tag, CAST(kind_ord AS INTEGER) AS kind_ord, id, kind FROM tr")
+def raw_timeline(spark, d):
+    return _timeline(spark, d, "raw").select(*KEYS, F.col("step").cast("long").alias("step"), "tag", "kind_ord", "id", "kind")
+
+
+@_query("compile_state", f"SELECT {_K}, CAST(step AS BIGINT) AS step, tag, id, state FROM ai")
+def compile_state(spark, d):
+    return at.attribute_state(_timeline(spark, d, "inversions"), KEYS).select(*KEYS, F.col("step").cast("long").alias("step"), "tag", "id", "state")
+
+
+def _line_sql(name: str) -> str:
+    return f"SELECT {_K}, CAST(sum(CASE WHEN tag = 'W' THEN 3 ELSE 1 END) AS BIGINT) AS lines, CAST(sum(CASE WHEN tag = 'W' THEN 1 ELSE 0 END) AS BIGINT) AS pairs, CAST(sum(CASE WHEN tag = 'C' THEN 1 ELSE 0 END) AS BIGINT) AS compilations, CAST(sum(CASE WHEN tag = 'D' THEN 1 ELSE 0 END) AS BIGINT) AS decompilations FROM {name} GROUP BY ALL"
+
+
+@_query("section_line_counts", f"SELECT 'changes' AS section, * FROM ({_line_sql('tc')}) UNION ALL SELECT 'inversions' AS section, * FROM ({_line_sql('ti')})")
+def section_line_counts(spark, d):
+    parts = [at.line_counts(_timeline(spark, d, s), KEYS).select(F.lit(s).alias("section"), *KEYS, "lines", "pairs", "compilations", "decompilations") for s in ("changes", "inversions")]
+    return parts[0].unionByName(parts[1])
+
+
+def _after_sql(name: str) -> str:
+    return f"SELECT {_K}, CAST(sum(CASE WHEN tag = 'W' AND state <> 'interpreter' THEN 1 ELSE 0 END) AS BIGINT) AS after_compilation FROM {name} GROUP BY ALL"
+
+
+@_query("post_compile_counts", f"SELECT 'changes' AS section, * FROM ({_after_sql('ac')}) UNION ALL SELECT 'inversions' AS section, * FROM ({_after_sql('ai')})")
+def post_compile_counts(spark, d):
+    parts = [at.counts_in_state(at.attribute_state(_timeline(spark, d, s), KEYS), KEYS).select(F.lit(s).alias("section"), *KEYS, "after_compilation") for s in ("changes", "inversions")]
+    return parts[0].unionByName(parts[1])
+
+
+@_query("reported_groups", f"SELECT DISTINCT {_K} FROM (SELECT {_K} FROM tc UNION ALL SELECT {_K} FROM ti)")
+def reported_groups(spark, d):
+    return _timeline(spark, d, "changes").select(*KEYS).unionByName(_timeline(spark, d, "inversions").select(*KEYS)).distinct()
+
+
+@_query("inversions_before_deopt", f"SELECT {_K}, id, CAST(n AS BIGINT) AS n FROM bd")
+def inversions_before_deopt(spark, d):
+    return at.observations_before_end(_timeline(spark, d, "inversions"), KEYS).select(*KEYS, "id", "n")
+
+
+@_query("suboptimal_time", f"SELECT {_K}, CAST(sum(n) * {DELTA} AS BIGINT) AS suboptimal_us FROM bd JOIN (SELECT DISTINCT {_K}, id FROM (SELECT {_K}, id FROM tc WHERE tag = 'D' UNION ALL SELECT {_K}, id FROM ti WHERE tag = 'D')) USING ({_K}, id) GROUP BY ALL")
+def suboptimal_time(spark, d):
+    inversions = _timeline(spark, d, "inversions")
+    ended = _timeline(spark, d, "changes").where("tag = 'D'").select(*KEYS, "id").unionByName(inversions.where("tag = 'D'").select(*KEYS, "id"))
+    return at.time_in_wrong_state(at.observations_before_end(inversions, KEYS), ended, KEYS, DELTA)
+
+
+@_query("average_before_deopt", f"SELECT {_K}, round(avg(n), 6) AS mean_before_end FROM bd GROUP BY ALL")
+def average_before_deopt(spark, d):
+    before = at.observations_before_end(_timeline(spark, d, "inversions"), KEYS)
+    return at.mean_before_end(before, KEYS).withColumn("mean_before_end", F.round("mean_before_end", 6))
+
+
+_REDUCTION = f"""
+, x AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY {_K} ORDER BY step, kind_ord), 'interpreter') AS was FROM ar)
+, y AS (SELECT *, sum(CASE WHEN tag = 'C' OR own_end THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY step, kind_ord ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, tag = 'D' AND state = 'interpreter' AND was = id AS own_end FROM x))
+, sg0 AS (SELECT {_K}, 0 AS seg FROM tr GROUP BY ALL)
+, segs AS (SELECT {_K}, seg, arg_min(CASE WHEN tag = 'C' THEN id ELSE state END, step * 3 + kind_ord) AS id, max(CASE WHEN own_end THEN 1 ELSE 0 END) AS after_end FROM y GROUP BY ALL)
+, seen AS (SELECT y.callsite_id, y.compile_id, seg, count(DISTINCT class) AS n FROM y JOIN c ON c.callsite_id = y.callsite_id AND c.compile_id = y.compile_id AND c.win = y.step WHERE y.tag = 'W' GROUP BY ALL)
+, parts AS (SELECT s.callsite_id, s.compile_id, s.seg, coalesce(g.id, 'interpreter') AS id, coalesce(g.after_end, 0) AS after_end, coalesce(n, 0) AS n FROM (SELECT * FROM sg0 UNION SELECT {_K}, seg FROM segs) s LEFT JOIN segs g ON g.callsite_id = s.callsite_id AND g.compile_id = s.compile_id AND g.seg = s.seg LEFT JOIN seen ON seen.callsite_id = s.callsite_id AND seen.compile_id = s.compile_id AND seen.seg = s.seg)
+, q AS (SELECT *, CASE WHEN after_end = 1 THEN 0 ELSE coalesce(lag(n) OVER (PARTITION BY {_K} ORDER BY seg), 0) END AS n_before, coalesce(lead(after_end) OVER (PARTITION BY {_K} ORDER BY seg) = 0, false) AS closed FROM parts)
+SELECT {_K}, id, CAST(n_before AS BIGINT) AS n_before, CAST(n AS BIGINT) AS n_after FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, id ORDER BY closed DESC, CASE WHEN closed THEN -seg ELSE seg END) AS rn FROM q) WHERE rn = 1
+"""
+
+
+@_query("receiver_reduction", _REDUCTION)
+def receiver_reduction(spark, d):
+    return at.category_reduction(_timeline(spark, d, "raw"), KEYS)
+
+
+# ------------------------------------------------------------------ inversions
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    rows = at.attribution_order(at.attribute_state(_timeline(spark, d, "inversions"), KEYS), KEYS)
+    return rows.select(*KEYS, "state", "step", "place", F.array_join("prev_rank", " - ").alias("first_sig"), F.array_join("rank", " - ").alias("second_sig"))
+
+
+@_query(
+    "top2_cleanup",
+    f"SELECT {_K}, prev_win, win, array_to_string(list_sort(list_distinct(x[1:2])), ',') AS kept FROM (SELECT *, list_transform(list_filter([[prev_rank[1], '0'], [rank[1], '1'], [prev_rank[2], '2'], [rank[2], '3']], lambda y: y[1] IS NOT NULL), lambda y: y[1]) AS l FROM iv) t, LATERAL (SELECT list_filter(l, lambda v, i: list_position(l, v) = i) AS x)",
+)
+def top2_cleanup(spark, d):
+    rows = w.rank_inversions(_pairs(spark, d))
+    kept = at.leading_two(F.col("prev_shares"), F.col("shares"))
+    return rows.select(*KEYS, "prev_win", "win", F.array_join(F.array_sort(kept), ",").alias("kept"))
+
+
+@_query("inversion_signature", f"SELECT {_K}, win, array_to_string(prev_rank, ' - ') AS first_sig, array_to_string(rank, ' - ') AS second_sig FROM iv")
+def inversion_signature(spark, d):
+    rows = w.rank_inversions(_pairs(spark, d))
+    return rows.select(*KEYS, "win", at.signature(F.col("prev_shares")).alias("first_sig"), at.signature(F.col("shares")).alias("second_sig"))
+
+
+@_query("inversion_freq", f"SELECT {_K}, first_sig, second_sig, CAST(count(*) AS BIGINT) AS n FROM sg GROUP BY ALL")
+def inversion_freq(spark, d):
+    return at.frequencies(_signatures(spark, d), KEYS, ["first_sig", "second_sig"]).drop("first_place")
+
+
+_NEXT = f"SELECT *, lead(first_sig) OVER (PARTITION BY {_K} ORDER BY place) AS next_first_sig, lead(second_sig) OVER (PARTITION BY {_K} ORDER BY place) AS next_second_sig FROM sg"
+
+
+@_query("oscillation_bigrams", f"SELECT {_K}, first_sig, second_sig, next_first_sig, next_second_sig, CAST(count(*) AS BIGINT) AS n FROM ({_NEXT}) WHERE next_first_sig IS NOT NULL GROUP BY ALL")
+def oscillation_bigrams(spark, d):
+    steps = at.transitions(_signatures(spark, d), KEYS, ["first_sig", "second_sig"])
+    return at.frequencies(steps, KEYS, ["first_sig", "second_sig", "next_first_sig", "next_second_sig"]).drop("first_place")
+
+
+@_query("most_frequent_inversion", f"SELECT {_K}, first_sig, second_sig, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY n DESC, fp) AS rn FROM (SELECT {_K}, first_sig, second_sig, count(*) AS n, min(place) AS fp FROM sg GROUP BY ALL)) WHERE rn = 1")
+def most_frequent_inversion(spark, d):
+    return at.most_frequent(at.frequencies(_signatures(spark, d), KEYS, ["first_sig", "second_sig"]), KEYS).drop("first_place")
+
+
+@_query("most_frequent_oscillation", f"SELECT {_K}, first_sig, second_sig, next_first_sig, next_second_sig, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY n DESC, fp) AS rn FROM (SELECT {_K}, first_sig, second_sig, next_first_sig, next_second_sig, count(*) AS n, min(place) AS fp FROM ({_NEXT}) WHERE next_first_sig IS NOT NULL GROUP BY ALL)) WHERE rn = 1")
+def most_frequent_oscillation(spark, d):
+    steps = at.transitions(_signatures(spark, d), KEYS, ["first_sig", "second_sig"])
+    return at.most_frequent(at.frequencies(steps, KEYS, ["first_sig", "second_sig", "next_first_sig", "next_second_sig"]), KEYS).drop("first_place")
+
+
+# --------------------------------------------------------------------- joins
+@_query("compile_union_anti", "SELECT source, callsite_id, id, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'first' AS source, callsite_id, id FROM st WHERE tag = 'C' AND kind = 'c2' UNION ALL SELECT 'second', callsite_id, id FROM st s WHERE tag = 'D' AND NOT EXISTS (SELECT 1 FROM st t WHERE t.tag = 'C' AND t.kind = 'c2' AND t.id = s.id AND s.callsite_id = t.callsite_id)) GROUP BY ALL")
+def compile_union_anti(spark, d):
+    rows = states(spark, d).withColumn("key", F.concat_ws("/", F.col("callsite_id").cast("string"), "id"))
+    first = rows.where("tag = 'C' and kind = 'c2'").select(F.lit("first").alias("source"), "callsite_id", "id", "key")
+    second = rows.where("tag = 'D'").select(F.lit("second").alias("source"), "callsite_id", "id", "key")
+    return joins.prefer(first, second, "key").groupBy("source", "callsite_id", "id").agg(F.count("*").alias("n"))
+
+
+@_query("trap_zip", "SELECT a.callsite_id, a.event_id, b.id AS reason FROM (SELECT *, row_number() OVER (PARTITION BY callsite_id ORDER BY event_id) AS i FROM st WHERE tag = 'C') a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY callsite_id ORDER BY event_id) AS i FROM st WHERE tag = 'D') b ON a.callsite_id = b.callsite_id AND a.i = b.i")
+def trap_zip(spark, d):
+    rows = states(spark, d)
+    traps = rows.where("tag = 'D'").select("callsite_id", F.col("id").alias("reason"), F.col("event_id").alias("trap_ord"))
+    return joins.pair_up(rows.where("tag = 'C'").select("callsite_id", "event_id"), traps, "callsite_id", "event_id", "trap_ord").select("callsite_id", "event_id", "reason")
+
+
+@_query("deopt_join", "SELECT x.callsite_id, x.id, x.event_id AS compiled, y.event_id AS ended FROM st x JOIN st y ON y.callsite_id = x.callsite_id AND y.id = x.id AND y.tag = 'D' WHERE x.tag = 'C'")
+def deopt_join(spark, d):
+    rows = states(spark, d)
+    ends = rows.where("tag = 'D'").select("callsite_id", "id", F.col("event_id").alias("ended"))
+    return rows.where("tag = 'C'").select("callsite_id", "id", F.col("event_id").alias("compiled")).join(ends, ["callsite_id", "id"])
+
+
+_HOT = "SELECT c_custkey AS callsite_id, c_mktsegment AS method_descriptor, c_acctbal AS cycles FROM customer"
+
+
+@_query(
+    "hotness_rollup",
+    f"SELECT method_descriptor, CAST(sum(n) AS BIGINT) AS inversions, round(max(cycles), 6) AS cycles, round(CASE WHEN max(cycles) = 0 THEN 0 ELSE sum(n) / max(cycles) END, 9) AS normalized FROM (SELECT c_mktsegment AS method_descriptor, count(*) AS n FROM iv JOIN customer ON c_custkey = iv.callsite_id GROUP BY ALL) LEFT JOIN (SELECT method_descriptor, arg_min(cycles, callsite_id) AS cycles FROM ({_HOT}) GROUP BY ALL) USING (method_descriptor) GROUP BY method_descriptor",
+)
+def hotness_rollup(spark, d):
+    hot = table(spark, d, "customer").select(F.col("c_custkey").alias("callsite_id"), F.col("c_mktsegment").alias("method_descriptor"), F.col("c_acctbal").alias("cycles"))
+    counts = w.rank_inversions(_pairs(spark, d)).groupBy("callsite_id").agg(F.count("*").alias("inversions")).join(hot.select("callsite_id", "method_descriptor"), "callsite_id")
+    costs = hot.select("method_descriptor", "cycles", F.col("callsite_id").alias("ord"))
+    joined = joins.with_costs(counts, costs, "method_descriptor", order="ord")
+    out = joins.roll_up(joined, "method_descriptor", ["inversions"], ["cycles"], "callsite_id")
+    return out.select("method_descriptor", "inversions", F.round("cycles", 6).alias("cycles"), F.round(text.safe_ratio(F.col("inversions"), F.col("cycles")), 9).alias("normalized"))
+
+
+# ------------------------------------------------------------------ functions
+_SITE = "CAST(user_id AS VARCHAR) || ' pkg/' || event_type || '/Cls.run([BII)V call/' || event_type || '.x()V'"
+
+
+@_query("descriptor_convert", f"SELECT event_id, 'pkg.' || event_type || '.Cls run ([BII)V' AS descriptor, 'pkg/' || event_type || '/Cls.run([BII)' AS name, ({_SITE}) || ' - ' || CAST(event_id % 2 AS VARCHAR) AS site_key, lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0') AS bucket FROM events", parts=False)
+def descriptor_convert(spark, d):
+    rows = table(spark, d, "events").withColumn("site", F.expr("concat(cast(user_id as string), ' pkg/', event_type, '/Cls.run([BII)V call/', event_type, '.x()V')"))
+    return rows.select("event_id", descriptors.method_descriptor(F.col("site")).alias("descriptor"), descriptors.method_name(F.col("site")).alias("name"), text.site_key(F.col("site"), F.col("event_id") % 2).alias("site_key"), text.bucket(F.col("user_id")).alias("bucket"))
+
+
+@_query(
+    "hot_descriptor",
+    "SELECT event_id, CASE event_type WHEN 'view' THEN '<Total>' WHEN 'click' THEN 'a/b/C.m([BI[[Ljava/lang/String;)' WHEN 'error' THEN 'a/b/C.none()' WHEN 'signup' THEN 'libc::free(int)' ELSE 'C.m(J)' END AS descriptor FROM events",
+    parts=False,
+)
+def hot_descriptor(spark, d):
+    name = F.expr("case event_type when 'view' then '<Total>' when 'click' then 'a.b.C.m(byte[], int, java.lang.String[][])' when 'error' then 'a.b.C.0x00ff.none()' when 'signup' then 'libc::free(int)' else 'C.m(long)' end")
+    return table(spark, d, "events").select("event_id", descriptors.hot_descriptor(descriptors.strip_hidden(name)).alias("descriptor"))
+
+
+@_query("elapsed_parse", "SELECT event_id, round(60 * (user_id % 70) + user_id % 60 + (event_id % 100) / 100.0, 6) AS seconds FROM events", parts=False)
+def elapsed_parse(spark, d):
+    line = F.expr("concat('0.5user ', if(user_id % 70 >= 60, concat(cast((user_id % 70) div 60 as string), ':', lpad(cast((user_id % 70) % 60 as string), 2, '0')), cast(user_id % 70 as string)), ':', lpad(cast(user_id % 60 as string), 2, '0'), '.', lpad(cast(event_id % 100 as string), 2, '0'), 'elapsed 99%CPU')")
+    return table(spark, d, "events").select("event_id", F.round(text.elapsed_seconds(line), 6).alias("seconds"))
+
+
+@_query("jit_attr_parse", "SELECT event_id, CAST(user_id AS VARCHAR) AS compile_id, CASE WHEN event_id % 2 = 0 THEN 'c2' END AS compiler, event_id % 100000 AS stamp_ms, ((event_id % 100000) - 7) * 1000 AS time_us, 'a<b>' AS method FROM events", parts=False)
+def jit_attr_parse(spark, d):
+    line = F.expr("concat('<nmethod compile_id=''', cast(user_id as string), '''', if(event_id % 2 = 0, ' compiler=''c2''', ''), ' method=''a&lt;b&gt;'' stamp=''', cast((event_id % 100000) div 1000 as string), '.', lpad(cast(event_id % 1000 as string), 3, '0'), '''/>')")
+    rows = table(spark, d, "events").select("event_id", text.unescape(line).alias("line"))
+    ms = text.stamp_ms(text.attribute(F.col("line"), "stamp"))
+    return rows.select("event_id", text.attribute(F.col("line"), "compile_id").alias("compile_id"), text.attribute(F.col("line"), "compiler").alias("compiler"), ms.alias("stamp_ms"), text.align_us(ms, F.lit(7)).alias("time_us"), text.attribute(F.col("line"), "method").alias("method"))
+
+
+@_query("bit_pack", "SELECT event_id, user_id AS high, event_id * 7 % 4294967296 AS low FROM events", parts=False)
+def bit_pack(spark, d):
+    packed = bits.pack(F.col("user_id"), F.col("event_id") * 7)
+    return table(spark, d, "events").select("event_id", bits.high(packed).alias("high"), bits.low(packed).alias("low"))
+
+
+@_query("share_list_parse", f"SELECT {_K}, win, class AS name, round(ratio, 6) AS share FROM r")
+def share_list_parse(spark, d):
+    vectors = w.share_vectors(_counts(spark, d), KEYS, "class")
+    rows = vectors.select(*KEYS, "win", F.explode(text.shares(w.shares_text(F.col("shares")))).alias("s"))
+    return rows.select(*KEYS, "win", F.col("s.name").alias("name"), F.round("s.share", 6).alias("share"))
+
+
+# -------------------------------------------------------------- ranks and boxes
+@_query("top30_metric", f"SELECT {_K}, CAST(count(*) AS BIGINT) AS inversions FROM iv GROUP BY ALL ORDER BY inversions DESC, callsite_id, compile_id LIMIT 30")
+def top30_metric(spark, d):
+    counts = w.rank_inversions(_pairs(spark, d)).groupBy(*KEYS).agg(F.count("*").alias("inversions"))
+    return stats.top(counts, "inversions", 30, tuple(KEYS))
+
+
+_BOX = "SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events WHERE value > 0 GROUP BY ALL"
+
+
+@_query(
+    "box_stats",
+    f"SELECT event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END), 6) AS whisker_low, round(max(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END), 6) AS whisker_high, CAST(sum(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS outliers FROM events JOIN ({_BOX}) USING (event_type) WHERE value > 0 GROUP BY event_type, q1, median, q3",
+    parts=False,
+)
+def box_stats(spark, d):
+    out = stats.box(table(spark, d, "events").select("event_type", "value"), ["event_type"], "value")
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "outliers")
+
+
+@_query("tail_100", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 100", parts=False)
+def tail_100(spark, d):
+    return stats.tail(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 100)
+
+
+# ----------------------------------------------------------------- paired runs
+_RUNS = (
+    "WITH l AS (SELECT l_suppkey AS bench, CASE WHEN l_returnflag = 'A' THEN 'default' ELSE 'instrumented' END AS variant, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS run_no, l_quantity AS value FROM lineitem WHERE l_returnflag IN ('A', 'R')), "
+    "pr AS (SELECT x.bench, x.run_no, x.value AS a, y.value AS b FROM l x JOIN l y ON x.bench = y.bench AND x.run_no = y.run_no AND x.variant = 'default' AND y.variant = 'instrumented') "
+)
+
+
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pair_runs(runs(spark, d), ["bench"], "variant", ("default", "instrumented"))
+
+
+@_query("paired_runs", _RUNS + "SELECT bench, CAST(run_no AS INTEGER) AS run_no, a, b FROM pr", parts=False)
+def paired_runs(spark, d):
+    return _paired(spark, d).select("bench", "run_no", "a", "b")
+
+
+@_query("paired_summary", _RUNS + "SELECT bench, CAST(count(*) AS BIGINT) AS n, round(avg(a), 6) AS a_mean, round(stddev_pop(a), 6) AS a_std, round(avg(b), 6) AS b_mean, round(stddev_pop(b), 6) AS b_std FROM pr GROUP BY ALL", parts=False)
+def paired_summary(spark, d):
+    return stats.summary(_paired(spark, d), ["bench"]).select("bench", "n", *[F.round(c, 6).alias(c) for c in ("a_mean", "a_std", "b_mean", "b_std")])
+
+
+@_query("cohen_d", _RUNS + "SELECT bench, round((avg(a) - avg(b)) / sqrt((pow(stddev_pop(a), 2) + pow(stddev_pop(b), 2)) / 2), 6) AS d FROM pr GROUP BY ALL HAVING stddev_pop(a) + stddev_pop(b) > 0", parts=False)
+def cohen_d(spark, d):
+    s = stats.summary(_paired(spark, d), ["bench"])
+    return s.select("bench", F.round(stats.cohen_d(F.col("a_mean"), F.col("b_mean"), F.col("a_std"), F.col("b_std")), 6).alias("d")).where("d is not null")
+
+
+@_query("geomean_ratio", _RUNS + "SELECT bench, round(exp(avg(ln(a))), 6) AS geo_a, round(exp(avg(ln(b))), 6) AS geo_b, round(exp(avg(ln(b))) / exp(avg(ln(a))), 6) AS ratio FROM pr GROUP BY ALL", parts=False)
+def geomean_ratio(spark, d):
+    g = _paired(spark, d).groupBy("bench").agg(stats.geometric_mean(F.col("a")).alias("x"), stats.geometric_mean(F.col("b")).alias("y"))
+    return g.select("bench", F.round("x", 6).alias("geo_a"), F.round("y", 6).alias("geo_b"), F.round(F.col("y") / F.col("x"), 6).alias("ratio"))
+
+
+@_query("pct_diff", _RUNS + "SELECT bench, round(100 - avg(b) / avg(a) * 100, 6) AS percent FROM pr GROUP BY ALL", parts=False)
+def pct_diff(spark, d):
+    s = stats.summary(_paired(spark, d), ["bench"])
+    return s.select("bench", F.round(stats.percent_difference(F.col("a_mean"), F.col("b_mean")), 6).alias("percent"))
+
+
+@_query(
+    "wilcoxon_stat",
+    _RUNS
+    + ", df AS (SELECT bench, a - b AS d, abs(a - b) AS s FROM pr WHERE a <> b), rk AS (SELECT *, rank() OVER (PARTITION BY bench ORDER BY s) + (count(*) OVER (PARTITION BY bench, s) - 1) / 2.0 AS rnk FROM df) SELECT bench, CAST(count(*) AS BIGINT) AS n, round(least(sum(CASE WHEN d > 0 THEN rnk ELSE 0 END), sum(CASE WHEN d < 0 THEN rnk ELSE 0 END)), 6) AS w FROM rk GROUP BY ALL",
+    parts=False,
+)
+def wilcoxon_stat(spark, d):
+    return stats.signed_rank(_paired(spark, d), ["bench"]).select("bench", "n", F.round(F.col("w").cast("double"), 6).alias("w"))
+
+
+@_query("paired_t_stat", _RUNS + "SELECT bench, CAST(count(*) AS BIGINT) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t FROM pr GROUP BY ALL HAVING stddev_samp(a - b) > 0", parts=False)
+def paired_t_stat(spark, d):
+    return stats.paired_t(_paired(spark, d), ["bench"]).select("bench", "n", F.round("t", 6).alias("t")).where("t is not null")
+
+
+@_query("paired_p_values")
+def paired_p_values(spark, d):
+    """Two-sided p-values of both tests, significant ones marked; rows only, as SQL lacks the distributions."""
+    pairs = _paired(spark, d)
+    t = stats.paired_t(pairs, ["bench"]).select("bench", F.col("p_value").alias("t_p_value"))
+    out = t.join(stats.signed_rank(pairs, ["bench"]).select("bench", F.col("p_value").alias("rank_p_value")), "bench", "left")
+    return out.withColumn("significant", F.col("t_p_value") < 0.05)
+
+
+@_query("c2_count", "SELECT callsite_id, CAST(count(*) AS BIGINT) AS n FROM st WHERE kind = 'c2' GROUP BY ALL")
+def c2_count(spark, d):
+    return states(spark, d).where("kind = 'c2'").groupBy("callsite_id").agg(F.count("*").alias("n"))
