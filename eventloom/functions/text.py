@@ -18,7 +18,7 @@ def unescape(line: Column) -> Column:
 
 def stamp_ms(stamp: Column) -> Column:
     """Seconds with three decimals as milliseconds."""
-    return F.replace(stamp, F.lit("."), F.lit("")).cast("long")
+    return F.replace(stamp, F.lit("."), F.lit("")).try_cast("long")
 
 
 def align_us(ms: Column, offset_ms: Column) -> Column:
@@ -30,15 +30,15 @@ def elapsed_seconds(line: Column, short: bool = False) -> Column:
     """Seconds of ``[h:]m:ss.ffelapsed``; with ``short`` only the last digit of the minutes is read."""
     if short:
         at = r"(\d):(\d\d.\d\d)elapsed"
-        return 60 * F.regexp_extract(line, at, 1).cast("int") + F.replace(F.regexp_extract(line, at, 2), F.lit(":"), F.lit(".")).cast("double")
+        return 60 * F.regexp_extract(line, at, 1).try_cast("int") + F.replace(F.regexp_extract(line, at, 2), F.lit(":"), F.lit(".")).try_cast("double")
     at = r"(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)elapsed"
-    hours = F.coalesce(F.nullif(F.regexp_extract(line, at, 1), F.lit("")).cast("int"), F.lit(0))
-    return 3600 * hours + 60 * F.regexp_extract(line, at, 2).cast("int") + F.regexp_extract(line, at, 3).cast("double")
+    hours = F.coalesce(F.nullif(F.regexp_extract(line, at, 1), F.lit("")).try_cast("int"), F.lit(0))
+    return 3600 * hours + 60 * F.regexp_extract(line, at, 2).try_cast("int") + F.regexp_extract(line, at, 3).try_cast("double")
 
 
 def shares(text: Column) -> Column:
     """``a: 0.5, b: 0.25`` as an array of (name, share), in order."""
-    return F.transform(F.split(text, ", "), lambda e: F.struct(F.trim(F.split(e, ": ")[0]).alias("name"), F.split(e, ": ")[1].cast("double").alias("share")))
+    return F.transform(F.split(text, ", "), lambda e: F.struct(F.trim(F.split(e, ": ")[0]).alias("name"), F.split(e, ": ")[1].try_cast("double").alias("share")))
 
 
 def site_key(site: Column, compile_id: Column) -> Column:

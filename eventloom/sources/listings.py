@@ -23,7 +23,7 @@ def read_cost_listing(spark: SparkSession, path: str, limit: int | None = None,
     if limit:
         rows = rows.where(F.col("ord") < HEADING_LINES + limit)
     parts = F.split(F.trim("line"), r"\s+", 3)
-    return rows.select("file", "ord", parts[0].cast("double").alias("exclusive cpu sec"), parts[1].cast("double").alias("cpu cycles"), hot_descriptor(strip_hidden(parts[2]), bare_argument).alias("method_descriptor"))
+    return rows.select("file", "ord", parts[0].try_cast("double").alias("exclusive cpu sec"), parts[1].try_cast("double").alias("cpu cycles"), hot_descriptor(strip_hidden(parts[2]), bare_argument).alias("method_descriptor"))
 
 
 def read_costs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +44,6 @@ def read_run_series(spark: SparkSession, path: str, last: int = 100) -> DataFram
     """bench, variant, run_no, duration, uptime: the last lines of files ``normal_*`` and ``th_*``."""
     rows = tail(read_lines(spark, path), ["file"], "ord", last)
     parts = F.split("line", ",")
-    rows = rows.select(series_name(F.col("file"), ("normal_", "th_")).alias("bench"), F.when(F.col("file").startswith("th_"), "tweaked").otherwise("normal").alias("variant"), "ord", parts[1].cast("long").alias("duration"), parts[2].cast("long").alias("uptime"))
+    rows = rows.select(series_name(F.col("file"), ("normal_", "th_")).alias("bench"), F.when(F.col("file").startswith("th_"), "tweaked").otherwise("normal").alias("variant"), "ord", parts[1].try_cast("long").alias("duration"), parts[2].try_cast("long").alias("uptime"))
     number = F.row_number().over(Window.partitionBy("bench", "variant").orderBy("ord"))
     return rows.select("bench", "variant", number.alias("run_no"), "duration", "uptime")

@@ -65,9 +65,9 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     line, body = F.col("line"), F.trim("line")
     heads = {
         "callsite": F.when(line.startswith("CCU"), F.regexp_extract(line, r"CCU \[callsite=(.*), compile_id=.*\]", 1)),
-        "compile_id": F.when(line.startswith("CCU"), F.regexp_extract(line, r"compile_id=(\d+)\]", 1).cast("long")),
+        "compile_id": F.when(line.startswith("CCU"), F.regexp_extract(line, r"compile_id=(\d+)\]", 1).try_cast("long")),
         "section": F.when(line.startswith("CCU"), F.lit("")).otherwise(F.nullif(F.regexp_extract(body, rf"^({'|'.join(SECTIONS)})\[", 1), F.lit(""))),
-        "window_us": F.nullif(F.regexp_extract(body, r"^\w+\[start time = .*size = ([\d.]+)\]:", 1), F.lit("")).cast("double").cast("long"),
+        "window_us": F.nullif(F.regexp_extract(body, r"^\w+\[start time = .*size = ([\d.]+)\]:", 1), F.lit("")).try_cast("double").try_cast("long"),
     }
     order = Window.partitionBy("file").orderBy("ord")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -89,10 +89,10 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
         "tag",
         F.when(F.col("tag") == "C", got(r", id = (\w+)")).otherwise(got(r"compile_id = (\w+)")).alias("id"),
         F.when(F.col("tag") == "C", got(r"\[kind = (\w+)")).otherwise(got(r"compile_kind = (\w+)")).alias("kind"),
-        got(r"ompilation at: (-?\d+)").cast("long").alias("time_us"),
+        got(r"ompilation at: (-?\d+)").try_cast("long").alias("time_us"),
         got(r"reason = (\w+)").alias("reason"),
         got(r"action = (\w+)").alias("action"),
-        F.when(F.col("tag") == "W", F.regexp_extract("line", r"(-?\d+)", 1).cast("long")).alias("label"),
+        F.when(F.col("tag") == "W", F.regexp_extract("line", r"(-?\d+)", 1).try_cast("long")).alias("label"),
         F.when(F.col("tag") == "W", strip("next", "First Window: ")).alias("first"),
         F.when((F.col("tag") == "W") & F.col("section").isin("Changes", "Inversions"), strip("after", "Second Window: ")).alias("second"),
     )
