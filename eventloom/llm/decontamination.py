@@ -37,8 +37,8 @@ TILE = 32
 WHOLE = 80
 MIN_WORDS = 5
 #: Terms in a larger share of the tiles are common; every window keeps its rarest terms all the same.
-COMMON, RAREST = 0.01, 8
-AXES, SPARE = 256, 32
+COMMON, RAREST = 0.002, 8
+AXES, SPARE = 256, 16
 #: Cosine for a candidate; shares of words that confirm it.
 COSINE, COVERED, ANSWER, NEARLY_ALL = 0.3, 0.7, 0.5, 0.9
 ITEM_BLOCK = 1000
@@ -100,20 +100,37 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 
 
 # ------------------------------------------------------------- sparse passages
+def places(words: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among these sorted terms, and which term each is. Most others fail on 16 of their bits."""
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(terms >> np.uint64(48)).astype(np.int64)] = True
+    hit = np.flatnonzero(maybe[(words >> np.uint64(48)).astype(np.int64)])
+    at = np.searchsorted(terms, words[hit])
+    at[at == len(terms)] = 0
+    found = terms[at] == words[hit]
+    return hit[found], at[found]
+
+
 def tile_terms(raw: np.ndarray, starts: np.ndarray, terms: np.ndarray):
     """(words, first word of each text, first tile of each text, tile, term and count of every non-zero)."""
     words, bounds = word_hashes(raw, starts, NOT_WORD)
     tiles = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // TILE))])
+    none = np.zeros(0, np.int64)
     if not len(words) or not len(terms):
-        none = np.zeros(0, np.int64)
         return words, bounds, tiles, none, none, none
-    at = np.searchsorted(terms, words)
-    at[at == len(terms)] = 0
-    hit = np.flatnonzero(terms[at] == words)
+    hit, at = places(words, terms)
+    if not len(hit):
+        return words, bounds, tiles, none, none, none
     doc = np.searchsorted(bounds, hit, "right") - 1
     tile = tiles[doc] + (hit - bounds[doc]) // TILE
-    key, count = np.unique(tile * len(terms) + at[hit], return_counts=True)
-    return words, bounds, tiles, key // len(terms), key % len(terms), count
+    key = tile * len(terms) + at
+    if tiles[-1] * len(terms) < 1 << 31:
+        key = key.astype(np.int32)  # sorts faster
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(first, append=len(key))
+    tile, term = np.divmod(key[first].astype(np.int64), len(terms))
+    return words, bounds, tiles, tile, term, count
 
 
 def _grouped(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
