@@ -178,21 +178,24 @@ class WaveletMatrix:
 
 # ------------------------------------------------------------------- datasets
 def encode_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """One row per shard: part, shard (their order is the documents' order), doc_ids, n_ids, payload."""
+    """One row per shard: part, shard (their order is the documents' order), first, n_ids, doc_ids, payload.
+
+    ``first`` counts the ids of the part's shards before this one.
+    """
     source = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     partitions = max(1, source.sparkSession.sparkContext.defaultParallelism, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = source.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = encoder(path), ["part", "shard", "doc_ids", "n_ids", "payload"]
+        enc, names = encoder(path), ["part", "shard", "first", "n_ids", "doc_ids", "payload"]
         parts: list[np.ndarray] = []
         held: list = []
-        total, shard, part, type_ = 0, 0, 0, None
+        total, shard, first, part, type_ = 0, 0, 0, 0, None
 
         def close() -> pa.RecordBatch:
             payload = write_matrix(np.concatenate(parts), np.array([len(p) for p in parts]))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.list_(type_)), pa.array([total], pa.int64()), pa.array([payload], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([held], pa.list_(type_)), pa.array([payload], pa.binary())], names=names)
 
         for batch in batches:
             type_ = batch.column(0).type
@@ -204,22 +207,21 @@ def encode_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
                 total += len(parts[-1])
                 if total >= shard_ids:
                     yield close()
-                    parts, held, total, shard = [], [], 0, shard + 1
+                    parts, held, total, shard, first = [], [], 0, shard + 1, first + total
         if parts:
             yield close()
 
-    return ordered.mapInArrow(build, f"part int, shard int, doc_ids array<{kind}>, n_ids long, payload binary")
+    return ordered.mapInArrow(build, f"part int, shard int, first long, n_ids long, doc_ids array<{kind}>, payload binary")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shards' files."""
     kind = shards.schema["doc_ids"].dataType.elementType
-    # one row a shard: which shards come before, and how many ids they hold
-    sizes = shards.select("part", "shard", "n_ids")
-    per_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("inside", inside).join(per_part.select("part", "before"), "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
-    source = shards.join(starts, ["part", "shard"]).select("doc_ids", "payload", "first")
+    # one row a range partition, of which there are as many as the session's setting says
+    per_part = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_part = per_part.select("part", before.alias("before"))
+    source = shards.join(F.broadcast(per_part), "part").select("doc_ids", "payload", (F.col("before") + F.col("first")).alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
