@@ -34,8 +34,11 @@ def window_shares(counts: DataFrame, keys: list[str], category: str) -> DataFram
 
 
 def share_vectors(counts: DataFrame, keys: list[str], category: str) -> DataFrame:
-    """One row per non-empty window: keys, t0, win, total and ``shares``, an array of (name, ratio) by name."""
-    grouped = counts.groupBy(*keys, "t0", "win").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct(F.col(category).alias("name"), "n"))).alias("counts"))
+    """One row per non-empty window: keys, t0, win, total and ``shares``, an array of (name, ratio) by name.
+
+    The counts are dealt by group once; the vectors, and windows over a group's vectors, need no exchange after it.
+    """
+    grouped = counts.repartition(*keys).groupBy(*keys, "t0", "win").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct(F.col(category).alias("name"), "n"))).alias("counts"))
     shares = F.transform("counts", lambda c: F.struct(c["name"].alias("name"), (c["n"] / F.col("total")).alias("ratio")))
     return grouped.select(*keys, "t0", "win", "total", shares.alias("shares"))
 

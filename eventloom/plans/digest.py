@@ -127,11 +127,9 @@ def statistics(rows: DataFrame, window_us: int, keys: list[str] = ["callsite", "
 
 
 def with_method(rows: DataFrame) -> DataFrame:
-    """id, a number by (callsite, compile_id), key and method_descriptor."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.orderBy("callsite", "compile_id")) - 1
-    return rows.withColumns({"id": number, "key": site_key(F.col("callsite"), F.col("compile_id")), "method_descriptor": method_name(F.col("callsite"))})
+    """id, a number that grows with (callsite, compile_id) but skips some, key and method_descriptor."""
+    ordered = rows.orderBy("callsite", "compile_id")
+    return ordered.withColumns({"id": F.monotonically_increasing_id(), "key": site_key(F.col("callsite"), F.col("compile_id")), "method_descriptor": method_name(F.col("callsite"))})
 
 
 def by_cost(rows: DataFrame, costs: DataFrame, fan_out: bool = False) -> DataFrame:
