@@ -34,7 +34,7 @@ SAMPLE, STEPS = 20_000, 30
 #: Bits of a substring, and places of 128 in which near codes differ at most.
 SUBSTRING, NEAR = 16, 36
 #: Vectors compared with as many others at once.
-BLOCK = 1024
+BLOCK = 256
 
 
 @dataclass
@@ -98,7 +98,7 @@ def classes_of(vectors: DataFrame, id: str, column: str, scratch: Scratch) -> tu
 def quantiser_for(classes: DataFrame, dimension: int, sample: int = SAMPLE) -> Quantiser:
     n = classes.count()
     rate = min(1.0, sample / max(n, 1))
-    chosen = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < rate).select("v").toArrow()
+    chosen = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < rate).orderBy("key").select("v").toArrow()
     return fit(unit(_matrix(chosen.column("v").combine_chunks(), dimension)))
 
 
