@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -26,11 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the driver's session has ended
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables in the shared folder. They cut lineage, and outlive the executors that wrote them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/eventloom/{name}-{uuid.uuid4().hex}"
+        # results may read these tables until the driver ends
+        atexit.register(_delete, spark, self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -40,11 +49,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
 # ---------------------------------------------------------------- text buffers

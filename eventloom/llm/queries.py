@@ -101,4 +101,46 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    from eventloom.llm.secret_scan import ASSIGN, BASE_RULES, RULES
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    tests = {"assign": f"length(regexp_extract(m, {quote('^' + ASSIGN)}, 2)) >= 12", "access": "length(m) >= 18"}
+    parts = []
+    for order, rule in enumerate(RULES):
+        found = f"SELECT doc_id, string_split_regex(t, {quote(rule.pattern)}) AS g, regexp_extract_all(t, {quote(rule.pattern)}) AS ms FROM d"
+        placed = f"SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS s FROM ({found}) WHERE len(ms) > 0"
+        parts.append(f"SELECT doc_id, {order} AS o, '{rule.name}' AS k, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM ({placed}) WHERE {tests.get(rule.name, 'true')}")
+    base = len(BASE_RULES)
+    text = "k || ':' || s || ':' || e, ',' ORDER BY s, o"
+    counts = ", ".join(f"CAST(count(*) FILTER (k = '{r.name}') AS BIGINT) AS n_{r.name}" for r in BASE_RULES)
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}) "
+        f"SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({text}) FILTER (o < {base}), '')) AS base_sha256, coalesce(string_agg({text}) FILTER (k IS NOT NULL), '') AS spans FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"
+    )
+
+
+#: Components of links l (a, b), both directions, as c (a, m): the smallest id that each reaches.
+_REACH = "r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a, least(a, min(b)) AS m FROM r GROUP BY a)"
+
+_NEAR_SQL = (
+    "WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents), "
+    "s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 3 THEN [array_to_string(x, ' ')] ELSE list_transform(range(1, len(x) - 1), lambda i: array_to_string(x[i:i + 2], ' ')) END) AS h FROM w), "
+    "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), "
+    "p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL), "
+    "l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)), "
+    + _REACH
+    + " SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(m, w.doc_id) AS component_id, coalesce(m, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id"
+)
+
+_VECTORS_SQL = (
+    "WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), "
+    "l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.9), "
+    + _REACH
+    + ", n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"
+)
+
+#: The others learn, encode or parse, which SQL can't express; brute-force versions in the tests stand in.
+ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL}
