@@ -1,8 +1,8 @@
 """Best-fit packing with certified bounds.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt into groups of bounded
-size by a hash; each group is packed by best-fit decreasing, and dual feasible functions give a lower
-bound on the bins that its pieces need. A group whose bin count meets the bound is certified and
+size by a hash; each group is packed by best-fit decreasing, bin by bin with exact fits of one or two
+pieces taken first as well, and the fewer bins count. Dual feasible functions give a lower bound on the bins that its pieces need. A group whose bin count meets the bound is certified and
 closed. In the other groups full bins stay, and the pieces of all other bins are dealt anew among fewer groups,
 and packed again, for as long as that lowers the count.
 
@@ -130,6 +130,56 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(room, np.int64)
 
 
+def _mirrored(bits: int, n: int) -> int:
+    """Bit i as bit n - i, for i up to n."""
+    return int(format(bits & ((1 << (n + 1)) - 1), f"0{n + 1}b")[::-1], 2)
+
+
+def exact_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_fit_decreasing``, but one bin after the other.
+
+    A bin begins with the largest item left and takes one or two items that fill it exactly if there are
+    such, or else the largest that fits, and so on. Sizes that are left are bits of an integer, so an
+    exact pair is a bit that a mirrored copy shares.
+    """
+    by_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+    there = 0  # bit s: items of size s are left
+    for i in range(len(lengths) - 1, -1, -1):
+        by_size[int(lengths[i])].append(i)
+        there |= 1 << int(lengths[i])
+    bins, offsets, room = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
+    while there:
+        left, fill = capacity, [there.bit_length() - 1]
+        while fill:
+            for n in fill:
+                i = by_size[n].pop()
+                if not by_size[n]:
+                    there ^= 1 << n
+                bins[i], offsets[i] = len(room), capacity - left
+                left -= n
+            small = there & ((1 << (left + 1)) - 1)
+            if not small:
+                break
+            pairs = small & _mirrored(small, left)
+            half = left // 2
+            if left % 2 == 0 and pairs >> half & 1 and len(by_size[half]) < 2:
+                pairs ^= 1 << half
+            if small >> left & 1:
+                fill = [left]
+            elif pairs:
+                a = pairs.bit_length() - 1
+                fill = [a, left - a]
+            else:
+                fill = [small.bit_length() - 1]
+        room.append(left)
+    return bins, offsets, np.array(room, np.int64)
+
+
+def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packing with fewer bins of the two."""
+    return min((f(lengths, capacity) for f in (best_fit_decreasing, exact_fit_decreasing)), key=lambda x: len(x[2]))
+
+
 PACKED = "uid long, length long, sequence_id long, offset long, open boolean"
 
 
@@ -137,7 +187,7 @@ def _pack_group(capacity: int, base: int):
     def pack(key, table):
         table = table.sort_by("uid").combine_chunks()
         length = table.column("length").to_numpy()
-        bins, offsets, room = best_fit_decreasing(length, capacity)
+        bins, offsets, room = pack_lengths(length, capacity)
         certified = len(room) == lower_bound(length, capacity)
         still = np.zeros(len(room), bool) if certified else room > 0
         return pa.table(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from eventloom.llm.common import tokenizer_path
-from eventloom.llm.packing import best_fit_decreasing, cut, lower_bound, pack_documents
+from eventloom.llm.packing import best_fit_decreasing, cut, exact_fit_decreasing, lower_bound, pack_documents, pack_lengths
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -30,15 +30,24 @@ def test_bound_and_packing_against_all_assignments(seed):
     capacity = rnd.choice([7, 10, 16])
     lengths = [rnd.randint(1, capacity) for _ in range(rnd.randint(1, 6))]
     true = fewest(lengths, capacity)
-    bins, offsets, room = best_fit_decreasing(np.array(lengths), capacity)
-    assert lower_bound(np.array(lengths), capacity) <= true <= len(room)
-    for b in range(len(room)):
-        spans = sorted((int(o), n) for o, n, x in zip(offsets, lengths, bins) if x == b)
-        at = 0
-        for o, n in spans:
-            assert o == at
-            at += n
-        assert at == capacity - room[b]
+    for pack in (best_fit_decreasing, exact_fit_decreasing, pack_lengths):
+        bins, offsets, room = pack(np.array(lengths), capacity)
+        assert lower_bound(np.array(lengths), capacity) <= true <= len(room)
+        for b in range(len(room)):
+            spans = sorted((int(o), n) for o, n, x in zip(offsets, lengths, bins) if x == b)
+            at = 0
+            for o, n in spans:
+                assert o == at
+                at += n
+            assert at == capacity - room[b]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_close_to_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    for lengths in (rng.integers(1, 1025, 5000), np.minimum(rng.lognormal(5, 1, 5000).astype(int) + 1, 1024)):
+        bins, _, room = pack_lengths(lengths, 1024)
+        assert len(np.unique(bins)) == len(room) <= 1.003 * lower_bound(lengths, 1024) + 1
 
 
 def test_cut():
