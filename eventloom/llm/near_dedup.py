@@ -70,10 +70,10 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nda
         index = np.repeat(bounds[:-1][long] - at[:-1][long], counts[long]) + _positions(at, long)
         out[_positions(at, long)] = mix(rolled[index])
     for d in np.flatnonzero(whole).tolist():
-        h = np.uint64(n_words[d])
-        for w in words[bounds[d] : bounds[d + 1]]:
-            h = mix(np.array([h * _K[0] + w], np.uint64))[0]
-        out[at[d]] = h
+        h = np.array([n_words[d]], np.uint64)
+        for w in range(bounds[d], bounds[d + 1]):
+            h = mix(h * _K[0] + words[w : w + 1])
+        out[at[d]] = h[0]
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         out[a:b].sort()
     doc = np.repeat(np.arange(n), counts)
@@ -300,7 +300,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = scratch.save(classes.withColumn("rep", F.col("at")), "classes")
     bands = classes.where("rep is not null").select("rep", F.explode(F.expr(f"sequence(0, {BANDS - 1})")).alias("band"), "n_shingles", "sig").selectExpr("rep", "band", "n_shingles", f"substring(sig, 1 + band * {2 * ROWS}, {2 * ROWS}) key")
-    shared = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1"), "shared")
+    named = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in (1, 2)]  # of the bucket's members
+    shared = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"), *named).where("n > 1"), "shared")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     members = scratch.save(bands.drop("n_shingles").join(shared.select("band", "key", "hub", blocks), ["band", "key"]), "members")
 
@@ -315,6 +316,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
     placed = members.join(found, members["rep"] == found["node"], "left").select("band", "key", "rep", "blocks", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    # of buckets with the same members the one of the first band has all their pairs
+    mixed = mixed.join(shared, ["band", "key"]).groupBy("m1", "m2", "n").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
     more = scratch.save(_across(placed.join(mixed, ["band", "key"]), classes, sets, threshold, percent), "across")
     found = components(scratch, links.unionByName(more), "all")
     scratch.drop("shared", "members", "across")
