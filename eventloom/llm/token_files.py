@@ -1,8 +1,9 @@
 """Token-id files: one wavelet matrix per shard.
 
-Documents go in ascending order of id. A shard holds the ids of some documents, end to end, as a wavelet
-matrix: a bit-plane for each bit of the largest id, from the highest down; each plane splits the order
-of the one above stably into zeros and then ones. Counts of ones before every block give rank, and a
+Documents go in ascending order of id. A shard holds the ids of some documents, end to end, as ranks in
+its own alphabet, the most frequent id first, and the ranks as a wavelet matrix: a bit-plane for each
+bit of the last rank, from the highest down; each plane splits the order of the one above stably into
+zeros and then ones. Counts of ones before every block give rank, and a
 search over them select, so one file answers which token stands at a place, how often a token occurs
 in a range, and where its n-th occurrence is. Planes are compressed in segments that are read alone.
 
@@ -28,20 +29,24 @@ from pyspark.sql import functions as F
 from eventloom.llm.bpe import encoder
 from eventloom.llm.common import Scratch
 
-MAGIC = b"EVWM0001"
+MAGIC = b"EVWM0002"
 #: Ids after which a shard is closed; bounds a task's memory.
 SHARD_IDS = 2_000_000
 #: Bits counted together for rank, and bits compressed together.
 BLOCK_BITS, SEGMENT_BITS = 512, 1 << 17
-_HEADER = "<8sQQHH"
+_HEADER = "<8sQQII"
 
 
 # ------------------------------------------------------------------ the file
 def write_matrix(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file of a shard: header, document lengths, zeros of each plane, rank counts, segment ends, segments."""
+    """The file of a shard: header, alphabet, document lengths, zeros of each plane, rank counts, segment ends, segments."""
     n = len(ids)
-    width = max(1, int(ids.max(initial=0)).bit_length())
-    now = ids.astype(np.uint16 if width <= 16 else np.uint32)
+    seen = np.bincount(ids)
+    alphabet = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
+    rank = np.zeros(len(seen), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+    rank[alphabet] = np.arange(len(alphabet))
+    width = max(1, (len(alphabet) - 1).bit_length()) if n else 1
+    now = rank[ids]
     press = zstandard.ZstdCompressor(level=1)
     zeros, ranks, segments = [], [], []
     for bit in range(width - 1, -1, -1):
@@ -53,18 +58,18 @@ def write_matrix(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype("<u4").tobytes())
         step = SEGMENT_BITS // 8
         segments += [press.compress(plane[a : a + step]) for a in range(0, len(plane), step)]
-        # where the ones are decides where everything goes; both parts keep their order
-        now = np.concatenate([now[~ones], now[ones]])
+        # both parts keep their order; taking by position is much faster than by mask
+        now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
         zeros.append(n - int(per_block.sum()))
     ends = np.cumsum([len(s) for s in segments], dtype=np.int64).astype("<u8").tobytes()
-    return b"".join([struct.pack(_HEADER, MAGIC, n, len(lengths), width, 0), np.asarray(lengths, "<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *ranks, ends, *segments])
+    return b"".join([struct.pack(_HEADER, MAGIC, n, len(lengths), width, len(alphabet)), alphabet.astype("<u4").tobytes(), np.asarray(lengths, "<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *ranks, ends, *segments])
 
 
 class WaveletMatrix:
     """Reads a shard's file; segments are decompressed as they are needed."""
 
     def __init__(self, payload: bytes):
-        magic, self.n, docs, self.width, _ = struct.unpack_from(_HEADER, payload)
+        magic, self.n, docs, self.width, letters = struct.unpack_from(_HEADER, payload)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = struct.calcsize(_HEADER)
@@ -75,6 +80,7 @@ class WaveletMatrix:
             at += out.nbytes
             return out
 
+        self.alphabet = take("<u4", letters)
         self.lengths = take("<u4", docs).astype(np.int64)
         self.zeros = take("<u8", self.width).astype(np.int64)
         blocks = -(-self.n // BLOCK_BITS) + 1
@@ -83,6 +89,13 @@ class WaveletMatrix:
         self.ends = take("<u8", self.per_plane * self.width).astype(np.int64)
         self.body, self.payload = at, payload
         self.read: dict[int, np.ndarray] = {}
+        self._ranks: dict[int, int] | None = None
+
+    def rank_of(self, token: int) -> int:
+        """A token's place in the alphabet; -1 if the shard lacks it."""
+        if self._ranks is None:
+            self._ranks = {t: k for k, t in enumerate(self.alphabet.tolist())}
+        return self._ranks.get(token, -1)
 
     def _segment(self, number: int) -> np.ndarray:
         if number not in self.read:
@@ -120,15 +133,15 @@ class WaveletMatrix:
             rank = self.ones(level, i)
             i = int(self.zeros[level]) + rank if one else i - rank
             out = out << 1 | one
-        return out
+        return int(self.alphabet[out])
 
-    def _range(self, token: int, a: int, b: int) -> tuple[int, int]:
-        """Where the occurrences of a token among places a to b lie below the last plane."""
-        if token >> self.width:
+    def _range(self, rank: int, a: int, b: int) -> tuple[int, int]:
+        """Where the occurrences of a rank among places a to b lie below the last plane."""
+        if rank < 0:
             return 0, 0
         for level in range(self.width):
             x, y = self.ones(level, a), self.ones(level, b)
-            if token >> (self.width - 1 - level) & 1:
+            if rank >> (self.width - 1 - level) & 1:
                 a, b = int(self.zeros[level]) + x, int(self.zeros[level]) + y
             else:
                 a, b = a - x, b - y
@@ -136,7 +149,7 @@ class WaveletMatrix:
 
     def count(self, token: int, a: int = 0, b: int | None = None) -> int:
         """Occurrences of a token among places a to b, the end exclusive."""
-        x, y = self._range(token, a, self.n if b is None else b)
+        x, y = self._range(self.rank_of(token), a, self.n if b is None else b)
         return y - x
 
     def _select(self, level: int, one: int, k: int) -> int:
@@ -154,26 +167,29 @@ class WaveletMatrix:
 
     def locate(self, token: int, k: int) -> int:
         """Place of the k-th occurrence of a token, counted from 0."""
-        a, b = self._range(token, 0, self.n)
+        rank = self.rank_of(token)
+        a, b = self._range(rank, 0, self.n)
         if not 0 <= k < b - a:
             raise IndexError(k)
         i = a + k
         for level in range(self.width - 1, -1, -1):
-            one = token >> (self.width - 1 - level) & 1
+            one = rank >> (self.width - 1 - level) & 1
             i = self._select(level, one, i - int(self.zeros[level]) if one else i)
         return i
 
     def ids(self) -> np.ndarray:
         """All ids in order: the planes undone from the lowest up."""
+        if not self.n:
+            return np.zeros(0, np.uint32)
         out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
             ones = self.plane(level)
             zeros = int(self.zeros[level])
             up = np.empty_like(out)
-            up[~ones] = out[:zeros]
-            up[ones] = out[zeros:] | out.dtype.type(1 << (self.width - 1 - level))
+            up[np.flatnonzero(~ones)] = out[:zeros]
+            up[np.flatnonzero(ones)] = out[zeros:] | out.dtype.type(1 << (self.width - 1 - level))
             out = up
-        return out.astype(np.uint32)
+        return self.alphabet[out]
 
 
 # ------------------------------------------------------------------- datasets
