@@ -41,11 +41,12 @@ def test_event_log(spark, log, large):
     assert [(r.id, r.time_ms, r.kind) for r in eventlog.compilations(rows).where("method = 'Main <init> ()V'").collect()] == [("800", 58, None)]
 
 
-def test_site_matching(spark, log):
+def test_site_matching(spark, log, monkeypatch):
     rows = eventlog.read_log(spark, str(log / "compiler_log_other.xml"))
     sites = spark.createDataFrame([(1, "Main getEl (I)LM1;"), (2, "in getEl (I)LM1;")], "callsite_id long, descriptor string")
     exact = eventlog.state_events(rows, sites, 1000)
     assert {r.callsite_id for r in exact.collect()} == {1} and exact.where("tag = 'C'").agg(F.min("time_us")).first()[0] == 1_058_000
+    monkeypatch.setattr(eventlog, "SITE_BLOCK", 1)
     assert eventlog.state_events(rows, sites, 0, by_part=True).where("callsite_id = 2").count() == 7
 
 
