@@ -19,6 +19,11 @@ def anchors(events: DataFrame, keys: list[str], time: str = "t_us") -> DataFrame
     return events.groupBy(*keys).agg(F.min(time).alias("t0"), F.max(time).alias("t_end"))
 
 
+def numbered(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``place`` of each row in its group's order, from 1; sorts spill to disk, so a group need not fit in memory."""
+    return events.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def window_counts(events: DataFrame, keys: list[str], category: str, delta_us: int, time: str = "t_us", known: DataFrame | None = None) -> DataFrame:
     """keys, t0, win, category, n. ``known`` holds the categories to count; others still set the anchor."""
     first = anchors(events, keys, time).drop("t_end")

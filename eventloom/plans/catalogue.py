@@ -11,6 +11,9 @@ from eventloom.functions import bits, descriptors, text
 from eventloom.operators import attribution as at
 from eventloom.operators import joins, placement, stats
 from eventloom.operators import windows as w
+from eventloom.sources import eventlog, reports, traces
+from eventloom.sinks import files
+from eventloom.plans import digest
 from eventloom.plans.surrogate import DELTA, KEYS, dispatches, runs, states, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,11 +229,11 @@ _REDUCTION = f"""
 , seen AS (SELECT y.callsite_id, y.compile_id, seg, count(DISTINCT class) AS n FROM y JOIN c ON c.callsite_id = y.callsite_id AND c.compile_id = y.compile_id AND c.win = y.step WHERE y.tag = 'W' GROUP BY ALL)
 , parts AS (SELECT s.callsite_id, s.compile_id, s.seg, coalesce(g.id, 'interpreter') AS id, coalesce(g.after_end, 0) AS after_end, coalesce(n, 0) AS n FROM (SELECT * FROM sg0 UNION SELECT {_K}, seg FROM segs) s LEFT JOIN segs g ON g.callsite_id = s.callsite_id AND g.compile_id = s.compile_id AND g.seg = s.seg LEFT JOIN seen ON seen.callsite_id = s.callsite_id AND seen.compile_id = s.compile_id AND seen.seg = s.seg)
 , q AS (SELECT *, CASE WHEN after_end = 1 THEN 0 ELSE coalesce(lag(n) OVER (PARTITION BY {_K} ORDER BY seg), 0) END AS n_before, coalesce(lead(after_end) OVER (PARTITION BY {_K} ORDER BY seg) = 0, false) AS closed FROM parts)
-SELECT {_K}, id, CAST(n_before AS BIGINT) AS n_before, CAST(n AS BIGINT) AS n_after FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, id ORDER BY closed DESC, CASE WHEN closed THEN -seg ELSE seg END) AS rn FROM q) WHERE rn = 1
+, rd AS (SELECT {_K}, id, CAST(n_before AS BIGINT) AS n_before, CAST(n AS BIGINT) AS n_after FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, id ORDER BY closed DESC, CASE WHEN closed THEN -seg ELSE seg END) AS rn FROM q) WHERE rn = 1)
 """
 
 
-@_query("receiver_reduction", _REDUCTION)
+@_query("receiver_reduction", _REDUCTION + "SELECT * FROM rd")
 def receiver_reduction(spark, d):
     return at.category_reduction(_timeline(spark, d, "raw"), KEYS)
 
@@ -459,3 +462,104 @@ def paired_p_values(spark, d):
 @_query("c2_count", "SELECT callsite_id, CAST(count(*) AS BIGINT) AS n FROM st WHERE kind = 'c2' GROUP BY ALL")
 def c2_count(spark, d):
     return states(spark, d).where("kind = 'c2'").groupBy("callsite_id").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------- formats and whole plans
+_CLASS_IDS = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 4000000000 END"
+
+
+@_query("binary_roundtrip", f"SELECT k % 2 + 1 AS compile_id, callsite_id, CAST({_CLASS_IDS} AS BIGINT) AS class_id, t_us, event_id FROM e")
+def binary_roundtrip(spark, d):
+    """Records packed into files' bytes and decoded again, an event's number at its record's place."""
+    class_id = F.expr(_CLASS_IDS).cast("long")
+    events = table(spark, d, "events").select("event_id", (F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 2 + 1).alias("compile_id"), F.col("user_id").alias("callsite_id"), class_id.alias("class_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+
+    def both_ways(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(1, 5)]
+            rows = traces.decode_records(traces.encode_records(zip(*columns), padding=3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)]], names=batch.schema.names)
+
+    return events.mapInArrow(both_ways, "event_id long, compile_id long, callsite_id long, class_id long, t_us long")
+
+
+@_query("event_rank", "SELECT event_id, CAST(row_number() OVER (PARTITION BY callsite_id, k % 2 ORDER BY t_us, event_id) AS INTEGER) AS place FROM e")
+def event_rank(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("callsite_id"), (F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 2).alias("compile_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+    return w.numbered(rows, KEYS, ["t_us", "event_id"]).select("event_id", "place")
+
+
+@_query("readable_dump", "SELECT coalesce(c_name, 'null') || ' ' || (k % 2) || ' ' || event_type || ' ' || t_us AS value FROM e LEFT JOIN customer ON c_custkey = callsite_id + 100")
+def readable_dump(spark, d):
+    events = dispatches(spark, d).select("compile_id", "callsite_id", F.col("class").alias("class_id"), "t_us")
+    sites = table(spark, d, "customer").select((F.col("c_custkey") - 100).alias("callsite_id"), F.col("c_name").alias("callsite"))
+    classes = events.select("class_id", F.col("class_id").alias("class_name")).distinct()
+    return traces.readable(events, sites, classes)
+
+
+@_query("log_name_classify", "SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'default' ELSE 'instrumented' END AS variant, CASE event_id % 3 WHEN 0 THEN 'ren' ELSE 'dacapo' END AS suite, 'a_' || event_type AS bench FROM events WHERE event_type <> 'view'", parts=False)
+def log_name_classify(spark, d):
+    name = F.expr("concat('compiler_log_', if(event_id % 2 = 0, 'default', 'instrumented'), '_', if(event_id % 3 = 0, 'ren', 'dacapo'), '_a_', event_type, if(event_type = 'view', '.xml', concat('_', cast(event_id as string), '.xml')))")
+    return eventlog.log_series(table(spark, d, "events").select("event_id", name.alias("file"))).select("event_id", "variant", "suite", "bench")
+
+
+@_query("series_names", "SELECT event_id, 'ren_' || event_type AS name FROM events", parts=False)
+def series_names(spark, d):
+    name = F.expr("concat(if(event_id % 2 = 0, 'default_', 'instrumented_'), 'ren_', event_type, '.txt')")
+    return table(spark, d, "events").select("event_id", text.series_name(name, ("default_", "instrumented_")).alias("name"))
+
+
+@_query("count_lines", "SELECT callsite_id || ' - ' || count(*) AS value FROM st WHERE kind = 'c2' GROUP BY callsite_id")
+def count_lines(spark, d):
+    return files.count_lines(QUERIES["c2_count"](spark, d), "callsite_id")
+
+
+@_query(
+    "reduction_json",
+    _REDUCTION
+    + f"SELECT {_K}, '{{' || string_agg('\"' || key || '\":' || v, ',' ORDER BY key) || '}}' AS json FROM (SELECT {_K}, id || ' - before' AS key, n_before AS v FROM rd UNION ALL SELECT {_K}, id || ' - after', n_after FROM rd) GROUP BY {_K}",
+)
+def reduction_json(spark, d):
+    rows = _timeline(spark, d, "raw").withColumn("section", F.lit("RawWindowInformation"))
+    return digest.reductions(rows, KEYS)
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    """The digest's timelines of the surrogate events, with the site's number as its text."""
+    marks = states(spark, d).withColumns({"reason": F.lit(None).cast("string"), "action": F.lit(None).cast("string"), "ord": F.col("event_id")})
+    rows = digest.sections(dispatches(spark, d), marks, None, DELTA, category="class")
+    return rows.withColumn("callsite", F.concat(F.lit("site "), F.col("callsite_id").cast("string")))
+
+
+def _tags(name: str, section: str, where: str = "true") -> str:
+    return f"SELECT 'site ' || callsite_id AS callsite, compile_id, '{section}' AS section, tag, CAST(count(*) AS BIGINT) AS n FROM {name} WHERE {where} GROUP BY ALL"
+
+
+@_query("report_roundtrip", " UNION ALL ".join([_tags("tc", "Changes"), _tags("ti", "Inversions"), _tags("tr", "RawWindowInformation", f"({_K}) IN (SELECT ({_K}) FROM ti)")]))
+def report_roundtrip(spark, d):
+    """The text report of all groups, written and parsed again."""
+    written = reports.report(_sections(spark, d), DELTA)
+    lines = written.select(F.concat_ws("-", "callsite_id", "compile_id").alias("file"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    return reports.parse_report(lines).groupBy("callsite", "compile_id", "section", "tag").agg(F.count("*").alias("n"))
+
+
+_GROUPS = f"SELECT DISTINCT {_K} FROM nw"
+_STATISTICS = f"""
+, lc AS ({_line_sql("tc")}), li AS ({_line_sql("ti")}), xc AS ({_after_sql("ac")}), xi AS ({_after_sql("ai")})
+, su AS (SELECT {_K}, sum(n) * {DELTA} AS s FROM bd JOIN (SELECT DISTINCT {_K}, id FROM (SELECT {_K}, id FROM tc WHERE tag = 'D' UNION ALL SELECT {_K}, id FROM ti WHERE tag = 'D')) USING ({_K}, id) GROUP BY ALL)
+, av AS (SELECT {_K}, avg(n) AS m FROM bd GROUP BY ALL)
+SELECT {_K}, CAST(coalesce(lc.lines, 0) AS BIGINT) AS changes, CAST(coalesce(lc.pairs, 0) AS BIGINT) AS change_pairs, CAST(coalesce(lc.compilations, 0) AS BIGINT) AS compilations, CAST(coalesce(lc.decompilations, 0) AS BIGINT) AS decompilations,
+CAST(coalesce(li.lines, 0) AS BIGINT) AS inversions, CAST(coalesce(li.pairs, 0) AS BIGINT) AS inversion_pairs, CAST(coalesce(xc.after_compilation, 0) AS BIGINT) AS changes_after_compilation, CAST(coalesce(xi.after_compilation, 0) AS BIGINT) AS inversions_after_compilation,
+CAST(coalesce(su.s, 0) AS BIGINT) AS suboptimal_us, round(coalesce(av.m, 0), 6) AS average_inversions_before_decompilation
+FROM ({_GROUPS}) LEFT JOIN lc USING ({_K}) LEFT JOIN li USING ({_K}) LEFT JOIN xc USING ({_K}) LEFT JOIN xi USING ({_K}) LEFT JOIN su USING ({_K}) LEFT JOIN av USING ({_K})
+"""
+
+
+@_query("group_statistics", _STATISTICS)
+def group_statistics(spark, d):
+    """The statistics table of all groups, its counts and times."""
+    out = digest.statistics(_sections(spark, d), DELTA, KEYS)
+    return out.select(*[c for c in out.columns if not c.startswith(("most_frequent", "average"))], F.round("average_inversions_before_decompilation", 6).alias("average_inversions_before_decompilation"))

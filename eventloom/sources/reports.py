@@ -57,11 +57,16 @@ def report(rows: DataFrame, window_us: int, always_raw: bool = False) -> DataFra
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """callsite, compile_id, section, window_us, ord, tag, id, kind, time_us, reason, action, label, first, second.
+    """The timelines of report files, as ``parse_report`` gives them."""
+    return parse_report(read_lines(spark, path))
 
-    Each group's and section's heading holds for the lines after it; an observation is one row.
+
+def parse_report(rows: DataFrame) -> DataFrame:
+    """callsite, compile_id, section, window_us, file, ord, tag, id, kind, time_us, reason, action, label, first, second.
+
+    ``rows``: file, ord, line. Each group's and section's heading holds for the lines after it; an
+    observation is one row.
     """
-    rows = read_lines(spark, path)
     line, body = F.col("line"), F.trim("line")
     heads = {
         "callsite": F.when(line.startswith("CCU"), F.regexp_extract(line, r"CCU \[callsite=(.*), compile_id=.*\]", 1)),
