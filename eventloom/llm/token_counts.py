@@ -139,30 +139,42 @@ class PrefixTable:
                     self.counts[w] = int(count[k, len(raw[a + k])])
 
     # -- whole texts
+    def inner_counts(self, words: set[str]) -> dict[str, np.ndarray]:
+        """Tokens of every non-empty prefix of these pre-tokens, by characters."""
+        by_width: dict[int, list[str]] = {}
+        for w in words:
+            by_width.setdefault(min(-(-len(w) // 4), WIDE), []).append(w)
+        out = {}
+        for group in by_width.values():
+            raw = [w.encode() for w in group]
+            small = 1 if max(map(len, raw)) > 4 * WIDE else 20_000
+            for a in range(0, len(raw), small):
+                _, count = self.solve(raw[a : a + small])
+                for row, w in zip(count, group[a : a + small], strict=True):
+                    ends = slice(1, len(w) + 1) if w.isascii() else np.cumsum([len(c.encode()) for c in w])
+                    out[w] = row[ends].astype(np.int64)
+        for w in _CONTRACTIONS:
+            if w in out:
+                out[w][1] = out[w][0] + 1
+        return out
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of every prefix, by characters: entry i is the count of ``text[:i]`` encoded by itself."""
         if not self.encoder.plain(text):
             lib = self.encoder.library
             return np.fromiter((len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)), np.int64, len(text) + 1)
+        words = PRETOKENS.findall(text)
         out = np.zeros(len(text) + 1, np.int64)
-        done, at = 0, 0
-        for word in PRETOKENS.findall(text):
-            raw = word.encode()
-            _, count = self.solve([raw])
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in word), np.int64, len(word)))
-            inner = count[0][ends].astype(np.int64)
-            if word in _CONTRACTIONS:
-                inner[1] = inner[0] + 1
-            out[at + 1 : at + len(word) + 1] = done + inner
-            done += int(count[0][len(raw)])
-            at += len(word)
+        if not words:
+            return out
         # a prefix that ends with white space takes all of the white space before its end as one pre-token
-        for m in _SPACE_RUN.finditer(text):
-            a, b = m.span()
-            if b < len(text):
-                run = text[a:b]
-                _, count = self.solve([run.encode()])
-                out[b] = out[a] + count[0][len(run.encode())]
+        runs = [m.span() for m in _SPACE_RUN.finditer(text) if m.end() < len(text)]
+        inner = self.inner_counts({*words, *(text[a:b] for a, b in runs)})
+        parts = [inner[w] for w in words]
+        whole = np.cumsum([p[-1] for p in parts])
+        out[1:] = np.concatenate(parts) + np.repeat(whole - [p[-1] for p in parts], [len(p) for p in parts])
+        for a, b in runs:
+            out[b] = out[a] + inner[text[a:b]][-1]
         return out
 
     def stats(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
