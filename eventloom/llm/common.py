@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer document is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 
 # --------------------------------------------------------------------- scratch
