@@ -115,11 +115,15 @@ def blocks(page: str) -> Iterator[_Block]:
                 linked += len(text.strip())
 
     n = len(page)
+    last = page.rfind(">") + 1  # no tag ends after it, so none is looked for there
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else None
         if m is None:
-            add(page[at:])
-            break
+            add(re.split("<[!?]", page[at:], maxsplit=1)[0] if at >= last else page[at:last])
+            if at >= last:
+                break
+            at = last
+            continue
         add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]

@@ -26,6 +26,8 @@ def alone(page):
         (HEAD + "<article>keep<!-- not <p>this</p> --><noscript>no</noscript><table><tr><td>x<td>y</table><section class='comment-list'><article>c</article></section></article>", "keep x y"),
         (HEAD + "<article><p>a &unknown; &am</p><textarea>form</textarea><p>b < c</p>", "a &unknown; &am b < c"),
         (HEAD + "<article class='comment'>no</article><article><p>yes</article>", "yes"),
+        ("<article>a <b>b <!-- open", "a b"),
+        ("<article><p>x</p>" + "<a " * 40_000, "x " + " ".join(["<a"] * 40_000)),
         ("<article>" + "<div>" * 500 + "deep" + "</div>" * 500 + "</article>", "deep"),
     ],
 )
