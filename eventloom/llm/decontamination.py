@@ -9,7 +9,9 @@ passages whose latent cosine with an item reaches a low threshold, and confirms
 common subsequence of words, in the passage and its surroundings, must cover most of the item, and the
 item's answer part must be covered too unless nearly everything is.
 
-Items are taken in blocks of bounded size, so what the tasks hold is bounded. The driver
+Windows of items are taken in blocks of at most ``AXES``, and a block has ``AXES`` axes besides one for each
+window, so that what the tasks hold is bounded and every window keeps most of its length: the corpus's
+n unit rows have fewer than ``AXES`` axes over n / ``AXES``, and a window weighs ``WEIGHT`` * n / windows. The driver
 sees items, term frequencies and the latent axes, never documents.
 
 Defined results: null or empty texts match nothing; items of fewer than ``MIN_WORDS`` words, and null items, match nothing.
@@ -39,8 +41,11 @@ MIN_WORDS = 5
 #: Terms in a larger share of the tiles are common; every window keeps its rarest terms all the same.
 COMMON, RAREST = 0.002, 8
 AXES, SPARE = 256, 16
+#: What the windows of a block weigh together, as a multiple of the corpus.
+WEIGHT = 4.0
 #: Cosine for a candidate; shares of words that confirm it.
 COSINE, COVERED, ANSWER, NEARLY_ALL = 0.3, 0.7, 0.5, 0.9
+#: Items that the driver takes at once; their windows are dealt into blocks of at most AXES.
 ITEM_BLOCK = 1000
 _TERMS_IN_ROW = 64
 
@@ -296,11 +301,8 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str | None]], text: str = "text") -> Model | None:
-    """The model of one block of items (number, text); two passes over the documents."""
-    parts = [w for number, item in items for w in windows(number, item)]
-    if not parts:
-        return None
+def fit(docs: DataFrame, parts: list[Window], text: str = "text") -> Model:
+    """The model of one block of windows; two passes over the documents."""
     terms = np.unique(np.concatenate([w.words for w in parts]))
     tiles, df = tile_frequencies(docs, text, terms)
     keep = df <= COMMON * max(tiles, 1)
@@ -316,15 +318,17 @@ def fit(docs: DataFrame, items: list[tuple[int, str | None]], text: str = "text"
         np.add.at(rows[k], at[terms[at] == w.words], 1)
     rows *= idf
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    rank = min(AXES, len(terms))
-    if len(terms) <= AXES + SPARE:
+    rank = min(AXES + len(parts), len(terms))
+    if len(terms) <= rank + SPARE:
         omega = np.eye(len(terms))
     else:
-        omega = np.random.default_rng(1).standard_normal((len(terms), AXES + SPARE))
+        omega = np.random.default_rng(1).standard_normal((len(terms), rank + SPARE))
     product, n = gram_times(docs, text, terms, idf, omega)
-    product += max(1.0, n / len(parts)) * (rows.T @ (rows @ omega))
+    product += WEIGHT * max(1.0, n / len(parts)) * (rows.T @ (rows @ omega))
     basis = axes(product, omega, rank).astype(np.float32)
-    return Model(terms, idf, basis, parts, (rows @ basis).astype(np.float32))
+    latent = rows @ basis
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    return Model(terms, idf, basis, parts, latent.astype(np.float32))
 
 
 MATCHES = "array<struct<item:long,covered:double,answer:double,cosine:double>>"
@@ -336,32 +340,34 @@ def annotate(docs: DataFrame, models: list[Model], text: str = "text", columns:
     source = _text(docs, text, *[F.col(f"`{c}`") for c in columns])
     empty = docs.sparkSession.createDataFrame([], f"matches {MATCHES}").schema["matches"]
     schema = source.drop("__text").schema.add(empty)
-    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in models]  # each bounded by ITEM_BLOCK
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in models]  # each bounded by AXES windows
     kind = pa.list_(pa.struct([("item", pa.int64()), ("covered", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts = _lowered(batch.column(batch.num_columns - 1))
-            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            found: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(batch.num_rows)]
             for m in shared:
                 for a, b in chunks(starts, 1 << 20):
                     for doc, items in m.value.matches(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a]).items():
-                        found[a + doc] += [dict(zip(("item", "covered", "answer", "cosine"), (i, *x), strict=True)) for i, x in sorted(items.items())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], "matches"])
+                        for i, x in items.items():  # windows of one item may be in several blocks
+                            found[a + doc][i] = max(found[a + doc].get(i, x), x)
+            rows = [[dict(zip(("item", "covered", "answer", "cosine"), (i, *x), strict=True)) for i, x in sorted(f.items())] for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=[*batch.schema.names[:-1], "matches"])
 
     return source.mapInArrow(find, schema)
 
 
 def models_for(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = ITEM_BLOCK) -> list[Model]:
-    """One model for each block of items; the blocks are dealt by a hash of the item."""
+    """Models of all windows, at most AXES in each; the driver takes items in blocks by a hash of the item."""
     items = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // block))
     out = []
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).where("item is not null")
-        model = fit(docs, sorted((r["item"], r["text"] or "") for r in mine.collect()), text)
-        if model is not None:
-            out.append(model)
+        parts = [w for number, found in sorted((r["item"], r["text"] or "") for r in mine.collect()) for w in windows(number, found)]
+        share = -(-len(parts) // max(1, -(-len(parts) // AXES)))
+        out += [fit(docs, parts[a : a + share], text) for a in range(0, len(parts), max(share, 1))]
     return out
 
 

@@ -84,3 +84,24 @@ def test_pairs_and_empty_tables(spark):
     assert sorted((r.doc_id, r.item_id) for r in rows) == sorted(x for x in truth if x[0] < 80 for _ in range(2))
     assert contaminated(frame.limit(0), bench).count() == 0
     assert contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_many_near_orthogonal_items(spark):
+    rnd = random.Random(9)
+    rare = [f"q{k}x" for k in range(12_000)]
+    # every tenth item is long: windows, not items, fill the latent space
+    items = {k: [rnd.choice(rare) for _ in range(rnd.randint(100, 160) if k % 10 == 0 else rnd.randint(15, 60))] for k in range(1000)}
+    docs = {}
+    for k, words in items.items():
+        leak = list(words)
+        if k % 2:  # a paraphrase
+            leak = [rnd.choice(rare) if i % 9 == 4 and i < 12 else w for i, w in enumerate(leak) if i % 9 != 6 or i >= 12]
+        body = [rnd.choice(rare) for _ in range(rnd.choice([5, 60, 200]))]
+        at = rnd.randint(0, len(body))
+        docs[k] = " ".join(body[:at] + leak + body[at:])
+    docs |= {2000 + k: " ".join(rnd.choice(rare) for _ in range(80)) for k in range(500)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in contaminated(frame, bench).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(k, k) for k in items}
