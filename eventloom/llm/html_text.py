@@ -7,9 +7,9 @@ is a regular expression without unions, kept as a tree of element paths, so that
 tasks align what they read, salted groups align those wrappers, and one small group a host the rest.
 
 The wrapper tells where the host keeps its article: an article element, else a main element, else one
-whose class or id says content, else the innermost element that holds most of the host's text outside links.
-Texts there are the main text, without parts whose element, class or id marks menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments.
+whose class or id says content, else the innermost element whose slots hold most of the host's text outside links.
+The slots there are the main text: texts that all pages of the host repeat at one place are template and are left out, and so are
+parts whose element, class or id marks menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
 
 Defined results: null or empty html, and pages without article, give an empty text. Pages whose url is null or has no host
 share one wrapper. Repeated pages are each extracted. Other columns pass through; an output column
@@ -56,8 +56,11 @@ DROPPED_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 CONTENT_WORDS = frozenset("article content post entry story body text main".split())
-#: Children that a wrapper keeps apart below one element; further kinds are told apart by tag alone. Depth likewise.
+MARKS = DROPPED_WORDS | HEADER_WORDS | CONTENT_WORDS
+#: Children that a wrapper keeps apart below one element; further kinds are told apart by tag and marking words alone. Depth likewise.
 MAX_CHILDREN, MAX_DEPTH = 64, 32
+#: Hosts with fewer different pages than this may hold copies of one article only; there, repeated text is no template if it is most of the text.
+COPIES = 4
 #: Wrappers aligned in one group.
 GROUP = 64
 
@@ -179,7 +182,7 @@ def blocks(page: str) -> Iterator[_Block]:
                         break
         if attrs.rstrip().endswith("/") and tag not in INLINE and tag in ("svg", "path"):
             continue
-        key = ".".join((tag, *words[:4]))
+        key = ".".join((tag, *words[:4], *(w for w in words[4:] if w in MARKS)))
         if stack:
             above = stack[-1]
             above.children[key] = above.children.get(key, 0) + 1
@@ -190,17 +193,32 @@ def blocks(page: str) -> Iterator[_Block]:
 
 
 # ------------------------------------------------------------------- wrappers
+def _mark(text: str) -> int:
+    """A text's checksum and, in the last 24 bits, length."""
+    return zlib.crc32(text.encode("utf-8", "replace")) << 24 | min(len(text), (1 << 24) - 1)
+
+
+class Roots(list):
+    """(kind, paths) where a host keeps its article, and the template's texts."""
+
+    def __init__(self, tiers, fixed: dict[tuple[str, ...], set[int]], fold):
+        super().__init__(tiers)
+        self.fixed, self.fold = fixed, fold
+
+
 class Wrapper:
-    """Element paths of a host's pages: pages that have it, whether it recurs, text and linked text, its first text, whether that varies."""
+    """Element paths of a host's pages: pages that have it, whether it recurs, text and linked text, its first text, whether that varies,
+    kinds of children, and the texts that all pages repeat there."""
 
     def __init__(self):
         self.pages = 0
+        self.some: list[int] = []  # the smallest checksums of pages, COPIES at most
         self.nodes: dict[tuple[str, ...], list] = {}
 
     def _node(self, path: tuple[str, ...]) -> list:
         node = self.nodes.get(path)
         if node is None:
-            node = self.nodes[path] = [0, False, 0, 0, None, False, 0]
+            node = self.nodes[path] = [0, False, 0, 0, None, False, 0, None]
             if len(path) > 1:
                 self._node(path[:-1])[6] += 1
         return node
@@ -208,22 +226,24 @@ class Wrapper:
     def align(self, page: str) -> None:
         """Takes in a page."""
         self.pages += 1
+        self.some = sorted({*self.some, _mark(page)})[:COPIES]
         seen: dict[tuple[str, ...], list] = {}
         for b in blocks(page):
             element = b.stack[-1] if b.stack else None
             if element is None:
                 continue
             path = self._fold(element.path)
-            mine = seen.setdefault(path, [False, 0, 0, None, False])
+            mine = seen.setdefault(path, [False, 0, 0, None, False, set()])
             if b.text:
                 mine[1] += len(b.text)
                 mine[2] += b.linked
-                text = zlib.crc32(b.text.encode("utf-8", "replace"))
+                text = _mark(b.text)
+                mine[5].add(text)
                 mine[4] |= mine[3] is not None and mine[3] != text
                 mine[3] = text if mine[3] is None else mine[3]
             elif len(b.stack) > 1 and b.stack[-2].children[element.key] > 1:
                 mine[0] = True
-        for path, (again, chars, linked, text, varies) in seen.items():
+        for path, (again, chars, linked, text, varies, texts) in seen.items():
             node = self._node(path)
             node[0] += 1
             node[1] |= again
@@ -232,20 +252,22 @@ class Wrapper:
             if chars:
                 node[5] |= varies or (node[4] is not None and node[4] != text)
                 node[4] = text if node[4] is None else node[4]
+            node[7] = texts if node[7] is None else node[7] & texts
 
     def _fold(self, path: tuple[str, ...]) -> tuple[str, ...]:
-        """The path, with kinds of children beyond the bound told apart by tag alone."""
+        """The path, with kinds of children beyond the bound told apart by tag and marking words alone."""
         if path in self.nodes:
             return path
         out: tuple[str, ...] = ()
         for key in path:
             full = (*out, key)
             above = self.nodes.get(out)
-            out = (*out, key.split(".")[0]) if full not in self.nodes and above is not None and above[6] >= MAX_CHILDREN else full
+            out = (*out, _plain(key)) if full not in self.nodes and above is not None and above[6] >= MAX_CHILDREN else full
         return out
 
     def merge(self, other: Wrapper) -> Wrapper:
         self.pages += other.pages
+        self.some = sorted({*self.some, *other.some})[:COPIES]
         for path, theirs in other.nodes.items():
             node = self._node(self._fold(path))
             node[0] += theirs[0]
@@ -255,17 +277,20 @@ class Wrapper:
             if theirs[4] is not None:
                 node[5] |= theirs[5] or (node[4] is not None and node[4] != theirs[4])
                 node[4] = theirs[4] if node[4] is None else node[4]
+            if theirs[7] is not None:
+                node[7] = theirs[7] if node[7] is None else node[7] & theirs[7]
         return self
 
     def dump(self) -> str:
-        return json.dumps([self.pages, [["/".join(p), *v[:6]] for p, v in self.nodes.items()]])
+        return json.dumps([self.pages, self.some, [["/".join(p), *v[:6], None if v[7] is None else sorted(v[7])] for p, v in self.nodes.items()]])
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
         out = cls()
-        out.pages, nodes = json.loads(text)
-        for path, *values in nodes:
-            out._node(tuple(path.split("/")))[:6] = values
+        out.pages, out.some, nodes = json.loads(text)
+        for path, *values, texts in nodes:
+            node = out._node(tuple(path.split("/")))
+            node[:6], node[7] = values, None if texts is None else set(texts)
         return out
 
     def expression(self) -> str:
@@ -275,7 +300,7 @@ class Wrapper:
             below.setdefault(path[:-1], []).append(path)
 
         def write(path: tuple[str, ...]) -> str:
-            pages, again, chars, _, _, varies, _ = self.nodes[path]
+            pages, again, chars, _, _, varies, _, _ = self.nodes[path]
             inner = ("#slot" if varies else "#text") if chars else ""
             inner += "".join(map(write, below.get(path, [])))
             total = self.nodes[path[:-1]][0] if len(path) > 1 else self.pages
@@ -285,22 +310,50 @@ class Wrapper:
 
         return "".join(map(write, below.get((), [])))
 
-    def roots(self) -> list[tuple[str, frozenset]]:
+    def template(self) -> dict[tuple[str, ...], set[int]]:
+        """The texts that all pages repeat, by path; none if the host's pages are equal, or look like copies of one article."""
+        if len(self.some) < 2:
+            return {}
+        fixed = {path: v[7] for path, v in self.nodes.items() if v[0] == self.pages and v[7]}
+        if len(self.some) < COPIES:
+            kept = [p for p in self.nodes if not {"drop", "header"}.intersection(map(_kind, p))]
+            same = sum(_chars(fixed[p]) * self.pages for p in kept if p in fixed)
+            if 2 * same > sum(self.nodes[p][2] for p in kept):
+                return {}
+        return fixed
+
+    def roots(self) -> Roots:
         """Where the host keeps its article: (kind, paths), the first to be tried first."""
+        fixed = self.template()
+        slots = {p: max(0, v[2] - v[3] - _chars(fixed.get(p, ())) * v[0]) for p, v in self.nodes.items()}
         tiers: dict[str, list[tuple[str, ...]]] = {"article": [], "main": [], "content": []}
         free: dict[tuple[str, ...], int] = {}
-        for path, (_, _, chars, linked, _, _, _) in self.nodes.items():
-            kinds = [kind(k.split(".")[0], tuple(k.split(".")[1:])) for k in path]
+        for path in self.nodes:
+            kinds = [_kind(x) for x in path]
             if "drop" in kinds or "header" in kinds:
                 continue
             if kinds[-1] in tiers:
                 tiers[kinds[-1]].append(path)
             for k in range(1, len(path) + 1):
-                free[path[:k]] = free.get(path[:k], 0) + chars - linked
+                free[path[:k]] = free.get(path[:k], 0) + slots[path]
         total = max(free.values(), default=0)
         # the innermost element that still holds most of the text
         tiers["densest"] = [max((p for p, c in free.items() if c > 0.6 * total), key=len)] if total else []
-        return [(name, frozenset(paths)) for name, paths in tiers.items() if paths]
+        return Roots([(name, frozenset(paths)) for name, paths in tiers.items() if paths], fixed, self._fold)
+
+
+def _kind(key: str) -> str:
+    tag, *words = key.split(".")
+    return kind(tag, tuple(words))
+
+
+def _plain(key: str) -> str:
+    tag, *words = key.split(".")
+    return ".".join((tag, *(w for w in words if w in MARKS)))
+
+
+def _chars(marks) -> int:
+    return sum(m & ((1 << 24) - 1) for m in marks)
 
 
 def _under(stack: tuple[_Element, ...], name: str, paths: frozenset) -> int:
@@ -318,13 +371,15 @@ def _kept(stack: tuple[_Element, ...], root: int) -> bool:
 
 def main_text(page: str | None, roots: list[tuple[str, frozenset]]) -> str:
     """The texts of a page below the first roots that it has, and if it has none all that isn't left out anywhere."""
+    fixed, fold = (roots.fixed, roots.fold) if isinstance(roots, Roots) else ({}, tuple)
     found = [(b.stack, b.text) for b in blocks(page or "") if b.text]
+    slots = [not (fixed and stack and _mark(text) in fixed.get(fold(stack[-1].path), ())) for stack, text in found]
     for name, paths in roots:
         at = [_under(stack, name, paths) for stack, _ in found]
-        out = [text for (stack, text), k in zip(found, at, strict=True) if k >= 0 and _kept(stack, k)]
+        out = [(text, slot) for (stack, text), k, slot in zip(found, at, slots, strict=True) if k >= 0 and _kept(stack, k)]
         if out:
-            return " ".join(out)
-    return " ".join(text for stack, text in found if _kept(stack, len(stack) - 1))
+            return " ".join([text for text, slot in out if slot] or [text for text, _ in out])
+    return " ".join(text for (stack, text), slot in zip(found, slots, strict=True) if slot and _kept(stack, len(stack) - 1))
 
 
 # ------------------------------------------------------------------ over tables

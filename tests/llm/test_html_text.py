@@ -77,3 +77,25 @@ def test_table(spark):
         assert r.text == want.get(r.page_id, "") and r.n_chars == len(r.text)
     assert infer(frame).count() == 4
     assert extract(frame.limit(0)).count() == 0
+
+
+def host(pages):
+    wrapper = Wrapper()
+    for p in pages:
+        wrapper.align(p)
+    roots = Wrapper.load(wrapper.dump()).roots()
+    return [main_text(p, roots) for p in pages]
+
+
+def story(k):
+    return f"Story {k} tells of {'this and ' * (k + 3)}that, {k} times."
+
+
+def test_template_inside_the_article_is_left_out():
+    box = "<div class='about'>About this site</div>"
+    pages = [HEAD + f"<article><div class='slogan'>News since 1900</div><h1>Title {k}</h1><p>{story(k)}</p><p>All rights reserved.</p>{box}</article>" for k in range(6)]
+    assert host(pages) == [f"Title {k} {story(k)}" for k in range(6)]
+    # equal pages, and two copies of one article, are no template
+    assert host(pages[:1] * 3)[0].startswith("News since 1900 Title 0")
+    copies = [f"<article><p>{story(8)}</p><p>Copy {k}.</p></article>" for k in range(2)]
+    assert host(copies) == [f"{story(8)} Copy {k}." for k in range(2)]
