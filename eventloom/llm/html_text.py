@@ -10,6 +10,7 @@ The wrapper tells where the host keeps its article: an article element, else a m
 whose class or id says content, else the innermost element whose slots hold most of the host's text outside links.
 The slots there are the main text: texts that all pages of the host repeat at one place are template and are left out, and so are
 parts whose element, class or id marks menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+A class, id or role doesn't mark an element so whose slots hold most of the text, or the article, of the pages that have it.
 
 Defined results: null or empty html, and pages without article, give an empty text. Pages whose url is null or has no host
 share one wrapper. Repeated pages are each extracted. Other columns pass through; an output column
@@ -75,6 +76,13 @@ def kind(tag: str, words: tuple[str, ...]) -> str:
         return "drop"
     if tag == "header" or HEADER_WORDS.intersection(words):
         return "header"
+    return freed(tag, words)
+
+
+def freed(tag: str, words: tuple[str, ...]) -> str:
+    """The kind of an element whose words don't make it dropped or a header."""
+    if tag in ("article", "main"):
+        return tag
     return "content" if tag not in INLINE and tag not in HEADINGS and CONTENT_WORDS.intersection(words) else ""
 
 
@@ -199,11 +207,11 @@ def _mark(text: str) -> int:
 
 
 class Roots(list):
-    """(kind, paths) where a host keeps its article, and the template's texts."""
+    """(kind, paths) where a host keeps its article, with the element paths that their words don't drop, and the template's texts."""
 
-    def __init__(self, tiers, fixed: dict[tuple[str, ...], set[int]], fold):
+    def __init__(self, tiers, free: frozenset, fixed: dict[tuple[str, ...], set[int]], fold):
         super().__init__(tiers)
-        self.fixed, self.fold = fixed, fold
+        self.free, self.fixed, self.fold = free, fixed, fold
 
 
 class Wrapper:
@@ -322,14 +330,58 @@ class Wrapper:
                 return {}
         return fixed
 
+    def freed(self, slots: dict[tuple[str, ...], int]) -> frozenset:
+        """The paths that are kept though a word drops them: their slots hold most of the text of pages that have them, or
+        they are an article or main element; unless the pages have another article that isn't dropped."""
+        kinds = {p: _kind(p[-1]) for p in self.nodes}
+        soft = {p for p in self.nodes if kinds[p] == "drop" and p[-1].split(".")[0] not in DROPPED or kinds[p] == "header" and p[-1].split(".")[0] != "header"}
+        if not soft:
+            return frozenset()
+        hard = {p for p in self.nodes if kinds[p] in ("drop", "header") and p not in soft}
+        open_ = {p: n for p, n in slots.items() if n > 0 and not any(p[:k] in hard for k in range(1, len(p) + 1))}
+        held: dict[tuple[str, ...], int] = {}
+        for p, n in open_.items():
+            for k in range(len(p) + 1):
+                held[p[:k]] = held.get(p[:k], 0) + n
+        each = held.get((), 0) / max(self.pages, 1)
+        out: set[tuple[str, ...]] = set()
+        while True:
+            # text outside headings below each root that stands without what is dropped
+            body: dict[tuple[str, ...], int] = {}
+            for p, n in open_.items():
+                above = [p[:k] for k in range(1, len(p) + 1)]
+                if p[-1].split(".")[0] in HEADINGS or any(q in soft and q not in out for q in above):
+                    continue
+                for q in above:
+                    what = freed(q[-1].split(".")[0], tuple(q[-1].split(".")[1:])) if q in out else kinds[q]
+                    if what in ("article", "main", "content") and not self.nodes[q][1]:
+                        body[q] = body.get(q, 0) + n
+            best = None
+            for p in soft - out:
+                if p not in held or any(p[:k] in soft and p[:k] not in out for k in range(1, len(p))):
+                    continue
+                tag, *words = p[-1].split(".")
+                pages, mixed = max(self.nodes[p][0], 1), not (DROPPED_WORDS | HEADER_WORDS).issuperset(words)
+                article = tag in ("article", "main") and mixed and not self.nodes[p][1]
+                mine = held[p] / pages
+                if not article and mine <= each / 2:
+                    continue
+                if any(self.nodes[q][0] + pages > self.pages and n / self.nodes[q][0] >= mine / 10 for q, n in body.items()):
+                    continue
+                best = max(best or (False, False, 0, p), (article, mixed, mine, p))
+            if best is None:
+                return frozenset(out)
+            out.add(best[3])
+
     def roots(self) -> Roots:
         """Where the host keeps its article: (kind, paths), the first to be tried first."""
         fixed = self.template()
         slots = {p: max(0, v[2] - v[3] - _chars(fixed.get(p, ())) * v[0]) for p, v in self.nodes.items()}
+        kept = self.freed(slots)
         tiers: dict[str, list[tuple[str, ...]]] = {"article": [], "main": [], "content": []}
         free: dict[tuple[str, ...], int] = {}
         for path in self.nodes:
-            kinds = [_kind(x) for x in path]
+            kinds = [(freed if path[: k + 1] in kept else kind)(x.split(".")[0], tuple(x.split(".")[1:])) for k, x in enumerate(path)]
             if "drop" in kinds or "header" in kinds:
                 continue
             if kinds[-1] in tiers:
@@ -339,7 +391,7 @@ class Wrapper:
         total = max(free.values(), default=0)
         # the innermost element that still holds most of the text
         tiers["densest"] = [max((p for p, c in free.items() if c > 0.6 * total), key=len)] if total else []
-        return Roots([(name, frozenset(paths)) for name, paths in tiers.items() if paths], fixed, self._fold)
+        return Roots([(name, frozenset(paths)) for name, paths in tiers.items() if paths], kept, fixed, self._fold)
 
 
 def _kind(key: str) -> str:
@@ -371,8 +423,13 @@ def _kept(stack: tuple[_Element, ...], root: int) -> bool:
 
 def main_text(page: str | None, roots: list[tuple[str, frozenset]]) -> str:
     """The texts of a page below the first roots that it has, and if it has none all that isn't left out anywhere."""
-    fixed, fold = (roots.fixed, roots.fold) if isinstance(roots, Roots) else ({}, tuple)
-    found = [(b.stack, b.text) for b in blocks(page or "") if b.text]
+    free, fixed, fold = (roots.free, roots.fixed, roots.fold) if isinstance(roots, Roots) else (frozenset(), {}, tuple)
+    found: list[tuple[tuple[_Element, ...], str]] = []
+    for b in blocks(page or ""):
+        if b.text:
+            found.append((b.stack, b.text))
+        elif free and (e := b.stack[-1]).kind in ("drop", "header") and e.tag not in DROPPED and e.tag != "header" and fold(e.path) in free:
+            e.kind = freed(e.tag, tuple(e.key.split(".")[1:]))
     slots = [not (fixed and stack and _mark(text) in fixed.get(fold(stack[-1].path), ())) for stack, text in found]
     for name, paths in roots:
         at = [_under(stack, name, paths) for stack, _ in found]

@@ -99,3 +99,25 @@ def test_template_inside_the_article_is_left_out():
     assert host(pages[:1] * 3)[0].startswith("News since 1900 Title 0")
     copies = [f"<article><p>{story(8)}</p><p>Copy {k}.</p></article>" for k in range(2)]
     assert host(copies) == [f"{story(8)} Copy {k}." for k in range(2)]
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<article class='post has-sidebar'>{}</article>",
+        "<div id='page' class='no-sidebar'><div class='entry'>{}</div><div class='sidebar'>side</div></div>",
+        "<main><h1></h1><div class='content-area with-comments'>{}</div></main>",
+        "<article class='post comment-open'>{}</article><div class='comments'><p>" + "first! " * 200 + "</p></div>",
+        "<article>{}<div class='comment-list'><p>" + "first! " * 200 + "</p></div></article>",
+        "<article>{}</article><aside class='related'><article class='post-related'>" + "teaser " * 200 + "</article></aside>",
+        "<div class='cookie-notice'>" + "We use cookies. " * 200 + "</div><div class='page no-sidebar'>{}</div>",
+    ],
+)
+def test_words_do_not_drop_the_article(frame):
+    assert host([HEAD + frame.format(f"<p>{story(k)}</p>") for k in range(6)]) == [story(k) for k in range(6)]
+
+
+def test_words_do_not_drop_the_article_of_some_pages():
+    marks = [f"class='post tag-{chr(97 + k // 26)}{chr(97 + k % 26)}x has-sidebar'" if k % 2 else "class='post'" for k in range(200)]
+    pages = [f"<nav>menu</nav><article {m}><p>{story(k)}</p></article><div class='comments'>no</div>" for k, m in enumerate(marks)]
+    assert host(pages) == [story(k) for k in range(200)]
