@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples by TF-IDF cosine.
 
 The examples are a bounded, hash-chosen sample of labelled rows. Terms are those that more of the positive
-examples hold than chance allows, and in varied contexts, so that the words of one much-copied text don't count. Inverse document
+examples hold than chance allows, and in varied contexts; near copies of one text count as one example in this. Inverse document
 frequencies are over all documents. Examples lie in an inverted index in blocks; each term keeps its
 largest impact per block, so that blocks that can't reach the k best so far are skipped and the k best
 are still exact. Votes of the k nearest, weighted by distance, give a raw score, which a monotone fit
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import NOT_WORD, Scratch, chunks, signed, text_buffer, word_hashes
+from eventloom.llm.common import NOT_WORD, Scratch, chunks, mix, signed, text_buffer, word_hashes
 
 #: Labelled rows of each class that are used; the sample is chosen by a hash of the id.
 MAX_EXAMPLES = 2000
@@ -36,6 +36,8 @@ BLOCK = 64
 #: A term needs this share of the positive examples, this log-likelihood ratio, and different next words
 #: in as many of its examples, and in this share of them.
 MIN_SHARE, MIN_RATIO, MIN_CONTEXTS, MIN_VARIETY = 0.01, 20.0, 3, 0.4
+#: Values of an example's sketch of word pairs, and the share of equal ones from which examples are near copies.
+SKETCH, COPY = 64, 0.4
 
 
 class BlockMaxIndex:
@@ -176,26 +178,74 @@ def _texts(docs: DataFrame, text: str, *columns) -> DataFrame:
 
 
 def _contexts(examples: DataFrame) -> DataFrame:
-    """label, term and the word after its first place, for every term of every example."""
+    """group, label, term and the word after its first place, for every term of every example."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column(1).to_numpy()
+            labels, groups = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             raw, starts = text_buffer(batch.column(2))
             words, bounds = word_hashes(raw, starts, NOT_WORD)
-            for label, a, b in zip(labels.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for label, group, a, b in zip(labels.tolist(), groups.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 terms, first = np.unique(words[a:b], return_index=True)
                 after = np.append(words[a:b], np.uint64(0))[first + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), label), pa.int32()), pa.array(signed(terms)), pa.array(signed(after))], names=["label", "term", "after"])
+                columns = [pa.array(np.full(len(terms), group), pa.int32()), pa.array(np.full(len(terms), label), pa.int32()), pa.array(signed(terms)), pa.array(signed(after))]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "label", "term", "after"])
 
-    return examples.mapInArrow(split, "label int, term long, after long")
+    return examples.mapInArrow(split, "group int, label int, term long, after long")
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """The least values of a text's word pairs under SKETCH hashes."""
+    if not len(words):
+        return np.zeros(SKETCH, np.uint32)
+    pairs = np.unique(mix(words[:-1]) + words[1:] if len(words) > 1 else words)
+    return np.array([mix(pairs ^ seed).min() >> np.uint64(32) for seed in _SEEDS], np.uint32)
+
+
+_SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCH, dtype=np.uint64)
+
+
+def copy_groups(sketches: np.ndarray) -> np.ndarray:
+    """The group of each example: those that near copies join, directly or through others."""
+    n = len(sketches)
+    group = np.arange(n)
+    for a in range(n - 1):
+        near = a + 1 + np.flatnonzero((sketches[a + 1 :] == sketches[a]).mean(axis=1) >= COPY)
+        near = near[group[near] != group[a]]
+        if len(near):
+            joined = np.unique(group[np.append(near, a)])
+            group[np.isin(group, joined)] = joined[0]
+    return group
+
+
+def _grouped(examples: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The examples with their group of near copies of one label, and the groups of each label. The driver gets one sketch an example."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, bounds = word_hashes(*text_buffer(batch.column(2)), NOT_WORD)
+            found = [sketch(words[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["__id", "__label", "sketch"])
+
+    rows = examples.mapInArrow(sketches, "__id long, __label int, sketch binary").orderBy("__id", "__label", "sketch").collect()  # bounded by max_examples
+    found, count, start = [], {}, 0
+    for label in sorted({r["__label"] for r in rows}):
+        mine = [r for r in rows if r["__label"] == label]
+        groups = copy_groups(np.stack([np.frombuffer(r["sketch"], np.uint32) for r in mine]))
+        count[label] = len(np.unique(groups))
+        found += [(r["__id"], label, start + g) for r, g in zip(mine, groups.tolist(), strict=True)]
+        start += len(mine)
+    # rows that repeat an id with other texts share its first group
+    table = examples.sparkSession.createDataFrame(list({f[:2]: f for f in reversed(found)}.values()), "__id long, __label int, __group int")
+    return examples.join(F.broadcast(table), ["__id", "__label"]).select("__id", "__label", "__text", "__group"), count
 
 
 def _select(contexts: DataFrame, n: dict[int, int], max_terms: int) -> np.ndarray:
-    """The terms that mark positive examples best, by the log-likelihood ratio of the examples that hold them."""
-    counts = contexts.groupBy("term", "label", "after").count()
-    sums = [F.sum(F.when(F.col("label") == k, F.col("count")).otherwise(0)).cast("double").alias(c) for k, c in ((1, "a"), (0, "b"))]
-    counts = counts.groupBy("term").agg(*sums, F.sum("label").alias("contexts"))
+    """The terms that mark positive examples best, by the log-likelihood ratio of the groups of near copies that hold them."""
+    counts = contexts.groupBy("term", "label", "group").agg(F.collect_set("after").alias("after"))
+    sums = [F.sum(F.when(F.col("label") == k, 1).otherwise(0)).cast("double").alias(c) for k, c in ((1, "a"), (0, "b"))]
+    varied = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("label") == 1, F.col("after"))))))
+    counts = counts.groupBy("term").agg(*sums, varied.alias("contexts"))
     pos, neg = float(max(n.get(1, 0), 1)), float(max(n.get(0, 0), 1))
     both = F.col("a") + F.col("b")
     expected = both * (pos / (pos + neg)), both * (neg / (pos + neg))
@@ -240,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     chosen = chosen.groupBy(F.xxhash64("__text").alias("h"), "__label").agg(F.min("__id").alias("__id"), F.first("__text").alias("__text"))
     examples = scratch.save(chosen.select("__id", "__label", "__text").where("__text is not null"), "examples")
     n = {r["__label"]: r["count"] for r in examples.groupBy("__label").count().collect()}
-    terms = _select(_contexts(examples), n, max_terms)
+    grouped, groups = _grouped(examples)
+    terms = _select(_contexts(grouped), groups, max_terms)
     documents, df = frequencies(docs, text, terms)
     idf = np.log((1 + documents) / (1 + df)) + 1
 

@@ -69,3 +69,23 @@ def test_no_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.score, r.predicted) for r in score(docs, train(docs, none)).collect()] == [(0.0, 0)]
     assert score(docs.limit(0), train(docs.limit(0), none)).count() == 0
+
+
+def test_near_copies_of_one_text_keep_its_words_in_the_model(spark):
+    docs, labels = corpus()
+    rnd = random.Random(8)
+    base = [f"c{k}" for k in range(60)]
+    for at, w in ((10, "vile"), (25, "scum"), (40, "Idiot")):
+        base[at:at] = [w]
+    for k in range(400):
+        copy = list(base)
+        for at in rnd.sample(range(45, 60), 2):
+            copy[at] = f"d{rnd.randint(0, 10_000)}"
+        docs.append((2000 + k, " ".join(copy)))
+        labels.append((2000 + k, 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, toxic int")
+    got = score(frame, train(frame, marks)).collect()
+    truth = dict(labels)
+    held = [r for r in got if r.doc_id % 3 == 0 and r.doc_id < 2000]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
