@@ -12,8 +12,8 @@ The axes and rotations are fitted on a bounded, hash-chosen sample; every vector
 that of the tables: what is linked but never within two places in a substring, or differs in too many bits, is missed,
 and no link below the threshold is ever made. Equal vectors are one class throughout.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; so do
-vectors of a length that fewer vectors have than the most common one. Null ids take part in counts as members of their class, and get no component.
+Defined results: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors link
+with those of their own length; each length that several have has axes, tables and clusters of its own. Null ids take part in counts as members of their class, and get no component.
 Repeated rows count as vectors of their own. Other columns are not read.
 """
 
@@ -81,18 +81,17 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dimension)
 
 
-def classes_of(vectors: DataFrame, id: str, column: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """(id and class key of every row, null where unusable; one row per class: rep, size, vector), and the dimension."""
+def classes_of(vectors: DataFrame, id: str, column: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """(id and class key of every row, null where unusable; one row per class: rep, size, vector), and the classes of each length that several have."""
     v = F.col(f"`{column}`").cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.when(good, v).alias("v"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = common["d"] if common else 0
     # 0.0 and -0.0 are one number
-    v = F.when(F.size("v") == dimension, F.transform("v", lambda x: x + 0.0))
-    rows = rows.withColumn("v", v).withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
-    return rows.select("id", "key"), scratch.save(classes, "classes"), dimension
+    classes = scratch.save(classes, "classes")
+    lengths = classes.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()
+    return rows.select("id", "key"), classes, {r["d"]: r["count"] for r in lengths}
 
 
 def quantiser_for(classes: DataFrame, dimension: int, sample: int = SAMPLE) -> Quantiser:
@@ -261,18 +260,25 @@ def _links(clusters: DataFrame, classes: DataFrame, threshold: float, dimension:
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embedding", threshold: float = 0.9, substring: int = SUBSTRING, near: int = NEAR) -> DataFrame:
     """id, n_links, component_id and kept for every row; rows are linked where their cosine reaches the threshold."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows, classes, dimension = classes_of(vectors, id, column, scratch)
-    if dimension:
-        quantiser = quantiser_for(classes, dimension)
-        coded = scratch.save(_sent(classes, quantiser, dimension), "coded")
-        forests = scratch.save(_forests(coded, substring, near), "forests")
-        links = scratch.save(_links(components(scratch, forests, "clusters"), classes, threshold, dimension), "links")
+    rows, classes, dimensions = classes_of(vectors, id, column, scratch)
+    if dimensions:
+        links = None
+        for dimension, n in dimensions.items():
+            mine = classes.where(F.size("v") == dimension)
+            if n <= BLOCK:  # one comparison; so few are no sample to fit axes on
+                clusters = mine.where("rep is not null").select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("component"))
+            else:
+                coded = scratch.save(_sent(mine, quantiser_for(mine, dimension), dimension), f"coded-{dimension}")
+                forests = scratch.save(_forests(coded, substring, near), f"forests-{dimension}")
+                clusters = components(scratch, forests, f"clusters-{dimension}")
+            part = scratch.save(_links(clusters, mine, threshold, dimension), f"links-{dimension}")
+            links = part if links is None else links.unionByName(part)
         found = components(scratch, links.where("b is not null").selectExpr("rep a", "b"), "all")
         counts = links.where("b is null").groupBy("rep").agg(F.sum("n").alias("n"))
         labels = classes.select("key", "rep", "size").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         labels = labels.select("key", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     else:
-        labels = classes.select("key", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component"))
+        labels = classes.select("key", (F.col("size") - 1).alias("n_links"), F.col("rep").alias("component"))
     labels = scratch.save(labels, "labels")
     out = rows.join(labels, "key", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.expr("if(key is null, id, component)").alias("component_id"))
     return out.select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -88,3 +88,15 @@ def test_odd_rows(spark):
     assert len(got) == 11
     assert out == {(1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (None, 3, 1, False)}
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_every_length_is_linked(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for dimension, n in ((64, 60), (48, 30), (3, 1)):
+        for base in rng.standard_normal((n, dimension)):
+            rows += [base.tolist(), (base + 0.05 * rng.standard_normal(dimension)).tolist()]
+    rows = list(enumerate([*rows, rows[0], rows[120], [1.0], [1.0], [2.0, 1.0], [2.0, 1.0]]))
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = sorted(r for d in (64, 48, 3, 2, 1) for r in brute([x for x in rows if len(x[1]) == d]))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
