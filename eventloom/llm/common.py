@@ -6,12 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step takes at once; a longer document is a step of its own.
 CHUNK_BYTES = 1 << 19
@@ -19,9 +20,13 @@ CHUNK_BYTES = 1 << 19
 
 # --------------------------------------------------------------------- scratch
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names. A local session where it is unset, as in tests, gets a temporary one;
+    on a cluster that would be another folder on every machine, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -53,6 +58,74 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+# --------------------------------------------------------------------- columns
+class Columns:
+    """A table with its columns named by place (c0, c1, ...), so that no name of theirs clashes with one used inside.
+
+    ``columns`` are those to pass through, all if None; a column that is called like one of ``made``, in any case of
+    letters, is replaced by that and doesn't pass. Of columns whose names differ in case only, a name means the one
+    that is written alike, and else the first.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str] | None = None, made: Iterable[str] = ()):
+        self.names, self.types = df.columns, [f.dataType for f in df.schema.fields]
+        self.frame = df.toDF(*(f"c{k}" for k in range(len(self.names))))
+        taken = {m.lower() for m in made}
+        chosen = range(len(self.names)) if columns is None else map(self.at, columns)
+        self.kept = [k for k in chosen if self.names[k].lower() not in taken]
+
+    def at(self, name: str) -> int:
+        """The place of a column."""
+        if name in self.names:
+            return self.names.index(name)
+        lower = [n.lower() for n in self.names]
+        if name.lower() not in lower:
+            raise ValueError(f"no column {name} among {', '.join(self.names)}")
+        return lower.index(name.lower())
+
+    def col(self, name: str) -> Column:
+        return F.col(f"c{self.at(name)}")
+
+    def text(self, name: str) -> Column:
+        return self.col(name).cast("string")
+
+    def passing(self) -> list[Column]:
+        return [F.col(f"c{k}") for k in self.kept]
+
+    def schema(self, *made: tuple[str, T.DataType | str]) -> T.StructType:
+        """Of the passing columns by place, and the made ones."""
+        out = T.StructType([T.StructField(f"c{k}", self.types[k]) for k in self.kept])
+        for name, kind in made:
+            out = out.add(name, kind)
+        return out
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """A table that begins with the passing columns, under their names again."""
+        return df.toDF(*(self.names[k] for k in self.kept), *df.columns[len(self.kept) :])
+
+    def id_type(self, name: str) -> str:
+        """long for a column of whole numbers, else string."""
+        return "long" if isinstance(self.types[self.at(name)], T.IntegralType) else "string"
+
+
+def numbered(scratch: Scratch, ids: DataFrame) -> DataFrame:
+    """(id, number) of the different non-null values of a one-column table (id), numbered in their order.
+
+    The driver gets one count a range partition.
+    """
+    spark = scratch.spark
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = ids.where("id is not null").distinct().repartitionByRange(parts, "id").sortWithinPartitions("id")
+    # within a partition the lower bits count rows from 0
+    placed = scratch.save(ordered.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")), "numbers")
+    count = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+    before, at = [], 0
+    for k in range(max(count, default=-1) + 1):
+        before.append(at)
+        at += count.get(k, 0)
+    return placed.select("id", (F.element_at(F.array(*map(F.lit, before or [0])), F.col("part") + 1) + F.col("row")).cast("long").alias("number"))
+
+
 # ---------------------------------------------------------------- text buffers
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, end to end, and where each text starts (one more entry than texts). Null: empty."""
@@ -114,6 +187,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, end to end."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))

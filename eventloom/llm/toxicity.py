@@ -1,17 +1,20 @@
 """Toxicity scores from the nearest labelled examples by TF-IDF cosine.
 
-The examples are a bounded, hash-chosen sample of labelled rows. Terms are those that more of the positive
-examples hold than chance allows, and in varied contexts; near copies of one text count as one example in this. Inverse document
-frequencies are over all documents. Examples lie in an inverted index in blocks; each term keeps its
-largest impact per block, so that blocks that can't reach the k best so far are skipped and the k best
+The examples are a bounded, hash-chosen sample of labelled rows, each with the whole vector of its words. A word weighs
+(1 + log of its count) * idf * relevance. Inverse document frequencies are over all documents. The relevance grows
+from ``PLAIN`` to 1 with the log-likelihood ratio by which positive examples hold the word more than others do; near
+copies of one text count as one example in this. No word is left out. Examples lie in an inverted index in blocks: a word's list has
+its runs of postings by block, each with its largest weight, so that blocks that can't reach the k best so far are skipped and the k best
 are still exact. Votes of the k nearest, weighted by distance, give a raw score, which a monotone fit
-on left-out examples turns into a calibrated one.
+on left-out examples turns into a calibrated one. An example of the very text that is scored is no neighbour of it, in the fit and
+after, so that the label of a text doesn't vote on that text.
 
-Defined results: null or empty texts, and texts with no such term, have no neighbour and get the share
-of positive labels among examples without terms. Several labels of one id count as positive if any is.
+Defined results: null or empty texts, and texts that share no word with an example, have no neighbour and get the share
+of positive labels among examples without words (0 if there are none). Several labels of one id count as positive if any is.
 Labels that are null, or of ids not in the documents, are not used. With no usable example all scores are 0.
-Ties of similarity go to the smaller example id. Repeated rows are each scored; other columns pass through, and an output
-column that clashes with one replaces it.
+Ties of similarity go to the smaller example id. Repeated rows are each scored. A very long text is a step of its own, whole, and its worker holds
+its words at once. Other columns pass through; an output
+column that clashes with one, in any case of letters, replaces it. Ids may be of any type that both tables share; evidence holds long or string ids.
 """
 
 from __future__ import annotations
@@ -21,57 +24,87 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import NOT_WORD, Scratch, chunks, mix, signed, text_buffer, word_hashes
+from eventloom.llm.common import NOT_WORD, Columns, Scratch, chunks, mix, ranges, text_buffer, word_hashes
 
-#: Labelled rows of each class that are used; the sample is chosen by a hash of the id.
-MAX_EXAMPLES = 2000
-#: Terms of the model, its neighbours, and the examples in a block of the index.
-MAX_TERMS = 256
+#: Labelled rows of each class that are used, and their bytes of text; the sample is chosen by a hash of the id.
+MAX_EXAMPLES, MAX_BYTES = 2000, 64 << 20
+#: Neighbours, and the examples in a block of the index.
 NEIGHBOURS = 31
 BLOCK = 64
-#: A term needs this share of the positive examples, this log-likelihood ratio, and different next words
-#: in as many of its examples, and in this share of them.
-MIN_SHARE, MIN_RATIO, MIN_CONTEXTS, MIN_VARIETY = 0.01, 20.0, 3, 0.4
+#: Relevance of a word that marks nothing, and the log-likelihood ratio at which relevance is half way to 1.
+PLAIN, HALF = 0.1, 20.0
 #: Values of an example's sketch of word pairs, and the share of equal ones from which examples are near copies.
 SKETCH, COPY = 64, 0.4
+#: Words whose frequencies stand in one row.
+_TERMS_IN_ROW = 8192
 
 
 class BlockMaxIndex:
-    """Exact k nearest rows by dot product, with per-block upper bounds."""
+    """Exact k nearest rows by dot product over inverted lists with a largest weight per block.
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: int = BLOCK):
+    Rows are given as sparse vectors: row r has ``terms[at[r]:at[r + 1]]``, ascending, with ``weights`` beside them.
+    """
+
+    def __init__(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, width: int, block: int = BLOCK):
+        n = len(ids)
         # rows with the same leading terms share blocks, which makes the bounds tight
-        top = np.argsort(-vectors, axis=1, kind="stable")[:, :3]
-        self.order = np.lexsort((ids, *top.T[::-1])) if len(ids) else np.zeros(0, np.int64)
-        self.vectors, self.ids = vectors[self.order], ids[self.order]
-        self.cuts = np.arange(0, len(ids), block)
-        self.block = block
-        self.most = np.maximum.reduceat(self.vectors, self.cuts, axis=0) if len(ids) else vectors[:0]
+        top = np.full((n, 3), -1, np.int64)
+        for r in range(n):
+            mine = slice(at[r], at[r + 1])
+            lead = terms[mine][np.argsort(-weights[mine], kind="stable")[:3]]
+            top[r, : len(lead)] = lead
+        self.order = np.lexsort((np.arange(n), *top.T[::-1])) if n else np.zeros(0, np.int64)
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.ids = np.asarray(ids)[self.order]
+        self.n, self.blocks = n, -(-n // block)
+        row = place[np.repeat(np.arange(n), np.diff(at))]
+        by = np.lexsort((row, terms))
+        self.row, self.weight, term = row[by], weights[by], terms[by]
+        run = self.row // block
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (run[1:] != run[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.run_at, self.run_block = np.append(first, len(term)), run[first]
+        self.run_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.list_at = np.searchsorted(term[first], np.arange(width + 1))
         self.scored = 0
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers as given to the constructor, similarities) of the k best above 0, by similarity and then id."""
-        bound = self.most[:, terms] @ weights
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers as given to the constructor, similarities) of the k best above 0, by similarity and then id, without some rows."""
+        count = self.list_at[terms + 1] - self.list_at[terms]
+        runs = ranges(self.list_at[terms], count)
+        weight = np.repeat(weights, count)
+        where = self.run_block[runs]
+        bound = np.bincount(where, self.run_most[runs] * weight, minlength=self.blocks)
+        out = np.isin(self.order, np.asarray(without, np.int64)) if len(without) else None
         rows, sims, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < floor - 1e-9:
-                break
-            a = self.cuts[b]
-            found = self.vectors[a : a + self.block][:, terms] @ weights
-            self.scored += len(found)
+        todo = np.argsort(-bound, kind="stable")
+        todo = todo[bound[todo] > 0]
+        step = 1
+        while len(todo):
+            now, todo = todo[:step], todo[step:]
+            step = min(2 * step, 16)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            at = np.flatnonzero(chosen[where])
+            size = self.run_at[runs[at] + 1] - self.run_at[runs[at]]
+            posts = ranges(self.run_at[runs[at]], size)
+            found = np.bincount(self.row[posts], self.weight[posts] * np.repeat(weight[at], size), minlength=self.n)
+            if out is not None:
+                found[out] = 0
             hit = np.flatnonzero(found > 0)
-            rows, sims = np.concatenate([rows, a + hit]), np.concatenate([sims, found[hit]])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -np.round(sims, 9)))[:k]
-                rows, sims = rows[best], sims[best]
+            self.scored += len(hit)
+            rows, sims = np.concatenate([rows, hit]), np.concatenate([sims, found[hit]])
+            best = np.lexsort((self.ids[rows], -np.round(sims, 9)))[:k]
+            rows, sims = rows[best], sims[best]
             if len(rows) >= k:
                 floor = sims.min()
-        best = np.lexsort((self.ids[rows], -np.round(sims, 9)))
-        return self.order[rows[best]], sims[best]
+                todo = todo[bound[todo] >= floor - 1e-9]
+        return self.order[rows], sims
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +122,20 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    """Terms, frequencies, examples and calibration; its size is bounded by the limits above."""
+    """Words, their weights, examples and calibration; its size is bounded by that of the sample."""
 
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    weight: np.ndarray  # idf * relevance
     ids: np.ndarray
+    hashes: np.ndarray  # of the examples' texts
     labels: np.ndarray
     weights: np.ndarray
-    vectors: np.ndarray
+    at: np.ndarray  # the examples' vectors: where each begins, term numbers, counts
+    numbers: np.ndarray
+    counts: np.ndarray
     neighbours: int = NEIGHBOURS
     share: float = 0.0
+    base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
     def __post_init__(self):
@@ -110,88 +147,69 @@ class Model:
     @property
     def index(self) -> BlockMaxIndex:
         if self._index is None:
-            self._index = BlockMaxIndex(self.vectors, self.ids)
+            parts = [self.vector(self.numbers[a:b], self.counts[a:b]) for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
+            self._index = BlockMaxIndex(self.at, self.numbers, np.concatenate([np.zeros(0), *parts]), self.ids, len(self.terms))
         return self._index
 
+    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[numbers]
+        return w / np.sqrt((w * w).sum()) if len(w) else w
+
     def fit(self) -> Model:
-        """Calibrates on the examples, each scored without itself."""
-        filled = self.vectors.any(axis=1)
-        total = self.weights[~filled].sum()
-        self.share = float((self.weights * self.labels)[~filled].sum() / total) if total else 0.0
+        """Calibrates on the examples, each scored without those of its text."""
+        if not len(self.ids):
+            return self
+        filled = np.diff(self.at) > 0
+        mean = lambda rows: float((self.weights * self.labels)[rows].sum() / self.weights[rows].sum()) if rows.any() else 0.0
+        self.share, self.base = mean(~filled), mean(filled)
         raw, at = [], np.flatnonzero(filled)
         for k in at.tolist():
-            terms = np.flatnonzero(self.vectors[k])
-            rows, sims = self.index.nearest(terms, self.vectors[k, terms], self.neighbours + 1)
-            other = rows != k
-            raw.append(self.vote(rows[other][: self.neighbours], sims[other][: self.neighbours]))
+            rows, sims = self._nearest(self.numbers[self.at[k] : self.at[k + 1]], self.counts[self.at[k] : self.at[k + 1]], int(self.hashes[k]))
+            raw.append(self.vote(rows, sims))
         if len(at):
             self.steps = monotone(np.array(raw), self.labels[at].astype(float), self.weights[at])
         return self
 
+    def _nearest(self, numbers: np.ndarray, counts: np.ndarray, text: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.nearest(numbers, self.vector(numbers, counts), self.neighbours, np.flatnonzero(self.hashes == text))
+
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Distance-weighted share of positive labels; near 0 and 1 it keeps a little of the overall share."""
-        if not len(rows):
-            return self.share
         w = self.weights[rows] / (1.05 - np.minimum(sims, 1.0))
         prior = 0.5 * self.weights.mean()
-        return float((w @ self.labels[rows] + prior * self.share) / (w.sum() + prior))
+        return float((w @ self.labels[rows] + prior * self.base) / (w.sum() + prior))
 
     def calibrated(self, raw: float) -> float:
         x, y = self.steps
         return float(np.clip(np.interp(raw, x, y), 0.0, 1.0)) if len(x) else self.share
 
-    def score(self, counts: np.ndarray) -> tuple[float, list[int]]:
-        """Score and the ids of the three nearest examples, from a text's term counts."""
-        terms = np.flatnonzero(counts)
-        if not len(terms) or not len(self.ids):
+    def score(self, numbers: np.ndarray, counts: np.ndarray, text: int) -> tuple[float, list]:
+        """Score and the ids of the three nearest examples, from a text's words and the hash of the text."""
+        if not len(numbers) or not len(self.ids):
             return self.share, []
-        w = vector(counts[terms], self.idf[terms])
-        key = terms.tobytes() + np.round(w, 6).tobytes()
+        key = text, numbers.tobytes(), counts.tobytes()
         if key not in self._seen:
-            if len(self._seen) > 50_000:
+            if len(self._seen) > 2_000:
                 self._seen.clear()
-            rows, sims = self.index.nearest(terms, w, self.neighbours)
-            self._seen[key] = self.calibrated(self.vote(rows, sims)) if len(rows) else self.share, self.ids[rows[:3]].tolist()
+            rows, sims = self._nearest(numbers, counts, text)
+            self._seen[key] = (self.calibrated(self.vote(rows, sims)), self.ids[rows[:3]].tolist()) if len(rows) else (self.share, [])
         return self._seen[key]
 
 
-def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(counts)) * idf
-    return w / np.sqrt((w * w).sum())
-
-
-def term_counts(raw: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """(text, term) counts of these sorted hashes."""
+def term_counts(raw: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's words among these sorted hashes begin, their numbers, ascending, and counts."""
     words, bounds = word_hashes(raw, starts, NOT_WORD)
     n = len(starts) - 1
     if not len(terms) or not len(words):
-        return np.zeros((n, len(terms)), np.int64)
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.searchsorted(terms, words)
     at[at == len(terms)] = 0
     hit = np.flatnonzero(terms[at] == words)
-    doc = np.searchsorted(bounds, hit, "right") - 1
-    return np.bincount(doc * len(terms) + at[hit], minlength=n * len(terms)).reshape(n, len(terms))
-
-
-def _texts(docs: DataFrame, text: str, *columns) -> DataFrame:
-    return docs.select(*columns, F.col(f"`{text}`").cast("string").alias("__text"))
-
-
-def _contexts(examples: DataFrame) -> DataFrame:
-    """group, label, term and the word after its first place, for every term of every example."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, groups = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            raw, starts = text_buffer(batch.column(2))
-            words, bounds = word_hashes(raw, starts, NOT_WORD)
-            for label, group, a, b in zip(labels.tolist(), groups.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                terms, first = np.unique(words[a:b], return_index=True)
-                after = np.append(words[a:b], np.uint64(0))[first + 1]
-                columns = [pa.array(np.full(len(terms), group), pa.int32()), pa.array(np.full(len(terms), label), pa.int32()), pa.array(signed(terms)), pa.array(signed(after))]
-                yield pa.RecordBatch.from_arrays(columns, names=["group", "label", "term", "after"])
-
-    return examples.mapInArrow(split, "group int, label int, term long, after long")
+    key = (np.searchsorted(bounds, hit, "right") - 1) * len(terms) + at[hit]
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    doc, number = np.divmod(key[first], len(terms))
+    return np.searchsorted(doc, np.arange(n + 1)), number, np.diff(first, append=len(key))
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
@@ -218,119 +236,129 @@ def copy_groups(sketches: np.ndarray) -> np.ndarray:
     return group
 
 
-def _grouped(examples: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """The examples with their group of near copies of one label, and the groups of each label. The driver gets one sketch an example."""
+def _words(examples: DataFrame, kind: str) -> DataFrame:
+    """id, label, hash of the text, sketch, and the hashes and counts of the words of every example."""
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, bounds = word_hashes(*text_buffer(batch.column(2)), NOT_WORD)
-            found = [sketch(words[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["__id", "__label", "sketch"])
-
-    rows = examples.mapInArrow(sketches, "__id long, __label int, sketch binary").orderBy("__id", "__label", "sketch").collect()  # bounded by max_examples
-    found, count, start = [], {}, 0
-    for label in sorted({r["__label"] for r in rows}):
-        mine = [r for r in rows if r["__label"] == label]
-        groups = copy_groups(np.stack([np.frombuffer(r["sketch"], np.uint32) for r in mine]))
-        count[label] = len(np.unique(groups))
-        found += [(r["__id"], label, start + g) for r, g in zip(mine, groups.tolist(), strict=True)]
-        start += len(mine)
-    # rows that repeat an id with other texts share its first group
-    table = examples.sparkSession.createDataFrame(list({f[:2]: f for f in reversed(found)}.values()), "__id long, __label int, __group int")
-    return examples.join(F.broadcast(table), ["__id", "__label"]).select("__id", "__label", "__text", "__group"), count
-
-
-def _select(contexts: DataFrame, n: dict[int, int], max_terms: int) -> np.ndarray:
-    """The terms that mark positive examples best, by the log-likelihood ratio of the groups of near copies that hold them."""
-    counts = contexts.groupBy("term", "label", "group").agg(F.collect_set("after").alias("after"))
-    sums = [F.sum(F.when(F.col("label") == k, 1).otherwise(0)).cast("double").alias(c) for k, c in ((1, "a"), (0, "b"))]
-    varied = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("label") == 1, F.col("after"))))))
-    counts = counts.groupBy("term").agg(*sums, varied.alias("contexts"))
-    pos, neg = float(max(n.get(1, 0), 1)), float(max(n.get(0, 0), 1))
-    both = F.col("a") + F.col("b")
-    expected = both * (pos / (pos + neg)), both * (neg / (pos + neg))
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    counts = counts.withColumn("ratio", 2 * (part(F.col("a"), expected[0]) + part(F.col("b"), expected[1])))
-    enough = (F.col("a") / pos >= MIN_SHARE) & (F.col("a") / pos > F.col("b") / neg) & (F.col("contexts") >= F.greatest(F.lit(float(MIN_CONTEXTS)), MIN_VARIETY * F.col("a")))
-    best = counts.where(enough & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("ratio"), "term").limit(max_terms).select("term")
-    return np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
+            words, bounds = word_hashes(*text_buffer(batch.column(3)), NOT_WORD)
+            mine = [words[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            counted = [np.unique(w, return_counts=True) for w in mine]
+            columns = [[sketch(w).tobytes() for w in mine], [t.tobytes() for t, _ in counted], [n.astype(np.int32).tobytes() for _, n in counted]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.binary()) for c in columns)], names=["id", "label", "hash", "sketch", "terms", "counts"])
+
+    return examples.mapInArrow(split, f"id {kind}, label int, hash long, sketch binary, terms binary, counts binary")
+
+
+def relevance(terms: np.ndarray, labels: np.ndarray, groups: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For each term number, PLAIN to 1 by the log-likelihood ratio with which groups of positive examples hold it more often."""
+    n = {k: max(len(np.unique(groups[labels == k])), 1) for k in (0, 1)}
+    row = np.repeat(np.arange(len(labels)), np.diff(at))
+    held = np.unique(np.stack([terms, labels[row], groups[row]]), axis=1) if len(terms) else np.zeros((3, 0), np.int64)
+    a, b = (np.bincount(held[0][held[1] == k], minlength=width).astype(float) for k in (1, 0))
+    part = lambda x, share: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum((a + b) * share, 1e-9)), 0.0)
+    ratio = 2 * (part(a, n[1] / (n[0] + n[1])) + part(b, n[0] / (n[0] + n[1])))
+    ratio[a / n[1] <= b / n[0]] = 0.0
+    return PLAIN + (1 - PLAIN) * ratio**2 / (ratio**2 + HALF**2)
 
 
 def frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.ndarray]:
-    """Documents, and documents that hold each term; over all of them. The driver gets one row a term."""
+    """Documents, and documents that hold each term; over all of them. Tasks send their counts as rows of many terms, which are added up before the driver gets them."""
     width = len(terms)
+    parts = -(-width // _TERMS_IN_ROW)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # of the bounded sample
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(width, np.int64)
+        n, df = 0, np.zeros(parts * _TERMS_IN_ROW, np.int64)
         for batch in batches:
             raw, starts = text_buffer(batch.column(0))
             n += batch.num_rows
             for a, b in chunks(starts):
-                df += (term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], terms) > 0).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, width)), pa.array(np.concatenate([[n], df]))], names=["k", "n"])
+                df += np.bincount(term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], shared.value)[1], minlength=len(df))
+        blobs = [df[k * _TERMS_IN_ROW : (k + 1) * _TERMS_IN_ROW].astype("<i8").tobytes() for k in range(parts)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(parts)], pa.int32()), pa.array([n, *[0] * parts], pa.int64()), pa.array([b"", *blobs], pa.binary())], names=["part", "n", "df"])
+
+    def add(table):
+        total = sum((np.frombuffer(x.as_buffer(), "<i8") for x in table.column("df") if len(x.as_buffer())), np.zeros(1, np.int64))
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([pc.sum(table.column("n")).as_py()], pa.int64()), "df": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+    schema, found = "part int, n long, df binary", np.zeros(parts * _TERMS_IN_ROW, np.int64)
+    documents = 0
+    for r in Columns(docs).frame.select(Columns(docs).text(text)).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+        if r["part"] < 0:
+            documents = r["n"]
+        else:
+            found[r["part"] * _TERMS_IN_ROW : (r["part"] + 1) * _TERMS_IN_ROW] = np.frombuffer(r["df"], "<i8")
+    return documents, found[:width]
+
+
+def _rate(total: dict[int, int], most: int) -> F.Column:
+    return F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, min(1.0, most / max(v, 1)))])
+
 
-    found = {r["k"]: r["n"] for r in _texts(docs, text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return found.get(-1, 0), np.array([found.get(k, 0) for k in range(width)], np.int64)
+def _part(id: str, seed: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> Model:
     """The model from the documents and the labels given; leave held-out labels out of ``labels``."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    marks = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{id}`").isNotNull())
-    marks = marks.groupBy(F.col(f"`{id}`").cast("long").alias("__id")).agg(F.max(F.when(F.col(f"`{label}`") > 0, 1).otherwise(0)).cast("int").alias("__label"))
-    total = {r["__label"]: r["count"] for r in marks.groupBy("__label").count().collect()}
-    # a hash of the id under the class's rate keeps about max_examples rows of each class
-    rate = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, min(1.0, max_examples / v))]) if total else None
-    if rate is not None:
-        marks = marks.where(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30) < rate[F.col("__label")])
+    source, given = Columns(docs), Columns(labels)
+    kind = source.id_type(id)
+    marks = given.frame.select(given.col(id).cast(kind).alias("id"), given.col(label).alias("label")).where("id is not null and label is not null")
+    marks = marks.groupBy("id").agg(F.max(F.when(F.col("label") > 0, 1).otherwise(0)).cast("int").alias("label"))
+    total = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    if total:  # a hash of the id under the class's rate keeps about max_examples rows of each class
+        marks = marks.where(_part("id", 11) < _rate(total, max_examples)[F.col("label")])
     if marks.count() <= 3 * max_examples:  # the rates keep about 2 * max_examples ids
         marks = F.broadcast(marks)
-    chosen = _texts(docs, text, F.col(f"`{id}`").cast("long").alias("__id")).join(marks, "__id")
+    chosen = source.frame.select(source.col(id).cast(kind).alias("id"), source.text(text).alias("text")).where("text is not null").join(marks, "id")
     # one example of each text and label
-    chosen = chosen.groupBy(F.xxhash64("__text").alias("h"), "__label").agg(F.min("__id").alias("__id"), F.first("__text").alias("__text"))
-    examples = scratch.save(chosen.select("__id", "__label", "__text").where("__text is not null"), "examples")
-    n = {r["__label"]: r["count"] for r in examples.groupBy("__label").count().collect()}
-    grouped, groups = _grouped(examples)
-    terms = _select(_contexts(grouped), groups, max_terms)
-    documents, df = frequencies(docs, text, terms)
-    idf = np.log((1 + documents) / (1 + df)) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, starts = text_buffer(batch.column(2))
-            for a, b in chunks(starts):
-                counts = term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], terms)
-                at = [np.flatnonzero(row) for row in counts]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array([x.tolist() for x in at], pa.list_(pa.int32())), pa.array([row[x].tolist() for row, x in zip(counts, at, strict=True)], pa.list_(pa.int32()))], names=["id", "label", "terms", "tf"])
-
-    rows = examples.mapInArrow(vectors, "id long, label int, terms array<int>, tf array<int>").orderBy("id", "label").collect()  # bounded by max_examples
+    chosen = chosen.groupBy(F.xxhash64("text").alias("hash"), "label").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    examples = scratch.save(chosen.select("id", "label", "hash", "text"), "examples")
+    size = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    if max(size.values(), default=0) > max_bytes:
+        examples = examples.where(_part("id", 13) < _rate(size, max_bytes)[F.col("label")])
+    rows = _words(examples, kind).orderBy("id", "label", "hash").collect()  # bounded by max_examples and max_bytes
     scratch.drop("examples")
-    matrix = np.zeros((len(rows), len(terms)))
-    for k, r in enumerate(rows):
-        if r["terms"]:
-            matrix[k, r["terms"]] = vector(np.array(r["tf"]), idf[r["terms"]])
-    mark = np.array([r["label"] for r in rows], np.int64)
-    weight = np.array([total[m] / n[m] for m in mark.tolist()]) if len(rows) else np.zeros(0)
-    return Model(terms, idf, np.array([r["id"] for r in rows], np.int64), mark, weight / weight.mean() if len(rows) else weight, matrix).fit()
+    marked = np.array([r["label"] for r in rows], np.int64)
+    words = [np.frombuffer(r["terms"], np.uint64) for r in rows]
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    numbers = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *words])).astype(np.int64)
+    counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["counts"], np.int32) for r in rows)]).astype(np.int64)
+    groups = np.zeros(len(rows), np.int64)
+    for k in (0, 1):
+        mine = np.flatnonzero(marked == k)
+        if len(mine):
+            groups[mine] = copy_groups(np.stack([np.frombuffer(rows[r]["sketch"], np.uint32) for r in mine.tolist()]))
+    documents, df = frequencies(docs, text, terms)
+    weight = (np.log((1 + documents) / (1 + df)) + 1) * relevance(numbers, marked, groups, at, len(terms))
+    n = np.bincount(marked, minlength=2)
+    each = np.array([total[m] / n[m] for m in marked.tolist()])
+    ids = np.array([r["id"] for r in rows], np.int64 if kind == "long" else object)
+    return Model(terms, weight, ids, np.array([r["hash"] for r in rows], np.int64), marked, each / each.mean() if len(rows) else each, at, numbers, counts).fit()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The columns with score, predicted (1 from a score of 0.5) and evidence, the ids of the nearest examples."""
-    made = ["score", "predicted", "evidence"]
-    columns = [c for c in (docs.columns if columns is None else columns) if c not in made and c != "__text"]
-    source = _texts(docs, text, *[F.col(f"`{c}`") for c in columns])
-    schema = source.drop("__text").schema.add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(T.LongType()))
+    source = Columns(docs, columns, ("score", "predicted", "evidence"))
+    strings = model.ids.dtype == object
+    schema = source.schema(("score", "double"), ("predicted", "integer"), ("evidence", T.ArrayType(T.StringType() if strings else T.LongType())))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the bounded sample
+    kind = pa.list_(pa.string() if strings else pa.int64())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             raw, starts = text_buffer(batch.column(batch.num_columns - 1))
-            scores, evidence = [], []
+            hashes = batch.column(batch.num_columns - 2).to_pylist()
+            found = []
             for a, b in chunks(starts):
-                for row in term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], model.terms):
-                    s, e = model.score(row)
-                    scores.append(s)
-                    evidence.append(e)
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *made])
-
-    return source.mapInArrow(apply, schema)
+                at, numbers, counts = term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], model.terms)
+                found += [model.score(numbers[x:y], counts[x:y], h) for x, y, h in zip(at[:-1].tolist(), at[1:].tolist(), hashes[a:b], strict=True)]
+            made = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=schema.names)
+
+    words = source.text(text)
+    return source.named(source.frame.select(*source.passing(), F.xxhash64(words).alias("hash"), words.alias("text")).mapInArrow(apply, schema))

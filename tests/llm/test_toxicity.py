@@ -1,9 +1,17 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 
-from eventloom.llm.toxicity import BlockMaxIndex, monotone, score, train
+from eventloom.llm.toxicity import HALF, NEIGHBOURS, PLAIN, BlockMaxIndex, monotone, score, train
+
+
+def sparse(vectors):
+    at = np.concatenate([[0], np.cumsum((vectors > 0).sum(axis=1))])
+    rows, terms = np.nonzero(vectors)
+    return at, terms, vectors[rows, terms]
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -13,22 +21,26 @@ def test_nearest_against_all_rows(seed):
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     vectors[250:300] = vectors[0:50]  # ties
     ids = rng.permutation(500)
-    index = BlockMaxIndex(vectors, ids)
-    for q in vectors[:100]:
+    index = BlockMaxIndex(*sparse(vectors), ids, 20)
+    for n, q in enumerate(vectors[:100]):
         terms = np.flatnonzero(q)
         if not len(terms):
             continue
-        rows, sims = index.nearest(terms, q[terms], 7)
+        without = np.array([n]) if n % 2 else ()
+        rows, sims = index.nearest(terms, q[terms], 7, without)
         all_sims = np.round(vectors @ q, 9)
+        all_sims[list(without)] = 0
         want = [k for k in np.lexsort((ids, -all_sims))[:7] if all_sims[k] > 0]
         assert rows.tolist() == want
         assert np.allclose(sims, all_sims[want])
     # clustered rows let whole blocks be skipped
-    tight = np.zeros((1000, 20))
+    tight = np.zeros((1000, 21))
     tight[np.arange(1000), np.arange(1000) % 20] = 1.0
-    index = BlockMaxIndex(tight, np.arange(1000))
-    rows, _ = index.nearest(np.array([3]), np.array([1.0]), 7)
+    tight[:, 20] = 0.01  # a word that all hold
+    index = BlockMaxIndex(*sparse(tight), np.arange(1000), 21)
+    rows, _ = index.nearest(np.array([3, 20]), np.array([1.0, 0.01]), 7)
     assert rows.tolist() == [3 + 20 * k for k in range(7)] and index.scored < 200
+    assert BlockMaxIndex(*sparse(tight[:0]), np.zeros(0, np.int64), 21).nearest(np.array([3]), np.ones(1), 7)[0].tolist() == []
 
 
 def test_monotone():
@@ -89,3 +101,56 @@ def test_near_copies_of_one_text_keep_its_words_in_the_model(spark):
     truth = dict(labels)
     held = [r for r in got if r.doc_id % 3 == 0 and r.doc_id < 2000]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+def test_scores_against_every_example_and_word(spark):
+    """Whole TF-IDF vectors, all examples, and no example of the scored text: worked out with dictionaries."""
+    docs, labels = corpus()
+    docs, labels = docs[:240], dict(labels[:160])
+    docs[7] = (7, docs[10][1])  # a copy of a positive example, labelled 0
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = train(frame, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    words = {i: re.findall("[a-z0-9]+", t.lower()) for i, t in docs}
+    held = {i: set(w) for i, w in words.items()}
+    examples = sorted({(docs[i][1], y): i for i, y in sorted(labels.items(), reverse=True)}.values())
+    pos, neg = sum(labels[i] for i in examples), sum(1 - labels[i] for i in examples)
+
+    def weight(t):
+        df = sum(t in h for h in held.values())
+        a, b = (sum(t in held[i] for i in examples if labels[i] == k) for k in (1, 0))
+        share = pos / (pos + neg)
+        ratio = 2 * ((a * math.log(a / ((a + b) * share)) if a else 0) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+        ratio = 0 if a / pos <= b / neg else ratio
+        return (math.log((1 + len(docs)) / (1 + df)) + 1) * (PLAIN + (1 - PLAIN) * ratio**2 / (ratio**2 + HALF**2))
+
+    known = {t: weight(t) for t in set().union(*(held[i] for i in examples))}
+
+    def vector(i):
+        v = {t: (1 + math.log(words[i].count(t))) * known[t] for t in held[i] if t in known}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / n for t, x in v.items()}
+
+    vectors = {i: vector(i) for i, _ in docs}
+    got = {r.doc_id: r for r in score(frame, model).collect()}
+    for i, text in docs:
+        sims = [(round(sum(x * vectors[e].get(t, 0) for t, x in vectors[i].items()), 9), e) for e in examples if docs[e][1] != text]
+        best = sorted((-s, e) for s, e in sims if s > 0)[:NEIGHBOURS]
+        w = [1 / (1.05 - min(-s, 1.0)) for s, _ in best]
+        raw = (sum(x * labels[e] for x, (_, e) in zip(w, best)) + 0.5 * model.base) / (sum(w) + 0.5)
+        assert math.isclose(got[i].score, model.calibrated(raw), abs_tol=1e-6)
+        assert got[i].evidence == [e for _, e in best[:3]]
+    assert math.isclose(model.base, pos / (pos + neg))
+
+
+def test_ids_of_strings_and_long_text(spark):
+    docs, labels = corpus()
+    frame = spark.createDataFrame([(f"d{i}", t) for i, t in docs] + [("long", " ".join(["w1 w2 scum"] * 300_000))], "doc_id string, text string")
+    marks = spark.createDataFrame([(f"d{i}", t) for i, t in labels], "doc_id string, toxic int")
+    got = {r.doc_id: r for r in score(frame, train(frame, marks)).collect()}
+    assert got["long"].predicted == 1 and all(e.startswith("d") for e in got["long"].evidence)
+
+
+def test_the_bound_on_bytes_holds(spark):
+    docs, labels = corpus()
+    model = train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), max_bytes=20_000)
+    assert 0 < len(model.ids) < 600
