@@ -1,24 +1,29 @@
-"""Main text of web pages, by wrappers inferred for each host.
+"""Main text of web pages, by wrappers inferred for each host: union-free regular expressions of its pages' tokens.
 
-A page is a stream of tags and texts. The streams of a host's pages are aligned one after the other:
-where they agree the wrapper keeps a fixed part, a part that some pages lack becomes optional, one
-that recurs under its parent becomes a repeated group, and texts that differ become slots. The result
-is a regular expression without unions, kept as a tree of element paths, so that aligning is associative:
-tasks align what they read, salted groups align those wrappers, and one small group a host the rest.
+A page's tokens are its tags and texts. Its own expression comes first: of elements of one kind that follow one another under
+their parent one is kept as a repeated part, and where a kind recurs after others, all from its first to its last place become
+a repeated group. The expressions of a host's pages are then aligned one after the other. Below each pair of aligned
+elements the best alignment of their parts is found; parts that only one side has become optional, parts that the sides have
+in another order become a repeated group, texts that differ become slots, and aligned elements are aligned inside in turn.
 
-The wrapper tells where the host keeps its article: an article element, else a main element, else one
-whose class or id says content, else the innermost element whose slots hold most of the host's text outside links.
-The slots there are the main text: texts that all pages of the host repeat at one place are template and are left out, and so are
-parts whose element, class or id marks menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
-A class, id or role doesn't mark an element so whose slots hold most of the text, or the article, of the pages that have it.
+Aligning depends on the order of pages, so that is fixed: expressions of equal form are first added up, which no order
+changes, and the different forms of a host are aligned from the commonest to the rarest, in groups dealt by a
+hash of the form where they are many. The wrapper so depends on the host's pages and not on how they are stored.
+
+The wrapper decides what is the article. Texts that all pages of the host repeat at one place are template. The article is in an
+article element, else a main element, else one whose class or id says content, else the innermost element whose slots hold most of the
+host's text outside links. Parts whose element says menu, header, footer, sidebar, notice, advert, form, script, style or comment
+are left out. A class, id or role only hints at that: it counts if all pages that align there have it, and doesn't count
+where the slots below hold most of the text, or the article, of those pages.
 
 Defined results: null or empty html, and pages without article, give an empty text. Pages whose url is null or has no host
-share one wrapper. Repeated pages are each extracted. Other columns pass through; an output column
-that clashes with one replaces it.
+share one wrapper. Repeated pages are each extracted. A very long page is parsed whole, in time in proportion to its length; below ``MAX_DEPTH``
+elements its texts count as its last element's. Other columns pass through; an output column that clashes with one, in any case of letters, replaces it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -26,20 +31,22 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch
+from eventloom.llm.common import Columns, Scratch
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORDS = re.compile(r"[a-z]+")
+_NOT_LETTERS = re.compile("[^a-z]+")
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that pages use for anything: two of them align only by what their class, id and role say.
+GENERIC = frozenset("div section span ul ol aside table form p".split())
 #: An opening tag on the left ends an open element on the right, unless one of the last set stands between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -50,77 +57,103 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-# Elements, and words in class, id or role, that aren't part of an article.
+# Elements that aren't part of an article, and words in a class, id or role that hint at such parts.
 DROPPED = frozenset("head nav footer aside form button select option datalist fieldset noscript template svg canvas object audio video dialog menu script style textarea title xmp iframe noembed noframes".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond footer copyright widget widgets toolbar pagination pager paywall login signup search skip complementary contentinfo".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 CONTENT_WORDS = frozenset("article content post entry story body text main".split())
-MARKS = DROPPED_WORDS | HEADER_WORDS | CONTENT_WORDS
-#: Children that a wrapper keeps apart below one element; further kinds are told apart by tag and marking words alone. Depth likewise.
+#: Words that leave the hint beside them as it is: "comment-list" hints, and "related-work" or "has-sidebar" doesn't.
+PLAIN_WORDS = CONTENT_WORDS | frozenset(
+    "list box area section wrapper wrap container block inner outer bar link links posts articles stories items item thread top bottom left right site page primary secondary global sticky fixed floating buttons button icons icon group row column col slot unit panel module region zone google mobile desktop small large title heading form field message policy media tags category".split()
+)
+#: Parts that a wrapper keeps apart below one element; beyond that the rarest join one of their tag. Depth of a wrapper.
 MAX_CHILDREN, MAX_DEPTH = 64, 32
 #: Hosts with fewer different pages than this may hold copies of one article only; there, repeated text is no template if it is most of the text.
 COPIES = 4
-#: Wrappers aligned in one group.
-GROUP = 64
+#: Wrappers aligned in one group, and wrappers that a task holds before it hands them on.
+GROUP, HELD = 64, 4096
+TEXT = "#text"
+
+
+def _marks(tokens: frozenset[str], words: frozenset[str]) -> bool:
+    """Whether a class, id or role hints at these words."""
+    for token in tokens:
+        parts = token.split("-")
+        if any(p in words for p in parts) and all(p in DROPPED_WORDS or p in HEADER_WORDS or p in PLAIN_WORDS for p in parts):
+            return True
+    return False
 
 
-def kind(tag: str, words: tuple[str, ...]) -> str:
+def kind(tag: str, tokens: frozenset[str]) -> str:
     """drop, header, article, main, content, or nothing."""
-    if tag in ("article", "main") and not DROPPED_WORDS.intersection(words):
+    marked = _marks(tokens, DROPPED_WORDS)
+    if tag in ("article", "main") and not marked:
         return tag
     if tag in ("html", "body"):
         return ""
-    if tag in DROPPED or DROPPED_WORDS.intersection(words):
+    if tag in DROPPED or marked:
         return "drop"
-    if tag == "header" or HEADER_WORDS.intersection(words):
+    if tag == "header" or _marks(tokens, HEADER_WORDS):
         return "header"
-    return freed(tag, words)
+    return freed(tag, tokens)
 
 
-def freed(tag: str, words: tuple[str, ...]) -> str:
+def freed(tag: str, tokens: frozenset[str]) -> str:
     """The kind of an element whose words don't make it dropped or a header."""
     if tag in ("article", "main"):
         return tag
-    return "content" if tag not in INLINE and tag not in HEADINGS and CONTENT_WORDS.intersection(words) else ""
+    return "content" if tag not in INLINE and tag not in HEADINGS and any(p in CONTENT_WORDS for t in tokens for p in t.split("-")) else ""
 
 
+# ---------------------------------------------------------------------- pages
 class _Element:
-    __slots__ = ("children", "inline", "key", "kind", "path", "tag")
+    """An element of a page: what it holds in order, and its place in the page's expression."""
 
-    def __init__(self, tag: str, key: str, what: str, path: tuple[str, ...], inline: bool):
-        self.tag, self.key, self.kind, self.path, self.inline = tag, key, what, path, inline
-        self.children: dict[str, int] = {}
+    __slots__ = ("children", "depth", "node", "tag", "tokens")
 
+    def __init__(self, tag: str, tokens: frozenset[str], depth: int):
+        self.tag, self.tokens, self.depth = tag, tokens, depth
+        self.children: list[_Element | tuple[str, int]] = []
+        self.node: Node | None = None
 
-class _Block:
-    """A text, the elements around it, and its characters inside links."""
 
-    __slots__ = ("linked", "stack", "text")
+_NONE: frozenset[str] = frozenset()
+_KNOWN: dict[str, frozenset[str]] = {}
 
-    def __init__(self, stack: tuple[_Element, ...], text: str, linked: int):
-        self.stack, self.text, self.linked = stack, text, linked
 
+def _tokens(attrs: str) -> frozenset[str]:
+    """The letters of every class, id and role, joined by hyphens where other signs were."""
+    if "=" not in attrs:
+        return _NONE
+    found = _KNOWN.get(attrs)
+    if found is None:
+        found = frozenset(filter(None, (_NOT_LETTERS.sub("-", t).strip("-") for g in NAMES.findall(attrs) for t in "".join(g).lower().split())))
+        if len(_KNOWN) < 10_000:
+            _KNOWN[attrs] = found
+    return found
 
-def blocks(page: str) -> Iterator[_Block]:
-    """The page's texts in order, white space as single spaces, and every element that opens (with an empty text)."""
-    stack: list[_Element] = []
+
+def parse(page: str) -> _Element:
+    """The page as elements that aren't inline and texts: (text, its characters inside links), white space as single spaces."""
+    root = _Element("#page", _NONE, 0)
+    stack: list[_Element] = [root]
     pieces: list[str] = []
     links, linked, at = 0, 0, 0
 
-    def flush() -> Iterator[_Block]:
+    def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            yield _Block(tuple(stack), text, min(linked, len(text)))
+            stack[-1].children.append((text, min(linked, len(text))))
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
-            text = entities.unescape(raw)
+            text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if links:
                 linked += len(text.strip())
@@ -146,14 +179,13 @@ def blocks(page: str) -> Iterator[_Block]:
         if m["close"]:
             if tag == "a":
                 links = max(0, links - 1)
-            inline = tag in INLINE
-            if inline:
-                if stack and stack[-1].tag == tag:
-                    yield from flush()
+            if tag in INLINE:
+                if stack[-1].tag == tag:
+                    flush()
                     stack.pop()
                 continue
-            yield from flush()
-            for k in range(len(stack) - 1, -1, -1):
+            flush()
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
@@ -161,43 +193,42 @@ def blocks(page: str) -> Iterator[_Block]:
         attrs = m["attrs"]
         if tag in VOID:
             if tag in ("br", "hr"):
-                yield from flush()
+                flush()
             continue
-        words = tuple(dict.fromkeys(w for g in NAMES.findall(attrs) for w in WORDS.findall("".join(g).lower()))) if "=" in attrs else ()
-        what = kind(tag, words)
-        if tag in INLINE:
+        tokens = _tokens(attrs)
+        inline = tag in INLINE
+        if inline:
             links += tag == "a"
-            if what != "drop" or attrs.rstrip().endswith("/"):
+            if not tokens or kind(tag, tokens) != "drop" or attrs.rstrip().endswith("/"):
                 continue
-        yield from flush()
+        flush()
         if tag in RAW:
             # nothing inside is markup
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else n
-        if tag not in INLINE:
-            if tag == "body" or tag in ("article", "main", "div", "p", "h1", "section") and any(e.tag == "head" for e in stack):
-                while any(e.tag == "head" for e in stack):
-                    stack.pop()
-            while stack and stack[-1].tag == "p":
+        if not inline:
+            if tag == "body" or tag in ("article", "main", "div", "p", "h1", "section"):
+                for k in range(1, len(stack)):
+                    if stack[k].tag == "head":
+                        del stack[k:]
+                        break
+            while stack[-1].tag == "p":
                 stack.pop()
             if tag in ENDS:
                 over, until = ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in until:
                         break
                     if stack[k].tag in over:
                         del stack[k:]
                         break
-        if attrs.rstrip().endswith("/") and tag not in INLINE and tag in ("svg", "path"):
-            continue
-        key = ".".join((tag, *words[:4], *(w for w in words[4:] if w in MARKS)))
-        if stack:
-            above = stack[-1]
-            above.children[key] = above.children.get(key, 0) + 1
-        path = (*(stack[-1].path if stack else ()), key)
-        stack.append(_Element(tag, key, what, path[:MAX_DEPTH], tag in INLINE))
-        yield _Block(tuple(stack), "", 0)
-    yield from flush()
+            if tag in ("svg", "path") and attrs.rstrip().endswith("/"):
+                continue
+        element = _Element(tag, tokens, len(stack))
+        stack[-1].children.append(element)
+        stack.append(element)
+    flush()
+    return root
 
 
 # ------------------------------------------------------------------- wrappers
@@ -206,273 +237,513 @@ def _mark(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) << 24 | min(len(text), (1 << 24) - 1)
 
 
-class Roots(list):
-    """(kind, paths) where a host keeps its article, with the element paths that their words don't drop, and the template's texts."""
+class Node:
+    """A part of an expression: an element, or the texts at one place.
 
-    def __init__(self, tiers, free: frozenset, fixed: dict[tuple[str, ...], set[int]], fold):
-        super().__init__(tiers)
-        self.free, self.fixed, self.fold = free, fixed, fold
+    ``group`` numbers the repeated group that it is in among its neighbours, 0 for none; ``again`` says that it follows itself.
+    ``pages`` have it, in ``count`` places, below ``of`` of its parent's places. Texts have characters, those in links, and ``texts``, what
+    all pages that have the part repeat there.
+    """
 
+    __slots__ = ("again", "chars", "count", "group", "index", "into", "items", "kind", "linked", "of", "pages", "parent", "tag", "texts", "tokens")
 
-class Wrapper:
-    """Element paths of a host's pages: pages that have it, whether it recurs, text and linked text, its first text, whether that varies,
-    kinds of children, and the texts that all pages repeat there."""
-
-    def __init__(self):
-        self.pages = 0
-        self.some: list[int] = []  # the smallest checksums of pages, COPIES at most
-        self.nodes: dict[tuple[str, ...], list] = {}
-
-    def _node(self, path: tuple[str, ...]) -> list:
-        node = self.nodes.get(path)
-        if node is None:
-            node = self.nodes[path] = [0, False, 0, 0, None, False, 0, None]
-            if len(path) > 1:
-                self._node(path[:-1])[6] += 1
-        return node
-
-    def align(self, page: str) -> None:
-        """Takes in a page."""
-        self.pages += 1
-        self.some = sorted({*self.some, _mark(page)})[:COPIES]
-        seen: dict[tuple[str, ...], list] = {}
-        for b in blocks(page):
-            element = b.stack[-1] if b.stack else None
-            if element is None:
-                continue
-            path = self._fold(element.path)
-            mine = seen.setdefault(path, [False, 0, 0, None, False, set()])
-            if b.text:
-                mine[1] += len(b.text)
-                mine[2] += b.linked
-                text = _mark(b.text)
-                mine[5].add(text)
-                mine[4] |= mine[3] is not None and mine[3] != text
-                mine[3] = text if mine[3] is None else mine[3]
-            elif len(b.stack) > 1 and b.stack[-2].children[element.key] > 1:
-                mine[0] = True
-        for path, (again, chars, linked, text, varies, texts) in seen.items():
-            node = self._node(path)
-            node[0] += 1
-            node[1] |= again
-            node[2] += chars
-            node[3] += linked
-            if chars:
-                node[5] |= varies or (node[4] is not None and node[4] != text)
-                node[4] = text if node[4] is None else node[4]
-            node[7] = texts if node[7] is None else node[7] & texts
-
-    def _fold(self, path: tuple[str, ...]) -> tuple[str, ...]:
-        """The path, with kinds of children beyond the bound told apart by tag and marking words alone."""
-        if path in self.nodes:
-            return path
-        out: tuple[str, ...] = ()
-        for key in path:
-            full = (*out, key)
-            above = self.nodes.get(out)
-            out = (*out, _plain(key)) if full not in self.nodes and above is not None and above[6] >= MAX_CHILDREN else full
+    def __init__(self, tag: str, tokens: frozenset[str]):
+        self.tag, self.tokens = tag, tokens
+        self.group, self.again = 0, False
+        self.pages = self.count = self.of = 1
+        self.chars = self.linked = 0
+        self.texts: set[int] | None = None
+        self.items: list[Node] = []
+        self.into: Node | None = None
+
+    def key(self) -> tuple[str, frozenset[str]]:
+        return self.tag, self.tokens
+
+    def dump(self) -> list:
+        return [self.tag, sorted(self.tokens), self.group, int(self.again), self.pages, self.count, self.of, self.chars, self.linked, None if self.texts is None else sorted(self.texts), [x.dump() for x in self.items]]
+
+    @classmethod
+    def load(cls, x: list) -> Node:
+        out = cls(x[0], frozenset(x[1]))
+        out.group, out.again, out.pages, out.count, out.of, out.chars, out.linked = x[2], bool(x[3]), *x[4:9]
+        out.texts = None if x[9] is None else set(x[9])
+        out.items = [cls.load(y) for y in x[10]]
         return out
 
-    def merge(self, other: Wrapper) -> Wrapper:
+    def form(self) -> str:
+        """The expression without counts and texts."""
+        inner = "".join(f"{x.group}:{x.form()}" for x in self.items)
+        return f"{self.tag}.{'.'.join(sorted(self.tokens))}({inner})"
+
+
+def likeness(a: Node, b: Node) -> float:
+    """How well two parts align; 0 if they can't."""
+    if a.tag != b.tag:
+        return 0.0
+    if a.tokens == b.tokens:
+        return 3.0
+    if a.tag not in GENERIC:
+        return 1.0
+    shared = len(a.tokens & b.tokens) / len(a.tokens | b.tokens)
+    return 1.0 + shared if shared >= 0.5 else 0.0
+
+
+def best_alignment(left: list[Node], right: list[Node]) -> list[tuple[Node | None, Node | None]]:
+    """Both sequences in order, the parts that align side by side, with the most likeness in all."""
+    if len(left) == len(right) and all(a.tag == b.tag and a.tokens == b.tokens for a, b in zip(left, right, strict=True)):
+        return list(zip(left, right, strict=True))
+    n, m = len(left), len(right)
+    like = [[likeness(a, b) for b in right] for a in left]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below, mine = best[i], best[i + 1], like[i]
+        for j in range(m - 1, -1, -1):
+            x = max(below[j], row[j + 1])
+            row[j] = max(x, mine[j] + below[j + 1]) if mine[j] else x
+    out: list[tuple[Node | None, Node | None]] = []
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and like[i][j] and best[i][j] == like[i][j] + best[i + 1][j + 1]:
+            out.append((left[i], right[j]))
+            i, j = i + 1, j + 1
+        elif i < n and best[i][j] == best[i + 1][j]:
+            out.append((left[i], None))
+            i += 1
+        else:
+            out.append((None, right[j]))
+            j += 1
+    return out
+
+
+def merge(a: Node, b: Node, how: str) -> Node:
+    """Takes b into a. They are ``sibling`` places of one page, below ``other`` places of their parent on one page, or of other ``pages``."""
+    b.into = a
+    a.tokens = a.tokens if a.tokens == b.tokens else a.tokens & b.tokens
+    a.count += b.count
+    a.chars += b.chars
+    a.linked += b.linked
+    a.again |= b.again or how == "sibling"
+    a.of = max(a.of, b.of) if how == "sibling" else a.of + b.of
+    if how == "pages":
+        a.pages += b.pages
+    else:
+        a.pages = max(a.pages, b.pages)
+    if b.texts is not None:
+        a.texts = b.texts if a.texts is None else a.texts & b.texts if how == "pages" else a.texts | b.texts
+    a.items = align(a.items, b.items, "pages" if how == "pages" else "other")
+    return a
+
+
+def align(left: list[Node], right: list[Node], how: str) -> list[Node]:
+    """One sequence for two: aligned parts are merged, others become optional, and parts in crossing order a repeated group."""
+    if not left or not right:
+        return left or right
+    merged, groups = [], []
+    for a, b in best_alignment(left, right):
+        groups.append(((0, a.group) if a is not None and a.group else None, (1, b.group) if b is not None and b.group else None))
+        merged.append(merge(a, b, how) if a is not None and b is not None else a if a is not None else b)
+    return grouped(merged, groups, how)
+
+
+def grouped(items: list[Node], groups: list[tuple], how: str) -> list[Node]:
+    """A sequence in which every kind is there once: what recurs with others between becomes, with them, a repeated group.
+
+    ``groups`` names the groups that each item is in already.
+    """
+    if len(items) > MAX_CHILDREN:
+        rest: dict[str, Node] = {}
+        for x in items[:MAX_CHILDREN]:
+            rest[x.tag] = x
+        for x in items[MAX_CHILDREN:]:  # the wrapper's own parts come first in the fixed order of pages
+            if x.tag in rest:
+                x.tokens = rest[x.tag].tokens
+            else:
+                rest[x.tag] = x
+    first: dict[tuple, int] = {}
+    spans: list[tuple[int, int]] = []
+    ends: dict[tuple, list[int]] = {}
+    for k, x in enumerate(items):
+        key = x.key()
+        if key in first:
+            between = any(items[j].key() != key for j in range(first[key] + 1, k)) if k - first[key] > 1 else False
+            if between:
+                spans.append((first[key], k))
+        else:
+            first[key] = k
+        for g in groups[k]:
+            if g is not None:
+                ends.setdefault(g, [k, k])[1] = k
+    spans += [tuple(v) for v in ends.values()]
+    if len(first) == len(items) and not spans:
+        for x in items:
+            x.group = 0
+        return items
+    number = [0] * len(items)
+    spans.sort()
+    at, upto = 0, -1
+    for a, b in spans:
+        if a > upto:
+            at += 1
+            upto = b
+        else:
+            upto = max(upto, b)
+        for k in range(a, upto + 1):
+            number[k] = at
+    out: list[Node] = []
+    place: dict[tuple, Node] = {}
+    for k, x in enumerate(items):
+        mine = place.get(x.key())
+        if mine is None:
+            x.group = number[k]
+            place[x.key()] = x
+            out.append(x)
+        else:
+            merge(mine, x, how)
+    return out
+
+
+def expression(element: _Element) -> Node:
+    """The expression of an element of one page; every element below gets its ``node``."""
+    node = element.node = Node(element.tag, element.tokens)
+    items: list[Node] = []
+    for child in element.children:
+        if isinstance(child, tuple):
+            leaf = Node(TEXT, _NONE)
+            leaf.chars, leaf.linked, leaf.texts = len(child[0]), child[1], {_mark(child[0])}
+        elif element.depth >= MAX_DEPTH:
+            for x in _below(child):
+                x.node = node
+            leaf = _flat(child)
+            if leaf is None:
+                continue
+        else:
+            leaf = expression(child)
+        if items and items[-1].tag == leaf.tag and items[-1].tokens == leaf.tokens:
+            merge(items[-1], leaf, "sibling")  # a square: the part repeats itself
+        else:
+            items.append(leaf)
+    node.items = grouped(items, [(None,)] * len(items), "sibling")
+    return node
+
+
+def _below(element: _Element) -> Iterator[_Element]:
+    todo = [element]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += [c for c in x.children if not isinstance(c, tuple)]
+
+
+def _flat(element: _Element) -> Node | None:
+    texts = [c for x in _below(element) for c in x.children if isinstance(c, tuple)]
+    if not texts:
+        return None
+    leaf = Node(TEXT, _NONE)
+    leaf.chars, leaf.linked, leaf.texts = sum(len(t) for t, _ in texts), sum(n for _, n in texts), {_mark(t) for t, _ in texts}
+    return leaf
+
+
+def _final(node: Node) -> Node:
+    while node.into is not None:
+        node = node.into
+    return node
+
+
+class Wrapper:
+    """The expression of some pages of a host."""
+
+    def __init__(self, root: Node | None = None, pages: int = 0, some: list[int] | None = None):
+        self.root, self.pages = root, pages
+        self.some = some or []  # the smallest checksums of pages, COPIES at most
+        self.plan: Plan | None = None
+
+    @classmethod
+    def of(cls, page: str) -> Wrapper:
+        return cls(expression(parse(page)), 1, [_mark(page)])
+
+    def form(self) -> str:
+        """A name of the expression's form."""
+        return hashlib.blake2b(self.root.form().encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+    def align(self, other: Wrapper) -> Wrapper:
+        """Takes in the wrapper of other pages. Where both have one form, no order of doing so changes the result."""
         self.pages += other.pages
         self.some = sorted({*self.some, *other.some})[:COPIES]
-        for path, theirs in other.nodes.items():
-            node = self._node(self._fold(path))
-            node[0] += theirs[0]
-            node[1] |= theirs[1]
-            node[2] += theirs[2]
-            node[3] += theirs[3]
-            if theirs[4] is not None:
-                node[5] |= theirs[5] or (node[4] is not None and node[4] != theirs[4])
-                node[4] = theirs[4] if node[4] is None else node[4]
-            if theirs[7] is not None:
-                node[7] = theirs[7] if node[7] is None else node[7] & theirs[7]
+        self.root = other.root if self.root is None else merge(self.root, other.root, "pages")
         return self
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.some, [["/".join(p), *v[:6], None if v[7] is None else sorted(v[7])] for p, v in self.nodes.items()]])
+        return json.dumps([self.pages, self.some, self.root.dump()], separators=(",", ":"))
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        out = cls()
-        out.pages, out.some, nodes = json.loads(text)
-        for path, *values, texts in nodes:
-            node = out._node(tuple(path.split("/")))
-            node[:6], node[7] = values, None if texts is None else set(texts)
-        return out
+        pages, some, root = json.loads(text)
+        return cls(Node.load(root), pages, some)
 
     def expression(self) -> str:
         """The wrapper written out: ? is optional, + repeated, #slot a text that varies, #text one that doesn't."""
-        below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-        for path in self.nodes:
-            below.setdefault(path[:-1], []).append(path)
-
-        def write(path: tuple[str, ...]) -> str:
-            pages, again, chars, _, _, varies, _, _ = self.nodes[path]
-            inner = ("#slot" if varies else "#text") if chars else ""
-            inner += "".join(map(write, below.get(path, [])))
-            total = self.nodes[path[:-1]][0] if len(path) > 1 else self.pages
-            mark = ("+" if again else "") + ("?" if pages < total else "")
-            text = f"<{path[-1]}>{inner}</{path[-1].split('.')[0]}>"
-            return f"({text}){mark}" if mark else text
 
-        return "".join(map(write, below.get((), [])))
+        def write(x: Node, above: int) -> str:
+            text = ("#text" if x.texts else "#slot") if x.tag == TEXT else f"<{'.'.join((x.tag, *sorted(x.tokens)))}>{sequence(x.items, x.count)}</{x.tag}>"
+            mark = ("+" if x.again else "") + ("?" if x.of < above else "")
+            return f"({text}){mark}" if mark else text
 
-    def template(self) -> dict[tuple[str, ...], set[int]]:
-        """The texts that all pages repeat, by path; none if the host's pages are equal, or look like copies of one article."""
+        def sequence(items: list[Node], above: int) -> str:
+            out, k = "", 0
+            while k < len(items):
+                end = k + 1
+                while items[k].group and end < len(items) and items[end].group == items[k].group:
+                    end += 1
+                inner = "".join(write(x, above) for x in items[k:end])
+                out += f"({inner})+" if items[k].group else inner
+                k = end
+            return out
+
+        return sequence(self.root.items, self.root.count)
+
+
+class Plan:
+    """What a wrapper says of its parts: their kinds, where the article is, and the template's texts."""
+
+    def __init__(self, wrapper: Wrapper):
+        self.root, self.pages, self.some = wrapper.root, wrapper.pages, wrapper.some
+        self.nodes: list[Node] = []
+        todo: list[tuple[Node, Node | None]] = [(self.root, None)]
+        while todo:
+            x, parent = todo.pop()
+            x.parent, x.index, x.kind = parent, len(self.nodes), kind(x.tag, x.tokens) if x.tag != TEXT else ""
+            self.nodes.append(x)
+            todo += [(y, x) for y in reversed(x.items)]
+        self.leaves = [x for x in self.nodes if x.tag == TEXT]
+        self.fixed = self._template()
+        slots = {x.index: n for x in self.leaves if (n := x.chars - x.linked - _chars(self.fixed.get(x.index, ())) * x.pages) > 0}
+        for x in self._freed(slots):
+            x.kind = freed(x.tag, x.tokens)
+        self.tiers = self._tiers(slots)
+        self.known: dict[str, list[Node | None]] = {}
+
+    def above(self, x: Node) -> Iterator[Node]:
+        """The node and all around it."""
+        while x is not None:
+            yield x
+            x = x.parent
+
+    def _template(self) -> dict[int, set[int]]:
+        """The texts that all pages repeat at one place; none if the host's pages are equal, or look like copies of one article."""
         if len(self.some) < 2:
             return {}
-        fixed = {path: v[7] for path, v in self.nodes.items() if v[0] == self.pages and v[7]}
+        fixed = {x.index: x.texts for x in self.leaves if x.texts and x.pages >= self.pages}
         if len(self.some) < COPIES:
-            kept = [p for p in self.nodes if not {"drop", "header"}.intersection(map(_kind, p))]
-            same = sum(_chars(fixed[p]) * self.pages for p in kept if p in fixed)
-            if 2 * same > sum(self.nodes[p][2] for p in kept):
+            kept = [x for x in self.leaves if not any(y.kind in ("drop", "header") for y in self.above(x))]
+            if 2 * sum(_chars(fixed.get(x.index, ())) * self.pages for x in kept) > sum(x.chars for x in kept):
                 return {}
         return fixed
 
-    def freed(self, slots: dict[tuple[str, ...], int]) -> frozenset:
-        """The paths that are kept though a word drops them: their slots hold most of the text of pages that have them, or
+    def _freed(self, slots: dict[int, int]) -> list[Node]:
+        """The parts that are kept though a word drops them: their slots hold most of the text of pages that have them, or
         they are an article or main element; unless the pages have another article that isn't dropped."""
-        kinds = {p: _kind(p[-1]) for p in self.nodes}
-        soft = {p for p in self.nodes if kinds[p] == "drop" and p[-1].split(".")[0] not in DROPPED or kinds[p] == "header" and p[-1].split(".")[0] != "header"}
+        soft = [x for x in self.nodes if x.kind == "drop" and x.tag not in DROPPED or x.kind == "header" and x.tag != "header"]
         if not soft:
-            return frozenset()
-        hard = {p for p in self.nodes if kinds[p] in ("drop", "header") and p not in soft}
-        open_ = {p: n for p, n in slots.items() if n > 0 and not any(p[:k] in hard for k in range(1, len(p) + 1))}
-        held: dict[tuple[str, ...], int] = {}
-        for p, n in open_.items():
-            for k in range(len(p) + 1):
-                held[p[:k]] = held.get(p[:k], 0) + n
-        each = held.get((), 0) / max(self.pages, 1)
-        out: set[tuple[str, ...]] = set()
+            return []
+        marked = {x.index for x in soft}
+        hard = {x.index for x in self.nodes if x.kind in ("drop", "header")} - marked
+        open_ = [(x, n) for x in self.leaves if (n := slots.get(x.index)) and not any(y.index in hard for y in self.above(x))]
+        held: dict[int, int] = {}
+        for x, n in open_:
+            for y in self.above(x):
+                held[y.index] = held.get(y.index, 0) + n
+        each = held.get(0, 0) / max(self.pages, 1)
+        out: dict[int, Node] = {}
         while True:
             # text outside headings below each root that stands without what is dropped
-            body: dict[tuple[str, ...], int] = {}
-            for p, n in open_.items():
-                above = [p[:k] for k in range(1, len(p) + 1)]
-                if p[-1].split(".")[0] in HEADINGS or any(q in soft and q not in out for q in above):
+            body: dict[int, int] = {}
+            for x, n in open_:
+                around = list(self.above(x))
+                if any(y.tag in HEADINGS or y.index in marked and y.index not in out for y in around):
                     continue
-                for q in above:
-                    what = freed(q[-1].split(".")[0], tuple(q[-1].split(".")[1:])) if q in out else kinds[q]
-                    if what in ("article", "main", "content") and not self.nodes[q][1]:
-                        body[q] = body.get(q, 0) + n
+                for y in around:
+                    what = freed(y.tag, y.tokens) if y.index in out else y.kind
+                    if what in ("article", "main", "content") and not (y.again or y.group):
+                        body[y.index] = body.get(y.index, 0) + n
             best = None
-            for p in soft - out:
-                if p not in held or any(p[:k] in soft and p[:k] not in out for k in range(1, len(p))):
+            for x in soft:
+                if x.index in out or x.index not in held or any(y.index in marked and y.index not in out for y in self.above(x.parent)):
                     continue
-                tag, *words = p[-1].split(".")
-                pages, mixed = max(self.nodes[p][0], 1), not (DROPPED_WORDS | HEADER_WORDS).issuperset(words)
-                article = tag in ("article", "main") and mixed and not self.nodes[p][1]
-                mine = held[p] / pages
+                mixed = not all(p in DROPPED_WORDS or p in HEADER_WORDS for t in x.tokens for p in t.split("-"))
+                article = x.tag in ("article", "main") and mixed and not x.again
+                mine = held[x.index] / max(x.pages, 1)
                 if not article and mine <= each / 2:
                     continue
-                if any(self.nodes[q][0] + pages > self.pages and n / self.nodes[q][0] >= mine / 10 for q, n in body.items()):
+                if any(self.nodes[y].pages + x.pages > self.pages and n / self.nodes[y].pages >= mine / 10 for y, n in body.items()):
                     continue
-                best = max(best or (False, False, 0, p), (article, mixed, mine, p))
+                best = max(best or (False, False, 0, 0), (article, mixed, mine, -x.index))
             if best is None:
-                return frozenset(out)
-            out.add(best[3])
-
-    def roots(self) -> Roots:
-        """Where the host keeps its article: (kind, paths), the first to be tried first."""
-        fixed = self.template()
-        slots = {p: max(0, v[2] - v[3] - _chars(fixed.get(p, ())) * v[0]) for p, v in self.nodes.items()}
-        kept = self.freed(slots)
-        tiers: dict[str, list[tuple[str, ...]]] = {"article": [], "main": [], "content": []}
-        free: dict[tuple[str, ...], int] = {}
-        for path in self.nodes:
-            kinds = [(freed if path[: k + 1] in kept else kind)(x.split(".")[0], tuple(x.split(".")[1:])) for k, x in enumerate(path)]
-            if "drop" in kinds or "header" in kinds:
+                return list(out.values())
+            out[-best[3]] = self.nodes[-best[3]]
+
+    def _tiers(self, slots: dict[int, int]) -> list[tuple[str, frozenset[int]]]:
+        """Where the host keeps its article: (kind, parts), the first to be tried first."""
+        tiers: dict[str, list[int]] = {"article": [], "main": [], "content": []}
+        held: dict[int, int] = {}
+        for x in self.nodes:
+            around = list(self.above(x))
+            if any(y.kind in ("drop", "header") for y in around):
                 continue
-            if kinds[-1] in tiers:
-                tiers[kinds[-1]].append(path)
-            for k in range(1, len(path) + 1):
-                free[path[:k]] = free.get(path[:k], 0) + slots[path]
-        total = max(free.values(), default=0)
+            if x.kind in tiers:
+                tiers[x.kind].append(x.index)
+            for y in around:
+                held[y.index] = held.get(y.index, 0) + slots.get(x.index, 0)
+        total = held.get(0, 0)
         # the innermost element that still holds most of the text
-        tiers["densest"] = [max((p for p, c in free.items() if c > 0.6 * total), key=len)] if total else []
-        return Roots([(name, frozenset(paths)) for name, paths in tiers.items() if paths], kept, fixed, self._fold)
-
-
-def _kind(key: str) -> str:
-    tag, *words = key.split(".")
-    return kind(tag, tuple(words))
-
-
-def _plain(key: str) -> str:
-    tag, *words = key.split(".")
-    return ".".join((tag, *(w for w in words if w in MARKS)))
+        most = [k for k, n in held.items() if n > 0.6 * total and self.nodes[k].tag != TEXT]
+        tiers["densest"] = [max(most, key=lambda k: (len(list(self.above(self.nodes[k]))), -k))] if total and most else []
+        return [(name, frozenset(parts)) for name, parts in tiers.items() if parts]
+
+    def places(self, page: Node) -> list[Node | None]:
+        """The wrapper's part for every part of a page's expression, in the order of its text. It depends on the form alone."""
+        out: list[Node | None] = []
+
+        def walk(x: Node, mine: Node | None) -> None:
+            out.append(mine)
+            at = {}
+            if mine is not None and x.items:
+                at = {id(b): a for a, b in best_alignment(mine.items, x.items) if a is not None and b is not None}
+                for b in x.items:  # parts in another order
+                    if id(b) not in at and (same := next((a for a in mine.items if a.key() == b.key()), None)) is not None:
+                        at[id(b)] = same
+            for b in x.items:
+                walk(b, at.get(id(b)))
+
+        walk(page, self.root)
+        return out
 
 
 def _chars(marks) -> int:
     return sum(m & ((1 << 24) - 1) for m in marks)
 
 
-def _under(stack: tuple[_Element, ...], name: str, paths: frozenset) -> int:
-    """Which of these elements is the root of the article; -1 if none is."""
-    return next((k for k, e in enumerate(stack) if e.path in paths or e.kind == name), -1)
-
-
-def _kept(stack: tuple[_Element, ...], root: int) -> bool:
-    """Whether a text below a root belongs to the article; of headers in it, headings do."""
-    kinds = [e.kind for e in stack]
-    if "drop" in kinds or "header" in kinds[: root + 1]:
-        return False
-    return "header" not in kinds or any(e.tag in HEADINGS for e in stack[kinds.index("header") :])
-
-
-def main_text(page: str | None, roots: list[tuple[str, frozenset]]) -> str:
-    """The texts of a page below the first roots that it has, and if it has none all that isn't left out anywhere."""
-    free, fixed, fold = (roots.free, roots.fixed, roots.fold) if isinstance(roots, Roots) else (frozenset(), {}, tuple)
-    found: list[tuple[tuple[_Element, ...], str]] = []
-    for b in blocks(page or ""):
-        if b.text:
-            found.append((b.stack, b.text))
-        elif free and (e := b.stack[-1]).kind in ("drop", "header") and e.tag not in DROPPED and e.tag != "header" and fold(e.path) in free:
-            e.kind = freed(e.tag, tuple(e.key.split(".")[1:]))
-    slots = [not (fixed and stack and _mark(text) in fixed.get(fold(stack[-1].path), ())) for stack, text in found]
-    for name, paths in roots:
-        at = [_under(stack, name, paths) for stack, _ in found]
-        out = [(text, slot) for (stack, text), k, slot in zip(found, at, slots, strict=True) if k >= 0 and _kept(stack, k)]
+def main_text(page: str | None, plan: Plan | None) -> str:
+    """The article's texts of a page, by what its host's wrapper says of the parts that they align with."""
+    root = parse(page or "")
+    top = expression(root)
+    order: list[Node] = []
+
+    def number(x: Node) -> None:
+        x.index = len(order)
+        order.append(x)
+        for y in x.items:
+            number(y)
+
+    number(top)
+    if plan is None:
+        plan = Plan(Wrapper(top, 1, [_mark(page or "")]))
+        at: list[Node | None] = list(order)
+    else:
+        form = top.form()
+        if form not in plan.known:
+            if len(plan.known) > 1000:
+                plan.known.clear()
+            plan.known[form] = plan.places(top)
+        at = plan.known[form]
+
+    # every text with whether it is of the template, its leaf, and (kind, part, heading) of the elements around it
+    found: list[tuple[str, bool, list[tuple[str, int, bool]]]] = []
+
+    todo: list[tuple[_Element, list[tuple[str, int, bool]]]] = [(root, [])]
+    while todo:
+        element, around = todo.pop()
+        if isinstance(element, tuple):
+            text, leaf = element
+            part = at[leaf.index] if leaf is not None else None
+            found.append((text, part is not None and _mark(text) in plan.fixed.get(part.index, ()), around))
+            continue
+        own = _final(element.node)
+        deep = element.depth > MAX_DEPTH  # its expression is that of the element above
+        part = at[own.index] if not deep else None
+        what = kind(element.tag, element.tokens) if part is None else part.kind
+        around = [*around, (what, -1 if part is None else part.index, element.tag in HEADINGS)]
+        leaf = next((x for x in own.items if x.tag == TEXT), None)
+        todo += [((c[0], leaf), around) if isinstance(c, tuple) else (c, around) for c in reversed(element.children)]
+
+    def kept(around: list[tuple[str, int, bool]], base: int) -> bool:
+        """Whether a text below a root belongs to the article; of headers in it, headings do."""
+        kinds = [k for k, _, _ in around]
+        if "drop" in kinds or "header" in kinds[: base + 1]:
+            return False
+        return "header" not in kinds or any(h for _, _, h in around[kinds.index("header") :])
+
+    for name, parts in plan.tiers:
+        out = []
+        for text, template, around in found:
+            base = next((k for k, (what, part, _) in enumerate(around) if part in parts or what == name), -1)
+            if base >= 0 and kept(around, base):
+                out.append((text, template))
         if out:
-            return " ".join([text for text, slot in out if slot] or [text for text, _ in out])
-    return " ".join(text for (stack, text), slot in zip(found, slots, strict=True) if slot and _kept(stack, len(stack) - 1))
+            return " ".join([t for t, template in out if not template] or [t for t, _ in out])
+    return " ".join(t for t, template, around in found if not template and kept(around, len(around) - 1))
 
 
 # ------------------------------------------------------------------ over tables
-def _host(url) -> F.Column:
+def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
+_WRAPPER = "host string, form string, wrapper string"
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Of wrappers of one host and form, one."""
+    out = Wrapper()
+    for text in table.column("wrapper"):
+        out.align(Wrapper.load(text.as_py()))
+    return pa.table({"host": table.column("host")[:1], "form": table.column("form")[:1], "wrapper": pa.array([out.dump()], pa.string())})
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """Of wrappers of one host, one: aligned from the most pages to the fewest, and by form."""
+    found = [Wrapper.load(x) for x in table.column("wrapper").to_pylist()]
+    out = Wrapper()
+    for _, _, w in sorted(((-w.pages, f, w) for f, w in zip(table.column("form").to_pylist(), found, strict=True)), key=lambda x: x[:2]):
+        out.align(w)
+    return pa.table({"host": table.column("host")[:1], "form": pa.array([out.form()], pa.string()), "wrapper": pa.array([out.dump()], pa.string())})
+
+
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper of every host. A host with very many pages is spread over its tasks, and salted after."""
-    source = pages.select(_host(F.col(f"`{url}`").cast("string")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
+    """host, wrapper of every host. Tasks add up what they read by form; forms with very many rows, and hosts with very many forms, are salted."""
+    given = Columns(pages)
+    source = given.frame.select(host_of(given.text(url)).alias("host"), given.text(html).alias("html"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], Wrapper] = {}
+
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[n] for k in held], pa.string()) for n in (0, 1)] + [pa.array([w.dump() for w in held.values()], pa.string())], names=["host", "form", "wrapper"])
+            held.clear()
+            return out
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, Wrapper] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found.setdefault(host, Wrapper()).align(page.as_py() or "")
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([w.dump() for w in found.values()], pa.string())], names=["host", "wrapper"])
-
-    def together(table):
-        texts = sorted(table.column("wrapper").to_pylist())
-        out = Wrapper()
-        for text in texts:
-            out.merge(Wrapper.load(text))
-        return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([out.dump()], pa.string())})
+                mine = Wrapper.of(page.as_py() or "")
+                key = host, mine.form()
+                held[key] = held[key].align(mine) if key in held else mine
+                if len(held) >= HELD:
+                    yield handed()
+        yield handed()
 
     scratch = Scratch(pages.sparkSession, "wrappers")
-    now, step = scratch.save(source.mapInArrow(align, "host string, wrapper string"), "0"), 0
-    while True:
-        most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
-        if most <= 1:
-            return now
-        salts = -(-most // GROUP)
-        step += 1
-        dealt = now.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-        now = scratch.save(dealt.groupBy("host", "salt").applyInArrow(together, "host string, wrapper string"), str(step))
-        scratch.drop(str(step - 1))
+    now, step = scratch.save(source.mapInArrow(read, _WRAPPER), "0"), 0
+
+    def reduced(keys: list[str], salt: Column, together) -> None:
+        nonlocal now, step
+        while (most := now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > 1:
+            dealt = now.withColumn("salt", F.pmod(salt, F.lit(-(-most // GROUP))))
+            step += 1
+            now = scratch.save(dealt.groupBy(*keys, "salt").applyInArrow(together, _WRAPPER), str(step))
+            scratch.drop(str(step - 1))
+
+    reduced(["host", "form"], F.xxhash64("wrapper"), _added)
+    reduced(["host"], F.xxhash64("form"), _aligned)
+    return now.select("host", "wrapper")
 
 
 #: Wrappers of all hosts are broadcast up to this many characters together; beyond that they are joined.
@@ -481,25 +752,29 @@ BROADCAST_CHARS = 8_000_000
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", columns: list[str] | None = None, wrappers: DataFrame | None = None) -> DataFrame:
     """The columns with text, the main text, and n_chars, its code points."""
-    made = ["text", "n_chars"]
-    columns = [c for c in (pages.columns if columns is None else columns) if c not in made and not c.startswith("__")]
-    wrappers = (infer(pages, url, html) if wrappers is None else wrappers).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
-    size = wrappers.agg(F.sum(F.length("__wrapper"))).first()[0] or 0
-    source = pages.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{html}`").cast("string").alias("__html"), _host(F.col(f"`{url}`").cast("string")).alias("__host"))
-    source = source.join(F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers, "__host", "left").select(*columns, "__html", "__wrapper")
-    schema = source.select(*columns).schema.add("text", "string").add("n_chars", "long")
+    given = Columns(pages, columns, ("text", "n_chars"))
+    schema = given.schema(("text", "string"), ("n_chars", "long"))
+    wrappers = infer(pages, url, html) if wrappers is None else wrappers
+    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    source = given.frame.select(*given.passing(), given.text(html).alias("html"), host_of(given.text(url)).alias("host"))
+    shared = None
+    if size <= BROADCAST_CHARS:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})  # its size is checked
+    else:
+        source = source.join(wrappers, "host", "left").select(*given.passing(), "html", F.col("wrapper").alias("host"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, Plan | None] = {}
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                wrapper = wrapper.as_py()
-                if wrapper not in known:
+            for page, name in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                name = name.as_py()
+                if name not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[wrapper] = Wrapper.load(wrapper).roots() if wrapper else []
-                texts.append(main_text(page.as_py(), known[wrapper]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, *made])
+                    wrapper = shared.value.get(name) if shared is not None else name
+                    known[name] = Plan(Wrapper.load(wrapper)) if wrapper else None
+                texts.append(main_text(page.as_py(), known[name]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return source.mapInArrow(apply, schema)
+    return given.named(source.mapInArrow(apply, schema))
