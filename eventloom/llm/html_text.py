@@ -47,6 +47,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that pages use for anything: two of them align only by what their class, id and role say.
 GENERIC = frozenset("div section span ul ol aside table form p".split())
+#: Parts of an article rather than what holds it.
+PARTS = HEADINGS | frozenset("p li dt dd blockquote pre #text".split())
 #: An opening tag on the left ends an open element on the right, unless one of the last set stands between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -594,8 +596,8 @@ class Plan:
             for y in around:
                 held[y.index] = held.get(y.index, 0) + slots.get(x.index, 0)
         total = held.get(0, 0)
-        # the innermost element that still holds most of the text
-        most = [k for k, n in held.items() if n > 0.6 * total and self.nodes[k].tag != TEXT]
+        # the innermost element that still holds most of the text, and isn't one of its repeated parts
+        most = [k for k, n in held.items() if n > 0.6 * total and not any(x.again or x.group or x.tag in PARTS for x in self.above(self.nodes[k]))]
         tiers["densest"] = [max(most, key=lambda k: (len(list(self.above(self.nodes[k]))), -k))] if total and most else []
         return [(name, frozenset(parts)) for name, parts in tiers.items() if parts]
 

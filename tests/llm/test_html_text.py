@@ -187,3 +187,8 @@ def test_long_page_and_clashing_names(spark):
     row = extract(frame).collect()[0]
     assert row.asDict().keys() == {"page_id", "url", "html", "__host", "text", "n_chars"} and row["__host"] == "y"
     assert row["text"] == " ".join(["word x"] * 60_000)
+
+
+def test_an_article_without_names_keeps_its_headings_and_lists():
+    pages = [f"<div><div><h2>Head {k}</h2><p>{story(k)}</p><ul><li>i{k}<li>j{k}</ul><p>{story(k + 1)}</p></div><div><a href=x>more {k}</a></div></div>" for k in range(6)]
+    assert host(pages) == [f"Head {k} {story(k)} i{k} j{k} {story(k + 1)}" for k in range(6)]
