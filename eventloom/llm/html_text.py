@@ -113,10 +113,11 @@ def freed(tag: str, tokens: frozenset[str]) -> str:
 class _Element:
     """An element of a page: what it holds in order, and its place in the page's expression."""
 
-    __slots__ = ("children", "depth", "node", "tag", "tokens")
+    __slots__ = ("chars", "children", "depth", "linked", "node", "tag", "tokens")
 
     def __init__(self, tag: str, tokens: frozenset[str], depth: int):
         self.tag, self.tokens, self.depth = tag, tokens, depth
+        self.chars = self.linked = 0  # of all texts below, when its expression is made
         self.children: list[_Element | tuple[str, int]] = []
         self.node: Node | None = None
 
@@ -352,45 +353,31 @@ def grouped(items: list[Node], groups: list[tuple], how: str) -> list[Node]:
 
     ``groups`` names the groups that each item is in already.
     """
-    if len(items) > MAX_CHILDREN:
-        rest: dict[str, Node] = {}
-        for x in items[:MAX_CHILDREN]:
-            rest[x.tag] = x
-        for x in items[MAX_CHILDREN:]:  # the wrapper's own parts come first in the fixed order of pages
-            if x.tag in rest:
-                x.tokens = rest[x.tag].tokens
-            else:
-                rest[x.tag] = x
     first: dict[tuple, int] = {}
-    spans: list[tuple[int, int]] = []
-    ends: dict[tuple, list[int]] = {}
+    kinds: dict[str, frozenset[str]] = {}
+    spans: dict[tuple, list[int]] = {}
     for k, x in enumerate(items):
+        if x.key() not in first:
+            if len(first) >= MAX_CHILDREN:  # the wrapper's own parts come first, as they are in the fixed order of pages
+                x.tokens = kinds.setdefault(x.tag, x.tokens)
+            kinds[x.tag] = x.tokens
         key = x.key()
-        if key in first:
-            between = any(items[j].key() != key for j in range(first[key] + 1, k)) if k - first[key] > 1 else False
-            if between:
-                spans.append((first[key], k))
-        else:
-            first[key] = k
+        if first.setdefault(key, k) < k and any(items[j].key() != key for j in range(first[key] + 1, k)):
+            spans.setdefault(key, [first[key], k])[1] = k
         for g in groups[k]:
             if g is not None:
-                ends.setdefault(g, [k, k])[1] = k
-    spans += [tuple(v) for v in ends.values()]
+                spans.setdefault(g, [k, k])[1] = k
     if len(first) == len(items) and not spans:
         for x in items:
             x.group = 0
         return items
     number = [0] * len(items)
-    spans.sort()
     at, upto = 0, -1
-    for a, b in spans:
-        if a > upto:
-            at += 1
-            upto = b
-        else:
-            upto = max(upto, b)
-        for k in range(a, upto + 1):
+    for a, b in sorted(spans.values()):
+        at += a > upto
+        for k in range(max(a, upto + 1), b + 1):
             number[k] = at
+        upto = max(upto, b)
     out: list[Node] = []
     place: dict[tuple, Node] = {}
     for k, x in enumerate(items):
@@ -410,6 +397,7 @@ def expression(element: _Element) -> Node:
     items: list[Node] = []
     for child in element.children:
         if isinstance(child, tuple):
+            element.chars, element.linked = element.chars + len(child[0]), element.linked + child[1]
             leaf = Node(TEXT, _NONE)
             leaf.chars, leaf.linked, leaf.texts = len(child[0]), child[1], {_mark(child[0])}
         elif element.depth >= MAX_DEPTH:
@@ -418,16 +406,24 @@ def expression(element: _Element) -> Node:
             leaf = _flat(child)
             if leaf is None:
                 continue
+            element.chars, element.linked = element.chars + leaf.chars, element.linked + leaf.linked
         else:
             leaf = expression(child)
+            element.chars, element.linked = element.chars + child.chars, element.linked + child.linked
         if items and items[-1].tag == leaf.tag and items[-1].tokens == leaf.tokens:
             merge(items[-1], leaf, "sibling")  # a square: the part repeats itself
         else:
             items.append(leaf)
     node.items = grouped(items, [(None,)] * len(items), "sibling")
+    if element.tag in ("div", "section") and not element.tokens:
+        node.tokens = _SAYS["links" if 0 < element.chars == element.linked else "blocks" if any(x.tag != TEXT for x in node.items) else "text"]
     return node
 
 
+#: What stands for the class of a plain element: links, or other text, or further elements.
+_SAYS = {what: frozenset([f"+{what}"]) for what in ("links", "text", "blocks")}
+
+
 def _below(element: _Element) -> Iterator[_Element]:
     todo = [element]
     while todo:
