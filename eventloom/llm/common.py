@@ -87,7 +87,7 @@ class Columns:
         return F.col(f"c{self.at(name)}")
 
     def text(self, name: str) -> Column:
-        return self.col(name).cast("string")
+        return self.col(name).cast("string").alias(f"t{self.at(name)}")
 
     def passing(self) -> list[Column]:
         return [F.col(f"c{k}") for k in self.kept]

@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.token_counts import token_counts
 
     docs = _table(spark, sf_dir, "documents")
-    return token_counts(docs, tokenizer_path(BPE), keep=["doc_id"]).withColumn("over_limit", F.col("n_tokens") > 1024)
+    return token_counts(docs, tokenizer_path(BPE), store=True, keep=["doc_id"]).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,13 @@ the last token at ``i - len(t)``. Whether two tokens may stand side by side is a
 pair. The table answers how many tokens a truncated text has, and the longest prefix within a budget,
 without encoding again.
 
+Pre-tokens are the library's in every script; those of characters that several libraries class alike are found faster. An added token's
+string counts as that token, and a prefix that ends inside it as the text that it is. Words longer than ``WIDE`` * 4 characters
+are solved one by one, in time in proportion to their length.
+
 Defined results: null or empty text has 0 bytes, 0 tokens, and a budget prefix of 0. Rows are counted
 one by one, so repeated rows, null ids and extra columns pass through; an output column that clashes
-with an input column replaces it.
+with an input column, in any case of letters, replaces it. A very long text is a step of its own, and its worker holds its counts at once.
 """
 
 from __future__ import annotations
@@ -21,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.llm.bpe import CACHE_WORDS, PRETOKENS, byte_alphabet, encoder
-from eventloom.llm.common import mix
+from eventloom.llm.common import Columns, chunks, mix, text_buffer
 
 _B = np.uint64(0xD6E8FEB86659FD93)
 #: Pre-tokens of more bytes go one by one, to keep the table of a batch narrow.
@@ -38,6 +41,8 @@ class PrefixTable:
 
     def __init__(self, path: str):
         self.encoder = encoder(path)
+        if not self.encoder.by_words:
+            raise ValueError(f"{path} holds no byte-level vocabulary, which the prefix table is for")
         lib = self.encoder.library
         back = byte_alphabet()
         self.tokens: dict[bytes, int] = {}
@@ -55,7 +60,14 @@ class PrefixTable:
         self.lengths = sorted({len(t) for t in self.tokens})
         self.fits: dict[int, bool] = {}
         self.known = (np.zeros(0, np.int64), np.zeros(0, bool))
-        self.counts: dict[str, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.steps: dict[str, bytes] = {}
+        self._automaton = None
+        added = sorted(self.encoder.added, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        split = lib.pre_tokenizer.pre_tokenize_str
+        spaces = "".join(c for c in _SPACES if len(split(f"!{c}{c}")) > 1)
+        self.spaces = re.compile(f"[{re.escape(spaces)}]{{2,}}")
 
     # -- pairs
     def _ask(self, pairs: list[int]) -> None:
@@ -119,92 +131,148 @@ class PrefixTable:
                 todo = todo[last[i, todo] < 0]
         return last.T, count.T
 
+    def solve_long(self, word: bytes) -> np.ndarray:
+        """Token counts of every byte prefix of one word, in time in proportion to its length: an automaton
+        names the tokens that end at each byte, and the one that fits its predecessor ends the prefix."""
+        last, count = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        fits, ask = self.pairs, self._bpe
+        if len(fits) > 1_000_000:
+            fits.clear()
+        for end, (token, length) in self.automaton.iter(word.decode("latin-1")):
+            i, j = end + 1, end + 1 - length
+            if last[i] >= 0:
+                continue
+            if j:
+                pair = last[j] << 20 | token
+                ok = fits.get(pair)
+                if ok is None:
+                    ok = fits[pair] = ask(self.raw[last[j]] + self.raw[token]) == [last[j], token]
+                if not ok:
+                    continue
+            last[i], count[i] = token, count[j] + 1
+        return np.array(count, np.int64)
+
+    @property
+    def automaton(self):
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for raw, i in self.tokens.items():
+                self._automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
+            self._automaton.make_automaton()
+        return self._automaton
+
     def learn(self, words: set[str]) -> None:
-        """Solves the pre-tokens not seen before."""
-        new = [w for w in words if w not in self.counts]
-        if len(self.counts) + len(new) > 2 * CACHE_WORDS:
-            self.counts.clear()
+        """Solves the pre-tokens not seen before: for each the steps of the count from one prefix to the next, by characters."""
+        new = [w for w in words if w not in self.steps]
+        if len(self.steps) + len(new) > CACHE_WORDS:
+            self.steps.clear()
             new = list(words)
         if len(self.known[0]) > 2_000_000:
             self.known = (np.zeros(0, np.int64), np.zeros(0, bool))
         by_width: dict[int, list[str]] = {}
         for w in new:
-            by_width.setdefault(min(-(-len(w) // 4), WIDE), []).append(w)
+            if len(w) > 4 * WIDE:
+                self.steps[w] = self._steps(w, self.solve_long(w.encode()))
+            else:
+                by_width.setdefault(-(-len(w) // 4), []).append(w)
         for group in by_width.values():
             raw = [w.encode() for w in group]
-            small = 1 if max(map(len, raw)) > 4 * WIDE else 20_000
-            for a in range(0, len(raw), small):
-                _, count = self.solve(raw[a : a + small])
-                for k, w in enumerate(group[a : a + small]):
-                    self.counts[w] = int(count[k, len(raw[a + k])])
+            for a in range(0, len(raw), 20_000):
+                _, count = self.solve(raw[a : a + 20_000])
+                for row, w in zip(count, group[a : a + 20_000], strict=True):
+                    self.steps[w] = self._steps(w, row)
+
+    @staticmethod
+    def _steps(word: str, count: np.ndarray) -> bytes:
+        ends = np.arange(1, len(word) + 1) if word.isascii() else np.cumsum(np.fromiter((len(c.encode()) for c in word), np.int64, len(word)))
+        found = count[ends].astype(np.int64)
+        if word in _CONTRACTIONS:
+            found[1] = found[0] + 1
+        return np.diff(found, prepend=0).astype("<i2").tobytes()
 
     # -- whole texts
-    def inner_counts(self, words: set[str]) -> dict[str, np.ndarray]:
-        """Tokens of every non-empty prefix of these pre-tokens, by characters."""
-        by_width: dict[int, list[str]] = {}
-        for w in words:
-            by_width.setdefault(min(-(-len(w) // 4), WIDE), []).append(w)
-        out = {}
-        for group in by_width.values():
-            raw = [w.encode() for w in group]
-            small = 1 if max(map(len, raw)) > 4 * WIDE else 20_000
-            for a in range(0, len(raw), small):
-                _, count = self.solve(raw[a : a + small])
-                for row, w in zip(count, group[a : a + small], strict=True):
-                    ends = slice(1, len(w) + 1) if w.isascii() else np.cumsum([len(c.encode()) for c in w])
-                    out[w] = row[ends].astype(np.int64)
-        for w in _CONTRACTIONS:
-            if w in out:
-                out[w][1] = out[w][0] + 1
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text without added tokens, by the library's own splitter where other patterns might class its characters otherwise."""
+        if self.encoder.plain(text):
+            return PRETOKENS.findall(text)
+        return [text[a:b] for _, (a, b) in self.encoder.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def parts(self, text: str) -> list[tuple[list[str], str]]:
+        """The text as stretches between added tokens: (pre-tokens, the added token behind them)."""
+        if self.added is None or not self.added.search(text):
+            return [(self.split(text), "")]
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out.append((self.split(text[at : m.start()]), m[0]))
+            at = m.end()
+        return [*out, (self.split(text[at:]), "")]
+
+    def _stretch(self, words: list[str]) -> np.ndarray:
+        """Tokens of every prefix of a stretch whose pre-tokens are known."""
+        out = np.cumsum(np.frombuffer(b"".join(map(self.steps.__getitem__, words)), "<i2"), dtype=np.int64)
+        text = "".join(words)
+        # a prefix that ends with white space takes all of the white space before its end as one pre-token
+        for a, b in self._runs(text):
+            out[b - 1] = (out[a - 1] if a else 0) + self._total(text[a:b])
         return out
 
+    def _runs(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in self.spaces.finditer(text) if m.end() < len(text)]
+
+    def _total(self, word: str) -> int:
+        if word not in self.steps:
+            self.learn({word})
+        return int(np.frombuffer(self.steps[word], "<i2").sum())
+
+    def _whole(self, words: list[str]) -> int:
+        return sum(map(self._total, words))
+
+    def _counts(self, parts: list[tuple[list[str], str]]) -> np.ndarray:
+        out, base = [np.zeros(1, np.int64)], 0
+        for words, added in parts:
+            mine = self._stretch(words)
+            out.append(base + mine)
+            base += int(mine[-1]) if len(mine) else 0
+            if added:
+                # a part of an added token is text like any other, and may change the pre-token before it
+                tail = words[-3:]
+                before, end = base - self._whole(tail), "".join(tail)
+                out.append(np.array([*(before + self._whole(self.split(end + added[:k])) for k in range(1, len(added))), base + 1], np.int64))
+                base += 1
+        return np.concatenate(out)
+
+    def _learn_texts(self, split: list[list[tuple[list[str], str]]]) -> None:
+        words: set[str] = set()
+        for parts in split:
+            for mine, _ in parts:
+                words.update(mine)
+                text = "".join(mine)
+                words.update(text[a:b] for a, b in self._runs(text))
+        self.learn(words)
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of every prefix, by characters: entry i is the count of ``text[:i]`` encoded by itself."""
-        if not self.encoder.plain(text):
-            lib = self.encoder.library
-            return np.fromiter((len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)), np.int64, len(text) + 1)
-        words = PRETOKENS.findall(text)
-        out = np.zeros(len(text) + 1, np.int64)
-        if not words:
-            return out
-        # a prefix that ends with white space takes all of the white space before its end as one pre-token
-        runs = [m.span() for m in _SPACE_RUN.finditer(text) if m.end() < len(text)]
-        inner = self.inner_counts({*words, *(text[a:b] for a, b in runs)})
-        parts = [inner[w] for w in words]
-        whole = np.cumsum([p[-1] for p in parts])
-        out[1:] = np.concatenate(parts) + np.repeat(whole - [p[-1] for p in parts], [len(p) for p in parts])
-        for a, b in runs:
-            out[b] = out[a] + inner[text[a:b]][-1]
-        return out
-
-    def stats(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
-        """For each text: its tokens, and the characters of its longest prefix, cut between pre-tokens or inside one, that fits the limit."""
-        split = [PRETOKENS.findall(t) if self.encoder.plain(t) else None for t in texts]
-        self.learn(set().union(*(s for s in split if s)))
-        get, out = self.counts.__getitem__, []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                encoded = self.encoder.library.encode(text, add_special_tokens=False)
-                n = len(encoded.ids)
-                out.append((n, len(text) if n <= limit else encoded.offsets[limit][0]))
-                continue
-            counts = list(map(get, words))
-            n = sum(counts)
-            if n <= limit:
-                out.append((n, len(text)))
-                continue
-            total = np.cumsum(counts)
-            k = int(np.searchsorted(total, limit, "right"))
-            left = limit - (int(total[k - 1]) if k else 0)
-            _, inner = self.solve([words[k].encode()])
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in words[k]), np.int64, len(words[k])))
-            fit = np.flatnonzero(inner[0][ends] <= left)
-            out.append((n, sum(map(len, words[:k])) + (int(fit[-1]) + 1 if len(fit) else 0)))
+        parts = self.parts(text)
+        self._learn_texts([parts])
+        return self._counts(parts)
+
+    def stats(self, texts: list[str], limit: int) -> list[tuple[int, int, np.ndarray]]:
+        """For each text: its tokens, the characters of its longest prefix that fits the limit, and the counts of all prefixes."""
+        split = [self.parts(t) for t in texts]
+        self._learn_texts(split)
+        out = []
+        for text, parts in zip(texts, split, strict=True):
+            counts = self._counts(parts)
+            n = int(counts[-1])
+            out.append((n, len(text) if n <= limit else int(np.flatnonzero(counts <= limit)[-1]), counts))
         return out
 
 
 _ALPHABET = {b: c for c, b in byte_alphabet().items()}
-_SPACE_RUN = re.compile(r"\s{2,}")
+#: Characters that some library takes for white space; which ones a vocabulary's does is asked.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def _hash(raw: bytes) -> int:
@@ -226,11 +294,18 @@ def prefix_table(path: str) -> PrefixTable:
 
 def pack_counts(counts: np.ndarray) -> bytes:
     """Prefix counts as compressed differences; ``unpack_counts`` gives them back."""
-    return zlib.compress(np.diff(counts, prepend=0).astype("<i2").tobytes(), 1)
+    steps = np.diff(counts, prepend=0)
+    small = not len(steps) or (steps.min() >= -128 and steps.max() <= 127)
+    return (b"1" if small else b"2") + zlib.compress(steps.astype("<i1" if small else "<i2").tobytes(), 1)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<i2").astype(np.int64))
+    return np.cumsum(np.frombuffer(zlib.decompress(blob[1:]), "<i1" if blob[:1] == b"1" else "<i2").astype(np.int64))
+
+
+def truncated(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix within a budget of tokens, from stored counts."""
+    return int(np.flatnonzero(counts <= budget)[-1])
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", budget: int = 1024, store: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -239,21 +314,20 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", budget: int = 1
     With ``store`` also prefix_counts, the packed count at every prefix, for later questions. One
     narrow pass; nothing is shuffled.
     """
-    made = ["n_bytes", "n_tokens", "budget_chars", *(["prefix_counts"] if store else [])]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made and c != "__text"]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = source.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("budget_chars", "long")
-    if store:
-        schema = schema.add("prefix_counts", "binary")
+    made = [("n_bytes", "long"), ("n_tokens", "long"), ("budget_chars", "long"), *([("prefix_counts", "binary")] if store else [])]
+    given = Columns(docs, keep, [name for name, _ in made])
+    schema = given.schema(*made)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            found = table.stats(texts, budget)
-            columns = [*batch.columns[:-1], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())]
-            if store:
-                columns.append(pa.array([pack_counts(table.prefix_counts(t)) for t in texts], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *made])
-
-    return source.mapInArrow(count, schema)
+            raw, starts = text_buffer(batch.column(batch.num_columns - 1))
+            for a, b in chunks(starts):  # so that prefix counts of few texts are held at once
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(a, b - a).to_pylist()]
+                found = table.stats(texts, budget)
+                columns = [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(np.diff(starts[a : b + 1])), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))]
+                if store:
+                    columns.append(pa.array([pack_counts(f[2]) for f in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return given.named(given.frame.select(*given.passing(), given.text(text)).mapInArrow(count, schema))
