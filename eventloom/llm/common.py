@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +126,21 @@ def numbered(scratch: Scratch, ids: DataFrame) -> DataFrame:
     return placed.select("id", (F.element_at(F.array(*map(F.lit, before or [0])), F.col("part") + 1) + F.col("row")).cast("long").alias("number"))
 
 
+def by_number(scratch: Scratch, given: Columns, id: str, columns: list[Column], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over a table of id and these columns, with its id and component_id as whole numbers.
+
+    Ids that are no whole numbers are numbered in their order for it, and put back.
+    """
+    rows = given.frame.select(given.col(id).alias("id"), *columns)
+    if given.id_type(id) == "long":
+        return run(rows.withColumn("id", F.col("id").cast("long"))).withColumnRenamed("id", id)
+    numbers = numbered(scratch, rows.select("id"))
+    out = run(rows.join(numbers, "id", "left").drop("id").withColumnRenamed("number", "id").select("id", *rows.columns[1:]))
+    back = out.join(numbers.selectExpr("id name", "number id"), "id", "left").join(numbers.selectExpr("id component_name", "number component_id"), "component_id", "left")
+    names = {"id": "name", "component_id": "component_name"}
+    return back.select(*[F.col(names.get(c, c)).alias(id if c == "id" else c) for c in out.columns])
+
+
 # ---------------------------------------------------------------- text buffers
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, end to end, and where each text starts (one more entry than texts). Null: empty."""

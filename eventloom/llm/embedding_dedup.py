@@ -1,9 +1,9 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 Principal axes and a learned rotation turn a vector into a balanced binary code; two rotations from
-different starts give 128 bits. The first 64 bits, cut into substrings, key the tables, under which
+different starts give 128 bits. Substrings of them key the tables, under which
 a vector also stands with each single bit of the substring flipped: codes meet if a substring differs in at
-most two places. Vectors that meet and differ in few of the 128 bits are near; a bucket yields
+most two places. The width of the substrings grows with the number of vectors, and the number of tables with the width. Vectors that meet and differ in few of the 128 bits are near; a bucket yields
 a spanning forest of its near vectors, never their pairs, and the forests' components are the clusters
 in which vectors are compared. The original vectors then decide: within clusters, in blocks of
 bounded size, cosines in double precision give each vector's number of links and a forest of the links.
@@ -14,11 +14,13 @@ and no link below the threshold is ever made. Equal vectors are one class throug
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors link
 with those of their own length; each length that several have has axes, tables and clusters of its own. Null ids take part in counts as members of their class, and get no component.
-Repeated rows count as vectors of their own. Other columns are not read.
+Repeated rows count as vectors of their own. Parts of any finite size are compared. A very long vector is held whole by the tasks that compare it, with as many others as a block has.
+Ids that are no whole numbers are compared in their order. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch, components
+from eventloom.llm.common import Columns, Scratch, by_number, components
 
 #: Vectors that the axes and rotations are fitted on, and steps of that.
 SAMPLE, STEPS = 20_000, 30
-#: Bits of a substring, and places of 128 in which near codes differ at most.
-SUBSTRING, NEAR = 16, 36
-#: Vectors compared with as many others at once.
-BLOCK = 256
+#: Bits of a table's substring at least; they grow with the vectors so that a bucket of unrelated ones holds at most so many.
+SUBSTRING, LOAD = 16, 4096
+#: Share of pairs at the threshold that all tables may miss, and places of 128 by which near codes may differ beyond those expected.
+MISS, MARGIN = 0.03, 18
+#: Vectors compared with as many others at once, and codes.
+BLOCK, CODES = 256, 4096
 
 
 @dataclass
@@ -51,7 +55,27 @@ class Quantiser:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length 1; scaled by their largest part first, whose square may be no finite number."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def tables_for(n: int, threshold: float, least: int = SUBSTRING) -> tuple[list[np.ndarray], int]:
+    """The bits of each table's substring, and the places in which near codes differ at most.
+
+    Unrelated codes fill a bucket with n * (width + 1) / 2**width vectors. A pair at the threshold differs in each bit with probability
+    q; it meets in a table if it differs in at most two bits of the substring, and there are tables enough for ``MISS``.
+    """
+    width = least
+    while n * (width + 1) >> width > LOAD and width < 40:
+        width += 1
+    q = math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+    meet = sum(math.comb(width, k) * q**k * (1 - q) ** (width - k) for k in range(3))
+    count = min(64, max(1, math.ceil(math.log(MISS) / math.log(1 - meet)))) if meet < 1 else 1
+    rng, bits = np.random.default_rng(3), np.arange(64)  # the first code's bits, then both codes' in other orders
+    while len(bits) < count * width:
+        bits = np.concatenate([bits[: len(bits) // width * width], rng.permutation(128)])
+    return [bits[k * width : (k + 1) * width] for k in range(count)], min(64, round(128 * q) + MARGIN)
 
 
 def fit(vectors: np.ndarray, steps: int = STEPS) -> Quantiser:
@@ -81,11 +105,11 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dimension)
 
 
-def classes_of(vectors: DataFrame, id: str, column: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[int, int]]:
-    """(id and class key of every row, null where unusable; one row per class: rep, size, vector), and the classes of each length that several have."""
-    v = F.col(f"`{column}`").cast("array<double>")
+def classes_of(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """For vectors (id, v): (id and class key of every row, null where unusable; one row per class: rep, size, vector), and the classes of each length that several have."""
+    v = F.col("v").cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.when(good, v).alias("v"))
+    rows = vectors.select("id", F.when(good, v).alias("v"))
     # 0.0 and -0.0 are one number
     rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
@@ -141,19 +165,39 @@ def near_forest(rep: np.ndarray, codes: np.ndarray, near: int) -> list[tuple[int
     return edges
 
 
-def _forests(coded: DataFrame, substring: int, near: int) -> DataFrame:
-    """(a, b): spanning forests of the near vectors of every bucket."""
-    tables, mask = 64 // substring, (1 << substring) - 1
+def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool) -> DataFrame:
+    """key, rep, c0, c1 of every code in every table: its substring's bucket and, to flip, those with one bit of it changed."""
+    width = len(tables[0])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array([0, *(1 << k for k in range(substring))], np.int64)
+        flips = np.array([0, *(1 << k for k in range(width))] if flip else [0], np.int64)
         for batch in batches:
             rep, c0, c1 = (batch.column(k).to_numpy() for k in range(3))
-            for t in range(tables):
-                own = (c0.view(np.uint64) >> np.uint64(t * substring)).view(np.int64) & mask
-                key = (own[:, None] ^ flips[None, :]).ravel() | t << substring
+            bits = np.unpackbits(np.ascontiguousarray(np.stack([c0, c1], axis=1)).view(np.uint8).reshape(len(rep), 16), axis=1, bitorder="little")
+            for t, places in enumerate(tables):
+                own = bits[:, places].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                key = (own[:, None] ^ flips[None, :]).ravel() | t << width
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, len(flips))) for x in (rep, c0, c1))], names=["key", "rep", "c0", "c1"])
 
+    return coded.mapInArrow(place, "key long, rep long, c0 long, c1 long")
+
+
+def _hot(coded: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """key, blocks: the buckets that may hold more than about CODES codes, and the blocks to deal each into."""
+    width = len(tables[0])
+    own = _keys(coded, tables, False).groupBy("key").agg(F.count("*").alias("n")).where(f"n * {width + 1} > {CODES}")
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(width)))
+    near = own.select(F.explode(F.transform(flips, lambda x: F.col("key").bitwiseXOR(x))).alias("key"), "n")
+    return near.groupBy("key").agg(F.ceil((F.sum("n") + CODES) / CODES).cast("int").alias("blocks"))
+
+
+def _forests(scratch: Scratch, coded: DataFrame, tables: list[np.ndarray], near: int, name: str) -> DataFrame:
+    """(a, b): edges that join all near vectors of every bucket, directly or through others.
+
+    A bucket that is too large for a task is dealt into blocks: each block has its forest, and all its members that are near its
+    least one are joined with that. Of the buckets that then still hold several components, blocks are compared two by two, across components only.
+    """
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -187,8 +231,52 @@ def _forests(coded: DataFrame, substring: int, near: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     spread = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = coded.mapInArrow(place, "key long, rep long, c0 long, c1 long")
-    return placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
+    placed = _keys(coded, tables, True)
+    hot = scratch.save(_hot(coded, tables), f"{name}-hot")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= 500_000 else hot  # rows of 12 bytes
+        dealt = placed.join(hot, "key", "left").withColumn("block", F.expr("cast(if(blocks is null, 0, pmod(xxhash64(rep), blocks)) as bigint)"))
+        members = scratch.save(dealt.where("blocks is not null"), f"{name}-members")
+        placed = dealt.select((F.col("key") + F.shiftleft("block", 47)).alias("key"), "rep", "c0", "c1")
+    found = placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
+    found = scratch.save(found, f"{name}-forests")
+    if not n_hot:
+        return found
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "c0", "c1")).alias("hub"))
+    apart = F.bit_count(F.col("c0").bitwiseXOR(F.col("hub.c0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("hub.c1")))
+    stars = members.join(hubs, "key").where((apart <= near) & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    found = scratch.save(found.unionByName(stars), f"{name}-stars")
+    first = components(scratch, found, f"{name}-first")
+    members = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rows = members.join(mixed, "key").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "c0", "c1")
+
+    def across(table):
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, rep, component = (table.column(c).to_numpy() for c in ("block", "rep", "component"))
+        codes = np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in ("c0", "c1")], axis=1)).view(np.uint64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for a in range(0, len(left), 128):
+            mine = left[a : a + 128]
+            hit = (_distance(codes[mine][:, None, :], codes[right][None, :, :]) <= near) & (component[mine][:, None] != component[right][None, :])
+            for x, y in zip(*(k.tolist() for k in np.nonzero(hit)), strict=True):
+                p, q = find(int(component[mine[x]])), find(int(component[right[y]]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(rep[mine[x]]), int(rep[right[y]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return scratch.save(found.unionByName(rows.groupBy("key", "i", "j").applyInArrow(across, "a long, b long")), f"{name}-all")
 
 
 def _small_forest(rep: np.ndarray, codes: np.ndarray, near: int) -> list[tuple[int, int]]:
@@ -257,10 +345,15 @@ def _links(clusters: DataFrame, classes: DataFrame, threshold: float, dimension:
     return rows.groupBy("component", "i", "j").applyInArrow(compare, "rep long, n long, b long")
 
 
-def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embedding", threshold: float = 0.9, substring: int = SUBSTRING, near: int = NEAR) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embedding", threshold: float = 0.9, substring: int = SUBSTRING) -> DataFrame:
     """id, n_links, component_id and kept for every row; rows are linked where their cosine reaches the threshold."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows, classes, dimensions = classes_of(vectors, id, column, scratch)
+    given = Columns(vectors)
+    return by_number(scratch, given, id, [given.col(column).alias("v")], lambda rows: _linked(scratch, rows, threshold, substring))
+
+
+def _linked(scratch: Scratch, vectors: DataFrame, threshold: float, substring: int) -> DataFrame:
+    rows, classes, dimensions = classes_of(vectors, scratch)
     if dimensions:
         links = None
         for dimension, n in dimensions.items():
@@ -269,8 +362,8 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embed
                 clusters = mine.where("rep is not null").select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("component"))
             else:
                 coded = scratch.save(_sent(mine, quantiser_for(mine, dimension), dimension), f"coded-{dimension}")
-                forests = scratch.save(_forests(coded, substring, near), f"forests-{dimension}")
-                clusters = components(scratch, forests, f"clusters-{dimension}")
+                tables, near = tables_for(n, threshold, substring)
+                clusters = components(scratch, _forests(scratch, coded, tables, near, f"near-{dimension}"), f"clusters-{dimension}")
             part = scratch.save(_links(clusters, mine, threshold, dimension), f"links-{dimension}")
             links = part if links is None else links.unionByName(part)
         found = components(scratch, links.where("b is not null").selectExpr("rep a", "b"), "all")
@@ -281,4 +374,4 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embed
         labels = classes.select("key", (F.col("size") - 1).alias("n_links"), F.col("rep").alias("component"))
     labels = scratch.save(labels, "labels")
     out = rows.join(labels, "key", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.expr("if(key is null, id, component)").alias("component_id"))
-    return out.select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

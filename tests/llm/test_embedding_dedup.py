@@ -3,7 +3,8 @@ import math
 import numpy as np
 import pytest
 
-from eventloom.llm.embedding_dedup import _small_forest, fit, near_duplicates, near_forest, unit
+from eventloom.llm import embedding_dedup
+from eventloom.llm.embedding_dedup import _small_forest, fit, near_duplicates, near_forest, tables_for, unit
 
 
 def brute(rows, threshold=0.9):
@@ -100,3 +101,46 @@ def test_every_length_is_linked(spark):
     got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     want = sorted(r for d in (64, 48, 3, 2, 1) for r in brute([x for x in rows if len(x[1]) == d]))
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+
+
+def test_large_and_small_numbers_and_ids_of_strings(spark):
+    rows = [("a", [1e200, 1e200]), ("b", [1.0, 1.0]), ("c", [1e-300, 1e-300]), ("d", [5e-324, 0.0]), ("e", [3.0, 0.0]), ("ü", [1e308, -1e308]), (None, [1.0, 1.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {("a", 3, "a", True), ("b", 3, "a", False), ("c", 3, "a", False), ("d", 1, "d", True), ("e", 1, "d", False), ("ü", 0, "ü", True), (None, 3, "a", False)}
+
+
+def test_hot_buckets_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CODES", 40)
+    rng = np.random.default_rng(13)
+    hot = [rng.standard_normal(32)]
+    for _ in range(400):  # a chain of near vectors
+        hot.append(hot[-1] + 0.06 * rng.standard_normal(32))
+    base = rng.standard_normal((100, 32))
+    rows = list(enumerate([*(x.tolist() for x in hot), *(b.tolist() for b in base), *((b + 0.05 * rng.standard_normal(32)).tolist() for b in base)]))
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = brute(rows)
+    mine = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got)
+    assert sum(r[1] for r in mine) >= 0.99 * sum(r[1] for r in want)
+    assert sum(a == b for a, b in zip(mine, want)) >= 0.99 * len(want)
+
+
+def test_tables_grow_with_the_vectors():
+    for n, width in ((10**4, 16), (10**7, 16), (10**9, 23), (10**10, 27)):
+        tables, near = tables_for(n, 0.9)
+        assert abs(len(tables[0]) - width) <= 1 and n * (len(tables[0]) + 1) >> len(tables[0]) <= 4096 and near == 36
+        assert all(len(np.unique(t)) == len(t) for t in tables)
+
+
+@pytest.mark.parametrize("substring", [16, 24])
+def test_recall_at_the_threshold(substring):
+    """Of pairs just above the threshold, tables of either width bring more than nine in ten together."""
+    rng = np.random.default_rng(17)
+    x = unit(rng.standard_normal((4000, 64)))
+    y = rng.standard_normal((4000, 64))
+    y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    y = 0.905 * x + math.sqrt(1 - 0.905**2) * y
+    quantiser = fit(np.concatenate([x, y]))
+    a, b = (np.unpackbits(quantiser.codes(v).view(np.uint8).reshape(len(v), 16), axis=1, bitorder="little") for v in (x, y))
+    tables, near = tables_for(1000, 0.9, substring)
+    met = np.any([(a[:, t] != b[:, t]).sum(axis=1) <= 2 for t in tables], axis=0) & ((a != b).sum(axis=1) <= near)
+    assert met.mean() > 0.9
