@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from eventloom.llm.decontamination import _masks, annotate, axes, common_subsequence, contaminated, models_for, windows, words_of
+from eventloom.llm import decontamination
+from eventloom.llm.decontamination import ANSWER, COVERED, NEARLY_ALL, TILE, _masks, annotate, axes, common_subsequence, contaminated, models_for, windows, words_of
 
 
 def lcs(a, b):
@@ -65,12 +66,14 @@ def corpus():
     return docs, {k: " ".join(v) for k, v in items.items()}, truth
 
 
-@pytest.mark.parametrize("block", [1000, 15])
-def test_planted_passages(spark, block):
+@pytest.mark.parametrize("block,together", [(256, 16), (15, 2)])
+def test_planted_passages(spark, monkeypatch, block, together):
+    monkeypatch.setattr(decontamination, "WINDOWS", block)
+    monkeypatch.setattr(decontamination, "TOGETHER", together)
     docs, items, truth = corpus()
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs.items()] + [(None, None, "x"), (1000, "", "x")], "doc_id long, text string, matches string")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items.items()] + [(None, "a b c d e f", 1), (77, None, 1), (78, "yes", 1)], "item_id long, text string, doc_id int")
-    found = annotate(frame, models_for(frame, bench, block=block)).collect()
+    found = annotate(frame, models_for(frame, bench)).collect()
     assert len(found) == 402
     got = {(r.doc_id, m.item) for r in found for m in r.matches}
     assert got == truth
@@ -105,3 +108,38 @@ def test_many_near_orthogonal_items(spark):
     got = [(r.doc_id, r.item_id) for r in contaminated(frame, bench).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(k, k) for k in items}
+
+
+def test_short_items_and_items_without_id(spark):
+    items = [(1, "quick brown fox jumps"), (2, "Paris"), (3, "the of the of the of"), (None, "no id but five words"), (1, "another text of item one")]
+    docs = [(10, "The quick brown fox jumps!"), (11, "quick brown the fox jumps"), (12, "in paris, now"), (13, "parisian"), (14, "x " * 500 + "the of the of the of " + "y " * 500), (15, "with no id but five words"), (16, "another text of item one"), (17, "fox"), (18, "quick brown"), (19, "fox jumps quick brown")]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(10, 1), (12, 2), (14, 3), (15, None), (16, 1)}
+    named = spark.createDataFrame([(f"d{i}", t, "x") for i, t in docs], "doc_id string, text string, Matches string")
+    found = annotate(named, models_for(named, spark.createDataFrame([(f"i{i}", t) for i, t in items], "item_id string, text string")))
+    assert found.columns == ["doc_id", "text", "matches"]
+    assert {(r.doc_id, m.item) for r in found.collect() for m in r.matches} == {("d10", "i1"), ("d12", "i2"), ("d14", "i3"), ("d15", "iNone"), ("d16", "i1")}
+
+
+def test_against_all_pairs(spark):
+    """Every document and item of the small tables: what the longest common subsequence confirms anywhere in a document is found, and nothing else."""
+    folder = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    parts = [w for r in bench.collect() for w in windows(r.item_id, r.text)]
+    masks = [(_masks(w.words), _masks(w.words[w.answer :])) for w in parts]
+    want = set()
+    for r in docs.collect():
+        words = words_of(r.text or "").tolist()
+        held = set(words)
+        for w, (whole, answer) in zip(parts, masks):
+            n = len(w.words)
+            if sum(x in held for x in w.words.tolist()) < COVERED * n:
+                continue
+            for a in range(0, max(1, len(words) - n), TILE):
+                around = words[max(0, a - n) : a + 2 * TILE + n]
+                covered = common_subsequence(whole, n, around) / n
+                if covered >= COVERED and (covered >= NEARLY_ALL or common_subsequence(answer, n - w.answer, around) / (n - w.answer) >= ANSWER):
+                    want.add((r.doc_id, w.item))
+                    break
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert got == want and want
