@@ -8,9 +8,11 @@ registers give candidates; registers, corrected for chance collisions, estimate
 what is near the threshold is confirmed on full sets.
 
 Equal sets are one class first. Within a band's bucket each class is paired with the smallest one.
-The confirmed links give components; buckets that then still hold several components have all their
-pairs across components compared, in blocks of bounded size: first by registers, then on full sets.
-Pairs inside a component need no comparison, as they change nothing. So components are those of all
+The confirmed links give components. In buckets that then still hold several, pairs across components are compared
+by registers, in blocks of bounded size, and each component's best candidate is confirmed; that goes on while it joins many. Only
+classes that still have a candidate in another component are then compared with all of those on full sets, in smaller blocks.
+Pairs inside a component need no comparison, as they change nothing, so that the members of a bucket's largest component are never
+sent to one another. So components are those of all
 links, and no step emits all pairs of a group: a block emits links that join what was apart.
 
 Defined results: null texts and texts without words have an empty set, size 0, and are linked with
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACES, Scratch, chunks, components, mix, signed, text_buffer, word_hashes
+from eventloom.llm.common import SPACES, Columns, Scratch, by_number, chunks, components, mix, signed, text_buffer, word_hashes
 
 REGISTERS = 128
 #: Registers in a band. At similarity 0.8 a linked pair shares none of the 32 bands with probability 5e-8.
@@ -36,8 +38,8 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Pairs whose estimate is this far under the threshold are not confirmed; the estimate's deviation is at most 0.045.
 SLACK = 0.2
-#: Classes, and shingles, of a bucket that are compared at once with as many others; bounds a task's memory.
-BLOCK, BLOCK_SHINGLES = 512, 1_500_000
+#: Classes, and shingles, of a bucket that are compared on full sets at once with as many others, and by registers; bounds a task's memory.
+BLOCK, BLOCK_SHINGLES, BLOCK_REGISTERS = 512, 1_500_000, 1024
 
 _ONE = np.uint64(1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -148,9 +150,8 @@ def _binaries(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
 
-def sketches(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """id, n_shingles, two hashes of the set (null if it is empty) and its registers."""
-    source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """For documents (id, text): id, n_shingles, two hashes of the set (null if it is empty) and its registers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +172,7 @@ def sketches(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
                     names=["id", "n_shingles", "h1", "h2", "sig"],
                 )
 
-    return source.mapInArrow(sketch, "id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(sketch, "id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -215,10 +216,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(keep, "a long, b long")
 
 
-def _sets(docs: DataFrame, id: str, text: str, size: int, reps: DataFrame) -> DataFrame:
-    """The full sets of these classes (at, h1, h2), each from the document that the class is named after."""
-    source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    source = source.join(reps, source["id"] == reps["at"]).select("at", "h1", "h2", "text")
+def _sets(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
+    """The full sets of these classes (at, h1, h2), each from the document (id, text) that the class is named after."""
+    source = docs.join(reps, docs["id"] == reps["at"]).select("at", "h1", "h2", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,22 +234,84 @@ def _sets(docs: DataFrame, id: str, text: str, size: int, reps: DataFrame) -> Da
     return source.mapInArrow(build, "rep long, hashes binary")
 
 
-def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a bucket, enough of them to join all that are linked.
+def _mixed(members: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """band, key, rep, component, and whether that is the bucket's largest, of the buckets that hold several components. Of buckets with the same members one stays."""
+    placed = members.join(found, members["rep"] == found["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1")
+    most = most.join(shared.select("band", "key", "m1", "m2", "n"), ["band", "key"])
+    most = most.groupBy("m1", "m2", "n").agg(F.min(F.struct("band", "key", "most")).alias("b")).select("b.band", "b.key", F.col("b.most.component").alias("most"))
+    return placed.join(most, ["band", "key"]).select("band", "key", "rep", "component", (F.col("component") == F.col("most")).alias("large"))
+
+
+def _dealt(rows: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
+    """The rows (band, key, rep, large, n_shingles, ...) in groups (band, key, i, j) of two blocks each. Blocks of the large component meet the others' only."""
+    def count(what: str) -> Column:
+        by_rows = F.sum(F.expr(f"if({what}, 1, 0)")) / block
+        return F.ceil(by_rows if shingles is None else F.greatest(by_rows, F.sum(F.expr(f"if({what}, n_shingles, 0)")) / shingles)).cast("int")
+
+    blocks = rows.groupBy("band", "key").agg(count("not large").alias("few"), count("large").alias("many")).where("few > 0")
+    rows = rows.join(blocks, ["band", "key"])
+    rows = rows.withColumn("block", F.expr("cast(if(large, few + pmod(xxhash64(rep), greatest(many, 1)), pmod(xxhash64(rep), few)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("if(large, sequence(0, few - 1), sequence(0, few + many - 1))")))
+    return rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *[c for c in rows.columns if c not in ("band", "key", "few", "many", "other", "large")])
+
+
+def _near_rows(table: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows of other components whose registers come near, estimates) for the rows of a group's first block; each pair in the first band that it shares."""
+    band = table.column("band")[0].as_py()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    block = table.column("block").to_numpy()
+    rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+    sig = _matrix(table.column("sig").combine_chunks())
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for x in left.tolist():
+        y = right[component[right] != component[x]]
+        y = y[(rep[y] > rep[x])] if i == j else y
+        y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
+        if not len(y):
+            continue
+        same = sig[y] == sig[x]
+        mine = same.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        y, same = y[mine], same[mine]
+        chance = collision_rate(n[y], np.full(len(y), n[x]))
+        near = (same.mean(axis=1) - chance) / (1 - chance)
+        ok = near >= threshold - SLACK
+        if ok.any():
+            yield x, y[ok], near[ok]
+
+
+def _suspects(mixed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """band, key, rep of the classes with a candidate in another component, by registers; with each component's best candidate (a, b) in each two blocks."""
+    rows = _dealt(mixed.join(classes.select("rep", "n_shingles", "sig"), "rep"), BLOCK_REGISTERS)
 
-    ``members``: band, key, rep, component of the buckets with several components, and the bucket's number of blocks.
-    """
-    rows = members.join(classes.select("rep", "n_shingles", "sig"), "rep").join(sets, "rep")
-    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sig", "hashes")
+    def compare(table):
+        rep, component = (table.column(c).to_numpy() for c in ("rep", "component"))
+        flagged: set[int] = set()
+        best: dict[int, tuple[float, int, int]] = {}
+        for x, ys, near in _near_rows(table, threshold):
+            flagged.add(x)
+            flagged.update(ys.tolist())
+            for y, e in zip(ys.tolist(), near.tolist(), strict=True):
+                pair = (e, -int(min(rep[x], rep[y])), -int(max(rep[x], rep[y])))
+                for c in (int(component[x]), int(component[y])):
+                    if c not in best or pair > best[c]:
+                        best[c] = pair
+        marks, pairs = sorted(flagged), sorted({(-a, -b) for _, a, b in best.values()})
+        n = len(marks) + len(pairs)
+        band, key = table.column("band")[0].as_py(), table.column("key")[0].as_py()
+        none = [None] * len(marks)
+        return pa.table({"band": pa.array([band] * n, pa.int32()), "key": pa.array([key] * n, pa.binary()), "rep": pa.array([*rep[marks].tolist(), *[None] * len(pairs)], pa.int64()), "a": pa.array([*none, *(a for a, _ in pairs)], pa.int64()), "b": pa.array([*none, *(b for _, b in pairs)], pa.int64())})
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "band int, key binary, rep long, a long, b long")
+
+
+def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough of them to join all that are linked."""
+    rows = _dealt(mixed.join(classes.select("rep", "n_shingles", "sig"), "rep"), BLOCK, BLOCK_SHINGLES).join(sets, "rep")
 
     def compare(table):
-        band = table.column("band")[0].as_py()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = table.column("block").to_numpy()
         rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        sig = _matrix(table.column("sig").combine_chunks())
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
         root: dict[int, int] = {}
 
@@ -258,22 +320,8 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
                 c = root[c]
             return c
 
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[tuple[int, int]] = []
-        for x in left.tolist():
-            y = right[component[right] != component[x]]
-            y = y[(rep[y] > rep[x])] if i == j else y
-            y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
-            if not len(y):
-                continue
-            same = sig[y] == sig[x]
-            # a pair is compared in the first band that it shares
-            mine = same.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            y, same = y[mine], same[mine]
-            chance = collision_rate(n[y], np.full(len(y), n[x]))
-            y = y[(same.mean(axis=1) - chance) / (1 - chance) >= threshold - SLACK]
-            if not len(y):
-                continue
+        for x, y, _ in _near_rows(table, threshold):
             own = hashes[x]
             flat = np.concatenate([hashes[k] for k in y.tolist()])
             at = np.searchsorted(own, flat)
@@ -294,38 +342,50 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
     Rows are linked where 100 * intersection >= percent * union of their sets of ``size``-word shingles.
     """
-    threshold = percent / 100
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.save(sketches(docs, id, text, size), "rows")
+    given = Columns(docs)
+    return by_number(scratch, given, id, [given.text(text).alias("text")], lambda rows: _linked(scratch, rows, size, percent))
+
+
+def _linked(scratch: Scratch, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    threshold = percent / 100
+    rows = scratch.save(sketches(docs, size), "rows")
     classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = scratch.save(classes.withColumn("rep", F.col("at")), "classes")
-    bands = classes.where("rep is not null").select("rep", F.explode(F.expr(f"sequence(0, {BANDS - 1})")).alias("band"), "n_shingles", "sig").selectExpr("rep", "band", "n_shingles", f"substring(sig, 1 + band * {2 * ROWS}, {2 * ROWS}) key")
+    bands = classes.where("rep is not null").select("rep", F.explode(F.expr(f"sequence(0, {BANDS - 1})")).alias("band"), "sig").selectExpr("rep", "band", f"substring(sig, 1 + band * {2 * ROWS}, {2 * ROWS}) key")
     named = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in (1, 2)]  # of the bucket's members
-    shared = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"), *named).where("n > 1"), "shared")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    members = scratch.save(bands.drop("n_shingles").join(shared.select("band", "key", "hub", blocks), ["band", "key"]), "members")
+    shared = scratch.save(bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), *named).where("n > 1"), "shared")
+    members = scratch.save(bands.join(shared.select("band", "key", "hub"), ["band", "key"]), "members")
 
     involved = members.select("rep").distinct().join(classes.select("rep", "at", "h1", "h2"), "rep")
-    sets = _sets(docs, id, text, size, involved)
+    sets = _sets(docs, size, involved)
     if rows.where("id is not null").groupBy("id", "h1", "h2").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["rep"])
     sets = scratch.save(sets, "sets")
     stars = members.where("rep <> hub").selectExpr("rep a", "hub b").distinct()
-    links = scratch.save(_confirmed(_near(stars, classes, threshold), sets, percent), "links")
-    found = components(scratch, links, "first")
-
-    placed = members.join(found, members["rep"] == found["node"], "left").select("band", "key", "rep", "blocks", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    # of buckets with the same members the one of the first band has all their pairs
-    mixed = mixed.join(shared, ["band", "key"]).groupBy("m1", "m2", "n").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
-    more = scratch.save(_across(placed.join(mixed, ["band", "key"]), classes, sets, threshold, percent), "across")
-    found = components(scratch, links.unionByName(more), "all")
-    scratch.drop("shared", "members", "across")
+    links = scratch.save(_confirmed(_near(stars, classes, threshold), sets, percent), "links-0")
+    found, step = components(scratch, links, "cc-0"), 0
+    while True:
+        mixed = scratch.save(_mixed(members, shared, found), f"mixed-{step}")
+        suspects = scratch.save(_suspects(mixed, classes, threshold), f"suspects-{step}")
+        pairs = scratch.save(suspects.where("a is not null").select("a", "b").distinct(), f"pairs-{step}")
+        step += 1
+        new = scratch.save(_confirmed(pairs, sets, percent), f"links-{step}")
+        joined = new.count()
+        if joined:
+            links = links.unionByName(new)
+            found = components(scratch, links, f"cc-{step}")
+        if 10 * joined <= pairs.count():  # most candidates aren't linked: what is left is compared on full sets
+            break
+    left = suspects.where("rep is not null").select("band", "key", "rep").distinct()
+    if left.limit(1).count():
+        mixed = scratch.save(_mixed(members.join(left, ["band", "key", "rep"], "left_semi"), shared, found), f"mixed-{step}")
+        more = scratch.save(_across(mixed, classes, sets, threshold, percent), "across")
+        found = components(scratch, links.unionByName(more), "all")
 
     labels = classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    scratch.save(labels, "labels")
-    labels = docs.sparkSession.read.schema(labels.schema).parquet(scratch.path("labels"))
-    scratch.drop("sets", "classes", "links")
+    labels = scratch.save(labels, "labels")
+    scratch.drop("sets", "classes", "shared", "members", "across", *(f"{x}-{k}" for x in ("links", "mixed", "suspects", "pairs") for k in range(step + 1)))
     out = rows.select("id", "n_shingles", "h1", "h2").join(labels, ["h1", "h2"], "left")
     out = out.select("id", "n_shingles", F.expr("if(h1 is null, id, component)").alias("component_id"))
-    return out.select(F.col("id").alias(id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
