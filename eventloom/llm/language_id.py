@@ -6,12 +6,14 @@ among n + q, for n bytes seen and q different ones; any other costs the escape q
 context one byte shorter, down to a uniform byte. The statistics are frozen, so the exact code length of a text under every
 language is a sum of table entries. The shortest wins; the score is its posterior under equal priors.
 
-The trees of all languages share their nodes. A node's number follows from that of the gram without
-its last byte, so one table look-up a level finds the nodes for every position of many texts at once.
+The trees of all languages share their nodes, of which all are kept. A node's number follows from that of the gram without
+its last byte, so one table look-up a level finds the nodes for every position of many texts at once; a level with
+too many nodes for a table is searched instead, with the same result.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 no language was learned. Ties go to the language first in order. Rows with null language or null text teach nothing.
-Repeated rows are each predicted; other columns pass through, and an output column that clashes with one replaces it.
+Repeated rows are each predicted. A very long text is a step of its own, whole, and its worker holds some numbers for each of its bytes. Other columns pass through, and an output
+column that clashes with one, in any case of letters, replaces it.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import chunks, text_buffer
+from eventloom.llm.common import Columns, chunks, text_buffer
 
 #: Bytes of the longest context.
 ORDER = 4
-#: Labelled rows that teach, over all languages, each with an equal share; chosen by a hash of the row.
-MAX_ROWS = 1600
-#: Nodes kept of each gram length, the most frequent first.
-MAX_NODES = 200_000
+#: Labelled rows that teach, over all languages, each with an equal share, and their bytes of text; chosen by a hash of the row.
+MAX_ROWS, MAX_BYTES = 1600, 16 << 20
+#: Entries of a level's table of nodes; a larger one is searched.
+TABLE = 32_000_000
 #: Bytes of text scored in one step.
 STEP_BYTES = 1 << 20
 
@@ -66,7 +68,7 @@ class Model:
         return self.__dict__ | {"_tables": None}
 
     def tables(self):
-        """Byte classes, child tables, costs and escapes, with row 0 for what is not in the tree."""
+        """Byte classes, child tables (None for a level that is searched), costs and escapes, with row 0 for what is not in the tree."""
         if self._tables is None:
             seen = self.codes[0]
             classes = np.zeros(256, np.int64)
@@ -74,6 +76,9 @@ class Model:
             width = len(seen) + 1
             children = []
             for level in range(1, len(self.codes)):
+                if (len(self.codes[level - 1]) + 1) * width > TABLE:
+                    children.append(None)
+                    continue
                 table = np.zeros((len(self.codes[level - 1]) + 1, width), np.int32)
                 parent = np.searchsorted(self.codes[level - 1], self.codes[level] >> 8) + 1
                 table[parent, classes[self.codes[level] & 255]] = np.arange(1, len(self.codes[level]) + 1)
@@ -84,6 +89,13 @@ class Model:
             self._tables = classes, width, children, cost, [pad(x) for x in self.escape[:-1]]
         return self._tables
 
+    def _searched(self, level: int, before: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Nodes of a level from those of the gram without its last byte."""
+        code = self.codes[level - 1][np.maximum(before - 1, 0)] << 8 | raw
+        at = np.searchsorted(self.codes[level], code)
+        at[at == len(self.codes[level])] = 0
+        return np.where((before > 0) & (self.codes[level][at] == code), at + 1, 0) if len(self.codes[level]) else np.zeros(len(raw), np.int64)
+
     def code_lengths(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of every text under every language."""
         classes, width, children, cost, escape = self.tables()
@@ -95,10 +107,13 @@ class Model:
         begin = starts[filled]
         byte = classes[raw]
         nodes = [byte]
-        for table in children:
+        for level, table in enumerate(children, 1):
             before = np.empty(n, np.int64)
             before[0], before[1:] = 0, nodes[-1][:-1]
             before[begin] = 0
+            if table is None:
+                nodes.append(self._searched(level, before, raw))
+                continue
             before *= width
             before += byte
             nodes.append(table[before].astype(np.int64))
@@ -121,7 +136,7 @@ class Model:
         return out
 
 
-def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]], max_nodes: int = MAX_NODES) -> Model:
+def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model from (sorted grams, counts (gram, language)) of each gram length."""
     codes, cost, escape = [], [], []
     lower_codes, lower_cost = None, None
@@ -138,52 +153,35 @@ def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]], max
             leave = np.where(known, -np.log2(q / (n + q)), 0.0)
             direct = -np.log2(count / (n + q)[where])
         if level:
-            keep = np.ones(len(code), bool)
-            if len(code) > max_nodes:
-                total = count.sum(axis=1)
-                keep = total > np.sort(total)[-max_nodes - 1]
-            at = np.searchsorted(lower_codes, code & ((1 << 8 * level) - 1))
-            at[at == len(lower_codes)] = 0
-            under = lower_cost[at]
-            # a gram stays only if the gram without its first and without its last byte do
-            keep &= lower_codes[at] == code & ((1 << 8 * level) - 1)
-            parent = np.searchsorted(lower_codes, context)
-            parent[parent == len(lower_codes)] = 0
-            keep &= lower_codes[parent] == context
+            # what follows a context follows it without its first byte too, so both are in the tree
+            under = lower_cost[np.searchsorted(lower_codes, code & ((1 << 8 * level) - 1))]
             slot = np.zeros((len(lower_codes), len(languages)))
-            here = np.searchsorted(lower_codes, names)
-            here[here == len(lower_codes)] = 0
-            ok = lower_codes[here] == names
-            slot[here[ok]] = leave[ok]
+            slot[np.searchsorted(lower_codes, names)] = leave
             out_escape.append(slot)
         else:
-            keep = np.ones(len(code), bool)
             under = np.full((len(code), len(languages)), 8.0)
             root = leave[0] if len(leave) else np.zeros(len(languages))
         bits = np.where(count > 0, direct, leave[where] + under)
-        lower_codes, lower_cost = code[keep], bits[keep]
+        lower_codes, lower_cost = code, bits
         codes.append(lower_codes)
         cost.append(lower_cost)
     escape = [*out_escape, root]
     return Model(languages, codes, cost, escape)
 
 
-def _source(docs: DataFrame, text: str, *columns) -> DataFrame:
-    return docs.select(*columns, F.col(f"`{text}`").cast("string").alias("__text"))
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", order: int = ORDER, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", order: int = ORDER, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """The model from these rows; leave held-out rows out of ``docs``. The driver gets gram counts of the bounded sample."""
-    taught = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    total = {r[0]: r[1] for r in taught.groupBy(F.col(f"`{lang}`")).count().collect()}  # one row a language
+    given = Columns(docs)
+    taught = given.frame.select(given.col(id).alias("id"), given.text(text).alias("text"), given.text(lang).alias("lang")).where("lang is not null and text is not null")
+    total = {r["lang"]: r for r in taught.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}  # one row a language
     languages = sorted(total)
     if not languages:
         return Model([], [], [], [])
-    share = max_rows / len(languages)
-    rate = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, min(1.0, share / v))])
+    rate = {k: min(1.0, max_rows / len(languages) / r["n"], max_bytes / len(languages) / max(r["bytes"], 1)) for k, r in total.items()}
+    rates = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
     number = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
-    spread = F.pmod(F.xxhash64(F.col(f"`{id}`"), F.length(F.col(f"`{text}`"))), F.lit(1 << 30)) / float(1 << 30)
-    sample = _source(taught.where(spread < rate[F.col(f"`{lang}`")]), text, number[F.col(f"`{lang}`")].alias("lang"))
+    spread = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
+    sample = taught.where(spread < rates[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +208,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 
 def predict(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The columns with lang_pred, score and bits, the shortest code length."""
-    made = ["lang_pred", "score", "bits"]
-    columns = [c for c in (docs.columns if columns is None else columns) if c not in (*made, "__text", "__letter")]
-    source = _source(docs, text, *[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = source.drop("__text", "__letter").schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by MAX_NODES a level
+    given = Columns(docs, columns, ("lang_pred", "score", "bits"))
+    schema = given.schema(("lang_pred", "string"), ("score", "double"), ("bits", "double"))
+    words = given.text(text)
+    source = given.frame.select(*given.passing(), F.coalesce(words.rlike(r"\p{L}"), F.lit(False)).alias("letter"), words.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the bounded sample
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -232,8 +230,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", columns: list[str
                     score[a:b] = 1 / np.exp2(np.maximum(low[:, None] - length, -1000)).sum(axis=1)
                 best[~letter], score[~letter] = len(model.languages), 0.0
             columns = [*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score), pa.array(bits)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], *made])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(apply, schema)
+    return given.named(source.mapInArrow(apply, schema))
 
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from eventloom.llm import language_id
 from eventloom.llm.language_id import Model, build, grams, predict, train
 
 
@@ -37,8 +38,10 @@ def bits(text, seen, order):
     return total
 
 
-@pytest.mark.parametrize("order", [1, 2, 4])
-def test_code_lengths_against_one_byte_at_a_time(order):
+@pytest.mark.parametrize("order,table", [(1, None), (2, None), (4, None), (4, 50), (3, 0)])
+def test_code_lengths_against_one_byte_at_a_time(monkeypatch, order, table):
+    if table is not None:  # levels beyond the bound are searched
+        monkeypatch.setattr(language_id, "TABLE", table)
     rnd = random.Random(order)
     make = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))).encode()
     learn = [[make("abc d") for _ in range(20)], [make("bcdé ") for _ in range(20)]]
@@ -89,3 +92,27 @@ def test_nothing_learned(spark):
     model = train(frame)
     assert isinstance(model, Model) and [r.lang_pred for r in predict(frame, model).collect()] == ["und"]
     assert predict(frame.limit(0), model).count() == 0
+
+
+def test_query_against_trees_of_all_taught_rows(spark):
+    import zlib
+
+    from eventloom.llm.queries import op1_language_id
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    taught = [r for r in docs if not held[r.doc_id] and r.lang and r.text is not None]  # all of them, as the table is small
+    languages = sorted({r.lang for r in taught})
+    seen = [tree([r.text.lower().encode() for r in taught if r.lang == x], 4) for x in languages]
+    got = {r.doc_id: r for r in op1_language_id(spark, folder).collect()}
+    assert len(got) == len(docs) and all(got[i].held_out == h for i, h in held.items())
+    for r in docs:
+        text = (r.text or "").lower().encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+        elif len(text) < 1500:
+            lengths = [bits(text, s, 4) for s in seen]
+            assert got[r.doc_id].lang_pred == languages[int(np.argmin(lengths))]
+            assert math.isclose(got[r.doc_id].bits, min(lengths), rel_tol=1e-3)
+            assert math.isclose(got[r.doc_id].score, 1 / sum(2 ** max(min(lengths) - x, -1000) for x in lengths), rel_tol=1e-2)
