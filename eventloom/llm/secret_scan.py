@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
 Every version of a text is a blob named by the SHA-256 of its bytes. The ledger holds the pairs
-(blob, rule, rule version) that were scanned. A run scans each blob once, and only by the rules whose
-pair is not in the ledger, and then joins the findings back to every row that holds the blob. Changing
+(blob, rule, rule version) that were scanned. A run reduces its rows to names first and asks the ledger which of them have an unseen
+pair; only the texts of those are fetched, past a bitmap of their names, so that seen text is never shuffled. Each is scanned once, and only by the rules whose
+pair is not in the ledger. The findings are joined back to every row that holds the blob. Changing
 a rule's version has just that rule scanned anew.
 
 A rule is a regular expression whose matches are taken leftmost and without overlap, and a test that a
@@ -10,8 +11,9 @@ match must pass. Positions are code points, ends exclusive. The text between mat
 and the matches themselves, from ``regexp_extract_all``, give them.
 
 Defined results: a null text is the empty text. Rows are matched to blobs by content, so null ids,
-repeated rows and ties need no care. Columns beyond text pass through; an output column that clashes with an
-input column replaces it. An empty table gives no rows and an empty ledger.
+repeated rows and ties need no care. A very long text is one value of its row, scanned whole in one task; a pattern's cost grows with its length.
+Columns beyond text pass through; an output column that clashes with an
+input column, in any case of letters, replaces it. An empty table gives no rows and an empty ledger.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch
+from eventloom.llm.common import Columns, Scratch
 
 
 @dataclass(frozen=True)
@@ -94,20 +96,38 @@ def blob_name(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The ledger's rows for the blobs of ``versions``: blob, scanned, spans by start and rule.
+#: Bits of the bitmap of names at most (a power of two); a bitmap of this size is 32 MB.
+BITS = 28
 
-    A blob that the ledger holds is scanned only by rules whose version it has not seen; spans of older
-    versions of a rule, and of rules no longer given, go. A blob is scanned once, whoever holds it; the
-    partial aggregation leaves one copy a task before the texts are shuffled.
+
+def _fetched(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of (blob, text) rows one for each wanted blob. Rows whose name isn't in a bitmap of the wanted ones are left where they are."""
+    n = wanted.count()
+    bits = min(BITS, max(15, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("blob"), F.lit(1 << bits)).cast("long")
+    marks = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    marks = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))  # a row for 32768 bits
+    rows = blobs.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.substring("marks", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.join(F.broadcast(marks), "bucket").where(F.getbit(byte, F.col("bit") % 8) == 1)
+    return rows.groupBy("blob").agg(F.first("text").alias("text"))
+
+
+def scan_unseen(scratch: Scratch, blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """The new ledger rows of the blobs (blob, text) that have an unseen pair.
+
+    Findings of pairs that the ledger holds are taken from it; spans of older versions of a rule, and of rules no longer
+    given, go. A blob is scanned once, whoever holds it; the partial aggregation leaves one copy a task before texts are shuffled.
     """
-    source = versions.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    blobs = source.groupBy(blob_name(F.col("text")).alias("blob")).agg(F.first("text").alias("text"))
+    pairs = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     scanned, spans = F.array().cast("array<struct<rule:string,version:int>>"), F.array().cast(SPANS)
-    if ledger is not None:
-        blobs = blobs.join(ledger.selectExpr("blob", "scanned seen", "spans old"), "blob", "left")
+    if ledger is None:
+        todo = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    else:
+        names = blobs.select("blob").distinct().join(ledger.selectExpr("blob", "scanned seen", "spans old"), "blob", "left")
+        wanted = scratch.save(names.where(F.col("seen").isNull() | (F.size(F.array_except(pairs, F.col("seen"))) > 0)), "wanted")
+        todo = _fetched(blobs, wanted).join(wanted, "blob")
         scanned, spans = F.coalesce("seen", scanned), F.coalesce("old", spans)
-    pairs = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     found = []
     for order, rule in enumerate(rules):
         mine = find(F.col("text"), rule, order)
@@ -115,7 +135,7 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: t
             known = F.exists(scanned, lambda p: (p["rule"] == rule.name) & (p["version"] == rule.version))
             mine = F.when(known, F.filter(spans, lambda s: s["kind"] == rule.name)).otherwise(mine)
         found.append(mine)
-    return blobs.select("blob", pairs.alias("scanned"), F.array_sort(F.concat(*found)).alias("spans"))
+    return todo.select("blob", pairs.alias("scanned"), F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -125,11 +145,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     skewed key there, which adaptive execution splits.
     """
     scratch = Scratch(versions.sparkSession, "secrets")
-    fresh = scratch.save(update_ledger(versions, ledger, rules, text), "ledger")
-    columns = [c for c in (versions.columns if columns is None else columns) if c not in ("blob", "spans")]
-    rows = versions.select(*[F.col(f"`{c}`") for c in columns], blob_name(F.col(f"`{text}`").cast("string")).alias("blob"))
-    found = fresh.where(F.size("spans") > 0).select("blob", "spans")
-    out = rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    given = Columns(versions, columns, ("blob", "spans"))
+    words = given.text(text)
+    blobs = given.frame.select(blob_name(words).alias("blob"), F.coalesce(words, F.lit("")).alias("text"))
+    fresh = scratch.save(scan_unseen(scratch, blobs, ledger, rules), "ledger")
     if ledger is not None:
-        fresh = fresh.unionByName(ledger.join(fresh, "blob", "left_anti"))
-    return out, fresh
+        fresh = scratch.save(fresh.unionByName(ledger.select(*fresh.columns).join(fresh.select("blob"), "blob", "left_anti")), "whole")
+    rows = given.frame.select(*given.passing(), blob_name(words).alias("blob"))
+    now = F.filter("spans", lambda s: s["kind"].isin([r.name for r in rules]))
+    found = fresh.select("blob", now.alias("spans")).where(F.size("spans") > 0)
+    out = rows.join(found, "blob", "left").select(*given.passing(), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return given.named(out), fresh

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from eventloom.llm.secret_scan import BASE_RULES, RULES, Rule, digest, redact, scan, update_ledger
+from eventloom.llm.secret_scan import BASE_RULES, RULES, Rule, _fetched, blob_name, digest, redact, scan
 
 KINDS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
@@ -65,9 +65,34 @@ def test_extra_kinds_and_redaction(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     out, ledger = scan(empty)
-    assert out.count() == 0 and ledger.count() == 0 and update_ledger(empty, ledger).count() == 0
+    assert out.count() == 0 and ledger.count() == 0 and scan(empty, ledger)[1].count() == 0
 
 
 def test_digest_of_nothing(spark):
     out, _ = scan(spark.createDataFrame([(1, None)], "doc_id long, text string"))
     assert out.select(F.sha2(digest(F.col("spans")), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_seen_text_is_not_fetched(spark):
+    blobs = spark.range(5000).selectExpr("concat('text ', id % 2500) text").select(blob_name(F.col("text")).alias("blob"), "text")
+    wanted = blobs.where("text in ('text 1', 'text 77', 'text 2499')").select("blob").distinct()
+    got = _fetched(blobs, wanted)
+    assert {"text 1", "text 77", "text 2499"} <= {r.text for r in got.collect()} and got.count() < 20
+    assert _fetched(blobs, wanted.limit(0)).count() == 0
+
+
+def test_two_deliveries_equal_one(spark):
+    rows = [(i, t) for i, t in enumerate(texts())] * 2
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    once, ledger = scan(whole)
+    _, first = scan(whole.where("doc_id < 200"))
+    twice, both = scan(whole, first)
+    show = lambda x: sorted((r.doc_id, str(r.spans)) for r in x.select("doc_id", "spans").collect())
+    assert show(once) == show(twice) and sorted(map(str, ledger.collect())) == sorted(map(str, both.collect()))
+
+
+def test_very_long_text_and_names_that_differ_in_case(spark):
+    text = "x " * 500_000 + "token=abcdefghijklmnop"
+    out, _ = scan(spark.createDataFrame([(1, text, 5, 6)], "doc_id long, text string, Spans int, BLOB int"))
+    row = out.first()
+    assert out.columns == ["doc_id", "text", "blob", "spans"] and [(s.kind, s.start, s.end) for s in row.spans] == [("assign", 1_000_000, 1_000_022)]
