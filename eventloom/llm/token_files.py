@@ -7,11 +7,12 @@ zeros and then ones. Counts of ones before every block give rank, and a
 search over them select, so one file answers which token stands at a place, how often a token occurs
 in a range, and where its n-th occurrence is. Planes are compressed in segments that are read alone.
 
-A shard is one row of a Parquet dataset, which any store that Spark writes can hold and whose commit
-leaves out what lost executors wrote; ``payload`` is the file, complete in itself.
+A shard is one file, complete in itself with its documents' ids, in any store that Spark writes: its bytes are the one line of a file of
+Spark's text writer, whose commit leaves out what lost executors wrote. The folders above a file name its part, its number there, and its
+ids and those before it in the part. ``WaveletMatrix.open`` reads the header of a file and then the segments that a question needs.
 
-Defined results: a null or empty text is the end id alone. Null ids sort first. Repeated ids keep all their rows, in no
-fixed order among themselves. An empty table gives no shards. Columns beyond id and text are not read.
+Defined results: a null or empty text is the end id alone. Null ids sort first. Repeated ids keep all their rows, in the order of a hash
+of their texts, by which they are dealt too. A very long text is encoded whole and is a shard by itself or the end of one. An empty table gives no shards. Columns beyond id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,23 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.bpe import encoder
-from eventloom.llm.common import Scratch
+from eventloom.llm.common import Columns, Scratch
 
-MAGIC = b"EVWM0002"
+MAGIC = b"EVWM0003"
 #: Ids after which a shard is closed; bounds a task's memory.
 SHARD_IDS = 2_000_000
 #: Bits counted together for rank, and bits compressed together.
 BLOCK_BITS, SEGMENT_BITS = 512, 1 << 17
-_HEADER = "<8sQQII"
+_HEADER = "<8sQQIIQ"
 
 
 # ------------------------------------------------------------------ the file
-def write_matrix(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file of a shard: header, alphabet, document lengths, zeros of each plane, rank counts, segment ends, segments."""
+def write_matrix(ids: np.ndarray, lengths: np.ndarray, doc_ids: pa.Array | None = None) -> bytes:
+    """The file of a shard: header, alphabet, document lengths, zeros of each plane, rank counts, segment ends, documents' ids, segments."""
     n = len(ids)
     seen = np.bincount(ids)
     alphabet = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
@@ -62,22 +63,38 @@ def write_matrix(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
         zeros.append(n - int(per_block.sum()))
     ends = np.cumsum([len(s) for s in segments], dtype=np.int64).astype("<u8").tobytes()
-    return b"".join([struct.pack(_HEADER, MAGIC, n, len(lengths), width, len(alphabet)), alphabet.astype("<u4").tobytes(), np.asarray(lengths, "<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *ranks, ends, *segments])
+    names = _packed(pa.array(np.arange(len(lengths))) if doc_ids is None else doc_ids)
+    head = struct.pack(_HEADER, MAGIC, n, len(lengths), width, len(alphabet), len(names))
+    return b"".join([head, alphabet.astype("<u4").tobytes(), np.asarray(lengths, "<u4").tobytes(), np.array(zeros, "<u8").tobytes(), *ranks, ends, names, *segments])
+
+
+def _packed(values: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([values], names=["doc_id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 class WaveletMatrix:
-    """Reads a shard's file; segments are decompressed as they are needed."""
+    """Reads a shard's file, given as bytes or as a file that can seek; segments are read and decompressed as they are needed."""
 
-    def __init__(self, payload: bytes):
-        magic, self.n, docs, self.width, letters = struct.unpack_from(_HEADER, payload)
+    def __init__(self, source):
+        if isinstance(source, (bytes, bytearray, memoryview)):
+            self._read = lambda at, n: source[at : at + n]
+        else:
+            self._read = lambda at, n: (source.seek(at), source.read(n))[1]
+        at = struct.calcsize(_HEADER)
+        head = self._read(0, at)
+        magic, self.n, docs, self.width, letters, names = struct.unpack(_HEADER, head) if len(head) == at else (b"",) * 6
         if magic != MAGIC:
             raise ValueError("not a token file")
-        at = struct.calcsize(_HEADER)
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(payload, kind, count, at)
-            at += out.nbytes
+            size = count * np.dtype(kind).itemsize
+            out = np.frombuffer(self._read(at, size), kind, count)
+            at += size
             return out
 
         self.alphabet = take("<u4", letters)
@@ -87,10 +104,19 @@ class WaveletMatrix:
         self.ranks = [take("<u4", blocks) for _ in range(self.width)]
         self.per_plane = -(-(-(-self.n // 8)) // (SEGMENT_BITS // 8))
         self.ends = take("<u8", self.per_plane * self.width).astype(np.int64)
-        self.body, self.payload = at, payload
+        self.names, self.body = (at, names), at + names
         self.read: dict[int, np.ndarray] = {}
         self._ranks: dict[int, int] | None = None
 
+    @classmethod
+    def open(cls, path: str) -> WaveletMatrix:
+        """The file at a path that this machine can open."""
+        return cls(open(path, "rb"))  # noqa: SIM115
+
+    @property
+    def doc_ids(self) -> pa.Array:
+        return pa.ipc.open_stream(pa.py_buffer(self._read(*self.names))).read_all().column(0).combine_chunks()
+
     def rank_of(self, token: int) -> int:
         """A token's place in the alphabet; -1 if the shard lacks it."""
         if self._ranks is None:
@@ -100,7 +126,7 @@ class WaveletMatrix:
     def _segment(self, number: int) -> np.ndarray:
         if number not in self.read:
             a = self.body + (int(self.ends[number - 1]) if number else 0)
-            raw = zstandard.ZstdDecompressor().decompress(self.payload[a : self.body + int(self.ends[number])])
+            raw = zstandard.ZstdDecompressor().decompress(self._read(a, self.body + int(self.ends[number]) - a))
             self.read[number] = np.frombuffer(raw, np.uint8)
         return self.read[number]
 
@@ -194,24 +220,24 @@ class WaveletMatrix:
 
 # ------------------------------------------------------------------- datasets
 def encode_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """One row per shard: part, shard (their order is the documents' order), first, n_ids, doc_ids, payload.
+    """One row per shard: part, shard (their order is the documents' order), first, n_ids, payload.
 
     ``first`` counts the ids of the part's shards before this one.
     """
-    source = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
+    given = Columns(docs)
+    source = given.frame.select(given.col(id).alias("doc_id"), given.text(text).alias("text")).withColumn("hash", F.xxhash64("text"))
     partitions = max(1, source.sparkSession.sparkContext.defaultParallelism, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = source.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ordered = source.repartitionByRange(partitions, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = encoder(path), ["part", "shard", "first", "n_ids", "doc_ids", "payload"]
+        enc, names = encoder(path), ["part", "shard", "first", "n_ids", "payload"]
         parts: list[np.ndarray] = []
         held: list = []
         total, shard, first, part, type_ = 0, 0, 0, 0, None
 
         def close() -> pa.RecordBatch:
-            payload = write_matrix(np.concatenate(parts), np.array([len(p) for p in parts]))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([held], pa.list_(type_)), pa.array([payload], pa.binary())], names=names)
+            payload = write_matrix(np.concatenate(parts), np.array([len(p) for p in parts]), pa.array(held, type_))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([payload], pa.binary())], names=names)
 
         for batch in batches:
             type_ = batch.column(0).type
@@ -227,31 +253,40 @@ def encode_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
         if parts:
             yield close()
 
-    return ordered.mapInArrow(build, f"part int, shard int, first long, n_ids long, doc_ids array<{kind}>, payload binary")
+    return ordered.mapInArrow(build, "part int, shard int, first long, n_ids long, payload binary")
+
+
+def write_shards(shards: DataFrame, folder: str) -> None:
+    """One file per shard: folder/part=/shard=/first=/n_ids=/..., whose bytes are the payload and a line end."""
+    shards.withColumn("payload", F.col("payload").cast("string")).write.mode("overwrite").partitionBy("part", "shard", "first", "n_ids").text(folder)
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shards' files."""
-    kind = shards.schema["doc_ids"].dataType.elementType
-    # one row a range partition, of which there are as many as the session's setting says
-    per_part = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"
+    files = spark.read.format("binaryFile").load(folder)
+    if "part" not in files.columns:  # no shard
+        return spark.createDataFrame([], schema)
+    # from the folders' names: one row a range partition, of which there are as many as the session's setting says
+    per_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_part = per_part.select("part", before.alias("before"))
-    source = shards.join(F.broadcast(per_part), "part").select("doc_ids", "payload", (F.col("before") + F.col("first")).alias("first"))
+    source = files.join(F.broadcast(per_part), "part").select("content", (F.col("before") + F.col("first")).cast("long").alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                matrix = WaveletMatrix(batch.column(1)[k].as_py())
+            for content, first in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                matrix = WaveletMatrix(memoryview(content.as_buffer()))
                 raw = matrix.ids().astype("<u4").tobytes()
                 at = np.concatenate([[0], np.cumsum(matrix.lengths)])
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, pa.array(at[:-1] + batch.column(2)[k].as_py()), pa.array(matrix.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([matrix.doc_ids, pa.array(at[:-1] + first), pa.array(matrix.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return source.mapInArrow(read, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return source.mapInArrow(read, schema)
 
 
-def write_and_read(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """``encode_shards`` written to the shared folder, and ``read_documents`` of what was written."""
-    scratch = Scratch(docs.sparkSession, "tokens")
-    return read_documents(scratch.save(encode_shards(docs, path, id, text, end_id, shard_ids), "shards"))
+def write_and_read(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS, folder: str | None = None) -> DataFrame:
+    """``encode_shards`` written to a folder (one in the shared folder if none is given), and ``read_documents`` of what was written."""
+    folder = folder or Scratch(docs.sparkSession, "tokens").path("shards")
+    write_shards(encode_shards(docs, path, id, text, end_id, shard_ids), folder)
+    return read_documents(docs.sparkSession, folder, Columns(docs).types[Columns(docs).at(id)].simpleString())

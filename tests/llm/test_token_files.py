@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from eventloom.llm.common import tokenizer_path
-from eventloom.llm.token_files import WaveletMatrix, encode_shards, read_documents, write_and_read, write_matrix
+from eventloom.llm.token_files import WaveletMatrix, encode_shards, write_and_read, write_matrix, write_shards
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -58,4 +58,27 @@ def test_round_trip(spark):
 def test_repeated_and_empty(spark):
     frame = spark.createDataFrame([(1, "a b")] * 5, "doc_id long, text string")
     assert sorted(r.start for r in write_and_read(frame, PATH).collect()) == [0, 3, 6, 9, 12]
-    assert read_documents(encode_shards(frame.limit(0), PATH)).count() == 0
+    assert write_and_read(frame.limit(0), PATH).count() == 0
+
+
+def test_a_file_answers_by_itself(spark, tmp_path):
+    rows = [(f"d{k:03}", f"text number {k} " * 300) for k in range(200)]
+    write_shards(encode_shards(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1), PATH), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part=*/shard=*/first=*/n_ids=*/*.txt"))
+    assert files and [d for f in files for d in WaveletMatrix.open(str(f)).doc_ids.to_pylist()] == [i for i, _ in rows]
+    ids = np.random.default_rng(1).integers(0, 50257, 2_000_000).astype(np.uint32)
+    big = tmp_path / "big"
+    big.write_bytes(write_matrix(ids, np.array([len(ids)])) + b"\n")
+    matrix = WaveletMatrix.open(str(big))
+    read, inner = [], matrix._read
+    matrix._read = lambda at, n: read.append(n) or inner(at, n)
+    assert matrix.access(1_234_567) == ids[1_234_567]
+    assert sum(read) < big.stat().st_size / 5
+
+
+def test_a_repeated_id_is_dealt_to_many_tasks(spark):
+    rows = [(None if k % 2 else 7, f"text {k}") for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert encode_shards(frame, PATH).select("part").distinct().count() > 2
+    got = write_and_read(frame, PATH).collect()
+    assert len(got) == 4000 and sorted(r.start for r in got)[-1] == sum(r.n_tokens for r in got) - max(got, key=lambda r: r.start).n_tokens
