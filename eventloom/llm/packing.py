@@ -3,15 +3,16 @@
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt into groups of bounded
 size by a hash; each group is packed by best-fit decreasing, bin by bin with exact fits of one or two
 pieces taken first as well, and the fewer bins count. Dual feasible functions give a lower bound on the bins that its pieces need. A group whose bin count meets the bound is certified and
-closed. In the other groups full bins stay, and the pieces of all other bins are dealt anew among fewer groups,
-and packed again, for as long as that lowers the count.
+closed. In the other groups full bins stay, and the pieces of all other bins are dealt anew among groups of the same size,
+and packed again, for as long as that lowers the count; a round that doesn't is not kept.
 
 Defined results: null or empty text is the end id alone. Every row is a document of its own, so repeated rows, and rows with
-a null id, are each packed once. An empty table gives no pieces. Columns beyond id and text are not read.
+a null id, are each packed once. A very long text is encoded whole and gives as many pieces as it needs. An empty table gives no pieces. Columns beyond id and text are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.bpe import encoder
-from eventloom.llm.common import Scratch
+from eventloom.llm.common import Columns, Scratch
 
 #: Pieces that one group packs at once; bounds a task's memory at every input size.
 GROUP_PIECES = 40_000
-#: Times that pieces are exchanged at most; a round that does not lower the bin count is not kept.
-ROUNDS = 4
 
 PIECES = "uid long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -42,7 +41,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document: uid, doc_id, piece, start, length, ids_crc32, and with ``keep_ids`` the ids themselves."""
-    source = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    given = Columns(docs)
+    source = given.frame.select(given.col(id).alias("doc_id"), given.text(text).alias("text"))
     schema = PIECES.format(id=source.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if keep_ids else "")
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = encoder(path), TaskContext.get().partitionId() << 36
@@ -205,10 +205,10 @@ def _pack_group(capacity: int, base: int):
 
 def _round(items: DataFrame, groups: int, number: int, capacity: int) -> DataFrame:
     dealt = items.select("uid", "length", F.expr(f"pmod(xxhash64(uid, {number}), {groups})").alias("g"))
-    return dealt.groupBy("g").applyInArrow(_pack_group(capacity, number << 56), PACKED)
+    return dealt.groupBy("g").applyInArrow(_pack_group(capacity, number << 48), PACKED)
 
 
-def place(scratch: Scratch, items: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+def place(scratch: Scratch, items: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES) -> tuple[DataFrame, dict]:
     """(uid, length, sequence_id, offset) for items (uid, length), and a report: bins, bound and bins after each round.
 
     The report's bound holds for all items together: the counts of the ``capacity`` lengths are all that it needs.
@@ -221,14 +221,14 @@ def place(scratch: Scratch, items: DataFrame, capacity: int = 1024, group_pieces
     total = now.select("sequence_id").distinct().count()
     report = {"pieces": n, "bound": everything, "bins": [total]}
     done = None
-    for number in range(1, rounds + 1):
+    for number in itertools.count(1):
         if total == everything or groups == 1:
             break
         left = now.where("open")
         state = left.agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins")).first()
         if not state["n"]:
             break
-        groups = max(1, min(groups // 2, -(-state["n"] // group_pieces)))
+        groups = -(-state["n"] // group_pieces)
         again = scratch.save(_round(left, groups, number, capacity), f"packed-{number}")
         bins = again.select("sequence_id").distinct().count()
         if bins >= state["bins"]:
