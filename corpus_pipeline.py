@@ -16,10 +16,9 @@ from eventloom.llm.common import Scratch, tokenizer_path
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
-    """The documents with columns of these names under others, and what selects them all as they were."""
-    there = {c: f"__aside_{c}" for c in docs.columns if c in names}
-    out = docs.withColumnsRenamed(there) if there else docs
-    return out, [F.col(f"`{there.get(c, c)}`").alias(c) for c in docs.columns]
+    """The documents with columns of these names, in any case of letters, under others, and what selects them all as they were."""
+    aside = [f"__aside_{k}" if c.lower() in names else c for k, c in enumerate(docs.columns)]
+    return docs.toDF(*aside), [F.col(f"`{a}`").alias(c) for a, c in zip(aside, docs.columns, strict=True)]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, back = _aside(docs, "matches")
-    models = decontamination.models_for(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontamination.annotate(rows, models).where(F.size("matches") == 0).select(*back)
+    benchmark = decontamination.models_for(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.annotate(rows, benchmark).where(F.size("matches") == 0).select(*back)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
