@@ -13,7 +13,7 @@ that of the tables: what is linked but never within two places in a substring, o
 and no link below the threshold is ever made. Equal vectors are one class throughout.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors link
-with those of their own length; each length that several have has axes, tables and clusters of its own. Null ids take part in counts as members of their class, and get no component.
+with those of their own length; each length that several have has axes, tables and clusters of its own. Null ids take part in counts as members of their class; a class that has only null ids links with nothing, and gets no component.
 Repeated rows count as vectors of their own. Parts of any finite size are compared. A very long vector is held whole by the tasks that compare it, with as many others as a block has.
 Ids that are no whole numbers are compared in their order. Other columns are not read.
 """
