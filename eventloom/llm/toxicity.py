@@ -4,8 +4,8 @@ The examples are a bounded, hash-chosen sample of labelled rows, each with the w
 (1 + log of its count) * idf * relevance. Inverse document frequencies are over all documents. The relevance grows
 from ``PLAIN`` to 1 with the log-likelihood ratio by which positive examples hold the word more than others do; near
 copies of one text count as one example in this. No word is left out. Examples lie in an inverted index in blocks: a word's list has
-its runs of postings by block, each with its largest weight, so that blocks that can't reach the k best so far are skipped and the k best
-are still exact. Votes of the k nearest, weighted by distance, give a raw score, which a monotone fit
+its runs of postings by block, each with its largest weight, so that lists are followed only in blocks that can reach the k best, which
+are still exact. The lists of common words are written out with their zeros and multiplied with many texts at once. Votes of the k nearest, weighted by distance, give a raw score, which a monotone fit
 on left-out examples turns into a calibrated one. An example of the very text that is scored is no neighbour of it, in the fit and
 after, so that the label of a text doesn't vote on that text.
 
@@ -36,6 +36,8 @@ MAX_EXAMPLES, MAX_BYTES = 2000, 64 << 20
 #: Neighbours, and the examples in a block of the index.
 NEIGHBOURS = 31
 BLOCK = 64
+#: Of so many rows one must hold a word for its list to be written out, and texts that are compared at once.
+DENSE, BATCH = 20, 64
 #: Relevance of a word that marks nothing, and the log-likelihood ratio at which relevance is half way to 1.
 PLAIN, HALF = 0.1, 20.0
 #: Values of an example's sketch of word pairs, and the share of equal ones from which examples are near copies.
@@ -52,59 +54,77 @@ class BlockMaxIndex:
 
     def __init__(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, width: int, block: int = BLOCK):
         n = len(ids)
-        # rows with the same leading terms share blocks, which makes the bounds tight
-        top = np.full((n, 3), -1, np.int64)
+        held = np.bincount(terms, minlength=width)
+        # rows with the same commonest and leading terms share blocks, which makes the bounds tight
+        top = np.full((n, 4), -1, np.int64)
         for r in range(n):
             mine = slice(at[r], at[r + 1])
+            if at[r + 1] > at[r]:
+                top[r, 0] = terms[mine][np.argmax(held[terms[mine]])]
             lead = terms[mine][np.argsort(-weights[mine], kind="stable")[:3]]
-            top[r, : len(lead)] = lead
+            top[r, 1 : 1 + len(lead)] = lead
         self.order = np.lexsort((np.arange(n), *top.T[::-1])) if n else np.zeros(0, np.int64)
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         self.ids = np.asarray(ids)[self.order]
-        self.n, self.blocks = n, -(-n // block)
+        self.n, self.block, self.blocks = n, block, -(-n // block)
         row = place[np.repeat(np.arange(n), np.diff(at))]
         by = np.lexsort((row, terms))
-        self.row, self.weight, term = row[by], weights[by], terms[by]
+        self.row, self.weight, term = row[by].astype(np.int32), weights[by], terms[by]
         run = self.row // block
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (run[1:] != run[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.run_at, self.run_block = np.append(first, len(term)), run[first]
+        self.run_at, self.run_block = np.append(first, len(term)), run[first].astype(np.int64)
         self.run_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.list_at = np.searchsorted(term[first], np.arange(width + 1))
+        # lists of words that one in DENSE rows holds are written out, zeros and all
+        common = np.flatnonzero(held > max(1, n // DENSE))
+        self.common = np.full(width, -1, np.int64)
+        self.common[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), self.blocks * block))
+        here = self.common[term]
+        self.full[here[here >= 0], self.row[here >= 0]] = self.weight[here >= 0]
         self.scored = 0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers as given to the constructor, similarities) of the k best above 0, by similarity and then id, without some rows."""
-        count = self.list_at[terms + 1] - self.list_at[terms]
-        runs = ranges(self.list_at[terms], count)
-        weight = np.repeat(weights, count)
-        where = self.run_block[runs]
-        bound = np.bincount(where, self.run_most[runs] * weight, minlength=self.blocks)
-        out = np.isin(self.order, np.asarray(without, np.int64)) if len(without) else None
-        rows, sims, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        step = 1
-        while len(todo):
-            now, todo = todo[:step], todo[step:]
-            step = min(2 * step, 16)
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            at = np.flatnonzero(chosen[where])
+        return next(self.nearest_of([(terms, weights, without)], k))
+
+    def nearest_of(self, queries: list[tuple], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several (terms, weights, without). Their common words are multiplied with the written-out lists at once;
+        what those leave of the k best bounds the blocks in which the lists of the other words are followed."""
+        mine = [self.common[terms] for terms, _, _ in queries]
+        dense = np.zeros((len(queries), len(self.full)))
+        for q, (number, (_, weights, _)) in enumerate(zip(mine, queries, strict=True)):
+            dense[q, number[number >= 0]] = weights[number >= 0]
+        scores = dense @ self.full if len(self.full) else np.zeros((len(queries), self.blocks * self.block))
+        for found, number, (terms, weights, without) in zip(scores, mine, queries, strict=True):
+            if len(without):
+                out = np.flatnonzero(np.isin(self.order, without))
+            terms, weights = terms[number < 0], weights[number < 0]
+            count = self.list_at[terms + 1] - self.list_at[terms]
+            runs = ranges(self.list_at[terms], count)
+            weight = np.repeat(weights, count)
+            where = self.run_block[runs]
+            low = found
+            if len(without):
+                low = found.copy()
+                low[out] = 0
+            floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else 0.0
+            bound = found.reshape(self.blocks, self.block).max(axis=1, initial=0) + np.bincount(where, self.run_most[runs] * weight, minlength=self.blocks)
+            at = np.flatnonzero(bound[where] >= floor - 1e-8)
             size = self.run_at[runs[at] + 1] - self.run_at[runs[at]]
             posts = ranges(self.run_at[runs[at]], size)
-            found = np.bincount(self.row[posts], self.weight[posts] * np.repeat(weight[at], size), minlength=self.n)
-            if out is not None:
+            self.scored += len(posts)
+            found = found + np.bincount(self.row[posts], self.weight[posts] * np.repeat(weight[at], size), minlength=len(found))
+            if len(without):
                 found[out] = 0
-            hit = np.flatnonzero(found > 0)
-            self.scored += len(hit)
-            rows, sims = np.concatenate([rows, hit]), np.concatenate([sims, found[hit]])
+            rows = np.flatnonzero(found[: self.n] > max(0.0, floor - 1e-8))
+            sims = found[rows]
+            if len(rows) > k:  # the rest can't be among the best, even where rounding makes ties
+                near = np.flatnonzero(sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 2e-9)
+                rows, sims = rows[near], sims[near]
             best = np.lexsort((self.ids[rows], -np.round(sims, 9)))[:k]
-            rows, sims = rows[best], sims[best]
-            if len(rows) >= k:
-                floor = sims.min()
-                todo = todo[bound[todo] >= floor - 1e-9]
-        return self.order[rows], sims
+            yield self.order[rows[best]], sims[best]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,16 +182,16 @@ class Model:
         filled = np.diff(self.at) > 0
         mean = lambda rows: float((self.weights * self.labels)[rows].sum() / self.weights[rows].sum()) if rows.any() else 0.0
         self.share, self.base = mean(~filled), mean(filled)
-        raw, at = [], np.flatnonzero(filled)
-        for k in at.tolist():
-            rows, sims = self._nearest(self.numbers[self.at[k] : self.at[k + 1]], self.counts[self.at[k] : self.at[k + 1]], int(self.hashes[k]))
-            raw.append(self.vote(rows, sims))
+        at = np.flatnonzero(filled)
+        raw = [self.vote(*found) for found in self._nearest([(self.numbers[self.at[k] : self.at[k + 1]], self.counts[self.at[k] : self.at[k + 1]], int(self.hashes[k])) for k in at.tolist()])]
         if len(at):
             self.steps = monotone(np.array(raw), self.labels[at].astype(float), self.weights[at])
         return self
 
-    def _nearest(self, numbers: np.ndarray, counts: np.ndarray, text: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.nearest(numbers, self.vector(numbers, counts), self.neighbours, np.flatnonzero(self.hashes == text))
+    def _nearest(self, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each text: its words, their counts, the hash of the text."""
+        for a in range(0, len(texts), BATCH):
+            yield from self.index.nearest_of([(numbers, self.vector(numbers, counts), np.flatnonzero(self.hashes == text)) for numbers, counts, text in texts[a : a + BATCH]], self.neighbours)
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Distance-weighted share of positive labels; near 0 and 1 it keeps a little of the overall share."""
@@ -183,17 +203,16 @@ class Model:
         x, y = self.steps
         return float(np.clip(np.interp(raw, x, y), 0.0, 1.0)) if len(x) else self.share
 
-    def score(self, numbers: np.ndarray, counts: np.ndarray, text: int) -> tuple[float, list]:
-        """Score and the ids of the three nearest examples, from a text's words and the hash of the text."""
-        if not len(numbers) or not len(self.ids):
-            return self.share, []
-        key = text, numbers.tobytes(), counts.tobytes()
-        if key not in self._seen:
-            if len(self._seen) > 2_000:
-                self._seen.clear()
-            rows, sims = self._nearest(numbers, counts, text)
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[float, list]]:
+        """Score and the ids of the three nearest examples of each text: its words, their counts, the hash of the text."""
+        keys = [(text, numbers.tobytes(), counts.tobytes()) if len(numbers) and len(self.ids) else None for numbers, counts, text in texts]
+        new = {key: t for key, t in zip(keys, texts, strict=True) if key is not None and key not in self._seen}
+        for key, (rows, sims) in zip(new, self._nearest(list(new.values())), strict=True):
             self._seen[key] = (self.calibrated(self.vote(rows, sims)), self.ids[rows[:3]].tolist()) if len(rows) else (self.share, [])
-        return self._seen[key]
+        out = [(self.share, []) if key is None else self._seen[key] for key in keys]
+        if len(self._seen) > 2_000:
+            self._seen.clear()
+        return out
 
 
 def term_counts(raw: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,7 +375,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
             found = []
             for a, b in chunks(starts):
                 at, numbers, counts = term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], model.terms)
-                found += [model.score(numbers[x:y], counts[x:y], h) for x, y, h in zip(at[:-1].tolist(), at[1:].tolist(), hashes[a:b], strict=True)]
+                found += model.scores([(numbers[x:y], counts[x:y], h) for x, y, h in zip(at[:-1].tolist(), at[1:].tolist(), hashes[a:b], strict=True)])
             made = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=schema.names)
 

@@ -40,6 +40,7 @@ def test_nearest_against_all_rows(seed):
     index = BlockMaxIndex(*sparse(tight), np.arange(1000), 21)
     rows, _ = index.nearest(np.array([3, 20]), np.array([1.0, 0.01]), 7)
     assert rows.tolist() == [3 + 20 * k for k in range(7)] and index.scored < 200
+    assert len(index.full) < 21
     assert BlockMaxIndex(*sparse(tight[:0]), np.zeros(0, np.int64), 21).nearest(np.array([3]), np.ones(1), 7)[0].tolist() == []
 
 
