@@ -8,7 +8,7 @@ pair. The table answers how many tokens a truncated text has, and the longest pr
 without encoding again.
 
 Pre-tokens are the library's in every script; those of characters that several libraries class alike are found faster. An added token's
-string counts as that token, and a prefix that ends inside it as the text that it is. Words longer than ``WIDE`` * 4 characters
+string counts as that token, and a prefix that ends inside it as the text that it is. Words longer than the last of ``_WIDTHS``
 are solved one by one, in time in proportion to their length.
 
 Defined results: null or empty text has 0 bytes, 0 tokens, and a budget prefix of 0. Rows are counted
@@ -30,8 +30,8 @@ from eventloom.llm.bpe import CACHE_WORDS, PRETOKENS, byte_alphabet, encoder
 from eventloom.llm.common import Columns, chunks, mix, text_buffer
 
 _B = np.uint64(0xD6E8FEB86659FD93)
-#: Pre-tokens of more bytes go one by one, to keep the table of a batch narrow.
-WIDE = 24
+#: Characters of the pre-tokens that are solved together, to keep the table of a batch narrow; longer ones go one by one.
+_WIDTHS = (8, 16, 32, 96)
 #: Contractions: their inner prefixes fall into other pre-tokens than the whole does.
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
@@ -58,8 +58,7 @@ class PrefixTable:
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two tokens share a hash")
         self.lengths = sorted({len(t) for t in self.tokens})
-        self.fits: dict[int, bool] = {}
-        self.known = (np.zeros(0, np.int64), np.zeros(0, bool))
+        self.known = self.recent = _NOTHING  # sorted pairs and whether they fit; the recent ones are merged in now and then
         self.pairs: dict[int, bool] = {}
         self.steps: dict[str, bytes] = {}
         self._automaton = None
@@ -70,33 +69,29 @@ class PrefixTable:
         self.spaces = re.compile(f"[{re.escape(spaces)}]{{2,}}")
 
     # -- pairs
-    def _ask(self, pairs: list[int]) -> None:
-        """Asks the library which pairs (left << 20 | right) it leaves as they are."""
-        for p in pairs:
-            a, b = p >> 20, p & 0xFFFFF
-            self.fits[p] = self._bpe(self.raw[a] + self.raw[b]) == [a, b]
-
     def _bpe(self, raw: bytes) -> list[int]:
         """Ids of a byte string by the model alone, with no pre-tokenizer before it."""
         text = "".join(_ALPHABET[c] for c in raw)
         return [t.id for t in self.encoder.library.model.tokenize(text)]
 
     def fit(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether each pair may stand side by side."""
-        keys, values = self.known
-        at = np.searchsorted(keys, pairs)
-        hit = at < len(keys)
-        hit[hit] = keys[at[hit]] == pairs[hit]
-        if not hit.all():
-            new = np.unique(pairs[~hit])
-            self._ask(new.tolist())
-            keys = np.concatenate([keys, new])
-            values = np.concatenate([values, np.fromiter((self.fits[p] for p in new.tolist()), bool, len(new))])
-            order = np.argsort(keys, kind="stable")
-            self.known = keys, values = keys[order], values[order]
-            self.fits.clear()
-            at = np.searchsorted(keys, pairs)
-        return values[at]
+        """Whether each pair (left << 20 | right) may stand side by side: whether the library leaves it as it is. Each pair is asked for once."""
+        out, left = np.zeros(len(pairs), bool), np.arange(len(pairs))
+        for keys, values in (self.known, self.recent):
+            if len(keys) and len(left):
+                at = np.searchsorted(keys, pairs[left])
+                at[at == len(keys)] = 0
+                hit = keys[at] == pairs[left]
+                out[left[hit]] = values[at[hit]]
+                left = left[~hit]
+        if len(left):
+            new, where = np.unique(pairs[left], return_inverse=True)
+            fits = np.fromiter((self._bpe(self.raw[p >> 20] + self.raw[p & 0xFFFFF]) == [p >> 20, p & 0xFFFFF] for p in new.tolist()), bool, len(new))
+            out[left] = fits[where]
+            self.recent = _merged(self.recent, (new, fits))
+            if 8 * len(self.recent[0]) > len(self.known[0]) + 4096:
+                self.known, self.recent = _merged(self.known, self.recent), _NOTHING
+        return out
 
     # -- the recurrence
     def solve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,27 +165,39 @@ class PrefixTable:
             self.steps.clear()
             new = list(words)
         if len(self.known[0]) > 2_000_000:
-            self.known = (np.zeros(0, np.int64), np.zeros(0, bool))
+            self.known = self.recent = _NOTHING
         by_width: dict[int, list[str]] = {}
         for w in new:
-            if len(w) > 4 * WIDE:
-                self.steps[w] = self._steps(w, self.solve_long(w.encode()))
-            else:
-                by_width.setdefault(-(-len(w) // 4), []).append(w)
-        for group in by_width.values():
+            by_width.setdefault(next((k for k in _WIDTHS if len(w) <= k), 0), []).append(w)
+        for width, group in by_width.items():
             raw = [w.encode() for w in group]
-            for a in range(0, len(raw), 20_000):
-                _, count = self.solve(raw[a : a + 20_000])
-                for row, w in zip(count, group[a : a + 20_000], strict=True):
-                    self.steps[w] = self._steps(w, row)
-
-    @staticmethod
-    def _steps(word: str, count: np.ndarray) -> bytes:
-        ends = np.arange(1, len(word) + 1) if word.isascii() else np.cumsum(np.fromiter((len(c.encode()) for c in word), np.int64, len(word)))
-        found = count[ends].astype(np.int64)
-        if word in _CONTRACTIONS:
-            found[1] = found[0] + 1
-        return np.diff(found, prepend=0).astype("<i2").tobytes()
+            small = 20_000 if width else 1
+            for a in range(0, len(raw), small):
+                part = raw[a : a + small]
+                count = self.solve(part)[1] if width else self.solve_long(part[0])[None, :]
+                self._keep(group[a : a + small], part, count)
+
+    def _keep(self, words: list[str], raw: list[bytes], count: np.ndarray) -> None:
+        """Keeps the steps of these words from the counts of their byte prefixes, at the ends of characters."""
+        width = count.shape[1] - 1
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        # a byte is the last of its character if the next one begins another, or there is none
+        table = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in raw), np.uint8).reshape(len(raw), width)
+        last = np.ones((len(raw), width), bool)
+        last[:, :-1] = (table[:, 1:] & 0xC0) != 0x80
+        last &= np.arange(width)[None, :] < size[:, None]
+        flat = count[:, 1:][last].astype(np.int64)
+        ends = np.cumsum(last.sum(axis=1))
+        steps = np.diff(flat, prepend=0)
+        steps[ends[:-1]] = flat[ends[:-1]]
+        blob = steps.astype("<i2").tobytes()
+        for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            self.steps[w] = blob[2 * a : 2 * b]
+        for w in _CONTRACTIONS:
+            if w in words:
+                found = flat[ends[words.index(w)] - 3 : ends[words.index(w)]].copy()
+                found[1] = found[0] + 1
+                self.steps[w] = np.diff(found, prepend=0).astype("<i2").tobytes()
 
     # -- whole texts
     def split(self, text: str) -> list[str]:
@@ -275,6 +282,15 @@ _ALPHABET = {b: c for c, b in byte_alphabet().items()}
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
+_NOTHING = np.zeros(0, np.int64), np.zeros(0, bool)
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
 def _hash(raw: bytes) -> int:
     h = 0
     for c in raw:
