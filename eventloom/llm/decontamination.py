@@ -10,9 +10,8 @@ common subsequence of words, in the passage and its surroundings, must cover mos
 item's answer part must be covered too unless nearly everything is. Items of few words, which are a small part of any passage,
 are found as whole word sequences besides.
 
-Windows of items are taken in blocks of at most ``WINDOWS``, and a block has ``AXES`` axes besides one for each
-window, so that every window keeps most of its length: the corpus's
-n unit rows have fewer than ``AXES`` axes over n / ``AXES``, and a window weighs ``WEIGHT`` * n / windows. Frequencies of all blocks
+Windows of items are taken in blocks of at most ``WINDOWS``. The latent space of a block is that of the corpus's ``AXES`` leading axes and of its
+windows together, so that every window keeps its length. Frequencies of all blocks
 are counted in one pass, ``TOGETHER`` blocks are multiplied in one, and one pass searches for all items; a task holds the sums of ``TOGETHER`` blocks, or
 the axes of one. The driver sees items, term frequencies and the latent axes, never documents.
 
@@ -44,7 +43,7 @@ WHOLE = 80
 #: Items of fewer words have no window; items of up to SHORT words are found as whole word sequences.
 MIN_WORDS, SHORT = 5, 12
 #: Windows of a block, its axes besides, and blocks multiplied in one pass.
-WINDOWS, AXES, SPARE, TOGETHER = 256, 128, 16, 16
+WINDOWS, AXES, SPARE, TOGETHER = 256, 64, 16, 16
 #: What the windows of a block weigh together, as a multiple of the corpus.
 WEIGHT = 4.0
 #: Cosine for a candidate; shares of words that confirm it.
@@ -211,13 +210,14 @@ class Block:
     idf: np.ndarray
 
     @property
-    def rank(self) -> int:
-        return min(AXES + len(self.windows), len(self.terms))
+    def columns(self) -> int:
+        return min(AXES + SPARE, len(self.terms))
 
     def omega(self) -> np.ndarray:
-        if len(self.terms) <= self.rank + SPARE:
+        """The random matrix; that of unity where it would be no smaller."""
+        if len(self.terms) <= AXES + SPARE:
             return np.eye(len(self.terms), dtype=np.float32)
-        return np.random.default_rng(1).standard_normal((len(self.terms), self.rank + SPARE), np.float32)
+        return np.random.default_rng(1).standard_normal((len(self.terms), self.columns), np.float32)
 
     def rows(self) -> np.ndarray:
         """Unit TF-IDF rows of the windows."""
@@ -235,7 +235,7 @@ def gram_times(docs: DataFrame, text: str, blocks: list[Block]) -> tuple[list[np
     """
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(b) for b in blocks]  # TOGETHER at most
-    shapes = [(-(-len(b.terms) // _TERMS_IN_ROW), min(b.rank + SPARE, len(b.terms)) if len(b.terms) > b.rank + SPARE else len(b.terms)) for b in blocks]
+    shapes = [(-(-len(b.terms) // _TERMS_IN_ROW), b.columns) for b in blocks]
     first = np.concatenate([[0], np.cumsum([parts for parts, _ in shapes])])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +279,23 @@ def gram_times(docs: DataFrame, text: str, blocks: list[Block]) -> tuple[list[np
     return [x[: len(b.terms)] for x, b in zip(results, blocks, strict=True)], n
 
 
-def axes(product: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
-    """The leading eigenvectors of a positive semi-definite matrix, from its product with ``omega`` (Nystrom)."""
+def axes(product: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading eigenvectors and eigenvalues of a positive semi-definite matrix, from its product with ``omega`` (Nystrom)."""
     shift = 1e-9 * max(np.linalg.norm(product), 1e-12)
     y = product + shift * omega
     small = omega.T @ y
     w, v = np.linalg.eigh((small + small.T) / 2)
     keep = w > w.max() * 1e-12
-    u, _, _ = np.linalg.svd(y @ (v[:, keep] / np.sqrt(w[keep])), full_matrices=False)
-    return u[:, :rank]
+    u, s, _ = np.linalg.svd(y @ (v[:, keep] / np.sqrt(w[keep])), full_matrices=False)
+    return u[:, :rank], s[:rank] ** 2
+
+
+def latent_space(corpus: tuple[np.ndarray, np.ndarray], rows: np.ndarray, weight: float) -> np.ndarray:
+    """Axes (term, axis) of the corpus's leading axes and the windows' rows together, the windows weighing as given."""
+    u, values = corpus
+    stacked = np.concatenate([np.sqrt(values)[:, None] * u.T, np.sqrt(weight) * rows])
+    _, s, v = np.linalg.svd(stacked, full_matrices=False)
+    return v[s > s.max(initial=0) * 1e-9].T
 
 
 @dataclass
@@ -419,8 +427,7 @@ def fit(docs: DataFrame, parts: list[Window], text: str = "text") -> list[Model]
         products, n = gram_times(docs, text, blocks[a : a + TOGETHER])
         for block, product in zip(blocks[a : a + TOGETHER], products, strict=True):
             omega, rows = block.omega().astype(np.float64), block.rows()
-            product += WEIGHT * max(1.0, n / len(block.windows)) * (rows.T @ (rows @ omega))
-            basis = axes(product, omega, block.rank)
+            basis = latent_space(axes(product, omega, AXES), rows, WEIGHT * max(1.0, n / len(block.windows)))
             latent = rows @ basis
             latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
             out.append(Model(block.terms, block.idf, (basis @ latent.T).astype(np.float32), block.windows))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from eventloom.llm import decontamination
-from eventloom.llm.decontamination import ANSWER, COVERED, NEARLY_ALL, TILE, _masks, annotate, axes, common_subsequence, contaminated, models_for, windows, words_of
+from eventloom.llm.decontamination import ANSWER, COVERED, NEARLY_ALL, TILE, _masks, annotate, axes, common_subsequence, contaminated, latent_space, models_for, windows, words_of
 
 
 def lcs(a, b):
@@ -28,9 +28,12 @@ def test_axes_against_full_decomposition():
     left = rng.standard_normal((400, 12)) * np.linspace(10, 1, 12)
     gram = left @ left.T
     omega = rng.standard_normal((400, 30))
-    u = axes(gram @ omega, omega, 12)
-    true = np.linalg.eigh(gram)[1][:, -12:]
-    assert np.linalg.norm(true - u @ (u.T @ true)) < 1e-3
+    u, values = axes(gram @ omega, omega, 12)
+    want, true = np.linalg.eigh(gram)
+    assert np.linalg.norm(true[:, -12:] - u @ (u.T @ true[:, -12:])) < 1e-3 and np.allclose(values[::-1], want[-12:], rtol=1e-3)
+    rows = rng.standard_normal((5, 400))
+    space = latent_space((u, values), rows, 2.0)
+    assert space.shape == (400, 17) and np.allclose(space.T @ space, np.eye(17)) and np.allclose(rows @ space @ space.T, rows)
 
 
 def test_windows():
