@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Columns, Scratch, by_number, components
+from eventloom.llm.common import Columns, Scratch, by_number, components, mix
 
 #: Vectors that the axes and rotations are fitted on, and steps of that.
 SAMPLE, STEPS = 20_000, 30
@@ -39,6 +40,8 @@ SUBSTRING, LOAD = 16, 4096
 MISS, MARGIN = 0.03, 18
 #: Vectors compared with as many others at once, and codes.
 BLOCK, CODES = 256, 4096
+#: Hot buckets whose keys are broadcast, 16 bytes each; more are joined.
+HOT_ROWS = 1_000_000
 
 
 @dataclass
@@ -165,9 +168,13 @@ def near_forest(rep: np.ndarray, codes: np.ndarray, near: int) -> list[tuple[int
     return edges
 
 
-def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool) -> DataFrame:
-    """key, rep, c0, c1 of every code in every table: its substring's bucket and, to flip, those with one bit of it changed."""
+def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool, hot: Broadcast | None = None, only: bool = False) -> DataFrame:
+    """key, rep, c0, c1 of every code in every table: its substring's bucket and, to flip, those with one bit of it changed.
+
+    In buckets that ``hot`` (sorted keys, blocks) has, the key's upper bits name the code's block. ``only`` gives their rows alone, as key, block, blocks, rep, c0, c1.
+    """
     width = len(tables[0])
+    names = ["key", *(["block", "blocks"] if only else []), "rep", "c0", "c1"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.array([0, *(1 << k for k in range(width))] if flip else [0], np.int64)
@@ -176,19 +183,26 @@ def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool) -> DataFrame:
             bits = np.unpackbits(np.ascontiguousarray(np.stack([c0, c1], axis=1)).view(np.uint8).reshape(len(rep), 16), axis=1, bitorder="little")
             for t, places in enumerate(tables):
                 own = bits[:, places].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-                key = (own[:, None] ^ flips[None, :]).ravel() | t << width
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, len(flips))) for x in (rep, c0, c1))], names=["key", "rep", "c0", "c1"])
+                columns = [(own[:, None] ^ flips[None, :]).ravel() | t << width, *(np.repeat(x, len(flips)) for x in (rep, c0, c1))]
+                if hot is not None:
+                    keys, blocks = hot.value
+                    at = np.searchsorted(keys, columns[0])
+                    at[at == len(keys)] = 0
+                    heavy = keys[at] == columns[0]
+                    block = np.where(heavy, (mix(columns[1].view(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64), 0)
+                    columns = [x[heavy] for x in (columns[0], block, blocks[at], *columns[1:])] if only else [columns[0] | block << 47, *columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-    return coded.mapInArrow(place, "key long, rep long, c0 long, c1 long")
+    return coded.mapInArrow(place, ", ".join(f"{n} long" for n in names))
 
 
 def _hot(coded: DataFrame, tables: list[np.ndarray]) -> DataFrame:
-    """key, blocks: the buckets that may hold more than about CODES codes, and the blocks to deal each into."""
+    """key, blocks: the buckets that may hold more than about CODES codes, and the blocks to deal each into; at most one for every CODES places in a table."""
     width = len(tables[0])
     own = _keys(coded, tables, False).groupBy("key").agg(F.count("*").alias("n")).where(f"n * {width + 1} > {CODES}")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(width)))
     near = own.select(F.explode(F.transform(flips, lambda x: F.col("key").bitwiseXOR(x))).alias("key"), "n")
-    return near.groupBy("key").agg(F.ceil((F.sum("n") + CODES) / CODES).cast("int").alias("blocks"))
+    return near.groupBy("key").agg(F.ceil((F.sum("n") + CODES) / CODES).cast("long").alias("blocks"))
 
 
 def _forests(scratch: Scratch, coded: DataFrame, tables: list[np.ndarray], near: int, name: str) -> DataFrame:
@@ -231,14 +245,18 @@ def _forests(scratch: Scratch, coded: DataFrame, tables: list[np.ndarray], near:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     spread = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _keys(coded, tables, True)
     hot = scratch.save(_hot(coded, tables), f"{name}-hot")
     n_hot = hot.count()
-    if n_hot:
-        hot = F.broadcast(hot) if n_hot <= 500_000 else hot  # rows of 12 bytes
-        dealt = placed.join(hot, "key", "left").withColumn("block", F.expr("cast(if(blocks is null, 0, pmod(xxhash64(rep), blocks)) as bigint)"))
+    if 0 < n_hot <= HOT_ROWS:
+        rows = hot.orderBy("key").toArrow()
+        shared = coded.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("key", "blocks")))  # its rows are counted
+        placed, members = _keys(coded, tables, True, shared), scratch.save(_keys(coded, tables, True, shared, True), f"{name}-members")
+    elif n_hot:
+        dealt = _keys(coded, tables, True).join(hot, "key", "left").withColumn("block", F.expr("if(blocks is null, 0L, pmod(xxhash64(rep), blocks))"))
         members = scratch.save(dealt.where("blocks is not null"), f"{name}-members")
         placed = dealt.select((F.col("key") + F.shiftleft("block", 47)).alias("key"), "rep", "c0", "c1")
+    else:
+        placed = _keys(coded, tables, True)
     found = placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
     found = scratch.save(found, f"{name}-forests")
     if not n_hot:

@@ -109,8 +109,10 @@ def test_large_and_small_numbers_and_ids_of_strings(spark):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {("a", 3, "a", True), ("b", 3, "a", False), ("c", 3, "a", False), ("d", 1, "d", True), ("e", 1, "d", False), ("ü", 0, "ü", True), (None, 3, "a", False)}
 
 
-def test_hot_buckets_are_dealt_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_hot_buckets_are_dealt_into_blocks(spark, monkeypatch, broadcast):
     monkeypatch.setattr(embedding_dedup, "CODES", 40)
+    monkeypatch.setattr(embedding_dedup, "HOT_ROWS", broadcast)
     rng = np.random.default_rng(13)
     hot = [rng.standard_normal(32)]
     for _ in range(400):  # a chain of near vectors
