@@ -13,11 +13,11 @@ from eventloom.operators import joins, placement, stats
 from eventloom.operators import windows as w
 from eventloom.sources import eventlog, reports, traces
 from eventloom.sinks import files
-from eventloom.plans import digest
+from eventloom.plans import digest, file_catalogue
 from eventloom.plans.surrogate import DELTA, KEYS, dispatches, runs, states, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(file_catalogue.QUERIES)
+ORACLES: dict[str, str] = dict(file_catalogue.ORACLES)
 
 _K = "callsite_id, compile_id"
 #: Shared parts of the SQL, in the order in which they build on one another.

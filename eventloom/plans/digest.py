@@ -12,6 +12,7 @@ from eventloom.functions.text import safe_ratio, site_key
 from eventloom.operators import attribution as at
 from eventloom.operators import joins, placement
 from eventloom.operators import windows as w
+from eventloom.sinks.scratch import number_rows
 from eventloom.sources import eventlog, reports, traces
 
 KEYS = ["callsite_id", "compile_id"]
@@ -127,9 +128,8 @@ def statistics(rows: DataFrame, window_us: int, keys: list[str] = ["callsite", "
 
 
 def with_method(rows: DataFrame) -> DataFrame:
-    """id, a number that grows with (callsite, compile_id) but skips some, key and method_descriptor."""
-    ordered = rows.orderBy("callsite", "compile_id")
-    return ordered.withColumns({"id": F.monotonically_increasing_id(), "key": site_key(F.col("callsite"), F.col("compile_id")), "method_descriptor": method_name(F.col("callsite"))})
+    """id, the row's place in the order of (callsite, compile_id) from 0, key and method_descriptor."""
+    return number_rows(rows, "id", "callsite", "compile_id").withColumns({"key": site_key(F.col("callsite"), F.col("compile_id")), "method_descriptor": method_name(F.col("callsite"))})
 
 
 def by_cost(rows: DataFrame, costs: DataFrame, fan_out: bool = False) -> DataFrame:
