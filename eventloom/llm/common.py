@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -58,6 +60,41 @@ class Scratch:
             _delete(self.spark, self.path(name))
 
 
+# ------------------------------------------------------------------- broadcasts
+_HELD: dict[str, tuple] = {}
+
+
+def held(shared, kind: str):
+    """A broadcast's value. A worker keeps the last one of each kind until its task ends, not those of all jobs that it ever served."""
+    key = getattr(shared, "_path", None) or id(shared)
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD.pop(kind, None)
+        _HELD[kind] = key, shared.value
+        vars(shared).pop("_value", None)
+    return _HELD[kind][1]
+
+
+def released(shared: list) -> None:
+    """Lets a worker forget the values of these broadcasts; they are read again where needed."""
+    for b in shared:
+        vars(b).pop("_value", None)
+
+
+def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step of a task, after which its worker gives memory that it no longer needs back to the machine; idle workers would keep it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            _HELD.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --------------------------------------------------------------------- columns
 class Columns:
     """A table with its columns named by place (c0, c1, ...), so that no name of theirs clashes with one used inside.

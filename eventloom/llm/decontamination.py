@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import NOT_WORD, Columns, chunks, mix, ranges, text_buffer, word_hashes
+from eventloom.llm.common import NOT_WORD, Columns, chunks, held, mix, ranges, released, text_buffer, tidied, word_hashes
 
 #: Words of a tile; a passage is two tiles, and the next one starts a tile later.
 TILE = 32
@@ -174,16 +174,17 @@ def tile_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(parts * size, np.int64)
+        terms = held(shared, "words")
         for batch in batches:
             for _, _, words, bounds in _words(*_lowered(batch.column(0)), 1 << 19):
-                tiles, _, term, _ = tile_terms(words, bounds, shared.value)
+                tiles, _, term, _ = tile_terms(words, bounds, terms)
                 n += int(tiles[-1])
                 df += np.bincount(term, minlength=len(df))
         blobs = [df[k * size : (k + 1) * size].astype("<i8").tobytes() for k in range(parts)]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(parts)], pa.int32()), pa.array([n, *[0] * parts], pa.int64()), pa.array([b"", *blobs], pa.binary())], names=["part", "n", "sums"])
 
     found, n = np.zeros(parts * size, np.int64), 0
-    for r in _added(_text(docs, text).mapInArrow(count, "part int, n long, sums binary"), "<i8"):
+    for r in _added(_text(docs, text).mapInArrow(tidied(count), "part int, n long, sums binary"), "<i8"):
         if r["part"] < 0:
             n = r["n"]
         else:
@@ -240,6 +241,7 @@ def gram_times(docs: DataFrame, text: str, blocks: list[Block]) -> tuple[list[np
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = [b.value for b in shared]
+        released(shared)
         omegas = [b.omega() for b in mine]
         sums, rows = [np.zeros((parts * _TERMS_IN_ROW, rank), np.float32) for parts, rank in shapes], 0
         for batch in batches:
@@ -269,7 +271,7 @@ def gram_times(docs: DataFrame, text: str, blocks: list[Block]) -> tuple[list[np
         yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([rows, *[0] * (len(number) - 1)], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "n", "sums"])
 
     results, n = [np.zeros((parts * _TERMS_IN_ROW, rank)) for parts, rank in shapes], 0
-    for r in _added(_text(docs, text).mapInArrow(multiply, "part int, n long, sums binary"), "<f4"):
+    for r in _added(_text(docs, text).mapInArrow(tidied(multiply), "part int, n long, sums binary"), "<f4"):
         if r["part"] < 0:
             n = r["n"]
         else:
@@ -479,15 +481,16 @@ def annotate(docs: DataFrame, found_by: Benchmark, text: str = "text", columns:
                         for i, x in items.items():  # windows of one item may be in several blocks
                             found[a + doc][i] = max(found[a + doc].get(i, x), x)
                 if len(shared) > TOGETHER:
-                    vars(m).pop("_value", None)  # read again for the next batch, so that one block is held
+                    released([m])  # read again for the next batch, so that one block is held
             if short:
                 for a, _, words, bounds in _words(raw, starts, 1 << 20):
                     for doc, i in sequences.matches(words, bounds):
                         found[a + doc][i] = max(found[a + doc].get(i, (0.0, 0.0, 0.0)), (1.0, 1.0, 1.0))
             rows = [[dict(zip(("item", "covered", "answer", "cosine"), (ids[i], *x), strict=True)) for i, x in sorted(f.items())] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=schema.names)
+        released(shared)
 
-    return given.named(given.frame.select(*given.passing(), given.text(text)).mapInArrow(find, schema))
+    return given.named(given.frame.select(*given.passing(), given.text(text)).mapInArrow(tidied(find), schema))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

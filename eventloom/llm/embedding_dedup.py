@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Columns, Scratch, by_number, components, mix
+from eventloom.llm.common import Columns, Scratch, by_number, components, mix, tidied
 
 #: Vectors that the axes and rotations are fitted on, and steps of that.
 SAMPLE, STEPS = 20_000, 30
@@ -137,7 +137,7 @@ def _sent(classes: DataFrame, quantiser: Quantiser, dimension: int) -> DataFrame
                 codes = quantiser.codes(unit(_matrix(batch.column(1), dimension))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes[:, 0]), pa.array(codes[:, 1])], names=["rep", "c0", "c1"])
 
-    return classes.where("rep is not null").select("rep", "v").mapInArrow(code, "rep long, c0 long, c1 long")
+    return classes.where("rep is not null").select("rep", "v").mapInArrow(tidied(code), "rep long, c0 long, c1 long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool, hot: Broadcast
                     columns = [x[heavy] for x in (columns[0], block, blocks[at], *columns[1:])] if only else [columns[0] | block << 47, *columns[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-    return coded.mapInArrow(place, ", ".join(f"{n} long" for n in names))
+    return coded.mapInArrow(tidied(place), ", ".join(f"{n} long" for n in names))
 
 
 def _hot(coded: DataFrame, tables: list[np.ndarray]) -> DataFrame:
@@ -257,7 +257,7 @@ def _forests(scratch: Scratch, coded: DataFrame, tables: list[np.ndarray], near:
         placed = dealt.select((F.col("key") + F.shiftleft("block", 47)).alias("key"), "rep", "c0", "c1")
     else:
         placed = _keys(coded, tables, True)
-    found = placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(join, "a long, b long").distinct()
+    found = placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(tidied(join), "a long, b long").distinct()
     found = scratch.save(found, f"{name}-forests")
     if not n_hot:
         return found

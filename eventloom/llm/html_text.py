@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Columns, Scratch
+from eventloom.llm.common import Columns, Scratch, tidied
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -729,7 +729,7 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         yield handed()
 
     scratch = Scratch(pages.sparkSession, "wrappers")
-    now, step = scratch.save(source.mapInArrow(read, _WRAPPER), "0"), 0
+    now, step = scratch.save(source.mapInArrow(tidied(read), _WRAPPER), "0"), 0
 
     def reduced(keys: list[str], salt: Column, together) -> None:
         nonlocal now, step
@@ -775,4 +775,4 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", columns: lis
                 texts.append(main_text(page.as_py(), known[name]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return given.named(source.mapInArrow(apply, schema))
+    return given.named(source.mapInArrow(tidied(apply), schema))

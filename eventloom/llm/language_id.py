@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Columns, chunks, text_buffer
+from eventloom.llm.common import Columns, chunks, held, text_buffer, tidied
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -194,7 +194,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
                         code, n = np.unique(grams(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], length), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k), pa.int32()), pa.array(np.full(len(code), length), pa.int32()), pa.array(code), pa.array(n)], names=["lang", "length", "gram", "n"])
 
-    found = sample.mapInArrow(count, "lang int, length int, gram long, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(tidied(count), "lang int, length int, gram long, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang_at, length, gram, n = (found.column(c).to_numpy() for c in ("lang", "length", "gram", "n"))
     counts = []
     for k in range(1, order + 2):
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", columns: list[str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the bounded sample
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = held(shared, "languages")
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             n = batch.num_rows
@@ -232,6 +232,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", columns: list[str
             columns = [*batch.columns[:-2], pa.array(names[best], pa.string()), pa.array(score), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return given.named(source.mapInArrow(apply, schema))
+    return given.named(source.mapInArrow(tidied(apply), schema))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACES, Columns, Scratch, by_number, chunks, components, mix, signed, text_buffer, word_hashes
+from eventloom.llm.common import SPACES, Columns, Scratch, by_number, chunks, components, mix, signed, text_buffer, tidied, word_hashes
 
 REGISTERS = 128
 #: Registers in a band. At similarity 0.8 a linked pair shares none of the 32 bands with probability 5e-8.
@@ -172,7 +172,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     names=["id", "n_shingles", "h1", "h2", "sig"],
                 )
 
-    return docs.mapInArrow(sketch, "id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(tidied(sketch), "id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -195,7 +195,7 @@ def _near(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
                 near &= np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    return joined.mapInArrow(keep, "a long, b long")
+    return joined.mapInArrow(tidied(keep), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(keep, "a long, b long")
+    return joined.mapInArrow(tidied(keep), "a long, b long")
 
 
 def _sets(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _sets(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
                 # rows of another text under the same id are not the class
                 yield out.filter(pa.array((h1 == batch.column(1).slice(a, b - a).to_numpy()) & (h2 == batch.column(2).slice(a, b - a).to_numpy())))
 
-    return source.mapInArrow(build, "rep long, hashes binary")
+    return source.mapInArrow(tidied(build), "rep long, hashes binary")
 
 
 def _mixed(members: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.bpe import encoder
-from eventloom.llm.common import Columns, Scratch
+from eventloom.llm.common import Columns, Scratch, tidied
 
 #: Pieces that one group packs at once; bounds a task's memory at every input size.
 GROUP_PIECES = 40_000
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", e
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    return source.mapInArrow(split, schema)
+    return source.mapInArrow(tidied(split), schema)
 
 
 # ----------------------------------------------------------------- one group

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventloom.llm.bpe import CACHE_WORDS, PRETOKENS, byte_alphabet, encoder
-from eventloom.llm.common import Columns, chunks, mix, text_buffer
+from eventloom.llm.common import Columns, chunks, mix, text_buffer, tidied
 
 _B = np.uint64(0xD6E8FEB86659FD93)
 #: Characters of the pre-tokens that are solved together, to keep the table of a batch narrow; longer ones go one by one.
@@ -346,4 +346,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", budget: int = 1
                     columns.append(pa.array([pack_counts(f[2]) for f in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return given.named(given.frame.select(*given.passing(), given.text(text)).mapInArrow(count, schema))
+    return given.named(given.frame.select(*given.passing(), given.text(text)).mapInArrow(tidied(count), schema))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.bpe import encoder
-from eventloom.llm.common import Columns, Scratch
+from eventloom.llm.common import Columns, Scratch, tidied
 
 MAGIC = b"EVWM0003"
 #: Ids after which a shard is closed; bounds a task's memory.
@@ -253,7 +253,7 @@ def encode_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
         if parts:
             yield close()
 
-    return ordered.mapInArrow(build, "part int, shard int, first long, n_ids long, payload binary")
+    return ordered.mapInArrow(tidied(build), "part int, shard int, first long, n_ids long, payload binary")
 
 
 def write_shards(shards: DataFrame, folder: str) -> None:
@@ -282,7 +282,7 @@ def read_documents(spark: SparkSession, folder: str, id_type: str = "bigint") ->
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([matrix.doc_ids, pa.array(at[:-1] + first), pa.array(matrix.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return source.mapInArrow(read, schema)
+    return source.mapInArrow(tidied(read), schema)
 
 
 def write_and_read(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS, folder: str | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import NOT_WORD, Columns, Scratch, chunks, mix, ranges, text_buffer, word_hashes
+from eventloom.llm.common import NOT_WORD, Columns, Scratch, chunks, held, mix, ranges, text_buffer, tidied, word_hashes
 
 #: Labelled rows of each class that are used, and their bytes of text; the sample is chosen by a hash of the id.
 MAX_EXAMPLES, MAX_BYTES = 2000, 64 << 20
@@ -266,7 +266,7 @@ def _words(examples: DataFrame, kind: str) -> DataFrame:
             columns = [[sketch(w).tobytes() for w in mine], [t.tobytes() for t, _ in counted], [n.astype(np.int32).tobytes() for _, n in counted]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.binary()) for c in columns)], names=["id", "label", "hash", "sketch", "terms", "counts"])
 
-    return examples.mapInArrow(split, f"id {kind}, label int, hash long, sketch binary, terms binary, counts binary")
+    return examples.mapInArrow(tidied(split), f"id {kind}, label int, hash long, sketch binary, terms binary, counts binary")
 
 
 def relevance(terms: np.ndarray, labels: np.ndarray, groups: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -289,11 +289,12 @@ def frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(parts * _TERMS_IN_ROW, np.int64)
+        terms = held(shared, "words")
         for batch in batches:
             raw, starts = text_buffer(batch.column(0))
             n += batch.num_rows
             for a, b in chunks(starts):
-                df += np.bincount(term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], shared.value)[1], minlength=len(df))
+                df += np.bincount(term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], terms)[1], minlength=len(df))
         blobs = [df[k * _TERMS_IN_ROW : (k + 1) * _TERMS_IN_ROW].astype("<i8").tobytes() for k in range(parts)]
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(parts)], pa.int32()), pa.array([n, *[0] * parts], pa.int64()), pa.array([b"", *blobs], pa.binary())], names=["part", "n", "df"])
 
@@ -303,7 +304,7 @@ def frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.
 
     schema, found = "part int, n long, df binary", np.zeros(parts * _TERMS_IN_ROW, np.int64)
     documents = 0
-    for r in Columns(docs).frame.select(Columns(docs).text(text)).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+    for r in Columns(docs).frame.select(Columns(docs).text(text)).mapInArrow(tidied(count), schema).groupBy("part").applyInArrow(add, schema).collect():
         if r["part"] < 0:
             documents = r["n"]
         else:
@@ -368,7 +369,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
     kind = pa.list_(pa.string() if strings else pa.int64())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = held(shared, "toxicity")
         for batch in batches:
             raw, starts = text_buffer(batch.column(batch.num_columns - 1))
             hashes = batch.column(batch.num_columns - 2).to_pylist()
@@ -380,4 +381,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=schema.names)
 
     words = source.text(text)
-    return source.named(source.frame.select(*source.passing(), F.xxhash64(words).alias("hash"), words.alias("text")).mapInArrow(apply, schema))
+    return source.named(source.frame.select(*source.passing(), F.xxhash64(words).alias("hash"), words.alias("text")).mapInArrow(tidied(apply), schema))
