@@ -253,8 +253,8 @@ def gram_times(docs: DataFrame, text: str, blocks: list[Block]) -> tuple[list[np
                     weight = _unit(tile, count * block.idf[term]).astype(np.float32)
                     cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
                     rows += len(cuts) if k == 0 else 0
-                    for a in range(0, len(cuts), 2048):  # dense rows of so many tiles at once
-                        lo, hi = cuts[a], cuts[a + 2048] if a + 2048 < len(cuts) else len(tile)
+                    for a in range(0, len(cuts), 1024):  # dense rows of so many tiles at once
+                        lo, hi = cuts[a], cuts[a + 1024] if a + 1024 < len(cuts) else len(tile)
                         w, t = weight[lo:hi], term[lo:hi]
                         product, groups = _grouped(omega[t] * w[:, None], tile[lo:hi])
                         order = np.argsort(t, kind="stable")
@@ -338,8 +338,8 @@ class Model:
         most[joined], square[joined] = most[joined] + most[joined + 1], square[joined] + square[joined + 1]
         chosen = np.flatnonzero((square > 0) & (most >= 0.999 * COSINE * np.sqrt(square)))
         at = np.searchsorted(tile, np.arange(n + 1))
-        for a in range(0, len(chosen), 2048):
-            mine = chosen[a : a + 2048]
+        for a in range(0, len(chosen), 512):
+            mine = chosen[a : a + 512]
             size = np.where(last_tile[mine], at[mine + 1], at[np.minimum(mine + 2, n)]) - at[mine]
             rows = ranges(at[mine], size)
             key = np.repeat(np.arange(len(mine)), size) * len(self.terms) + term[rows]
@@ -476,14 +476,14 @@ def annotate(docs: DataFrame, found_by: Benchmark, text: str = "text", columns:
             found: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(batch.num_rows)]
             for m in shared:
                 model = m.value
-                for a, _, words, bounds in _words(raw, starts, 1 << 20):
+                for a, _, words, bounds in _words(raw, starts, 1 << 19):
                     for doc, items in model.matches(words, bounds).items():
                         for i, x in items.items():  # windows of one item may be in several blocks
                             found[a + doc][i] = max(found[a + doc].get(i, x), x)
                 if len(shared) > TOGETHER:
                     released([m])  # read again for the next batch, so that one block is held
             if short:
-                for a, _, words, bounds in _words(raw, starts, 1 << 20):
+                for a, _, words, bounds in _words(raw, starts, 1 << 19):
                     for doc, i in sequences.matches(words, bounds):
                         found[a + doc][i] = max(found[a + doc].get(i, (0.0, 0.0, 0.0)), (1.0, 1.0, 1.0))
             rows = [[dict(zip(("item", "covered", "answer", "cosine"), (ids[i], *x), strict=True)) for i, x in sorted(f.items())] for f in found]
