@@ -45,6 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/eventloom/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
         # results may read these tables until the driver ends
         atexit.register(_delete, spark, self.base)
 
@@ -55,8 +56,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As ``save``, in ``buckets`` buckets by ``key``, sorted within: such tables are joined by key without a shuffle."""
+        table = f"eventloom_{uuid.uuid4().hex}"
+        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             _delete(self.spark, self.path(name))
 
 

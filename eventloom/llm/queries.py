@@ -91,6 +91,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.exact_dedup import Delivery, DigestIndex
+
+    docs = _table(spark, sf_dir, "documents")
+    # two deliveries that share texts: the second finds the first one's digests in the index
+    rows = Delivery(docs, lambda id: F.when(F.xxhash64(id) % 2 == 0, "first").otherwise("second"), columns=["doc_id"])
+    index = DigestIndex(spark, id_type=rows.id_type)
+    for part in ("first", "second"):
+        index.add(rows.rows.where(F.col("delivery") == part), part)
+    out = index.decide(rows)
+    index.close()
+    return out
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -102,6 +116,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
@@ -145,5 +160,10 @@ _VECTORS_SQL = (
     + ", n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"
 )
 
+_EXACT_SQL = (
+    "WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents) "
+    "SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256 FROM d WINDOW w AS (PARTITION BY h ORDER BY c DESC, doc_id)"
+)
+
 #: The others learn, encode or parse, which SQL can't express; brute-force versions in the tests stand in.
-ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL}
+ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL, "op13_exact_dedup": _EXACT_SQL}
