@@ -91,6 +91,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.merkle import FIELDS, fold, leaf_hash, manifest, siblings
+
+    def tampered(col):
+        """The leaf of a row whose id has an even checksum, its text without line feeds; null for others."""
+        text = F.replace(col("text"), F.lit("\n"), F.lit(""))
+        return F.when(F.crc32(col("doc_id").cast("string")) % 2 == 0, leaf_hash([text if f == "text" else col(f) for f in FIELDS]))
+
+    rows = manifest(_table(spark, sf_dir, "documents"), columns=["doc_id"], also={"tampered": tampered})
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    out = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.exact_dedup import Delivery, DigestIndex
 
@@ -116,6 +130,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -165,5 +180,32 @@ _EXACT_SQL = (
     "SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256 FROM d WINDOW w AS (PARTITION BY h ORDER BY c DESC, doc_id)"
 )
 
+
+def _merkle_sql() -> str:
+    part = lambda c: f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+    shift = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"  # a bit of the checksum
+    for _ in range(7):
+        shift = f"list_transform([{shift}], lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)[1]"
+    crc = f"list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: list_transform([xor(a, x)], lambda c: {shift})[1], 4294967295::BIGINT)"
+    tree = lambda name, first: (
+        f"{name} AS ({first} UNION ALL SELECT g, l + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM {name} WHERE n > 1 GROUP BY g, l, p // 3, n)"
+    )
+    return (
+        f"WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS bad FROM documents), "
+        "r AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM d), "
+        + tree("t", "SELECT g, 0 AS l, p, n, leaf AS h FROM r")
+        + ", sub AS MATERIALIZED (SELECT g, h FROM t WHERE n = 1), "
+        + tree("u", "SELECT 0::BIGINT AS g, 0 AS l, g AS p, (SELECT count(*) FROM sub) AS n, h FROM sub")
+        # all levels of all trees as one list: those of the group, then those over the groups
+        + ", top AS (SELECT max(l) AS l FROM t), al AS MATERIALIZED (SELECT g, l, p, h FROM t UNION ALL SELECT -1, l + 1000, p, h FROM u), "
+        "f AS (SELECT doc_id, g, 0 AS l, p, coalesce(bad, leaf) AS h, '' AS proof, false AS ended FROM r "
+        "UNION ALL SELECT f.doc_id, CASE WHEN count(m.h) = 0 AND any_value(f.l) < 1000 THEN -1 ELSE f.g END, CASE WHEN count(m.h) = 0 THEN 1000 ELSE f.l + 1 END, CASE WHEN count(m.h) = 0 THEN f.g ELSE f.p // 3 END, "
+        "CASE WHEN count(m.h) = 0 THEN f.h ELSE sha256(string_agg(CASE WHEN m.p = f.p THEN f.h ELSE m.h END, '' ORDER BY m.p)) END, f.proof || coalesce(string_agg(m.h, '' ORDER BY m.p) FILTER (m.p <> f.p), ''), count(m.h) = 0 AND f.l >= 1000 "
+        "FROM f LEFT JOIN (SELECT *, max(p) OVER (PARTITION BY g, l) AS most FROM al) m ON m.g = f.g AND m.l = f.l AND m.p // 3 = f.p // 3 AND m.most > 0 WHERE NOT f.ended GROUP BY f.doc_id, f.g, f.l, f.p, f.h, f.proof) "
+        "SELECT r.doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified FROM r JOIN sub USING (g) JOIN (SELECT h FROM u WHERE n = 1) root ON true JOIN f ON f.doc_id = r.doc_id AND f.ended"
+    )
+
+
 #: The others learn, encode or parse, which SQL can't express; brute-force versions in the tests stand in.
-ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL, "op13_exact_dedup": _EXACT_SQL}
+ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL, "op11_merkle_manifest": _merkle_sql(), "op13_exact_dedup": _EXACT_SQL}
