@@ -105,6 +105,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.vector_codes import codes
+
+    return codes(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.exact_dedup import Delivery, DigestIndex
 
@@ -131,6 +137,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -207,5 +214,25 @@ def _merkle_sql() -> str:
     )
 
 
+def _codes_sql() -> str:
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(4096 * x) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT r, vec_id, p, e[p * (len(e) // 8) + 1:(p + 1) * (len(e) // 8)] AS e FROM v, range(8) t(p))",
+        "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, e FROM x QUALIFY c < 16)",
+    ]
+    for k in range(7):
+        distance = "list_sum(list_transform(list_zip(x.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, x.p, arg_min(b.c, {distance} * 16 + b.c) AS c, CAST(min({distance}) AS BIGINT) AS d, any_value(x.e) AS e FROM x JOIN b{k} b ON b.p = x.p GROUP BY r, x.p)")
+        if k < 6:
+            sums = f"SELECT p, c, i, floor_div AS e FROM (SELECT p, c, i, CAST(CASE WHEN sum(y) < 0 AND sum(y) % count(*) <> 0 THEN sum(y) // count(*) - 1 ELSE sum(y) // count(*) END AS BIGINT) AS floor_div FROM (SELECT p, c, unnest(e) AS y, generate_subscripts(e, 1) AS i FROM a{k}) GROUP BY p, c, i)"
+            parts.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.c, coalesce(n.e, b.e) AS e FROM b{k} b LEFT JOIN (SELECT p, c, list(e ORDER BY i) AS e FROM ({sums}) GROUP BY p, c) n USING (p, c))")
+    parts.append("f AS MATERIALIZED (SELECT r, string_agg(lower(lpad(to_hex(c), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r)")
+    return (
+        "WITH "
+        + ", ".join(parts)
+        + " SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, c)) FROM b6) AS codebooks_sha256 FROM v JOIN f USING (r)"
+    )
+
+
 #: The others learn, encode or parse, which SQL can't express; brute-force versions in the tests stand in.
-ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL, "op11_merkle_manifest": _merkle_sql(), "op13_exact_dedup": _EXACT_SQL}
+ORACLES: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op7_minhash_near_dedup": _NEAR_SQL, "op8_embedding_near_dedup": _VECTORS_SQL, "op11_merkle_manifest": _merkle_sql(), "op12_vector_codes": _codes_sql(), "op13_exact_dedup": _EXACT_SQL}
