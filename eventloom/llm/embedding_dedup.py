@@ -10,7 +10,9 @@ bounded size, cosines in double precision give each vector's number of links and
 
 The axes and rotations are fitted on a bounded, hash-chosen sample; every vector is indexed. Recall is
 that of the tables: what is linked but never within two places in a substring, or differs in too many bits, is missed,
-and no link below the threshold is ever made. Equal vectors are one class throughout.
+and no link below the threshold is ever made. The number of tables and the near limit come from pairs at the threshold, made from the sample, and from links in it:
+codes are taken about the vectors' mean or about the origin, whichever needs fewer tables to miss at most ``MISS`` of them. Where
+vectors share so large a part that neither does, all are compared in blocks, which is exact and takes the square of their number. Equal vectors are one class throughout.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors link
 with those of their own length; each length that several have has axes, tables and clusters of its own. Null ids take part in counts as members of their class; a class that has only null ids links with nothing, and gets no component.
@@ -38,6 +40,8 @@ SAMPLE, STEPS = 20_000, 30
 SUBSTRING, LOAD = 16, 4096
 #: Share of pairs at the threshold that all tables may miss, and places of 128 by which near codes may differ beyond those expected.
 MISS, MARGIN = 0.03, 18
+#: Tables at most, and pairs that they are tried on.
+MOST_TABLES, TRIED = 64, 20_000
 #: Vectors compared with as many others at once, and codes.
 BLOCK, CODES = 256, 4096
 #: Hot buckets whose keys are broadcast, 16 bytes each; more are joined.
@@ -63,8 +67,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def substrings(width: int, count: int) -> list[np.ndarray]:
+    """The bits of each table's substring: the first code's bits one after the other, then both codes' in other orders."""
+    rng, bits = np.random.default_rng(3), np.arange(64)
+    while len(bits) < count * width:
+        bits = np.concatenate([bits[: len(bits) // width * width], rng.permutation(128)])
+    return [bits[k * width : (k + 1) * width] for k in range(count)]
+
+
 def tables_for(n: int, threshold: float, least: int = SUBSTRING) -> tuple[list[np.ndarray], int]:
-    """The bits of each table's substring, and the places in which near codes differ at most.
+    """The bits of each table's substring, and the places in which near codes differ at most, for codes about the origin.
 
     Unrelated codes fill a bucket with n * (width + 1) / 2**width vectors. A pair at the threshold differs in each bit with probability
     q; it meets in a table if it differs in at most two bits of the substring, and there are tables enough for ``MISS``.
@@ -74,25 +86,75 @@ def tables_for(n: int, threshold: float, least: int = SUBSTRING) -> tuple[list[n
         width += 1
     q = math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
     meet = sum(math.comb(width, k) * q**k * (1 - q) ** (width - k) for k in range(3))
-    count = min(64, max(1, math.ceil(math.log(MISS) / math.log(1 - meet)))) if meet < 1 else 1
-    rng, bits = np.random.default_rng(3), np.arange(64)  # the first code's bits, then both codes' in other orders
-    while len(bits) < count * width:
-        bits = np.concatenate([bits[: len(bits) // width * width], rng.permutation(128)])
-    return [bits[k * width : (k + 1) * width] for k in range(count)], min(64, round(128 * q) + MARGIN)
+    count = min(MOST_TABLES, max(1, math.ceil(math.log(MISS) / math.log(1 - meet)))) if meet < 1 else 1
+    return substrings(width, count), min(64, round(128 * q) + MARGIN)
+
 
+def tried_pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at or over the threshold, in two sets: ones made from the sample, and links found in it if they are many.
 
-def fit(vectors: np.ndarray, steps: int = STEPS) -> Quantiser:
-    """Iterative quantisation of unit vectors: turn, take signs, turn to fit the signs, again and again."""
-    mean = vectors.mean(axis=0)
-    centred = vectors - mean
+    A made pair is a vector and another one of the sample, or, where that is less than the threshold, the vector turned towards it as far as the threshold
+    allows; so its difference has the directions that differences have in these data.
+    """
+    rng = np.random.default_rng(5)
+    x = sample[rng.integers(0, len(sample), min(TRIED, 10 * len(sample)))]
+    y = sample[rng.integers(0, len(sample), len(x))]
+    cosine = (x * y).sum(axis=1)
+    across = y - cosine[:, None] * x
+    size = np.linalg.norm(across, axis=1)
+    turned = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * across / np.maximum(size, 1e-12)[:, None]
+    some = size > 1e-9  # neither the same vector nor its opposite
+    out = [(x[some], np.where((cosine < threshold)[:, None], turned, y)[some])]
+    few = sample[rng.permutation(len(sample))[:4000]]
+    a, b = np.nonzero(np.triu(few @ few.T >= threshold, 1))
+    if len(a) >= 50:
+        pick = rng.permutation(len(a))[:TRIED]
+        out.append((few[a[pick]], few[b[pick]]))
+    return [p for p in out if len(p[0])]
+
+
+def _bits(quantiser: Quantiser, vectors: np.ndarray) -> np.ndarray:
+    return (vectors - quantiser.mean) @ quantiser.projections > 0
+
+
+def plan_for(sample: np.ndarray, n: int, threshold: float, least: int = SUBSTRING) -> tuple[Quantiser, list[np.ndarray], int] | None:
+    """The quantiser, tables and near limit by which at most ``MISS`` of the tried pairs are missed; None if no number of tables is enough.
+
+    Codes about the mean tell vectors apart best, but where vectors share a large part, the angle about the mean says little about the one about
+    the origin; codes about the origin keep it, with buckets that are as full as the vectors are alike.
+    """
+    tables, near = tables_for(n, threshold, least)
+    width, pairs, best = len(tables[0]), tried_pairs(sample, threshold), None
+    every = substrings(width, MOST_TABLES)
+    for centred in (True, False):
+        quantiser = fit(sample, centred=centred)
+        count, limit = len(tables), near
+        for x, y in pairs:
+            differ = _bits(quantiser, x) != _bits(quantiser, y)
+            apart = differ.sum(axis=1)
+            limit = max(limit, int(np.quantile(apart, 1 - MISS / 3, method="higher")))
+            left, used = np.ones(len(differ), bool), 0
+            while left.mean() > MISS * 2 / 3 and used < MOST_TABLES:
+                left &= differ[:, every[used]].sum(axis=1) > 2
+                used += 1
+            count = max(count, used if left.mean() <= MISS * 2 / 3 else MOST_TABLES + 1)
+        if count <= MOST_TABLES and (best is None or count < best[0]):
+            best = count, (quantiser, every[:count], limit)
+    return best and best[1]
+
+
+def fit(vectors: np.ndarray, steps: int = STEPS, centred: bool = True) -> Quantiser:
+    """Iterative quantisation of unit vectors, about their mean or the origin: turn, take signs, turn to fit the signs, again and again."""
+    mean = vectors.mean(axis=0) if centred else np.zeros(vectors.shape[1])
+    about = vectors - mean
     dimension = vectors.shape[1]
-    values, axes = np.linalg.eigh(centred.T @ centred)
+    values, axes = np.linalg.eigh(about.T @ about)
     axes = axes[:, ::-1]
     width = min(64, dimension)
     parts = []
     for seed in (1, 2):
         rng = np.random.default_rng(seed)
-        projected = centred @ axes[:, :width]
+        projected = about @ axes[:, :width]
         turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
         for _ in range(steps):
             u, _, v = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
@@ -121,11 +183,12 @@ def classes_of(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     return rows.select("id", "key"), classes, {r["d"]: r["count"] for r in lengths}
 
 
-def quantiser_for(classes: DataFrame, dimension: int, sample: int = SAMPLE) -> Quantiser:
+def sample_of(classes: DataFrame, dimension: int, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors that a hash chooses."""
     n = classes.count()
     rate = min(1.0, sample / max(n, 1))
     chosen = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < rate).orderBy("key").select("v").toArrow()
-    return fit(unit(_matrix(chosen.column("v").combine_chunks(), dimension)))
+    return unit(_matrix(chosen.column("v").combine_chunks(), dimension))
 
 
 def _sent(classes: DataFrame, quantiser: Quantiser, dimension: int) -> DataFrame:
@@ -376,11 +439,12 @@ def _linked(scratch: Scratch, vectors: DataFrame, threshold: float, substring: i
         links = None
         for dimension, n in dimensions.items():
             mine = classes.where(F.size("v") == dimension)
-            if n <= BLOCK:  # one comparison; so few are no sample to fit axes on
+            plan = plan_for(sample_of(mine, dimension), n, threshold, substring) if n > BLOCK else None
+            if plan is None:  # so few are no sample to fit axes on, or codes that say nothing of these vectors: all are compared, in blocks
                 clusters = mine.where("rep is not null").select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("component"))
             else:
-                coded = scratch.save(_sent(mine, quantiser_for(mine, dimension), dimension), f"coded-{dimension}")
-                tables, near = tables_for(n, threshold, substring)
+                quantiser, tables, near = plan
+                coded = scratch.save(_sent(mine, quantiser, dimension), f"coded-{dimension}")
                 clusters = components(scratch, _forests(scratch, coded, tables, near, f"near-{dimension}"), f"clusters-{dimension}")
             part = scratch.save(_links(clusters, mine, threshold, dimension), f"links-{dimension}")
             links = part if links is None else links.unionByName(part)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from eventloom.llm import embedding_dedup
-from eventloom.llm.embedding_dedup import _small_forest, fit, near_duplicates, near_forest, tables_for, unit
+from eventloom.llm.embedding_dedup import _small_forest, fit, near_duplicates, near_forest, plan_for, tables_for, unit
 
 
 def brute(rows, threshold=0.9):
@@ -146,3 +146,29 @@ def test_recall_at_the_threshold(substring):
     tables, near = tables_for(1000, 0.9, substring)
     met = np.any([(a[:, t] != b[:, t]).sum(axis=1) <= 2 for t in tables], axis=0) & ((a != b).sum(axis=1) <= near)
     assert met.mean() > 0.9
+
+
+def cloud(n, dimension, noise, seed):
+    """Vectors that share a common part."""
+    rng = np.random.default_rng(seed)
+    return unit(unit(rng.standard_normal((1, dimension))) + noise * rng.standard_normal((n, dimension)) / math.sqrt(dimension))
+
+
+@pytest.mark.parametrize("dimension, noise", [(64, 0.30), (64, 0.33), (8, 0.33), (256, 0.345), (64, 0.6)])
+def test_recall_off_centre(spark, dimension, noise):
+    x = cloud(1200, dimension, noise, 23)
+    rng = np.random.default_rng(29)
+    x = np.concatenate([x, unit(x[:300] + 0.2 * rng.standard_normal((300, dimension)) / math.sqrt(dimension))])
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()
+    found = np.array([n for _, n in sorted((r.vec_id, r.n_links) for r in got)])
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum() > 0
+
+
+def test_plans_follow_the_vectors():
+    rng = np.random.default_rng(31)
+    central, common = unit(rng.standard_normal((3000, 64))), cloud(3000, 64, 0.33, 37)
+    quantiser, tables, near = plan_for(central, 3000, 0.9)
+    assert np.abs(quantiser.mean).max() > 0 and len(tables) <= 12 and near <= 44
+    other = plan_for(common, 3000, 0.9)
+    assert other is None or not other[0].mean.any()
