@@ -11,7 +11,8 @@ its last byte, so one table look-up a level finds the nodes for every position o
 too many nodes for a table is searched instead, with the same result.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
-no language was learned. Ties go to the language first in order. Rows with null language or null text teach nothing.
+no language was learned. Ties go to the language first in order. Rows with null language or null or empty text teach nothing, and a language of no other rows is not learned.
+Of every other language a piece of a text is learned at least.
 Repeated rows are each predicted. A very long text is a step of its own, whole, and its worker holds some numbers for each of its bytes. Other columns pass through, and an output
 column that clashes with one, in any case of letters, replaces it.
 """
@@ -31,8 +32,10 @@ from eventloom.llm.common import Columns, chunks, held, text_buffer, tidied
 
 #: Bytes of the longest context.
 ORDER = 4
-#: Labelled rows that teach, over all languages, each with an equal share, and their bytes of text; chosen by a hash of the row.
+#: Labelled rows that teach, over all languages, each with an equal share, and their bytes of text; chosen by a hash of the row, in pieces.
 MAX_ROWS, MAX_BYTES = 1600, 16 << 20
+#: Code points of a text that are drawn at once.
+PIECE = 20_000
 #: Entries of a level's table of nodes; a larger one is searched.
 TABLE = 32_000_000
 #: Bytes of text scored in one step.
@@ -173,15 +176,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
     """The model from these rows; leave held-out rows out of ``docs``. The driver gets gram counts of the bounded sample."""
     given = Columns(docs)
     taught = given.frame.select(given.col(id).alias("id"), given.text(text).alias("text"), given.text(lang).alias("lang")).where("lang is not null and text is not null")
-    total = {r["lang"]: r for r in taught.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}  # one row a language
+    # a long text teaches by pieces, each drawn by itself
+    pieces = F.expr(f"sequence(0, greatest(cast(ceil(length(text) / {PIECE}) as int), 1) - 1)")
+    taught = taught.select("id", "lang", "text", F.length("text").alias("n"), F.explode(pieces).alias("k"))
+    spread = F.when(F.col("k") == 0, F.xxhash64("id", "n")).otherwise(F.xxhash64("id", "n", "k"))
+    taught = taught.select("lang", F.when(F.col("n") <= PIECE, F.col("text")).otherwise(F.substring("text", F.col("k") * PIECE + 1, F.lit(PIECE))).alias("text"), (F.pmod(spread, F.lit(1 << 30)) / float(1 << 30)).alias("spread"))
+    total = {r["lang"]: r for r in taught.where("text <> ''").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("spread").alias("least")).collect()}  # one row a language
     languages = sorted(total)
     if not languages:
         return Model([], [], [], [])
-    rate = {k: min(1.0, max_rows / len(languages) / r["n"], max_bytes / len(languages) / max(r["bytes"], 1)) for k, r in total.items()}
+    # a language keeps its first piece at least, by the hash
+    rate = {k: max(r["least"], min(1.0, max_rows / len(languages) / r["n"], max_bytes / len(languages) / max(r["bytes"], 1))) for k, r in total.items()}
     rates = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
     number = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
-    spread = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    sample = taught.where(spread < rates[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
+    sample = taught.where((F.col("text") != "") & (F.col("spread") <= rates[F.col("lang")])).select(number[F.col("lang")].alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,8 @@
 The examples are a bounded, hash-chosen sample of labelled rows, each with the whole vector of its words. A word weighs
 (1 + log of its count) * idf * relevance. Inverse document frequencies are over all documents. The relevance grows
 from ``PLAIN`` to 1 with the log-likelihood ratio by which positive examples hold the word more than others do; near
-copies of one text count as one example in this. No word is left out. Examples lie in an inverted index in blocks: a word's list has
+copies of one text count as one example in this. No word is left out: a word that no example holds is in the length of its text's vector, at the weight of a
+word of one document that marks nothing. Examples lie in an inverted index in blocks: a word's list has
 its runs of postings by block, each with its largest weight, so that lists are followed only in blocks that can reach the k best, which
 are still exact. The lists of common words are written out with their zeros and multiplied with many texts at once. Votes of the k nearest, weighted by distance, give a raw score, which a monotone fit
 on left-out examples turns into a calibrated one. An example of the very text that is scored is no neighbour of it, in the fit and
@@ -153,6 +154,7 @@ class Model:
     at: np.ndarray  # the examples' vectors: where each begins, term numbers, counts
     numbers: np.ndarray
     counts: np.ndarray
+    unseen: float = 0.0  # weight of a word that no example holds
     neighbours: int = NEIGHBOURS
     share: float = 0.0
     base: float = 0.0
@@ -171,9 +173,10 @@ class Model:
             self._index = BlockMaxIndex(self.at, self.numbers, np.concatenate([np.zeros(0), *parts]), self.ids, len(self.terms))
         return self._index
 
-    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def vector(self, numbers: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> np.ndarray:
+        """Parts of a text's vector of length 1; ``rest`` is what its words that no example holds add to the square of its length, at weight 1."""
         w = (1 + np.log(counts)) * self.weight[numbers]
-        return w / np.sqrt((w * w).sum()) if len(w) else w
+        return w / np.sqrt((w * w).sum() + rest * self.unseen**2) if len(w) else w
 
     def fit(self) -> Model:
         """Calibrates on the examples, each scored without those of its text."""
@@ -183,15 +186,15 @@ class Model:
         mean = lambda rows: float((self.weights * self.labels)[rows].sum() / self.weights[rows].sum()) if rows.any() else 0.0
         self.share, self.base = mean(~filled), mean(filled)
         at = np.flatnonzero(filled)
-        raw = [self.vote(*found) for found in self._nearest([(self.numbers[self.at[k] : self.at[k + 1]], self.counts[self.at[k] : self.at[k + 1]], int(self.hashes[k])) for k in at.tolist()])]
+        raw = [self.vote(*found) for found in self._nearest([(self.numbers[self.at[k] : self.at[k + 1]], self.counts[self.at[k] : self.at[k + 1]], int(self.hashes[k]), 0.0) for k in at.tolist()])]
         if len(at):
             self.steps = monotone(np.array(raw), self.labels[at].astype(float), self.weights[at])
         return self
 
-    def _nearest(self, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The nearest examples of each text: its words, their counts, the hash of the text."""
+    def _nearest(self, texts: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each text: its words, their counts, the hash of the text, and what its other words add to the square of its length."""
         for a in range(0, len(texts), BATCH):
-            yield from self.index.nearest_of([(numbers, self.vector(numbers, counts), np.flatnonzero(self.hashes == text)) for numbers, counts, text in texts[a : a + BATCH]], self.neighbours)
+            yield from self.index.nearest_of([(numbers, self.vector(numbers, counts, rest), np.flatnonzero(self.hashes == text)) for numbers, counts, text, rest in texts[a : a + BATCH]], self.neighbours)
 
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Distance-weighted share of positive labels; near 0 and 1 it keeps a little of the overall share."""
@@ -203,9 +206,9 @@ class Model:
         x, y = self.steps
         return float(np.clip(np.interp(raw, x, y), 0.0, 1.0)) if len(x) else self.share
 
-    def scores(self, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[float, list]]:
-        """Score and the ids of the three nearest examples of each text: its words, their counts, the hash of the text."""
-        keys = [(text, numbers.tobytes(), counts.tobytes()) if len(numbers) and len(self.ids) else None for numbers, counts, text in texts]
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray, int, float]]) -> list[tuple[float, list]]:
+        """Score and the ids of the three nearest examples of each text, given as for ``_nearest``."""
+        keys = [(text, numbers.tobytes(), counts.tobytes(), rest) if len(numbers) and len(self.ids) else None for numbers, counts, text, rest in texts]
         new = {key: t for key, t in zip(keys, texts, strict=True) if key is not None and key not in self._seen}
         for key, (rows, sims) in zip(new, self._nearest(list(new.values())), strict=True):
             self._seen[key] = (self.calibrated(self.vote(rows, sims)), self.ids[rows[:3]].tolist()) if len(rows) else (self.share, [])
@@ -215,20 +218,30 @@ class Model:
         return out
 
 
-def term_counts(raw: np.ndarray, starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each text's words among these sorted hashes begin, their numbers, ascending, and counts."""
+def term_counts(raw: np.ndarray, starts: np.ndarray, terms: np.ndarray, others: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's words among these sorted hashes begin, their numbers, ascending, and counts; and, if asked, each text's sum of
+    (1 + log of the count) squared over its other words."""
     words, bounds = word_hashes(raw, starts, NOT_WORD)
     n = len(starts) - 1
+    rest = np.zeros(n)
     if not len(terms) or not len(words):
-        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), rest
     at = np.searchsorted(terms, words)
     at[at == len(terms)] = 0
-    hit = np.flatnonzero(terms[at] == words)
+    same = terms[at] == words
+    hit = np.flatnonzero(same)
+    if others and len(hit) < len(words):
+        miss = np.flatnonzero(~same)
+        doc, word = np.searchsorted(bounds, miss, "right") - 1, words[miss]
+        by = np.lexsort((word, doc))
+        doc, word = doc[by], word[by]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]))
+        rest = np.bincount(doc[first], (1 + np.log(np.diff(first, append=len(doc)))) ** 2, minlength=n)
     key = (np.searchsorted(bounds, hit, "right") - 1) * len(terms) + at[hit]
     key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     doc, number = np.divmod(key[first], len(terms))
-    return np.searchsorted(doc, np.arange(n + 1)), number, np.diff(first, append=len(key))
+    return np.searchsorted(doc, np.arange(n + 1)), number, np.diff(first, append=len(key)), rest
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
@@ -312,12 +325,14 @@ def frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.
     return documents, found[:width]
 
 
-def _rate(total: dict[int, int], most: int) -> F.Column:
-    return F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, min(1.0, most / max(v, 1)))])
-
-
-def _part(id: str, seed: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def _drawn(rows: DataFrame, id: str, seed: int, size: F.Column, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """Of each label rows of a total size of about ``most``, chosen by a hash of the id, and one at least; and each label's whole size."""
+    part = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    total = {r["label"]: r for r in rows.groupBy("label").agg(F.sum(size).alias("n"), F.min(part).alias("least")).collect()}
+    if any(r["n"] > most for r in total.values()):
+        bound = F.create_map(*[F.lit(x) for k, r in total.items() for x in (k, max(r["least"], min(1.0, most / max(r["n"], 1))))])
+        rows = rows.where(part <= bound[F.col("label")])
+    return rows, {k: r["n"] for k, r in total.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> Model:
@@ -327,18 +342,16 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     kind = source.id_type(id)
     marks = given.frame.select(given.col(id).cast(kind).alias("id"), given.col(label).alias("label")).where("id is not null and label is not null")
     marks = marks.groupBy("id").agg(F.max(F.when(F.col("label") > 0, 1).otherwise(0)).cast("int").alias("label"))
-    total = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    if total:  # a hash of the id under the class's rate keeps about max_examples rows of each class
-        marks = marks.where(_part("id", 11) < _rate(total, max_examples)[F.col("label")])
+    texts = source.frame.select(source.col(id).cast(kind).alias("id"), source.text(text).alias("text")).where("text is not null")
+    marks = marks.join(texts.select("id"), "id", "left_semi")
+    marks, total = _drawn(marks, "id", 11, F.lit(1), max_examples)
     if marks.count() <= 3 * max_examples:  # the rates keep about 2 * max_examples ids
         marks = F.broadcast(marks)
-    chosen = source.frame.select(source.col(id).cast(kind).alias("id"), source.text(text).alias("text")).where("text is not null").join(marks, "id")
+    chosen = texts.join(marks, "id")
     # one example of each text and label
     chosen = chosen.groupBy(F.xxhash64("text").alias("hash"), "label").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     examples = scratch.save(chosen.select("id", "label", "hash", "text"), "examples")
-    size = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if max(size.values(), default=0) > max_bytes:
-        examples = examples.where(_part("id", 13) < _rate(size, max_bytes)[F.col("label")])
+    examples, _ = _drawn(examples, "id", 13, F.octet_length("text"), max_bytes)
     rows = _words(examples, kind).orderBy("id", "label", "hash").collect()  # bounded by max_examples and max_bytes
     scratch.drop("examples")
     marked = np.array([r["label"] for r in rows], np.int64)
@@ -357,7 +370,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     n = np.bincount(marked, minlength=2)
     each = np.array([total[m] / n[m] for m in marked.tolist()])
     ids = np.array([r["id"] for r in rows], np.int64 if kind == "long" else object)
-    return Model(terms, weight, ids, np.array([r["hash"] for r in rows], np.int64), marked, each / each.mean() if len(rows) else each, at, numbers, counts).fit()
+    return Model(terms, weight, ids, np.array([r["hash"] for r in rows], np.int64), marked, each / each.mean() if len(rows) else each, at, numbers, counts, (np.log((1 + documents) / 2) + 1) * PLAIN).fit()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -375,8 +388,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
             hashes = batch.column(batch.num_columns - 2).to_pylist()
             found = []
             for a, b in chunks(starts):
-                at, numbers, counts = term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], model.terms)
-                found += model.scores([(numbers[x:y], counts[x:y], h) for x, y, h in zip(at[:-1].tolist(), at[1:].tolist(), hashes[a:b], strict=True)])
+                at, numbers, counts, rest = term_counts(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], model.terms, others=True)
+                found += model.scores([(numbers[x:y], counts[x:y], h, r) for x, y, h, r in zip(at[:-1].tolist(), at[1:].tolist(), hashes[a:b], rest.tolist(), strict=True)])
             made = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=schema.names)
 

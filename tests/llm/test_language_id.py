@@ -116,3 +116,12 @@ def test_query_against_trees_of_all_taught_rows(spark):
             assert got[r.doc_id].lang_pred == languages[int(np.argmin(lengths))]
             assert math.isclose(got[r.doc_id].bits, min(lengths), rel_tol=1e-3)
             assert math.isclose(got[r.doc_id].score, 1 / sum(2 ** max(min(lengths) - x, -1000) for x in lengths), rel_tol=1e-2)
+
+
+def test_no_language_is_lost(spark):
+    rows = [(1, "bonjour le monde tout entier " * 20_000, "fr"), (2, None, "xx"), (3, "", "yy"), *((10 + i, f"the world is round number {i}", "en") for i in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, max_bytes=20_000)
+    assert model.languages == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in predict(spark.createDataFrame([(1, "le monde est entier", "")], "doc_id long, text string, lang string").union(docs.where("doc_id > 380")), model).collect()}
+    assert got[1] == "fr" and {v for k, v in got.items() if k > 1} == {"en"}

@@ -115,3 +115,19 @@ def test_a_cluster_must_name_the_shared_folder():
         with pytest.raises(ValueError, match="checkpoint"):
             shared_dir(Session(master))
     assert shared_dir(Session("local[4]"))
+
+
+def test_stages_keep_different_texts_under_one_id_and_names_that_differ_in_case(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "quite another thing of a benchmark with many words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["one text of some words here", "another text that has nothing in common with it", "one text of some words here"]
+    docs = spark.createDataFrame([(1, t, len(t), f"own {k}", "own") for k, t in enumerate(texts)] + [(None, texts[0], 1, "own 3", "own")], "doc_id long, text string, n_chars int, DOC_ID string, TEXT string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = sorted(tuple(r) for r in out.collect() if r[0]) if name != "minhash_near_dedup" else None
+        if got is None:
+            assert sorted((r[0], r[1]) for r in out.collect()) == [(1, texts[1]), (1, texts[0])] or sorted(r[1] for r in out.collect()) == sorted(texts[:2])
+        else:
+            assert [r[3] for r in got if r[1] == texts[1]] == ["own 1"] and len(got) == 3
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == 4

@@ -109,11 +109,13 @@ def test_scores_against_every_example_and_word(spark):
     docs, labels = corpus()
     docs, labels = docs[:240], dict(labels[:160])
     docs[7] = (7, docs[10][1])  # a copy of a positive example, labelled 0
+    docs += [(900 + i, docs[i][1] + " " + " ".join(f"unseen{k // 2}" for k in range(30 * i))) for i in (1, 50, 165)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     model = train(frame, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    text_of = dict(docs)
     words = {i: re.findall("[a-z0-9]+", t.lower()) for i, t in docs}
     held = {i: set(w) for i, w in words.items()}
-    examples = sorted({(docs[i][1], y): i for i, y in sorted(labels.items(), reverse=True)}.values())
+    examples = sorted({(text_of[i], y): i for i, y in sorted(labels.items(), reverse=True)}.values())
     pos, neg = sum(labels[i] for i in examples), sum(1 - labels[i] for i in examples)
 
     def weight(t):
@@ -126,15 +128,17 @@ def test_scores_against_every_example_and_word(spark):
 
     known = {t: weight(t) for t in set().union(*(held[i] for i in examples))}
 
+    unseen = (math.log((1 + len(docs)) / 2) + 1) * PLAIN
+
     def vector(i):
-        v = {t: (1 + math.log(words[i].count(t))) * known[t] for t in held[i] if t in known}
+        v = {t: (1 + math.log(words[i].count(t))) * known.get(t, unseen) for t in held[i]}
         n = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / n for t, x in v.items()}
 
     vectors = {i: vector(i) for i, _ in docs}
     got = {r.doc_id: r for r in score(frame, model).collect()}
     for i, text in docs:
-        sims = [(round(sum(x * vectors[e].get(t, 0) for t, x in vectors[i].items()), 9), e) for e in examples if docs[e][1] != text]
+        sims = [(round(sum(x * vectors[e].get(t, 0) for t, x in vectors[i].items()), 9), e) for e in examples if text_of[e] != text]
         best = sorted((-s, e) for s, e in sims if s > 0)[:NEIGHBOURS]
         w = [1 / (1.05 - min(-s, 1.0)) for s, _ in best]
         raw = (sum(x * labels[e] for x, (_, e) in zip(w, best)) + 0.5 * model.base) / (sum(w) + 0.5)
@@ -155,3 +159,19 @@ def test_the_bound_on_bytes_holds(spark):
     docs, labels = corpus()
     model = train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), max_bytes=20_000)
     assert 0 < len(model.ids) < 600
+
+
+def test_unknown_words_lower_the_similarity(spark):
+    docs, labels = corpus()
+    many = " ".join(f"unknown{k}" for k in range(5000))
+    frame = spark.createDataFrame([*docs, (5000, docs[5][1] + " w1 w1"), (5001, docs[5][1] + " w1 w1 " + many)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score(frame, train(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert got[5000] >= 0.5 and got[5001] != got[5000]
+
+
+def test_a_class_of_one_long_text_stays(spark):
+    docs = [(1, "scum " * 20_000), *((i, f"w{i} w{i + 1} good") for i in range(2, 60))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i, _ in docs] + [(10_000 + i, 1) for i in range(300)], "doc_id long, toxic int")
+    model = train(frame, labels, max_examples=20, max_bytes=300)
+    assert set(model.labels.tolist()) == {0, 1} and len(model.ids) < 40
