@@ -2,8 +2,13 @@
 
 Each stage takes all that its predecessor kept: toxic documents go, one document of each group of near
 copies stays, documents that hold benchmark items go, secrets are replaced by their kind in brackets,
-and what is left is packed into sequences. Rows without an id can't be told apart by later stages and
-are kept; of rows that repeat an id within what stays, one is kept.
+and what is left is packed into sequences.
+
+Defined results: a null text is the empty text; it is toxic for no model, near nothing, contaminated by nothing and holds no secret, so
+it stays null, and packs as its end token alone. Texts of any length are judged and changed whole. Where ids repeat or are null, rows are told apart by themselves in the
+search for near copies, so that different texts under one id both stay, and of equal rows one does. The row of the smallest id stays, null ids last. With an empty benchmark, or without labels, nothing is dropped for it. An empty table gives an empty table of
+the same columns. All columns pass through all stages but the last under their own names, also those that are called like one that an operator
+makes, or differ from another in case only; a stage reads the column that is written alike, and else the first.
 """
 
 from __future__ import annotations
@@ -12,45 +17,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import decontamination, near_dedup, packing, secret_scan, toxicity
-from eventloom.llm.common import Scratch, tokenizer_path
+from eventloom.llm.common import Columns, Scratch, tokenizer_path
+
+
+class _Rows:
+    """Documents with their columns named by place: ``frame``, ``at`` (a column's name there), and ``back`` to the names they had."""
+
+    def __init__(self, docs: DataFrame):
+        self.given = Columns(docs)
+        self.frame = self.given.frame
 
+    def at(self, name: str) -> str:
+        return f"c{self.given.at(name)}"
 
-def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
-    """The documents with columns of these names, in any case of letters, under others, and what selects them all as they were."""
-    aside = [f"__aside_{k}" if c.lower() in names else c for k, c in enumerate(docs.columns)]
-    return docs.toDF(*aside), [F.col(f"`{a}`").alias(c) for a, c in zip(aside, docs.columns, strict=True)]
+    def back(self, rows: DataFrame) -> DataFrame:
+        return self.given.named(rows.select(*self.given.passing()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, back = _aside(docs, "score", "predicted", "evidence")
+    rows = _Rows(docs)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(rows, model).where("predicted = 0").select(*back)
+    return rows.back(toxicity.score(rows.frame, model, text=rows.at("text")).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "kept")
-    kept = scratch.save(near_dedup.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id"), "ids")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    out = docs.join(kept, "doc_id", "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    scratch, rows = Scratch(spark, "kept"), _Rows(docs)
+    frame, id = rows.frame, rows.at("doc_id")
+    if frame.groupBy(id).count().where(f"count > 1 or {id} is null").limit(1).count():
+        order = (F.col(id).asc_nulls_last(), F.xxhash64(rows.at("text")))
+        ordered = frame.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        id = "row"
+        frame = scratch.save(ordered.withColumn(id, F.monotonically_increasing_id()), "rows")  # ascends with the id
+    kept = near_dedup.near_duplicates(frame.select(id, rows.at("text")), id=id, text=rows.at("text"), size=5, percent=80)
+    kept = scratch.save(kept.where("kept").select(id), "ids")
+    return rows.back(frame.join(kept, id, "left_semi"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, back = _aside(docs, "matches")
+    rows = _Rows(docs)
     benchmark = decontamination.models_for(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontamination.annotate(rows, benchmark).where(F.size("matches") == 0).select(*back)
+    return rows.back(decontamination.annotate(rows.frame, benchmark, text=rows.at("text")).where(F.size("matches") == 0))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, back = _aside(docs, "blob", "spans")
-    found, _ = secret_scan.scan(rows)
-    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("spans")))
+    rows = _Rows(docs)
+    text, found = rows.at("text"), secret_scan.scan(rows.frame, text=rows.at("text"))[0]
+    found = found.withColumn(text, secret_scan.redact(F.col(text), F.col("spans")))
     if "n_chars" in docs.columns:
-        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, changed).otherwise(F.col("n_chars")))
-    return found.select(*back)
+        n_chars, changed = rows.at("n_chars"), F.length(text).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn(n_chars, F.when(F.size("spans") > 0, changed).otherwise(F.col(n_chars)))
+    return rows.back(found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
