@@ -10,11 +10,12 @@ Aligning depends on the order of pages, so that is fixed: expressions of equal f
 changes, and the different forms of a host are aligned from the commonest to the rarest, in groups dealt by a
 hash of the form where they are many. The wrapper so depends on the host's pages and not on how they are stored.
 
-The wrapper decides what is the article. Texts that all pages of the host repeat at one place are template. The article is in an
+The wrapper decides what is the article. It is in an
 article element, else a main element, else one whose class or id says content, else the innermost element whose slots hold most of the
-host's text outside links. Parts whose element says menu, header, footer, sidebar, notice, advert, form, script, style or comment
+host's text outside links; where hardly anything differs, as among versions of one article, all text counts for that. Parts whose element says menu, header, footer, sidebar, notice, advert, form, script, style or comment
 are left out. A class, id or role only hints at that: it counts if all pages that align there have it, and doesn't count
-where the slots below hold most of the text, or the article, of those pages.
+where the slots below hold most of the text, or the article, of those pages, unless it speaks of comments alone. All other text of the article stays, also what all pages of the host repeat; template are
+containers without a slot that hold links, or that lie before or after all slots of an element which nothing but its text shows to hold the article.
 
 Defined results: null or empty html, and pages without article, give an empty text. Pages whose url is null or has no host
 share one wrapper. Repeated pages are each extracted. A very long page is parsed whole, in time in proportion to its length; below ``MAX_DEPTH``
@@ -61,19 +62,20 @@ ENDS = {
 }
 # Elements that aren't part of an article, and words in a class, id or role that hint at such parts.
 DROPPED = frozenset("head nav footer aside form button select option datalist fieldset noscript template svg canvas object audio video dialog menu script style textarea title xmp iframe noembed noframes".split())
-DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond footer copyright widget widgets toolbar pagination pager paywall login signup search skip complementary contentinfo".split()
+COMMENT_WORDS = frozenset("comment comments commentlist disqus remark remarks feedback reply replies respond".split())
+DROPPED_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations footer copyright widget widgets toolbar pagination pager paywall login signup search skip complementary contentinfo".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 CONTENT_WORDS = frozenset("article content post entry story body text main".split())
 #: Words that leave the hint beside them as it is: "comment-list" hints, and "related-work" or "has-sidebar" doesn't.
 PLAIN_WORDS = CONTENT_WORDS | frozenset(
-    "list box area section wrapper wrap container block inner outer bar link links posts articles stories items item thread top bottom left right site page primary secondary global sticky fixed floating buttons button icons icon group row column col slot unit panel module region zone google mobile desktop small large title heading form field message policy media tags category".split()
+    "list box area section wrapper wrap container block inner outer bar link links posts articles stories items item thread top bottom left right site page primary secondary global sticky fixed floating buttons button icons icon group row column col slot unit panel module region zone google mobile desktop small large title heading form field message policy media tags category user users reader readers visitor".split()
 )
 #: Parts that a wrapper keeps apart below one element; beyond that the rarest join one of their tag. Depth of a wrapper.
 MAX_CHILDREN, MAX_DEPTH = 64, 32
-#: Hosts with fewer different pages than this may hold copies of one article only; there, repeated text is no template if it is most of the text.
-COPIES = 4
+#: Share of a host's text outside links from which what differs tells where the article is; where less differs, the pages are versions of one article, and all their text does.
+DIFFERS = 0.2
 #: Wrappers aligned in one group, and wrappers that a task holds before it hands them on.
 GROUP, HELD = 64, 4096
 TEXT = "#text"
@@ -452,7 +454,7 @@ class Wrapper:
 
     def __init__(self, root: Node | None = None, pages: int = 0, some: list[int] | None = None):
         self.root, self.pages = root, pages
-        self.some = some or []  # the smallest checksums of pages, COPIES at most
+        self.some = some or []  # the smallest checksums of pages, two at most
         self.plan: Plan | None = None
 
     @classmethod
@@ -466,7 +468,7 @@ class Wrapper:
     def align(self, other: Wrapper) -> Wrapper:
         """Takes in the wrapper of other pages. Where both have one form, no order of doing so changes the result."""
         self.pages += other.pages
-        self.some = sorted({*self.some, *other.some})[:COPIES]
+        self.some = sorted({*self.some, *other.some})[:2]
         self.root = other.root if self.root is None else merge(self.root, other.root, "pages")
         return self
 
@@ -501,10 +503,10 @@ class Wrapper:
 
 
 class Plan:
-    """What a wrapper says of its parts: their kinds, where the article is, and the template's texts."""
+    """What a wrapper says of its parts: their kinds, where the article is, and what around it is template."""
 
     def __init__(self, wrapper: Wrapper):
-        self.root, self.pages, self.some = wrapper.root, wrapper.pages, wrapper.some
+        self.root, self.pages = wrapper.root, wrapper.pages
         self.nodes: list[Node] = []
         todo: list[tuple[Node, Node | None]] = [(self.root, None)]
         while todo:
@@ -513,11 +515,15 @@ class Plan:
             self.nodes.append(x)
             todo += [(y, x) for y in reversed(x.items)]
         self.leaves = [x for x in self.nodes if x.tag == TEXT]
-        self.fixed = self._template()
+        # texts that all pages repeat at one place; one page, or copies of it, can't tell them
+        self.fixed = {x.index: x.texts for x in self.leaves if x.texts and x.pages >= self.pages} if len(wrapper.some) > 1 else {}
         slots = {x.index: n for x in self.leaves if (n := x.chars - x.linked - _chars(self.fixed.get(x.index, ())) * x.pages) > 0}
         for x in self._freed(slots):
             x.kind = freed(x.tag, x.tokens)
-        self.tiers = self._tiers(slots)
+        weights = {x.index: x.chars - x.linked for x in self.leaves if not any(y.kind in ("drop", "header") for y in self.above(x))}
+        told = sum(slots.get(k, 0) for k in weights) >= DIFFERS * sum(weights.values())
+        self.told, self.tiers = told, self._tiers(slots if told else weights)
+        self.still = self._still()
         self.known: dict[str, list[Node | None]] = {}
 
     def above(self, x: Node) -> Iterator[Node]:
@@ -526,16 +532,14 @@ class Plan:
             yield x
             x = x.parent
 
-    def _template(self) -> dict[int, set[int]]:
-        """The texts that all pages repeat at one place; none if the host's pages are equal, or look like copies of one article."""
-        if len(self.some) < 2:
-            return {}
-        fixed = {x.index: x.texts for x in self.leaves if x.texts and x.pages >= self.pages}
-        if len(self.some) < COPIES:
-            kept = [x for x in self.leaves if not any(y.kind in ("drop", "header") for y in self.above(x))]
-            if 2 * sum(_chars(fixed.get(x.index, ())) * self.pages for x in kept) > sum(x.chars for x in kept):
-                return {}
-        return fixed
+    def _still(self) -> frozenset[int]:
+        """Containers whose texts are all fixed."""
+        fixed: dict[int, bool] = {}
+        for x in self.leaves:
+            same = x.chars <= _chars(self.fixed.get(x.index, ())) * x.pages
+            for y in self.above(x):
+                fixed[y.index] = fixed.get(y.index, True) and same
+        return frozenset(x.index for x in self.nodes if fixed.get(x.index) and x.tag not in PARTS and x.tag not in INLINE and x.kind not in ("article", "main"))
 
     def _freed(self, slots: dict[int, int]) -> list[Node]:
         """The parts that are kept though a word drops them: their slots hold most of the text of pages that have them, or
@@ -555,6 +559,7 @@ class Plan:
         while True:
             # text outside headings below each root that stands without what is dropped
             body: dict[int, int] = {}
+            beside = 0
             for x, n in open_:
                 around = list(self.above(x))
                 if any(y.tag in HEADINGS or y.index in marked and y.index not in out for y in around):
@@ -563,15 +568,22 @@ class Plan:
                     what = freed(y.tag, y.tokens) if y.index in out else y.kind
                     if what in ("article", "main", "content") and not (y.again or y.group):
                         body[y.index] = body.get(y.index, 0) + n
+                    if y.parent is None:
+                        beside += n
             best = None
             for x in soft:
                 if x.index in out or x.index not in held or any(y.index in marked and y.index not in out for y in self.above(x.parent)):
                     continue
-                mixed = not all(p in DROPPED_WORDS or p in HEADER_WORDS for t in x.tokens for p in t.split("-"))
+                words = {p for t in x.tokens for p in t.split("-")}
+                if words & COMMENT_WORDS and words <= COMMENT_WORDS | PLAIN_WORDS:
+                    continue  # comments, however long
+                mixed = not all(p in DROPPED_WORDS or p in HEADER_WORDS for p in words)
                 article = x.tag in ("article", "main") and mixed and not x.again
                 mine = held[x.index] / max(x.pages, 1)
                 if not article and mine <= each / 2:
                     continue
+                if not article and not mixed and beside / max(self.pages, 1) >= mine / 10:
+                    continue  # words that only drop, and other text that no word drops
                 if any(self.nodes[y].pages + x.pages > self.pages and n / self.nodes[y].pages >= mine / 10 for y, n in body.items()):
                     continue
                 best = max(best or (False, False, 0, 0), (article, mixed, mine, -x.index))
@@ -644,10 +656,10 @@ def main_text(page: str | None, plan: Plan | None) -> str:
             plan.known[form] = plan.places(top)
         at = plan.known[form]
 
-    # every text with whether it is of the template, its leaf, and (kind, part, heading) of the elements around it
-    found: list[tuple[str, bool, list[tuple[str, int, bool]]]] = []
+    # every text with whether all pages repeat it there, and (kind, part, heading, of links) of the elements around it
+    found: list[tuple[str, bool, list[tuple[str, int, bool, bool]]]] = []
 
-    todo: list[tuple[_Element, list[tuple[str, int, bool]]]] = [(root, [])]
+    todo: list[tuple[_Element, list[tuple[str, int, bool, bool]]]] = [(root, [])]
     while todo:
         element, around = todo.pop()
         if isinstance(element, tuple):
@@ -659,26 +671,32 @@ def main_text(page: str | None, plan: Plan | None) -> str:
         deep = element.depth > MAX_DEPTH  # its expression is that of the element above
         part = at[own.index] if not deep else None
         what = kind(element.tag, element.tokens) if part is None else part.kind
-        around = [*around, (what, -1 if part is None else part.index, element.tag in HEADINGS)]
+        around = [*around, (what, -1 if part is None else part.index, element.tag in HEADINGS, 2 * element.linked > element.chars)]
         leaf = next((x for x in own.items if x.tag == TEXT), None)
         todo += [((c[0], leaf), around) if isinstance(c, tuple) else (c, around) for c in reversed(element.children)]
 
-    def kept(around: list[tuple[str, int, bool]], base: int) -> bool:
+    def kept(around: list[tuple[str, int, bool, bool]], base: int) -> bool:
         """Whether a text below a root belongs to the article; of headers in it, headings do."""
-        kinds = [k for k, _, _ in around]
+        kinds = [k for k, *_ in around]
         if "drop" in kinds or "header" in kinds[: base + 1]:
             return False
-        return "header" not in kinds or any(h for _, _, h in around[kinds.index("header") :])
+        return "header" not in kinds or any(h for _, _, h, _ in around[kinds.index("header") :])
+
+    def menu(fixed: bool, around: list[tuple[str, int, bool, bool]]) -> bool:
+        return fixed and any(k in plan.still and links for _, k, _, links in around)
 
     for name, parts in plan.tiers:
         out = []
-        for text, template, around in found:
-            base = next((k for k, (what, part, _) in enumerate(around) if part in parts or what == name), -1)
+        for text, fixed, around in found:
+            base = next((k for k, (what, part, *_) in enumerate(around) if part in parts or what == name), -1)
             if base >= 0 and kept(around, base):
-                out.append((text, template))
+                still = fixed and base + 1 < len(around) and around[base + 1][1] in plan.still
+                out.append((text, menu(fixed, around), fixed, still))
         if out:
-            return " ".join([t for t, template in out if not template] or [t for t, _ in out])
-    return " ".join(t for t, template, around in found if not template and kept(around, len(around) - 1))
+            told = [k for k, x in enumerate(out) if not x[2]] if name == "densest" and plan.told else []
+            around_it = lambda k: told and not told[0] < k < told[-1]
+            return " ".join([x[0] for k, x in enumerate(out) if not (x[1] or x[3] and around_it(k))] or [x[0] for x in out])
+    return " ".join(t for t, fixed, around in found if not menu(fixed, around) and kept(around, len(around) - 1))
 
 
 # ------------------------------------------------------------------ over tables

@@ -106,14 +106,36 @@ def story(k):
     return f"Story {k} tells of {'this and ' * (k + 3)}that, {k} times."
 
 
-def test_template_inside_the_article_is_left_out():
-    box = "<div class='about'>About this site</div>"
-    pages = [HEAD + f"<article><div class='slogan'>News since 1900</div><h1>Title {k}</h1><p>{story(k)}</p><p>All rights reserved.</p>{box}</article>" for k in range(6)]
-    assert host(pages) == [f"Title {k} {story(k)}" for k in range(6)]
-    # equal pages, and two copies of one article, are no template
-    assert host(pages[:1] * 3)[0].startswith("News since 1900 Title 0")
-    copies = [f"<article><p>{story(8)}</p><p>Copy {k}.</p></article>" for k in range(2)]
-    assert host(copies) == [f"{story(8)} Copy {k}." for k in range(2)]
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div class='x1'>{}</div>", "<div class='post'>{}</div>", "{}"])
+def test_what_all_pages_repeat_in_the_article_stays(frame):
+    same = "<h2>Introduction</h2><p>{0}</p><ul><li>one {1}<li>two<li>three</ul><table><tr><th>Name<th>Age<tr><td>n{1}<td>3</table><pre>x = 1</pre><h2>Conclusion</h2><p>The answer is yes.</p>"
+    want = "Introduction {0} one {1} two three Name Age n{1} 3 x = 1 Conclusion The answer is yes."
+    pages = [HEAD + "<nav>menu</nav>" + frame.format(same.format(story(k), k)) + "<footer>foot</footer>" for k in range(6)]
+    assert host(pages) == [want.format(story(k), k) for k in range(6)]
+
+
+def test_containers_without_a_slot_around_the_article_are_template():
+    pages = [HEAD + f"<div>Home and more</div><div>About <a href=x>us and our many offices</a></div><h1>Title {k}</h1><p>{story(k)}</p><div><p>Boxed words.</p></div><p>{story(k + 1)}</p><div>Made by hand</div>" for k in range(6)]
+    assert host(pages) == [f"Title {k} {story(k)} Boxed words. {story(k + 1)}" for k in range(6)]
+    pages = [HEAD + f"<article><h1>Title {k}</h1><div><a href=x>All our stories</a> <a href=y>by day</a></div><p>{story(k)}</p><div>Since 1900</div></article>" for k in range(6)]
+    assert host(pages) == [f"Title {k} {story(k)} Since 1900" for k in range(6)]
+    assert host(pages[:1] * 3)[0].startswith("Title 0")
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 12])
+def test_versions_of_one_article_keep_it(n):
+    text = " ".join(story(k) for k in range(6))
+    for frame in ("<article>{}</article>", "<div class='x1'>{}</div>"):
+        pages = [HEAD + frame.format(f"<h1>Head</h1><p>{text}</p><p>Views: {k}</p>") + "<nav>menu</nav>" for k in range(n)]
+        assert host(pages) == [f"Head {text} Views: {k}" for k in range(n)]
+
+
+@pytest.mark.parametrize("many", [1, 5, 20])
+def test_comments_never_stand_in_for_the_article(many):
+    for name in ("comments", "comment-list", "replies", "user-remarks"):
+        for frame in ("<div class='x1'>{}</div>", "<article>{}</article>", "<div><p>{}</p></div>"):
+            pages = [HEAD + frame.format(f"<p>{story(k)}</p>") + f"<div class='{name}'>" + "".join(f"<div><p>I say {j} to {k}: {story(j + k)}</p></div>" for j in range(many)) + "</div>" for k in range(5)]
+            assert host(pages) == [story(k) for k in range(5)]
 
 
 @pytest.mark.parametrize(
@@ -155,13 +177,13 @@ def test_hints_of_a_class(frame, text):
 
 def test_the_wrapper_decides():
     """Without what aligning found out, other texts come out."""
-    pages = [HEAD + f"<div class='x'><div><em>By</em> us</div><div><p class='s'>Slogan of the house</p><p>{story(k)}</p>{'<p>More.</p>' * (k % 3)}</div></div>" for k in range(8)]
+    pages = [HEAD + f"<div class='x'><div>By us, the house of many words that all pages have, and many more</div><div><p>{story(k)}</p>{'<p>More.</p>' * (k % 3)}</div></div>" for k in range(8)]
     wrapper = infer_here(pages)
     plan = Plan(Wrapper.load(wrapper.dump()))
     assert main_text(pages[0], plan) == story(0)
     for x in plan.leaves:
         x.texts = None
-    assert "Slogan" in main_text(pages[0], Plan(Wrapper(plan.root, plan.pages, plan.some)))
+    assert "By us" in main_text(pages[0], Plan(Wrapper(plan.root, plan.pages, wrapper.some)))
 
 
 def test_query_against_a_parser_of_the_test_pages(spark):
