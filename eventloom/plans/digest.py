@@ -75,13 +75,13 @@ def sections(events: DataFrame, states: DataFrame, known: DataFrame | None, delt
     return out.join(spans.select(*KEYS, "t0"), KEYS)
 
 
-def digest(spark: SparkSession, folder: str, log: str, delta_us: int = 1000, by_part: bool = False, large_log: bool = False) -> Digest:
-    """The digest of a trace folder. The event log is parsed once and joined by method."""
+def digest(spark: SparkSession, folder: str, log: str, delta_us: int = 1000, by_part: bool = False, log_parts: bool = False) -> Digest:
+    """The digest of a trace folder. The event log is parsed once and joined by method; with ``log_parts`` it is a folder of parts."""
     paths = traces.folder_paths(folder)
     events = traces.read_traces(spark, paths["traces"])
     sites = traces.read_dictionary(spark, paths["sites"], "callsite", "callsite_id")
     classes = traces.read_dictionary(spark, paths["classes"], "class_name", "class_id")
-    lines = eventlog.read_log(spark, log, large_log)
+    lines = eventlog.read_log(spark, log, log_parts)
     offset = traces.read_start_ms(spark, paths["start"]) - (eventlog.vm_start_ms(lines) or 0)
     methods = sites.select("callsite_id", method_descriptor(F.col("callsite")).alias("descriptor"))
     states = eventlog.state_events(lines, methods, offset, by_part)

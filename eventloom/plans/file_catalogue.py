@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import stats
 from eventloom.plans.surrogate import table
 from eventloom.sinks import files
-from eventloom.sinks.scratch import number_rows, scratch_folder, write_named
+from eventloom.sinks.scratch import number_rows, scratch_folder, write_named, write_ordered
 from eventloom.sources import eventlog, listings, reports, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,8 +62,7 @@ def _log_lines(spark: SparkSession, d: str) -> DataFrame:
 def _log(spark: SparkSession, d: str) -> DataFrame:
     lines = _log_lines(spark, d).select("event_id", "value")
     head = lines.agg(F.max("event_id").alias("m")).select(F.lit(-1).cast("long").alias("event_id"), F.format_string("<hotspot_log version='160 1' time_ms='%d'>", F.col("m") + _START).alias("value"))
-    folder = write_named(head.unionByName(lines).withColumn("name", F.lit("log.xml")), scratch_folder(spark, "log"), "event_id")
-    return eventlog.read_log(spark, f"{folder}/log.xml", large=True)
+    return eventlog.read_log(spark, write_ordered(head.unionByName(lines), scratch_folder(spark, "log"), "event_id"), one=True)
 
 
 @_query("log_start", f"SELECT CAST({_START} + max(event_id) AS BIGINT) AS start_ms FROM events")
@@ -102,6 +101,21 @@ def log_site_events(spark, d):
     return eventlog.state_events(_log(spark, d), _sites(spark, d), 1000).drop("ord")
 
 
+def _part_sites(spark: SparkSession, d: str) -> DataFrame:
+    """callsite_id, descriptor: ends of methods' names, which several methods contain, and one that none does."""
+    rows = table(spark, d, "events").select((F.col("user_id").cast("long") % 100).alias("callsite_id")).distinct()
+    return rows.select("callsite_id", F.format_string("%d run ()", "callsite_id").alias("descriptor")).unionByName(spark.createDataFrame([(1000, "no such method"), (1001, "<i")], "callsite_id long, descriptor string"))
+
+
+@_query(
+    "log_site_events_by_part",
+    _LOG + ", s AS (SELECT DISTINCT CAST(user_id AS BIGINT) % 100 AS callsite_id, (CAST(user_id AS BIGINT) % 100) || ' run ()' AS descriptor FROM events UNION ALL SELECT 1000, 'no such method' UNION ALL SELECT 1001, '<i') "
+    "SELECT callsite_id, 'C' AS tag, id, kind, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS action, (time_ms - 1000) * 1000 AS time_us FROM comp JOIN s ON contains(method, descriptor) UNION ALL SELECT callsite_id, 'D', id, kind, reason, action, (time_ms - 1000) * 1000 FROM de JOIN s ON contains(method, descriptor)",
+)
+def log_site_events_by_part(spark, d):
+    return eventlog.state_events(_log(spark, d), _part_sites(spark, d), 1000, by_part=True).drop("ord")
+
+
 @_query(
     "log_tier_counts",
     _V + " SELECT CASE WHEN u % 2 = 0 THEN 'default' ELSE 'instrumented' END AS variant, 'b' || (u % 5) AS bench, CAST(count(*) AS BIGINT) AS n FROM v WHERE (et = 'signup' AND k % 3 <> 0) OR (et = 'click' AND k % 2 = 1) GROUP BY ALL",

@@ -35,11 +35,33 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def write_named(rows: DataFrame, folder: str, *order: str) -> str:
+def broadcast_if(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, saved, and marked for a broadcast if they are at most so many."""
+    spark, folder = rows.sparkSession, scratch_folder(rows.sparkSession, "side")
+    rows.write.parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def save(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder."""
+    folder = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def write_ordered(rows: DataFrame, folder: str, *order: str) -> str:
+    """The lines ``value`` in this order over files that follow each other by name, written by as many tasks."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.text(folder)
+    return folder
+
+
+def write_named(rows: DataFrame, folder: str, *order: str, compression: str = "none") -> str:
     """A file ``folder/name`` for each value of ``name``, with the lines ``value`` in this order. Each file is written by one task."""
     spark = rows.sparkSession
     parts = f"{folder}/parts"
-    rows.repartition("name").sortWithinPartitions("name", *order).select("name", "value").write.partitionBy("name").text(parts)
+    rows.repartition("name").sortWithinPartitions("name", *order).select("name", "value").write.partitionBy("name").text(parts, compression=compression)
     path, fs = _path(spark, parts)
     for status in fs.listStatus(path):
         if status.isDirectory():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import shares
-from eventloom.sources.lines import read_lines
+from eventloom.sources.lines import beside, carried, numbered_lines
 
 # Fixed values of the format.
 INDENT = "    "
@@ -57,16 +57,19 @@ def report(rows: DataFrame, window_us: int, always_raw: bool = False) -> DataFra
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """The timelines of report files, as ``parse_report`` gives them."""
-    return parse_report(read_lines(spark, path))
+    """The timelines of report files, as ``parse_report`` gives them; a file of any size is read in splits."""
+    return parse_report(numbered_lines(spark, path))
 
 
 def parse_report(rows: DataFrame) -> DataFrame:
     """callsite, compile_id, section, window_us, file, ord, tag, id, kind, time_us, reason, action, label, first, second.
 
     ``rows``: file, ord, line. Each group's and section's heading holds for the lines after it; an
-    observation is one row.
+    observation is one row. With columns path and split, the lines of a split are scanned together, and what that needs of
+    the splits before and after comes from one row a split; else those of a file are.
     """
+    if "split" not in rows.columns:
+        rows = rows.withColumns({"path": F.col("file"), "split": F.lit(0)})
     line, body = F.col("line"), F.trim("line")
     heads = {
         "callsite": F.when(line.startswith("CCU"), F.regexp_extract(line, r"CCU \[callsite=(.*), compile_id=.*\]", 1)),
@@ -74,11 +77,16 @@ def parse_report(rows: DataFrame) -> DataFrame:
         "section": F.when(line.startswith("CCU"), F.lit("")).otherwise(F.nullif(F.regexp_extract(body, rf"^({'|'.join(SECTIONS)})\[", 1), F.lit(""))),
         "window_us": F.nullif(F.regexp_extract(body, r"^\w+\[start time = .*size = ([\d.]+)\]:", 1), F.lit("")).try_cast("double").try_cast("long"),
     }
-    order = Window.partitionBy("file").orderBy("ord")
+    order = Window.partitionBy("path", "split").orderBy("ord")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns(heads).withColumn("head", F.col("section").isNotNull())
+    others = carried(rows, list(heads), F.col("section").isNull(), 2).withColumnsRenamed({c: f"earlier_{c}" for c in heads})
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in heads})
     rows = rows.where("not head").withColumns({"next": F.lead("line").over(order), "after": F.lead("line", 2).over(order)})
+    rows = beside(rows, others, "following")
+    later = lambda k: F.get("following", F.lit(k))
+    rows = rows.withColumns({c: F.coalesce(c, f"earlier_{c}") for c in heads})
+    rows = rows.withColumns({"next": F.coalesce("next", later(0)), "after": F.coalesce("after", F.when(F.col("next").isNull(), later(1)).otherwise(later(0)))})
     body = F.trim("line")
     tag = F.when(body.startswith("Compilation"), "C").when(body.startswith("Decompilation"), "D").when(F.trim("line").rlike(r"^window(s| before| information)"), "W")
     got = lambda pattern: F.nullif(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")), F.lit("null"))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.sinks import scratch
 from eventloom.sources import eventlog, lines, listings, reports, traces
 
 LOG = """<hotspot_log version='160 1' process='1' time_ms='1747217577473'>
@@ -30,9 +31,9 @@ def log(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_event_log(spark, log, large):
-    rows = eventlog.read_log(spark, str(log / "compiler_log_other.xml"), large)
+@pytest.mark.parametrize("one", [False, True])
+def test_event_log(spark, log, one):
+    rows = eventlog.read_log(spark, str(log / "compiler_log_other.xml"), one)
     assert eventlog.vm_start_ms(rows) == 1747217577473
     main = eventlog.compilations(rows).where("method = 'Main getEl (I)LM1;'")
     assert sorted((r.time_ms, r.id, r.kind) for r in main.collect()) == [(2058, "536", "c1"), (2247, "630", "c2"), (2943, "705", "c1"), (2985, "709", "c2")]
@@ -41,13 +42,24 @@ def test_event_log(spark, log, large):
     assert [(r.id, r.time_ms, r.kind) for r in eventlog.compilations(rows).where("method = 'Main <init> ()V'").collect()] == [("800", 58, None)]
 
 
-def test_site_matching(spark, log, monkeypatch):
+def test_site_matching(spark, log):
     rows = eventlog.read_log(spark, str(log / "compiler_log_other.xml"))
-    sites = spark.createDataFrame([(1, "Main getEl (I)LM1;"), (2, "in getEl (I)LM1;")], "callsite_id long, descriptor string")
+    sites = spark.createDataFrame([(1, "Main getEl (I)LM1;"), (2, "in getEl (I)LM1;"), (3, "no such"), (4, "i"), (5, None)], "callsite_id long, descriptor string")
     exact = eventlog.state_events(rows, sites, 1000)
     assert {r.callsite_id for r in exact.collect()} == {1} and exact.where("tag = 'C'").agg(F.min("time_us")).first()[0] == 1_058_000
-    monkeypatch.setattr(eventlog, "SITE_BLOCK", 1)
-    assert eventlog.state_events(rows, sites, 0, by_part=True).where("callsite_id = 2").count() == 7
+    parts = eventlog.state_events(rows, sites, 0, by_part=True)
+    assert parts.where("callsite_id = 2").count() == 7 and {r.callsite_id for r in parts.collect()} == {1, 2, 4}
+
+
+def test_parts_of_texts(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abc/") for _ in range(n))
+    texts = [word(rnd.randint(0, 40)) for _ in range(300)] + ["common/prefix/" + word(9) for _ in range(200)]
+    parts = [word(rnd.randint(1, 14)) for _ in range(200)] + ["common/prefix/", "prefix/a", "x", "zzzzzzzzzzzz", ""]
+    found = eventlog.containing(spark.createDataFrame([(t,) for t in [*texts, None]], "t string"), spark.createDataFrame([(p,) for p in [*parts, *parts[:5], None]], "p string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.t, r.p) for r in found.collect()) == sorted({(t, p) for t in texts for p in parts if p in t})
+    assert eventlog.containing(spark.createDataFrame([], "t string"), spark.createDataFrame([], "p string")).count() == 0
 
 
 def test_top_tier_counts(spark, log):
@@ -116,11 +128,64 @@ def test_report_lines(spark):
     assert r[4][0] == "window before: 0 - window after: 1"
 
 
-def test_line_order(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("".join(f"{k}\n" for k in range(500)))
-    for large in (False, True):
-        got = lines.read_lines(spark, str(tmp_path / "a.txt"), large).orderBy("ord").collect()
-        assert [r.line for r in got] == [str(k) for k in range(500)]
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "4000b")
+    spark.conf.set(names[1], "1b")
+    yield spark
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_lines_of_splits(small_splits, tmp_path):
+    spark = small_splits
+    (tmp_path / "a.txt").write_text("".join(f"{k}\n" for k in range(5000)))
+    (tmp_path / "b.txt").write_text("one\r\ntwo")
+    (tmp_path / "c.txt").write_text("")
+    rows = lines.numbered_lines(spark, str(tmp_path))
+    got = rows.collect()
+    assert sorted((r.ord, r.line, r.lines) for r in got if r.file == "a.txt") == [(k, str(k), 5000) for k in range(5000)]
+    assert sorted((r.ord, r.line) for r in got if r.file == "b.txt") == [(0, "one"), (1, "two")] and len(got) == 5002
+    assert rows.select("split").where("file = 'a.txt'").distinct().count() > 4
+    kept = lines.numbered_lines(spark, str(tmp_path / "a.txt"), F.col("line").endswith("7")).collect()
+    assert sorted((r.ord, r.line, r.lines) for r in kept) == [(k, str(10 * k + 7), 500) for k in range(500)]
+    assert [r.line for r in lines.read_lines(spark, str(tmp_path / "a.txt")).orderBy("ord").collect()] == [str(k) for k in range(5000)]
+    parts = spark.createDataFrame([(k, f"v{k}") for k in range(900)], "k long, value string")
+    scratch.write_ordered(parts.repartition(5), str(tmp_path / "parts"), "k")
+    assert [r.line for r in lines.read_lines(spark, str(tmp_path / "parts"), one=True).orderBy("ord").collect()] == [f"v{k}" for k in range(900)]
+
+
+def test_files_cut_otherwise_are_noticed(spark):
+    rows = spark.createDataFrame([("p", 0, "x"), ("p", 9, "y")], "path string, split int, line string")
+    with pytest.raises(Exception, match="split otherwise"):
+        lines.beside(rows, spark.createDataFrame([("p", 0, 1)], "path string, split int, n int"), "n").collect()
+
+
+def test_a_large_report_is_read_in_splits(small_splits, tmp_path):
+    spark, rnd, text = small_splits, random.Random(4), []
+    for g in range(60):
+        text.append(f"CCU [callsite=site {g}, compile_id={g % 3}]")
+        for section in rnd.sample(["Changes", "Inversions", "RawWindowInformation"], rnd.randint(1, 3)):
+            text.append(f"    {section}[start time = {g}, window size = 1000]:")
+            for k in range(rnd.randint(0, 60)):
+                kind = rnd.randrange(4)
+                if kind == 0:
+                    text.append(f"        Compilation at: {k} [kind = c2, id = {k}]")
+                elif kind == 1:
+                    text.append(f"        Decompilation at: {k}[compile_id = {k}, compile_kind = null][trap: reason = r, action = null]")
+                elif section == "RawWindowInformation":
+                    text += [f"        window information for window: {k}", f"            A{k}: 0.5, B: 0.5"]
+                else:
+                    text += [f"        windows: {k} - {k + 1}", f"            First Window: A{k}: 0.5, B: 0.5", f"            Second Window: A{k}: 1.0"]
+    (tmp_path / "r.txt").write_text("\n".join(text) + "\n")
+    whole = spark.createDataFrame([("r.txt", k, line) for k, line in enumerate(text)], "file string, ord long, line string")
+    want = reports.parse_report(whole).orderBy("ord").collect()
+    numbered = lines.numbered_lines(spark, str(tmp_path / "r.txt"))
+    assert numbered.select("split").distinct().count() > 15
+    got = reports.read_report(spark, str(tmp_path / "r.txt")).orderBy("ord").collect()
+    assert got == want and len(want) > 1000 and any(r.second for r in want)
 
 
 def workload(tmp_path):
