@@ -12,7 +12,7 @@ from eventloom.operators import stats
 from eventloom.plans.surrogate import table
 from eventloom.sinks import files
 from eventloom.sinks.scratch import number_rows, scratch_folder, write_named, write_ordered
-from eventloom.sources import eventlog, listings, reports, traces
+from eventloom.sources import archives, eventlog, listings, reports, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +138,32 @@ def state_lines(spark, d):
     return e.select("event_id", F.when(F.col("event_type") == "signup", begin).otherwise(end).alias("line"))
 
 
+# ------------------------------------------------------------------- archives
+_MEMBERS = "SELECT 'pack_' || (event_id // 4000) || '.tar.gz' AS archive, 'logs/' || event_type || '_' || (user_id % 3) || '.txt' AS member, CAST(event_id AS BIGINT) AS event_id, event_id || ' é ' || coalesce(props, '') AS line FROM events"
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    rows = e.select(
+        F.format_string("pack_%d.tar.gz", F.floor(F.col("event_id") / 4000)).alias("archive"),
+        F.format_string("logs/%s_%d.txt", "event_type", F.col("user_id").cast("long") % 3).alias("member"),
+        F.concat(F.col("event_id").cast("string"), F.lit(" é "), F.coalesce("props", F.lit(""))).alias("value"),
+        "event_id",
+    )
+    return archives.read_archives(spark, archives.write_archives(rows, scratch_folder(spark, "packs"), "event_id"))
+
+
+@_query("archive_lines", f"SELECT archive, member, CAST(row_number() OVER (PARTITION BY archive, member ORDER BY event_id) - 1 AS BIGINT) AS ord, line, CAST(NULL AS VARCHAR) AS error FROM ({_MEMBERS})")
+def archive_lines(spark, d):
+    """Compressed archives of 4000 events, a member for each kind and third of users, and their lines."""
+    return _packed(spark, d).select("archive", "member", "ord", "line", "error")
+
+
+@_query("archive_members", f"SELECT archive, member, CAST(count(*) AS BIGINT) AS lines, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM ({_MEMBERS}) GROUP BY ALL")
+def archive_members(spark, d):
+    return _packed(spark, d).groupBy("archive", "member").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+
+
 # --------------------------------------------------------------------- traces
 @_query("trace_folder", "SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 2 + 1 AS compile_id, CAST(user_id AS BIGINT) AS callsite_id, CAST(length(event_type) AS BIGINT) AS class_id, CAST(event_id AS BIGINT) + 1 AS t_us FROM events")
 def trace_folder(spark, d):
