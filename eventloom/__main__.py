@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import stats
 from eventloom.plans import digest as plan
 from eventloom.sinks import files
-from eventloom.sources import eventlog, listings, reports, traces
+from eventloom.sources import archives, eventlog, listings, reports, traces
 
 
 def run_digest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -20,7 +20,11 @@ def run_digest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_analyse(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = reports.read_report(spark, f"{a.input_folder}/{a.pattern}")
+    if a.archives:
+        inside = archives.read_archives(spark, f"{a.input_folder}/{a.archives}").where("error is null and not more")
+        rows = reports.parse_report(inside.select(F.concat_ws("/", "archive", "member").alias("file"), "ord", "line").where(F.col("file").endswith(".txt")))
+    else:
+        rows = reports.read_report(spark, f"{a.input_folder}/{a.pattern}")
     window = rows.agg(F.max("window_us")).first()[0] or 0
     base = f"{a.output_folder}/{a.name}"
     stat = plan.with_method(plan.statistics(rows, int(window)))
@@ -32,7 +36,9 @@ def run_analyse(spark: SparkSession, a: argparse.Namespace) -> None:
     metrics = ["changes", "inversions", "compilations", "decompilations", "changes_after_compilation", "inversions_after_compilation", "suboptimal_us"]
     for m, top in files.chart_data(stat, metrics, "id").items():
         files.write_csv(top, f"{base}/charts/top_{m}")
-        files.write_csv(stats.box(stat.select(F.col(m).cast("double").alias(m)), [], m), f"{base}/charts/box_{m}")
+        values = stat.select("id", F.col(m).cast("double").alias(m))
+        files.write_csv(stats.box(values.drop("id"), [], m), f"{base}/charts/box_{m}")
+        files.write_csv(stats.outliers(values, [], m), f"{base}/charts/outliers_{m}")
 
 
 def run_overhead(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -95,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--hotness", required=True)
     t.add_argument("--name", required=True)
     t.add_argument("--pattern", default="report/*/*.txt")
+    t.add_argument("--archives", help="pattern of archives whose text members are the reports, instead")
     t = tool("overhead", run_overhead, i="./output/")
     t.add_argument("--short", action="store_true", help="read one digit of minutes")
     tool("steady-state", run_steady_state, o="./threshold_result/")

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.distributions import signed_rank_p_value, student_p_value
+from eventloom.operators.quantiles import quantiles
+from eventloom.sinks.scratch import broadcast_if
+
+#: Groups whose quartiles are broadcast at most, some fifty bytes each; more are joined.
+GROUPS = 100_000
 
 
 def pair_runs(runs: DataFrame, keys: list[str], variant: str, names: tuple[str, str], run: str = "run_no", value: str = "value") -> DataFrame:
@@ -64,16 +69,34 @@ def significant(rows: DataFrame, p: str = "p_value", level: float = 0.05) -> Dat
     return rows.where(F.col(p) < level)
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def _whiskers() -> tuple[Column, Column]:
+    spread = 1.5 * (F.col("q3") - F.col("q1"))
+    return F.col("q1") - spread, F.col("q3") + spread
+
+
+def _boxed(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The positive values beside their group's quartiles; NaN is no value."""
+    rows = values.where((F.col(value) > 0) & ~F.isnan(F.col(value).cast("double")))
+    quartiles = broadcast_if(quantiles(rows, keys, value, QUARTILES).drop("n"), GROUPS)
+    return rows.join(quartiles, keys)
+
+
 def box(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles of the positive values, the extremes within 1.5 interquartile ranges, and how many lie beyond."""
-    rows = values.where(F.col(value) > 0)
+    """Quartiles of the positive values, the extremes within 1.5 interquartile ranges, and how many lie beyond; exact, and no group needs a task of its own."""
     if not keys:  # one group of all rows
         return box(values.withColumn("__all", F.lit(0)), ["__all"], value).drop("__all")
-    quartiles = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    quartiles = quartiles.select(*keys, *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))])
-    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col(value).between(low, high)
-    return rows.join(quartiles, keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"))
+    inside = F.col(value).between(*_whiskers())
+    return _boxed(values, keys, value).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"))
+
+
+def outliers(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows whose positive values lie beyond 1.5 interquartile ranges, with their group's median: the points of a box chart."""
+    if not keys:
+        return outliers(values.withColumn("__all", F.lit(0)), ["__all"], value).drop("__all")
+    return _boxed(values, keys, value).where(~F.col(value).between(*_whiskers())).drop("q1", "q3")
 
 
 def top(rows: DataFrame, value: str, n: int = 30, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import bits, descriptors, text
 from eventloom.operators import attribution as at
-from eventloom.operators import joins, placement, stats
+from eventloom.operators import joins, placement, quantiles, stats
 from eventloom.operators import windows as w
 from eventloom.sources import eventlog, reports, traces
 from eventloom.sinks import files
@@ -391,6 +391,27 @@ def box_stats(spark, d):
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "outliers")
 
 
+_WHISKERS = f"JOIN ({_BOX}) USING (event_type) WHERE value > 0 AND NOT value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+
+
+@_query("box_outliers", f"SELECT event_type, CAST(event_id AS BIGINT) AS event_id, value, round(median, 6) AS median FROM events {_WHISKERS}", parts=False)
+def box_outliers(spark, d):
+    out = stats.outliers(table(spark, d, "events").select("event_type", F.col("event_id").cast("long").alias("event_id"), "value"), ["event_type"], "value")
+    return out.select("event_type", "event_id", "value", F.round("median", 6).alias("median"))
+
+
+@_query(
+    "price_quantiles",
+    "SELECT CAST(s AS INTEGER) AS s, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(l_extendedprice::DOUBLE, 0.01), 4) AS p1, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice::DOUBLE, 0.999), 4) AS p999 FROM (SELECT CASE WHEN l_suppkey % 10 = 0 THEN l_suppkey END AS s, l_extendedprice FROM lineitem) GROUP BY s",
+    parts=False,
+)
+def price_quantiles(spark, d):
+    """One group holds nine tenths of all lines, others few; its ranges are narrowed by passes."""
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_suppkey") % 10 == 0, F.col("l_suppkey")).cast("int").alias("s"), F.col("l_extendedprice").cast("double").alias("price"))
+    out = quantiles.quantiles(rows, ["s"], "price", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, few=1000)
+    return out.select("s", "n", *[F.round(c, 4).alias(c) for c in ("p1", "p50", "p999")])
+
+
 @_query("tail_100", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 100", parts=False)
 def tail_100(spark, d):
     return stats.tail(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 100)
