@@ -16,7 +16,7 @@ from eventloom.sources import archives, eventlog, listings, reports, traces
 def run_digest(spark: SparkSession, a: argparse.Namespace) -> None:
     out = plan.digest(spark, a.input_folder, a.compile_log, a.delta)
     files.write_parquet(out.rows, f"{a.output_folder}/timelines", ["section"])
-    files.write_text(out.report(), f"{a.output_folder}/report", "bucket")
+    reports.write_report(out.report(), f"{a.output_folder}/report")
 
 
 def run_analyse(spark: SparkSession, a: argparse.Namespace) -> None:

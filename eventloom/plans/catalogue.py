@@ -13,6 +13,7 @@ from eventloom.operators import joins, placement, quantiles, stats
 from eventloom.operators import windows as w
 from eventloom.sources import eventlog, reports, traces
 from eventloom.sinks import files
+from eventloom.sinks.scratch import scratch_folder
 from eventloom.plans import digest, file_catalogue
 from eventloom.plans.surrogate import DELTA, KEYS, dispatches, runs, states, table
 
@@ -550,7 +551,8 @@ def reduction_json(spark, d):
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     """The digest's timelines of the surrogate events, with the site's number as its text."""
-    marks = states(spark, d).withColumns({"reason": F.lit(None).cast("string"), "action": F.lit(None).cast("string"), "ord": F.col("event_id")})
+    trap = lambda letter, *ids: F.when((F.col("tag") == "D") & F.col("id").isin(*ids), F.concat(F.lit(letter), "id"))
+    marks = states(spark, d).withColumns({"reason": trap("r", "0", "2", "4"), "action": trap("a", "0", "1"), "ord": F.col("event_id")})
     rows = digest.sections(dispatches(spark, d), marks, None, DELTA, category="class")
     return rows.withColumn("callsite", F.concat(F.lit("site "), F.col("callsite_id").cast("string")))
 
@@ -561,10 +563,60 @@ def _tags(name: str, section: str, where: str = "true") -> str:
 
 @_query("report_roundtrip", " UNION ALL ".join([_tags("tc", "Changes"), _tags("ti", "Inversions"), _tags("tr", "RawWindowInformation", f"({_K}) IN (SELECT ({_K}) FROM ti)")]))
 def report_roundtrip(spark, d):
-    """The text report of all groups, written and parsed again."""
-    written = reports.report(_sections(spark, d), DELTA)
-    lines = written.select(F.concat_ws("-", "callsite_id", "compile_id").alias("file"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    return reports.parse_report(lines).groupBy("callsite", "compile_id", "section", "tag").agg(F.count("*").alias("n"))
+    """The text report of all groups, written and parsed again: how many rows of each kind."""
+    return _read_back(spark, d).groupBy("callsite", "compile_id", "section", "tag").agg(F.count("*").alias("n"))
+
+
+def _read_back(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch_folder(spark, "report")
+    reports.write_report(reports.report_lines(_sections(spark, d), DELTA), folder)
+    return reports.read_report(spark, f"{folder}/*/*.txt")
+
+
+#: What a report holds of changes (sec 1), inversions (2) and raw windows (3), with share lists as text.
+_REPORT = f"""
+, tx AS (SELECT {_K}, win, string_agg(class || ': ' || printf('%.6f', r1), ', ' ORDER BY class) AS first, string_agg(class || ': ' || printf('%.6f', r2), ', ' ORDER BY class) AS second FROM z GROUP BY {_K}, win)
+, rt AS (SELECT n.callsite_id, n.compile_id, n.win, string_agg(cl.class || ': ' || printf('%.6f', coalesce(r.ratio, 0)), ', ' ORDER BY cl.class) AS first FROM nw n JOIN cl ON cl.callsite_id = n.callsite_id AND cl.compile_id = n.compile_id LEFT JOIN r ON r.callsite_id = n.callsite_id AND r.compile_id = n.compile_id AND r.win = n.win AND r.class = cl.class GROUP BY ALL)
+, st2 AS (SELECT pl.*, CASE WHEN tag = 'D' AND id IN ('0', '2', '4') THEN 'r' || id END AS reason, CASE WHEN tag = 'D' AND id IN ('0', '1') THEN 'a' || id END AS action FROM pl)
+, en AS (
+SELECT {_K}, 1 AS sec, win - 1 AS step, 2 AS kind_ord, 'W' AS tag, NULL AS id, NULL AS kind, NULL AS time_us, NULL AS reason, NULL AS action, label, first, second FROM ch JOIN tx USING ({_K}, win)
+UNION ALL SELECT {_K}, 2, win - 1, 2, 'W', NULL, NULL, NULL, NULL, NULL, label, first, second FROM iv JOIN tx USING ({_K}, win)
+UNION ALL SELECT {_K}, 3, win, 2, 'W', NULL, NULL, NULL, NULL, NULL, t0 // {DELTA} + win, first, NULL FROM nw JOIN rt USING ({_K}, win) WHERE ({_K}) IN (SELECT ({_K}) FROM ti)
+UNION ALL SELECT {_K}, sec, step, CASE tag WHEN 'C' THEN 0 ELSE 1 END, tag, id, kind, time_us, reason, action, NULL, NULL, NULL FROM st2, (VALUES (1, 2), (2, 2), (3, 1)) v(sec, before) WHERE step <= n_windows - before AND (sec < 3 OR ({_K}) IN (SELECT ({_K}) FROM ti)))
+"""
+
+
+@_query(
+    "report_rows",
+    _REPORT
+    + f"SELECT 'site ' || callsite_id AS callsite, compile_id, CASE sec WHEN 1 THEN 'Changes' WHEN 2 THEN 'Inversions' ELSE 'RawWindowInformation' END AS section, CAST({DELTA} AS BIGINT) AS window_us, tag, id, kind, CAST(time_us AS BIGINT) AS time_us, reason, action, CAST(label AS BIGINT) AS label, first, second FROM en",
+)
+def report_rows(spark, d):
+    """The text report, written and parsed again: all that each row says."""
+    return _read_back(spark, d).drop("file", "ord")
+
+
+_TRAP = "CASE WHEN reason IS NULL AND action IS NULL THEN '' ELSE '[trap: reason = ' || coalesce(reason, 'null') || ', action = ' || coalesce(action, 'null') || ']' END"
+
+
+@_query(
+    "report_lines",
+    _REPORT
+    + f""", tl AS (SELECT *, CASE WHEN tag = 'C' THEN ['Compilation at: ' || time_us || ' [kind = ' || kind || ', id = ' || id || ']']
+WHEN tag = 'D' THEN ['Decompilation at: ' || time_us || '[compile_id = ' || id || ', compile_kind = ' || kind || ']' || {_TRAP}]
+WHEN sec = 1 THEN ['window before: ' || label || ' - window after: ' || (label + 1), '    First Window: ' || first, '    Second Window: ' || second]
+WHEN sec = 2 THEN ['windows: ' || label || ' - ' || (label + 1), '    First Window: ' || first, '    Second Window: ' || second]
+ELSE ['window information for window: ' || label, '    ' || first] END AS lines FROM en)
+, fl AS (SELECT {_K}, 0 AS sec, NULL AS step, NULL AS kind_ord, NULL AS mark, 0 AS nth, 'CCU [callsite=site ' || callsite_id || ', compile_id=' || compile_id || ']' AS line FROM (SELECT DISTINCT {_K} FROM en)
+UNION ALL SELECT {_K}, sec, NULL, NULL, NULL, 0, '    ' || CASE sec WHEN 1 THEN 'Changes' WHEN 2 THEN 'Inversions' ELSE 'RawWindowInformation' END || '[start time = ' || t0 || ', window size = {DELTA}]:' FROM (SELECT DISTINCT {_K}, sec FROM en) JOIN sp USING ({_K})
+UNION ALL SELECT {_K}, sec, step, kind_ord, lines[1], i, '        ' || lines[i] FROM tl, LATERAL (SELECT unnest(generate_series(1, len(lines))) AS i))
+SELECT callsite_id, compile_id, lpad(CAST(callsite_id % 1000 AS VARCHAR), 3, '0') AS bucket, CAST(row_number() OVER (PARTITION BY {_K} ORDER BY sec, step NULLS FIRST, kind_ord NULLS FIRST, mark NULLS FIRST, nth) AS INTEGER) AS at, line FROM fl""",
+)
+def report_lines(spark, d):
+    """Every line of the report at its place in its group."""
+    lines = reports.report_lines(_sections(spark, d), DELTA)
+    placed = w.numbered(lines, KEYS, [*reports.LINE_ORDER[2:]])
+    return placed.select(*KEYS, "bucket", F.col("place").alias("at"), F.col("value").alias("line"))
 
 
 _GROUPS = f"SELECT DISTINCT {_K} FROM nw"

@@ -26,7 +26,8 @@ class Digest:
     window_us: int
 
     def report(self, always_raw: bool = False) -> DataFrame:
-        return reports.report(self.rows, self.window_us, always_raw)
+        """The lines of the text report."""
+        return reports.report_lines(self.rows, self.window_us, always_raw)
 
 
 def sections(events: DataFrame, states: DataFrame, known: DataFrame | None, delta_us: int, category: str = "class_id", names: DataFrame | None = None) -> DataFrame:

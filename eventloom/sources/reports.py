@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import shares
+from eventloom.functions.text import bucket, shares
 from eventloom.sources.lines import beside, carried, numbered_lines
 
 # Fixed values of the format.
@@ -33,27 +33,42 @@ def observation_lines(section: Column, label: Column, first: Column, second: Col
     return F.when(section == "Changes", change).when(section == "Inversions", inversion).otherwise(raw)
 
 
-def report(rows: DataFrame, window_us: int, always_raw: bool = False) -> DataFrame:
-    """bucket, value: each group's text.
+def report_lines(rows: DataFrame, window_us: int, always_raw: bool = False) -> DataFrame:
+    """bucket, callsite_id, compile_id, part, step, kind_ord, mark, nth, value: the report's lines, a row each. By these columns from
+    ``part`` on the lines of a group are in order; no group is gathered.
 
     ``rows``: callsite_id, callsite, compile_id, t0, section, step, kind_ord, tag, and what the lines
     need: time_us, id, kind, reason, action, label, first, second. Groups without changes and inversions
     are left out; without inversions the raw windows are too, unless ``always_raw``.
     """
-    rows = rows.where("section <> 'RawWindowInformation'").select("callsite_id", "compile_id").distinct().join(rows, ["callsite_id", "compile_id"])
+    keys, raw = ["callsite_id", "compile_id"], F.col("section") == SECTIONS[2]
+    told = rows.where(~raw).groupBy(*keys).agg(F.max(F.col("section") == SECTIONS[1]).alias("__inverted"))
+    rows = rows.join(told, keys)
+    rows = rows if always_raw else rows.where(~raw | F.col("__inverted"))
     lines = F.when(F.col("tag") == "C", F.array(compilation_line(F.col("time_us"), F.col("kind"), F.col("id"))))
     lines = lines.when(F.col("tag") == "D", F.array(decompilation_line(F.col("time_us"), F.col("id"), F.col("kind"), F.col("reason"), F.col("action"))))
     lines = lines.otherwise(observation_lines(F.col("section"), F.col("label"), F.col("first"), F.col("second")))
-    place = F.struct("step", "kind_ord", F.transform(lines, lambda s: F.concat(F.lit(INDENT * 2), s)).alias("lines"))
-    keys = ["callsite_id", "callsite", "compile_id", "t0"]
-    parts = rows.groupBy(*keys, "section").agg(F.array_sort(F.collect_list(place)).alias("entries"))
-    head = F.format_string(f"{INDENT}%s[start time = %d, window size = {window_us}]:", "section", "t0")
-    body = F.array_join(F.concat(F.array(head), F.flatten(F.transform("entries", lambda e: e["lines"]))), "\n")
-    by = {s: F.max(F.when(F.col("section") == s, body)).alias(s) for s in SECTIONS}
-    groups = parts.groupBy(*keys).agg(*by.values())
-    raw = F.col(SECTIONS[2]) if always_raw else F.when(F.col("Inversions").isNotNull(), F.col(SECTIONS[2]))
-    value = F.concat_ws("\n", F.format_string("CCU [callsite=%s, compile_id=%d]", "callsite", "compile_id"), F.col("Changes"), F.col("Inversions"), raw)
-    return groups.select(F.lpad(F.pmod("callsite_id", F.lit(1000)).cast("string"), 3, "0").alias("bucket"), "callsite_id", "compile_id", value.alias("value"))
+    part = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")).cast("int")
+    place = ["callsite_id", "compile_id", "part", F.col("step").cast("long").alias("step"), F.col("kind_ord").cast("int").alias("kind_ord")]
+    # rows of one step and kind are in the order of their first lines
+    body = rows.withColumns({"part": part, "__lines": lines}).select(*place, F.get("__lines", F.lit(0)).alias("mark"), F.posexplode("__lines").alias("nth", "value"))
+    body = body.withColumn("value", F.concat(F.lit(INDENT * 2), F.col("value")))
+    first = [F.lit(None).cast(t).alias(c) for c, t in (("step", "long"), ("kind_ord", "int"), ("mark", "string"))]
+    groups = rows.select(*keys, "callsite").distinct()
+    title = groups.select(*keys, F.lit(0).alias("part"), *first, F.lit(0).alias("nth"), F.format_string("CCU [callsite=%s, compile_id=%d]", "callsite", "compile_id").alias("value"))
+    parts = rows.select(*keys, "section", "t0").distinct()
+    heads = parts.select(*keys, part.alias("part"), *first, F.lit(0).alias("nth"), F.format_string(f"{INDENT}%s[start time = %d, window size = {window_us}]:", "section", "t0").alias("value"))
+    return title.unionByName(heads).unionByName(body).withColumn("bucket", bucket(F.col("callsite_id")))
+
+
+#: The order of a group's lines; headings have no step and come first.
+LINE_ORDER = ("callsite_id", "compile_id", "part", "step", "kind_ord", "mark", "nth")
+
+
+def write_report(lines: DataFrame, folder: str) -> None:
+    """The report's lines as text, in a folder for each bucket; a group's lines follow one another in one file, as they are sorted, not gathered."""
+    dealt = lines.repartition("callsite_id", "compile_id").sortWithinPartitions("bucket", *LINE_ORDER)
+    dealt.select("value", "bucket").write.mode("overwrite").partitionBy("bucket").text(folder)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
