@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import scans
+
 REST = "interpreter"
 
 
@@ -17,9 +19,20 @@ def _order(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("step", "kind_ord")
 
 
-def attribute_state(rows: DataFrame, keys: list[str], kind: str | None = None) -> DataFrame:
-    """The rows with ``state`` and ``epoch``. With ``kind``, only beginnings of that kind are beginnings."""
+def attribute_state(rows: DataFrame, keys: list[str], kind: str | None = None, spread: bool = False) -> DataFrame:
+    """The rows with ``state`` and ``epoch``. With ``kind``, only beginnings of that kind are beginnings.
+
+    ``spread`` deals each group's rows over all tasks, for groups that are too many rows for one.
+    """
     begins = (F.col("tag") == "C") if kind is None else (F.col("tag") == "C") & F.coalesce(F.col("kind") == kind, F.lit(False))
+    if spread:
+        order = ["step", "kind_ord"]
+        rows = scans.running(scans.ranged(rows, keys, order), keys, order, "epoch", F.when(begins, 1).otherwise(0), "sum")
+        rows = scans.running(rows, keys, order, "own", F.when(begins, F.struct("id")), "last")
+        mine = F.col("own.id")
+        rows = scans.running(rows, keys, order, "ended", F.when((F.col("tag") == "D") & (F.col("id") == mine), F.col("epoch")), "max")
+        state = F.when(mine.isNull() | F.coalesce(F.col("ended") == F.col("epoch"), F.lit(False)), F.lit(REST)).otherwise(mine)
+        return rows.withColumn("state", state).drop("own", "ended", scans.PART)
     upto = _order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("epoch", F.sum(F.when(begins, 1).otherwise(0)).over(upto))
     inside = Window.partitionBy(*keys, "epoch").orderBy("step", "kind_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import scans
+
 #: Order within a step.
 KIND_ORDER = {"C": 0, "D": 1, "W": 2}
 
@@ -26,13 +28,20 @@ def spans(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min("t0").alias("t0"), (F.max("win") + 1).alias("n_windows"))
 
 
-def place(states: DataFrame, windows: DataFrame, keys: list[str], delta_us: int, on: list[str] | None = None, tag: str = "tag", time: str = "time_us", order: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def place(states: DataFrame, windows: DataFrame, keys: list[str], delta_us: int, on: list[str] | None = None, tag: str = "tag", time: str = "time_us", order: tuple[str, ...] = (), whole: bool = False, spread: bool = False) -> DataFrame:
     """The state changes with their step; those after the last step are left out.
 
+    ``spread`` deals each group's changes over all tasks, for groups that are too many rows for one.
+
     ``states`` are matched to groups by ``on`` (all of ``keys`` by default), and order ties of time by
     ``order``. Steps lie between windows, or with ``whole`` are the windows themselves, one more.
     """
     rows = states.join(windows, on or keys)
+    if spread:
+        by, at = [*keys, tag], [time, *order]
+        rows = scans.running(scans.ranged(rows.withColumn("f", first_step(F.col("t0"), F.col(time), delta_us)), by, at), by, at, "j", F.lit(1), "sum")
+        rows = scans.running(rows, by, at, "step", F.col("f") - F.col("j"), "max").withColumn("step", F.col("j") + F.col("step"))
+        return rows.where(F.col("step") <= F.col("n_windows") - (1 if whole else 2)).drop("j", "f", scans.PART)
     by = Window.partitionBy(*keys, tag).orderBy(time, *order)
     rows = rows.withColumn("j", F.row_number().over(by) - 1).withColumn("f", first_step(F.col("t0"), F.col(time), delta_us))
     upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -179,6 +179,31 @@ def compile_state(spark, d):
     return at.attribute_state(_timeline(spark, d, "inversions"), KEYS).select(*KEYS, F.col("step").cast("long").alias("step"), "tag", "id", "state")
 
 
+def _hot(select: str) -> str:
+    """SQL where one group has nine tenths of the events."""
+    return _sql(select).replace("user_id AS callsite_id", "CASE WHEN user_id % 10 = 0 THEN user_id ELSE 0 END AS callsite_id", 1).replace("k % 2 AS compile_id", "0 AS compile_id", 1)
+
+
+def _hot_timeline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Placed state changes, and the timeline of all windows with them, where one group has nine tenths of the events."""
+    site = F.when(F.col("callsite_id") % 10 == 0, F.col("callsite_id")).otherwise(0)
+    events = dispatches(spark, d).withColumns({"callsite_id": site, "compile_id": F.lit(0)})
+    counts = w.window_counts(events, KEYS, "class", DELTA)
+    marks = states(spark, d).withColumn("callsite_id", site)
+    placed = placement.place(marks, placement.spans(counts, KEYS), KEYS, DELTA, on=["callsite_id"], order=("event_id",), whole=True, spread=True)
+    return placed, placement.timeline(w.share_vectors(counts, KEYS, "class").withColumn("step", F.col("win")), placed, KEYS, [])
+
+
+@_query("hot_group_placement", parts=False, sql=_hot(f"SELECT {_K}, tag, id, time_us, event_id, CAST(step AS BIGINT) AS step FROM pl WHERE step <= n_windows - 1"))
+def hot_group_placement(spark, d):
+    return _hot_timeline(spark, d)[0].select(*KEYS, "tag", "id", "time_us", "event_id", F.col("step").cast("long").alias("step"))
+
+
+@_query("hot_group_state", parts=False, sql=_hot(f"SELECT {_K}, CAST(step AS BIGINT) AS step, tag, id, state FROM ar"))
+def hot_group_state(spark, d):
+    return at.attribute_state(_hot_timeline(spark, d)[1], KEYS, spread=True).select(*KEYS, F.col("step").cast("long").alias("step"), "tag", "id", "state")
+
+
 def _line_sql(name: str) -> str:
     return f"SELECT {_K}, CAST(sum(CASE WHEN tag = 'W' THEN 3 ELSE 1 END) AS BIGINT) AS lines, CAST(sum(CASE WHEN tag = 'W' THEN 1 ELSE 0 END) AS BIGINT) AS pairs, CAST(sum(CASE WHEN tag = 'C' THEN 1 ELSE 0 END) AS BIGINT) AS compilations, CAST(sum(CASE WHEN tag = 'D' THEN 1 ELSE 0 END) AS BIGINT) AS decompilations FROM {name} GROUP BY ALL"
 

@@ -195,3 +195,34 @@ def test_signed_rank_with_ties(spark):
     pairs = spark.createDataFrame([(1, 1.0, 2.0), (1, 5.0, 3.0), (1, 4.0, 4.0), (1, 9.0, 7.0), (1, 8.0, 3.0)], "k int, a double, b double")
     r = stats.signed_rank(pairs, ["k"]).first()
     assert (r.n, r.w) == (4, 1.0) and 0 < r.p_value < 1
+
+
+def test_running_totals_of_a_hot_group(spark):
+    from eventloom.operators import scans
+
+    rnd = random.Random(12)
+    rows = [("hot" if rnd.random() < 0.9 else rnd.choice(["a", "b", None]), k, rnd.choice([None, rnd.randint(-9, 9)])) for k in range(3000)]
+    rnd.shuffle(rows)
+    dealt = scans.ranged(spark.createDataFrame(rows, "g string, t int, v int"), ["g"], ["t"])
+    sizes = [r["count"] for r in dealt.groupBy(scans.PART).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 0.3 * len(rows)
+    for how in ("sum", "max", "last"):
+        got = {(r.g, r.t): r.x for r in scans.running(dealt, ["g"], ["t"], "x", F.col("v"), how).collect()}
+        now = {}
+        for g, t, v in sorted(rows, key=lambda r: r[1]):
+            if v is not None:
+                now[g] = {"sum": lambda a, b: (a or 0) + b, "max": lambda a, b: b if a is None else max(a, b), "last": lambda a, b: b}[how](now.get(g), v)
+            assert got[g, t] == now.get(g, 0 if how == "sum" else None), (how, g, t)
+
+
+@pytest.mark.parametrize("kind", [None, "c2"])
+def test_spread_groups_have_the_same_states_and_steps(spark, kind):
+    rnd = random.Random(13)
+    rows = [(0 if rnd.random() < 0.9 else 1, step, k, tag, rnd.choice("pqr") if tag != "W" and rnd.random() < 0.95 else None, rnd.choice(["c1", "c2", None])) for step in range(900) for k, tag in enumerate("CDW") if rnd.random() < 0.6]
+    frame = spark.createDataFrame(rows, "g long, step long, kind_ord int, tag string, id string, kind string")
+    want = sorted(map(str, at.attribute_state(frame, ["g"], kind).select("g", "step", "kind_ord", "epoch", "state").collect()))
+    assert sorted(map(str, at.attribute_state(frame, ["g"], kind, spread=True).select("g", "step", "kind_ord", "epoch", "state").collect())) == want
+    marks = spark.createDataFrame([(0 if rnd.random() < 0.9 else 1, rnd.choice("CD"), rnd.randint(0, 400_000), k) for k in range(800)], "g long, tag string, time_us long, n int")
+    spans = spark.createDataFrame([(0, 1000, 500), (1, 0, 300)], "g long, t0 long, n_windows long")
+    place = lambda spread: sorted(map(str, placement.place(marks, spans, ["g"], 1000, order=("n",), spread=spread).select("g", "tag", "n", "step").collect()))
+    assert place(True) == place(False)
