@@ -1,8 +1,9 @@
 """Rank inversions and share changes of unbounded event streams.
 
-A group's state is its anchor, the counts of its open window and the shares of the last closed one. A
+A group's state is its anchor, the counts of its open window and the shares of the last closed one. In ``window_pairs_stream`` a
 window closes when an event of a later one arrives. Events must come in order of time within a group,
-as a capture writes them; one that is older than the open window is counted as late and left out.
+as a capture writes them; one that is older than the open window is counted as late and left out. ``window_pairs_in_event_time`` takes
+events out of order and closes windows by the clock of the events.
 """
 
 from __future__ import annotations
@@ -65,6 +66,61 @@ def window_pairs_stream(events: DataFrame, keys: list[str], category: str, delta
     return events.select(*keys, category, time).groupBy(*keys).applyInPandasWithState(advance, schema, STATE, "append", "NoTimeout")
 
 
+PENDING = "anchor long, pending string, open string, prev_win long, prev string"
+
+
+def window_pairs_in_event_time(events: DataFrame, keys: list[str], category: str, delta_us: int, time: str = "t_us", stamp: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """As ``window_pairs_stream``, for events in any order that are at most ``delay`` behind: the pairs equal those of a batch of all events.
+
+    Events wait until the watermark on ``stamp``, the time as a timestamp, has passed a group's first one, so that no older one can move the anchor; from then on
+    they are counts of their windows. A timer closes each window when the watermark passes its end, so a
+    group's last window comes out too, as soon as any group's events are far enough ahead. State is a group's events of one delay, and counts of its open windows.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    columns = [*keys, "prev_win", "win", "prev_shares", "shares", "changed", "inverted", "late"]
+    schema = ", ".join(f"`{k}` {names[k]}" for k in keys) + ", " + OUTPUT
+
+    def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        anchor, pending, open_, prev_win, prev = state.get if state.exists else (None, "[]", "{}", None, None)
+        pending, prev = json.loads(pending), json.loads(prev) if prev else None
+        open_ = {int(w): c for w, c in json.loads(open_).items()}
+
+        def count(t: int, name: str) -> None:
+            mine = open_.setdefault((t - anchor) // delta_us, {})
+            mine[name] = mine.get(name, 0) + 1
+
+        if not state.hasTimedOut:
+            for rows in batches:
+                for t, name in zip(rows[time].tolist(), rows[category].astype(str).tolist()):
+                    pending.append((t, name)) if anchor is None else count(t, name)
+        now = state.getCurrentWatermarkMs() * 1000
+        if anchor is None and pending and now >= min(t for t, _ in pending):
+            anchor = min(t for t, _ in pending)
+            for t, name in pending:
+                count(t, name)
+            pending = []
+        out = []
+        for win in sorted(open_):
+            if anchor + (win + 1) * delta_us > now:
+                break
+            counts = open_.pop(win)
+            total = sum(counts.values())
+            shares = {k: n / total for k, n in counts.items()}
+            if prev is not None:
+                out.append((*key, prev_win, win, json.dumps(prev, sort_keys=True), json.dumps(shares, sort_keys=True), *compare(prev, shares), 0))
+            prev_win, prev = win, shares
+        state.update((anchor, json.dumps(pending), json.dumps(open_), prev_win, json.dumps(prev) if prev is not None else None))
+        due = [anchor + (w + 1) * delta_us for w in open_] or [t for t, _ in pending]
+        if due:
+            state.setTimeoutTimestamp(max(min(due), now) // 1000 + 1)
+        yield pd.DataFrame(out, columns=columns)
+
+    rows = events.withWatermark(stamp, delay).select(*keys, category, time, stamp)
+    return rows.groupBy(*keys).applyInPandasWithState(advance, schema, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def window_counts_stream(events: DataFrame, anchors: DataFrame, keys: list[str], category: str, delta_us: int, time: str = "t_us", stamp: str = "ts", delay: str = "1 day") -> DataFrame:
     """keys, win, category, n for groups whose anchors are known: built-in aggregation, with a watermark on ``stamp``."""
     placed = events.withWatermark(stamp, delay).join(anchors.select(*keys, "t0"), keys)

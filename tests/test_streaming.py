@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import windows as w
 from eventloom.plans.surrogate import DELTA, KEYS, dispatches
-from eventloom.streaming.windows import window_counts_stream, window_pairs_stream
+from eventloom.streaming.windows import window_counts_stream, window_pairs_in_event_time, window_pairs_stream
 
 DIR = "/root/testdata/sf0.001"
 
@@ -41,3 +41,27 @@ def test_counts_equal_the_batch(spark, tmp_path):
     query.stop()
     columns = [*KEYS, "win", "class", "n"]
     assert sorted(map(tuple, spark.table("counts").select(*columns).collect())) == sorted(map(tuple, w.window_counts(events, KEYS, "class", DELTA).select(*columns).collect()))
+
+
+def test_events_out_of_order_equal_the_batch(spark, tmp_path):
+    """An older event than the first one seen moves the anchor, and last windows come out."""
+    import random
+
+    rnd, second = random.Random(5), 1_000_000
+    rows = [(g, 1, rnd.choice("abc"), g * 7 + rnd.randint(0, 400) * second + 3) for g in range(6) for _ in range(300)]
+    schema = "callsite_id long, compile_id long, class string, t_us long"
+    events = spark.createDataFrame(rows, schema)
+    dealt = [[], [], [], [], [(99, 1, "a", 10_000 * second)]]
+    for r in rows:  # at most 60 seconds behind
+        dealt[min(3, (r[3] + rnd.randint(0, 60) * second) // (115 * second))].append(r)
+    for part in dealt:
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("t_us")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema.add("ts", "timestamp")).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    pairs = window_pairs_in_event_time(stream, KEYS, "class", 20 * second, delay="61 seconds")
+    pairs.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.schema(pairs.schema).parquet(str(tmp_path / "out")).collect()
+    batch = w.window_pairs(w.share_vectors(w.window_counts(events, KEYS, "class", 20 * second), KEYS, "class"), KEYS)
+    assert {(r.callsite_id, r.prev_win, r.win) for r in got} == {(r.callsite_id, r.prev_win, r.win) for r in batch.collect()} and len(got) > 100
+    for name, f in (("changed", w.share_changes), ("inverted", w.rank_inversions)):
+        assert {(r.callsite_id, r.win) for r in got if r[name]} == {(r.callsite_id, r.win) for r in f(batch).collect()}
