@@ -14,7 +14,7 @@ from eventloom.operators import windows as w
 from eventloom.sources import eventlog, reports, traces
 from eventloom.sinks import files
 from eventloom.sinks.scratch import scratch_folder
-from eventloom.plans import digest, file_catalogue
+from eventloom.plans import digest, file_catalogue, incremental
 from eventloom.streaming import windows as streams
 from eventloom.plans.surrogate import DELTA, KEYS, dispatches, runs, states, table
 
@@ -512,6 +512,29 @@ def c2_count(spark, d):
     return states(spark, d).where("kind = 'c2'").groupBy("callsite_id").agg(F.count("*").alias("n"))
 
 
+# ----------------------------------------------------------------- deliveries
+def _delivered(spark: SparkSession, d: str) -> tuple[incremental.WindowStore, DataFrame]:
+    """All events in four deliveries: by thirds of the days, the middle one first, which moves anchors, and the last one twice."""
+    events = dispatches(spark, d).select(*KEYS, "class", "t_us")
+    store = incremental.WindowStore(spark, scratch_folder(spark, "store"), KEYS, "class", DELTA)
+    third = F.pmod(F.floor(F.col("t_us") / DELTA), F.lit(3))
+    for name, k in (("b", 1), ("a", 0), ("c", 2), ("c", 2)):
+        store.deliver(name, events.where(third == k))
+    return store, events
+
+
+@_query("delivered_counts", f"SELECT {_K}, t0, win, class, CAST(n AS BIGINT) AS n FROM c")
+def delivered_counts(spark, d):
+    store, events = _delivered(spark, d)
+    return store.counts(events).select(*KEYS, "t0", "win", "class", "n")
+
+
+@_query("delivered_inversions", f"SELECT {_K}, prev_win, win, array_to_string(prev_rank, ',') AS prev_rank, array_to_string(rank, ',') AS rank FROM iv")
+def delivered_inversions(spark, d):
+    rows = w.rank_inversions(incremental.pairs(*_delivered(spark, d)))
+    return rows.select(*KEYS, "prev_win", "win", F.array_join("prev_rank", ",").alias("prev_rank"), F.array_join("rank", ",").alias("rank"))
+
+
 # ------------------------------------------------------------------- streaming
 @_query(
     "stream_window_pairs",
@@ -673,15 +696,23 @@ _STATISTICS = f"""
 , lc AS ({_line_sql("tc")}), li AS ({_line_sql("ti")}), xc AS ({_after_sql("ac")}), xi AS ({_after_sql("ai")})
 , su AS (SELECT {_K}, sum(n) * {DELTA} AS s FROM bd JOIN (SELECT DISTINCT {_K}, id FROM (SELECT {_K}, id FROM tc WHERE tag = 'D' UNION ALL SELECT {_K}, id FROM ti WHERE tag = 'D')) USING ({_K}, id) GROUP BY ALL)
 , av AS (SELECT {_K}, avg(n) AS m FROM bd GROUP BY ALL)
+, zl AS (SELECT {_K}, win, list(class ORDER BY round(r1, 6) DESC, class) AS la, list(class ORDER BY round(r2, 6) DESC, class) AS lb FROM z GROUP BY {_K}, win)
+, z4 AS (SELECT *, list_filter([la[1], lb[1], la[2], lb[2]], lambda y: y IS NOT NULL) AS l FROM zl)
+, z2 AS (SELECT *, list_filter(l, lambda v, i: list_position(l, v) = i)[1:2] AS k FROM z4)
+, zs AS (SELECT {_K}, win, array_to_string(list_filter(la, lambda y: list_contains(k, y)), ' - ') AS f, array_to_string(list_filter(lb, lambda y: list_contains(k, y)), ' - ') AS s FROM z2)
+, so AS (SELECT sg.callsite_id, sg.compile_id, place, f || ' -> ' || s AS p FROM sg JOIN zs ON zs.callsite_id = sg.callsite_id AND zs.compile_id = sg.compile_id AND zs.win = sg.step + 1)
+, mi AS (SELECT {_K}, p, n FROM (SELECT {_K}, p, count(*) AS n, row_number() OVER (PARTITION BY {_K} ORDER BY count(*) DESC, min(place)) AS rn FROM so GROUP BY {_K}, p) WHERE rn = 1)
+, mo AS (SELECT {_K}, p, n FROM (SELECT {_K}, p, count(*) AS n, row_number() OVER (PARTITION BY {_K} ORDER BY count(*) DESC, min(place)) AS rn FROM (SELECT {_K}, place, p || ' -> ' || lead(p) OVER (PARTITION BY {_K} ORDER BY place) AS p FROM so) WHERE p IS NOT NULL GROUP BY {_K}, p) WHERE rn = 1)
 SELECT {_K}, CAST(coalesce(lc.lines, 0) AS BIGINT) AS changes, CAST(coalesce(lc.pairs, 0) AS BIGINT) AS change_pairs, CAST(coalesce(lc.compilations, 0) AS BIGINT) AS compilations, CAST(coalesce(lc.decompilations, 0) AS BIGINT) AS decompilations,
 CAST(coalesce(li.lines, 0) AS BIGINT) AS inversions, CAST(coalesce(li.pairs, 0) AS BIGINT) AS inversion_pairs, CAST(coalesce(xc.after_compilation, 0) AS BIGINT) AS changes_after_compilation, CAST(coalesce(xi.after_compilation, 0) AS BIGINT) AS inversions_after_compilation,
-CAST(coalesce(su.s, 0) AS BIGINT) AS suboptimal_us, round(coalesce(av.m, 0), 6) AS average_inversions_before_decompilation
-FROM ({_GROUPS}) LEFT JOIN lc USING ({_K}) LEFT JOIN li USING ({_K}) LEFT JOIN xc USING ({_K}) LEFT JOIN xi USING ({_K}) LEFT JOIN su USING ({_K}) LEFT JOIN av USING ({_K})
+CAST(coalesce(su.s, 0) AS BIGINT) AS suboptimal_us, round(coalesce(av.m, 0), 6) AS average_inversions_before_decompilation,
+mi.p AS most_frequent_inversion, CAST(mi.n AS BIGINT) AS most_frequent_inversion_value, mo.p AS most_frequent_oscillation, CAST(mo.n AS BIGINT) AS most_frequent_oscillation_value
+FROM ({_GROUPS}) LEFT JOIN lc USING ({_K}) LEFT JOIN li USING ({_K}) LEFT JOIN xc USING ({_K}) LEFT JOIN xi USING ({_K}) LEFT JOIN su USING ({_K}) LEFT JOIN av USING ({_K}) LEFT JOIN mi USING ({_K}) LEFT JOIN mo USING ({_K})
 """
 
 
 @_query("group_statistics", _STATISTICS)
 def group_statistics(spark, d):
-    """The statistics table of all groups, its counts and times."""
+    """The statistics table of all groups. Patterns are those of share lists that hold every category, absent ones as 0."""
     out = digest.statistics(_sections(spark, d), DELTA, KEYS)
-    return out.select(*[c for c in out.columns if not c.startswith(("most_frequent", "average"))], F.round("average_inversions_before_decompilation", 6).alias("average_inversions_before_decompilation"))
+    return out.select(*[c for c in out.columns if not c.startswith("average")], F.round("average_inversions_before_decompilation", 6).alias("average_inversions_before_decompilation"))
