@@ -1,89 +1,103 @@
-"""Two-sided p-values of paired tests, as vectorised functions of their statistics."""
+"""Two-sided p-values of paired tests, as expressions of their statistics. Each is a loop of a fixed number of steps over one row a group."""
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Steps of the continued fractions and series; they settle long before at the arguments given to them.
+STEPS = 300
+#: Differences up to which, without ties, the signed-rank distribution is counted out.
+EXACT = 50
+_TINY = 1e-300
 
-def _betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction (Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _betainc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or 1e-300)
-    h = d
-    for m in range(1, 500):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + step * d) or 1e-300)
-            c = (1 + step / c) or 1e-300
-            h *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * h
-
-
-def student_p(t: float, n: float) -> float:
-    """Chance of a t value at least as far from 0, for ``n`` pairs."""
-    if t is None or n is None or math.isnan(t) or n < 2:
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    v = n - 1
-    return _betainc(v / 2, 0.5, v / (v + t * t))
-
-
-@lru_cache(maxsize=64)
-def _rank_sum_counts(n: int) -> np.ndarray:
-    """Of all sign patterns of ranks 1 to n, how many give each sum of positive ranks."""
-    counts = np.ones(1)
-    for k in range(1, n + 1):
-        wide = np.zeros(len(counts) + k)
-        wide[: len(counts)] += counts
-        wide[k:] += counts
-        counts = wide
-    return counts
-
-
-def signed_rank_p(w: float, n: float, ties: float) -> float:
-    """Chance of a signed-rank statistic as small as ``w`` (the lesser sum), for n non-zero differences.
 
-    Exact up to 50 differences without ties, by the normal limit otherwise; ``ties`` is the sum of
-    t^3 - t over groups of t equal differences.
+def _double(c: Column) -> Column:
+    return c.cast("double")
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight places further on."""
+    z, product = x + 8, x
+    for k in range(1, 8):
+        product = product * (x + k)
+    series, power = F.lit(0.0), 1 / z
+    for c in (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188):
+        series, power = series + c * power, power / (z * z)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+
+def _fraction(first: Column, c: float, steps: Callable[[Column], list[tuple[Column, Column]]]) -> Column:
+    """A continued fraction by Lentz's method: 1 / (first + a1 / (b1 + a2 / (b2 + ...))), with the pairs (a, b) of each step.
+
+    ``c`` is the ratio of the numerators before the first step: beyond all bounds, or 1 where ``first`` is 1 + a0 already.
     """
-    if w is None or not n:
-        return float("nan")
-    n = int(n)
-    if n <= 50 and not ties:
-        counts = _rank_sum_counts(n)
-        return float(min(1.0, 2 * counts[: int(w) + 1].sum() / counts.sum()))
-    variance = n * (n + 1) * (2 * n + 1) / 24 - (ties or 0) / 48
-    if variance <= 0:
-        return float("nan")
-    return math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(variance) / math.sqrt(2))
+    safe = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+
+    def advance(s: Column, m: Column) -> Column:
+        c, d, h = s["c"], s["d"], s["h"]
+        for a, b in steps(_double(m)):
+            d = 1 / safe(b + a * d)
+            c = safe(b + a / c)
+            h = h * c * d
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    begin = 1 / safe(first)
+    start = F.struct(F.lit(c).alias("c"), begin.alias("d"), begin.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, advance, lambda s: s["h"])
 
 
-def _student(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([student_p(a, b) for a, b in zip(t, n)], dtype="float64")
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function; on the side where the fraction settles."""
+    far = x > (a + 1) / (a + b + 2)
+    p, q, y = F.when(far, b).otherwise(a), F.when(far, a).otherwise(b), F.when(far, 1 - x).otherwise(x)
 
+    def steps(m: Column) -> list[tuple[Column, Column]]:
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        return [(even, F.lit(1.0)), (odd, F.lit(1.0))]
 
-def _signed_rank(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([signed_rank_p(a, b, c) for a, b, c in zip(w, n, ties)], dtype="float64")
+    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(y) + q * F.log1p(-y)) / p
+    part = front * _fraction(1 - (p + q) * y / (p + 1), 1.0, steps)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(F.when(far, 1 - part).otherwise(part))
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function for x >= 0: the series of the error function near 0, a continued fraction beyond."""
+    near = F.least(x, F.lit(2.0))
+    term = lambda s, k: F.struct((-s["t"] * near * near / k).alias("t"), (s["sum"] - s["t"] * near * near / k / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(near.alias("t"), near.alias("sum")), lambda s, k: term(s, _double(k)), lambda s: s["sum"])
+    y = F.greatest(x, F.lit(2.0))
+    tail = F.exp(-y * y) / math.sqrt(math.pi) * _fraction(y, 1 / _TINY, lambda m: [(m / 2, y)])
+    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * series).otherwise(tail)
 
 
 def student_p_value(t: Column, n: Column) -> Column:
-    """``student_p`` of columns; groups, not rows, pass through Python."""
-    return F.pandas_udf(_student, "double")(t, n)
+    """Chance of a t value at least as far from 0, for ``n`` pairs; NaN for fewer than two or no t."""
+    v = _double(n) - 1
+    p = F.when(F.abs(t) == float("inf"), F.lit(0.0)).otherwise(incomplete_beta(v / 2, F.lit(0.5), v / (v + t * t)))
+    return F.when(t.isNull() | n.isNull() | F.isnan(t) | (n < 2), F.lit(float("nan"))).otherwise(p)
+
+
+def rank_sums(n: Column) -> Column:
+    """Of all sign patterns of ranks 1 to n, how many give each sum of positive ranks, from 0."""
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), lambda counts, k: F.zip_with(F.concat(counts, zeros(k)), F.concat(zeros(k), counts), lambda a, b: a + b))
 
 
 def signed_rank_p_value(w: Column, n: Column, ties: Column) -> Column:
-    """``signed_rank_p`` of columns."""
-    return F.pandas_udf(_signed_rank, "double")(w, n, ties)
+    """Chance of a signed-rank statistic as small as ``w`` (the lesser sum), for n non-zero differences.
+
+    Exact up to ``EXACT`` differences without ties, by the normal limit otherwise; ``ties`` is the sum of
+    t^3 - t over groups of t equal differences. NaN without differences.
+    """
+    n, w, ties = _double(n), _double(w), F.coalesce(_double(ties), F.lit(0.0))
+    few = (n <= EXACT) & (ties == 0)
+    counts = F.slice(rank_sums(F.greatest(F.least(n, F.lit(float(EXACT))), F.lit(1.0)).cast("int")), F.lit(1), (F.floor(w) + 1).cast("int"))
+    exact = F.least(F.lit(1.0), 2 * F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) / F.pow(F.lit(2.0), n))
+    variance = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    normal = F.when(variance > 0, erfc(F.abs(w - n * (n + 1) / 4) / F.sqrt(variance) / math.sqrt(2))).otherwise(F.lit(float("nan")))
+    return F.when(w.isNull() | n.isNull() | (n == 0), F.lit(float("nan"))).when(few, exact).otherwise(normal)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import bits, descriptors, text
-from eventloom.functions.distributions import signed_rank_p, student_p
+from eventloom.functions.distributions import erfc, log_gamma, signed_rank_p_value, student_p_value
 from eventloom.operators import windows
 
 
@@ -68,13 +68,31 @@ def test_thresholds_are_doubles(spark):
     assert [r[0] for r in got] == [False, True]
 
 
-def test_p_values():
-    # two-sided values of well-known tables
-    assert student_p(2.228, 11) == pytest.approx(0.05, abs=2e-4)
-    assert student_p(12.706, 2) == pytest.approx(0.05, abs=1e-4)
-    assert student_p(0.0, 30) == pytest.approx(1.0)
-    assert student_p(1.96, 100_000) == pytest.approx(math.erfc(1.96 / math.sqrt(2)), abs=1e-4)
-    assert math.isnan(student_p(float("nan"), 5))
-    assert signed_rank_p(0, 5, 0) == pytest.approx(2 / 32)
-    assert signed_rank_p(8, 10, 0) == pytest.approx(0.048828125)
-    assert signed_rank_p(100 * 101 / 4, 100, 0) == pytest.approx(1.0)
+def density_sum(t, n):
+    """The two-sided tail by summing Student's density up to t."""
+    v, steps = n - 1, 20_000
+    f = lambda x: math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi) * (1 + x * x / v) ** (-(v + 1) / 2)
+    h = abs(t) / steps
+    return 1 - 2 * h / 3 * sum((1 if k in (0, steps) else 4 if k % 2 else 2) * f(k * h) for k in range(steps + 1))
+
+
+def test_p_values(spark):
+    nan, inf = float("nan"), float("inf")
+    ts = [(2.228, 11), (12.706, 2), (0.0, 30), (1.96, 100_000), (-0.01, 3), (5.5, 4), (0.7, 1000), (-3.2, 57), (9.0, 200)]
+    rows = spark.createDataFrame([*ts, (nan, 5), (None, 5), (1.0, 1), (inf, 9)], "t double, n int").select("t", "n", student_p_value(F.col("t"), F.col("n")).alias("p")).collect()
+    for r in rows[: len(ts)]:
+        assert r.p == pytest.approx(density_sum(r.t, r.n), abs=1e-9)
+    assert rows[0].p == pytest.approx(0.05, abs=2e-4) and rows[3].p == pytest.approx(math.erfc(1.96 / math.sqrt(2)), abs=1e-4)
+    assert [math.isnan(r.p) for r in rows[len(ts) :]] == [True, True, True, False] and rows[-1].p == 0.0
+    tail = spark.createDataFrame([(x,) for x in (0.0, 0.3, 1.0, 1.999, 2.0, 3.0, 6.0, 20.0)], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=1e-9, abs=1e-13) for r in tail)
+    assert all(r.y == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12) for r in spark.createDataFrame([(x,) for x in (0.5, 1.0, 3.5, 400.0, 1e6)], "x double").select("x", log_gamma(F.col("x")).alias("y")).collect())
+    ranks = spark.createDataFrame([(0.0, 5, 0.0), (8.0, 10, 0.0), (100 * 101 / 4, 100, 0.0), (3.0, 0, 0.0), (20.0, 12, 6.0), (1.0, 1, 0.0)], "w double, n int, t double").select(signed_rank_p_value(F.col("w"), F.col("n"), F.col("t")).alias("p")).collect()
+    assert ranks[0].p == pytest.approx(2 / 32) and ranks[1].p == pytest.approx(0.048828125) and ranks[2].p == pytest.approx(1.0) and math.isnan(ranks[3].p) and ranks[5].p == 1.0
+    assert ranks[4].p == pytest.approx(math.erfc(abs(20 - 39) / math.sqrt(12 * 13 * 25 / 24 - 6 / 48) / math.sqrt(2)))
+    # by all sign patterns
+    for n in (3, 7):
+        sums = [sum(k for k in range(1, n + 1) if bits >> k - 1 & 1) for bits in range(2**n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            p = spark.range(1).select(signed_rank_p_value(F.lit(float(w)), F.lit(n), F.lit(0.0)).alias("p")).first().p
+            assert p == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 2**n))
