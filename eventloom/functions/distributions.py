@@ -19,8 +19,12 @@ def _double(c: Column) -> Column:
     return c.cast("double")
 
 
-def log_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x > 0: Stirling's series eight places further on."""
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of these values, each worked out once however often it is used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
+def _log_gamma(x: Column) -> Column:
     z, product = x + 8, x
     for k in range(1, 8):
         product = product * (x + k)
@@ -30,49 +34,68 @@ def log_gamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
 
-def _fraction(first: Column, c: float, steps: Callable[[Column], list[tuple[Column, Column]]]) -> Column:
-    """A continued fraction by Lentz's method: 1 / (first + a1 / (b1 + a2 / (b2 + ...))), with the pairs (a, b) of each step.
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight places further on."""
+    return _let({"x": x}, lambda s: _log_gamma(s["x"]))
+
+
+def _fraction(first: Column, c: float, step: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """A continued fraction by Lentz's method: 1 / (first + a1 / (b1 + a2 / (b2 + ...))), with the pair (a, b) of each step.
 
     ``c`` is the ratio of the numerators before the first step: beyond all bounds, or 1 where ``first`` is 1 + a0 already.
     """
-    safe = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
 
     def advance(s: Column, m: Column) -> Column:
-        c, d, h = s["c"], s["d"], s["h"]
-        for a, b in steps(_double(m)):
-            d = 1 / safe(b + a * d)
-            c = safe(b + a / c)
-            h = h * c * d
-        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
-
-    begin = 1 / safe(first)
+        a, b = step(_double(m))
+        # a number too small to matter keeps what is divided by from being 0
+        next_ = F.struct((b + a / s["c"] + _TINY).alias("c"), (1 / (b + a * s["d"] + _TINY)).alias("d"), s["h"].alias("h"))
+        return _let({"n": next_}, lambda x: F.struct(x["n"]["c"].alias("c"), x["n"]["d"].alias("d"), (x["n"]["h"] * x["n"]["c"] * x["n"]["d"]).alias("h")))
+
+    begin = 1 / (first + _TINY)
     start = F.struct(F.lit(c).alias("c"), begin.alias("d"), begin.alias("h"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, advance, lambda s: s["h"])
 
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
     """Regularised incomplete beta function; on the side where the fraction settles."""
-    far = x > (a + 1) / (a + b + 2)
-    p, q, y = F.when(far, b).otherwise(a), F.when(far, a).otherwise(b), F.when(far, 1 - x).otherwise(x)
 
-    def steps(m: Column) -> list[tuple[Column, Column]]:
-        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
-        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        return [(even, F.lit(1.0)), (odd, F.lit(1.0))]
+    def side(s: Column) -> Column:
+        far = s["x"] > (s["a"] + 1) / (s["a"] + s["b"] + 2)
+        turned = F.struct(F.lit(True).alias("far"), s["b"].alias("p"), s["a"].alias("q"), (1 - s["x"]).alias("y"))
+        return F.when(far, turned).otherwise(F.struct(F.lit(False).alias("far"), s["a"].alias("p"), s["b"].alias("q"), s["x"].alias("y")))
+
+    def value(s: Column) -> Column:
+        p, q, y = s["v"]["p"], s["v"]["q"], s["v"]["y"]
+
+        def step(k: Column) -> tuple[Column, Column]:
+            m = F.floor(k / 2)
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            return F.when(k % 2 == 0, even).otherwise(odd), F.lit(1.0)
+
+        # steps are counted from 1: the 0th, an odd one, is in the beginning
+        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(y) + q * F.log1p(-y)) / p
+        part = front * _fraction(1 - (p + q) * y / (p + 1), 1.0, lambda k: step(k + 1))
+        return _let({"part": part}, lambda r: F.when(s["v"]["far"], 1 - r["part"]).otherwise(r["part"]))
 
-    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(y) + q * F.log1p(-y)) / p
-    part = front * _fraction(1 - (p + q) * y / (p + 1), 1.0, steps)
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(F.when(far, 1 - part).otherwise(part))
+    def whole(s: Column) -> Column:
+        inside = _let({"v": side(s)}, value)
+        return F.when(s["x"] <= 0, F.lit(0.0)).when(s["x"] >= 1, F.lit(1.0)).otherwise(inside)
+
+    return _let({"a": _double(a), "b": _double(b), "x": x}, whole)
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0: the series of the error function near 0, a continued fraction beyond."""
-    near = F.least(x, F.lit(2.0))
-    term = lambda s, k: F.struct((-s["t"] * near * near / k).alias("t"), (s["sum"] - s["t"] * near * near / k / (2 * k + 1)).alias("sum"))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(near.alias("t"), near.alias("sum")), lambda s, k: term(s, _double(k)), lambda s: s["sum"])
-    y = F.greatest(x, F.lit(2.0))
-    tail = F.exp(-y * y) / math.sqrt(math.pi) * _fraction(y, 1 / _TINY, lambda m: [(m / 2, y)])
-    return F.when(x < 2, 1 - 2 / math.sqrt(math.pi) * series).otherwise(tail)
+
+    def whole(s: Column) -> Column:
+        y = s["x"]
+        term = lambda r, k: F.struct((-r["t"] * y * y / k).alias("t"), (r["sum"] - r["t"] * y * y / k / (2 * k + 1)).alias("sum"))
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(y.alias("t"), y.alias("sum")), lambda r, k: term(r, _double(k)), lambda r: r["sum"])
+        tail = F.exp(-y * y) / math.sqrt(math.pi) * _fraction(y, 1 / _TINY, lambda m: (m / 2, y))
+        return F.when(y < 2, 1 - 2 / math.sqrt(math.pi) * series).otherwise(tail)
+
+    return _let({"x": x}, whole)
 
 
 def student_p_value(t: Column, n: Column) -> Column:
