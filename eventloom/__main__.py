@@ -14,9 +14,14 @@ from eventloom.sources import archives, eventlog, listings, reports, traces
 
 
 def run_digest(spark: SparkSession, a: argparse.Namespace) -> None:
-    out = plan.digest(spark, a.input_folder, a.compile_log, a.delta)
+    patterns = [r.value for r in spark.read.text(a.exclude).collect()] if a.exclude else []  # a short list of globs
+    progress = plan.Progress()
+    out = plan.digest(spark, a.input_folder, a.compile_log, a.delta, exclude=patterns, progress=progress)
     files.write_parquet(out.rows, f"{a.output_folder}/timelines", ["section"])
-    reports.write_report(out.report(), f"{a.output_folder}/report")
+    # the report comes from the timelines that are written
+    rows = spark.read.schema(out.rows.schema).parquet(f"{a.output_folder}/timelines")
+    reports.write_report(reports.report_lines(rows, out.window_us), f"{a.output_folder}/report")
+    print("".join(f"{n} {stage}\n" for stage, n in progress.counts().items()), end="")
 
 
 def run_analyse(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -97,6 +102,7 @@ def parser() -> argparse.ArgumentParser:
     t = tool("digest", run_digest)
     t.add_argument("-d", "--delta", type=int, default=1000, help="window in microseconds")
     t.add_argument("-c", "--compile-log", required=True)
+    t.add_argument("--exclude", help="file of glob patterns of scopes to leave out")
     t = tool("analyse", run_analyse, i="./result/")
     t.add_argument("--hotness", required=True)
     t.add_argument("--name", required=True)

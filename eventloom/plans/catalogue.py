@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions import bits, descriptors, text
+from eventloom.functions import bits, descriptors, scopes, text
 from eventloom.operators import attribution as at
 from eventloom.operators import joins, placement, quantiles, stats
 from eventloom.operators import windows as w
@@ -537,6 +537,21 @@ def c2_count(spark, d):
     return states(spark, d).where("kind = 'c2'").groupBy("callsite_id").agg(F.count("*").alias("n"))
 
 
+#: Patterns that leave out scopes, in the SQL as the same globs.
+_SCOPES = ("pkg.view.*", "pkg.click.Cls0.*", "pkg.*.Cls1.run", "pkg.error")
+
+
+@_query(
+    "excluded_scopes",
+    "SELECT event_id, name FROM (SELECT event_id, 'pkg.' || event_type || '.Cls' || (user_id % 3) || '.run' || (CASE WHEN event_id % 2 = 0 THEN 'ner' ELSE '' END) AS name FROM events) WHERE NOT (" + " OR ".join(f"name GLOB '{p}'" for p in _SCOPES) + ")",
+    parts=False,
+)
+def excluded_scopes(spark, d):
+    site = F.concat(F.lit("pkg/"), "event_type", F.lit("/Cls"), (F.col("user_id") % 3).cast("string"), F.lit(".run"), F.when(F.col("event_id") % 2 == 0, "ner").otherwise(""), F.lit("(I)V"))
+    rows = table(spark, d, "events").select("event_id", scopes.scope_of(site).alias("name"))
+    return scopes.exclude(rows, _SCOPES, F.col("name"))
+
+
 # ----------------------------------------------------------------- deliveries
 def _delivered(spark: SparkSession, d: str) -> tuple[incremental.WindowStore, DataFrame]:
     """All events in four deliveries: by thirds of the days, the middle one first, which moves anchors, and the last one twice."""

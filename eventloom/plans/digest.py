@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions import scopes
 from eventloom.functions.descriptors import method_descriptor, method_name
 from eventloom.functions.text import safe_ratio, site_key
 from eventloom.operators import attribution as at
@@ -76,18 +79,48 @@ def sections(events: DataFrame, states: DataFrame, known: DataFrame | None, delt
     return out.join(spans.select(*KEYS, "t0"), KEYS)
 
 
-def digest(spark: SparkSession, folder: str, log: str, delta_us: int = 1000, by_part: bool = False, log_parts: bool = False) -> Digest:
-    """The digest of a trace folder. The event log is parsed once and joined by method; with ``log_parts`` it is a folder of parts."""
+class Progress:
+    """How far a digest has got: what its stages have counted so far, from the metrics that Spark keeps as their rows pass by. No job of its own is run."""
+
+    def __init__(self):
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, rows: DataFrame, stage: str) -> DataFrame:
+        """The rows, counted as ``stage`` by the action that first reads them."""
+        self._seen[stage] = Observation(stage)
+        return rows.observe(self._seen[stage], F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> dict[str, int]:
+        """Rows by stage; to be asked after the action that read them. A stage that Spark found to be empty, and left out, has none."""
+        out = {}
+        for stage, seen in self._seen.items():
+            try:
+                out[stage] = seen.get["rows"]
+            except Py4JJavaError:  # no metrics came of it
+                out[stage] = 0
+        return out
+
+
+def digest(spark: SparkSession, folder: str, log: str, delta_us: int = 1000, by_part: bool = False, log_parts: bool = False, exclude: Iterable[str] = (), progress: Progress | None = None) -> Digest:
+    """The digest of a trace folder. The event log is parsed once and joined by method; with ``log_parts`` it is a folder of parts.
+    Sites in scopes that meet a pattern of ``exclude`` are left out. ``progress`` counts records and timeline rows as they are read.
+    """
     paths = traces.folder_paths(folder)
     events = traces.read_traces(spark, paths["traces"])
     sites = traces.read_dictionary(spark, paths["sites"], "callsite", "callsite_id")
+    if patterns := list(exclude):
+        sites = scopes.exclude(sites, patterns, scopes.scope_of(method_name(F.col("callsite"))))
+        events = events.join(sites.select("callsite_id"), "callsite_id", "left_semi")
+    if progress is not None:
+        events = progress.watch(events, "records")
     classes = traces.read_dictionary(spark, paths["classes"], "class_name", "class_id")
     lines = eventlog.read_log(spark, log, log_parts)
     offset = traces.read_start_ms(spark, paths["start"]) - (eventlog.vm_start_ms(lines) or 0)
     methods = sites.select("callsite_id", method_descriptor(F.col("callsite")).alias("descriptor"))
     states = eventlog.state_events(lines, methods, offset, by_part)
     rows = sections(events, states, classes, delta_us, names=classes)
-    return Digest(joins.decode(rows, sites, "callsite_id", required=True), delta_us)
+    rows = joins.decode(rows, sites, "callsite_id", required=True)
+    return Digest(rows if progress is None else progress.watch(rows, "timeline rows"), delta_us)
 
 
 def statistics(rows: DataFrame, window_us: int, keys: list[str] = ["callsite", "compile_id"]) -> DataFrame:  # noqa: B006

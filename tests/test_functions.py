@@ -96,3 +96,17 @@ def test_p_values(spark):
         for w in range(n * (n + 1) // 4 + 1):
             p = spark.range(1).select(signed_rank_p_value(F.lit(float(w)), F.lit(n), F.lit(0.0)).alias("p")).first().p
             assert p == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 2**n))
+
+
+def test_scopes(spark):
+    import fnmatch
+
+    from eventloom.functions import scopes
+
+    patterns = ["a.b.*.*", "a.b.C.*", "x.Y.*", "x.Y", "*.Internal*", " ", "one+two"]
+    names = ["a.b.C.m", "a.b.c.D.m", "a.b.m", "x.Y", "x.Y.m", "x.Yz.m", "q.InternalThing.m", "one+two", "oneetwo", "a.bC.d.e", ""]
+    want = [n for n in names if not any(fnmatch.fnmatchcase(n, p.strip()) for p in patterns if p.strip())]
+    rows = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
+    assert [r.name for r in scopes.exclude(rows, patterns, F.col("name")).collect()] == [*want, None]
+    assert scopes.exclude(rows, [], F.col("name")).count() == 12 and scopes.expression(["a.b", "a.c"]) == r"^a\.(?:b|c)$"
+    assert spark.range(1).select(scopes.scope_of(F.lit("a/b/C.m(I)V"))).first()[0] == "a.b.C.m"

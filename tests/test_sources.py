@@ -215,6 +215,15 @@ def test_digest_and_analysis(spark, tmp_path):
     assert (one.first, one.second, one.step) == ("M1: 0.800000, M2: 0.200000", "M1: 0.400000, M2: 0.600000", 9)
     text = next((tmp_path / "out" / "report" / "bucket=001").glob("*.txt")).read_text()
     assert "CCU [callsite=30 Main.getEl(I)LM1; call.x()V, compile_id=3]" in text and "windows: 9 - 10" in text and "[trap: reason = unstable_if, action = reinterpret]" not in text
+    from eventloom.plans import digest as plan
+
+    (tmp_path / "skip.lst").write_text("Other.*\nMain.get*\n")
+    run("digest", "-i", tmp_path / "in", "-c", tmp_path / "log.xml", "-d", 10_000, "-o", tmp_path / "none", "--exclude", tmp_path / "skip.lst")
+    assert not list((tmp_path / "none" / "timelines").glob("section=*"))
+    progress = plan.Progress()
+    made = plan.digest(spark, str(tmp_path / "in"), str(tmp_path / "log.xml"), 10_000, progress=progress)
+    n = len(made.rows.collect())
+    assert progress.counts()["timeline rows"] == n and progress.counts()["records"] > 0
     back = reports.read_report(spark, str(tmp_path / "out" / "report" / "*" / "*.txt"))
     count = lambda df: {(r.section, r.tag): r["count"] for r in df.groupBy("section", "tag").count().collect()}
     assert count(back) == count(rows)
