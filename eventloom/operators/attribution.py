@@ -90,16 +90,18 @@ def category_reduction(rows: DataFrame, keys: list[str], names: str = "names") -
     parts = cuts.groupBy(*keys, "segment").agg(
         F.min_by(F.when(F.col("tag") == "C", F.col("id")).otherwise(F.col("state")), F.struct("step", "kind_ord")).alias("id"),
         F.max(F.col("own_end").cast("int")).alias("after_end"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("tag") == "W", F.col(names))))).alias("seen"),
     )
+    # a row a category and segment, never a list of them
+    seen = cuts.where("tag = 'W'").select(*keys, "segment", F.explode(names).alias("name")).distinct().groupBy(*keys, "segment").agg(F.count("*").alias("seen"))
     # the first segment exists even where a state begins at once
     starts = rows.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("segment"))
-    parts = starts.join(parts, [*keys, "segment"], "full").select(*keys, "segment", F.coalesce("id", F.lit(REST)).alias("id"), F.coalesce("after_end", F.lit(0)).alias("after_end"), F.coalesce("seen", F.array().cast("array<string>")).alias("seen"))
+    parts = starts.join(parts, [*keys, "segment"], "full").join(seen, [*keys, "segment"], "left")
+    parts = parts.select(*keys, "segment", F.coalesce("id", F.lit(REST)).alias("id"), F.coalesce("after_end", F.lit(0)).alias("after_end"), F.coalesce("seen", F.lit(0)).alias("seen"))
     by = Window.partitionBy(*keys).orderBy("segment")
-    parts = parts.withColumn("before", F.when(F.col("after_end") == 1, F.array().cast("array<string>")).otherwise(F.coalesce(F.lag("seen").over(by), F.array().cast("array<string>"))))
+    parts = parts.withColumn("before", F.when(F.col("after_end") == 1, 0).otherwise(F.coalesce(F.lag("seen").over(by), F.lit(0))))
     parts = parts.withColumn("closed_by_begin", F.coalesce((F.lead("after_end").over(by) == 0), F.lit(False)))
     pick = F.struct(F.col("closed_by_begin").cast("int").alias("c"), F.when(F.col("closed_by_begin"), F.col("segment")).otherwise(-F.col("segment")).alias("s"))
-    best = parts.groupBy(*keys, "id").agg(F.max_by(F.struct(F.size("before").alias("n_before"), F.size("seen").alias("n_after")), pick).alias("e"))
+    best = parts.groupBy(*keys, "id").agg(F.max_by(F.struct(F.col("before").alias("n_before"), F.col("seen").alias("n_after")), pick).alias("e"))
     return best.select(*keys, "id", F.col("e.n_before").cast("long").alias("n_before"), F.col("e.n_after").cast("long").alias("n_after"))
 
 

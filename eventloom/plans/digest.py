@@ -15,7 +15,7 @@ from eventloom.functions.text import safe_ratio, site_key
 from eventloom.operators import attribution as at
 from eventloom.operators import joins, placement
 from eventloom.operators import windows as w
-from eventloom.sinks.scratch import number_rows
+from eventloom.sinks.scratch import number_rows, save
 from eventloom.sources import eventlog, reports, traces
 
 KEYS = ["callsite_id", "compile_id"]
@@ -37,10 +37,10 @@ def sections(events: DataFrame, states: DataFrame, known: DataFrame | None, delt
     """The timelines of events (compile_id, callsite_id, category, t_us) and state changes of their sites.
 
     ``names`` gives categories names for the text columns ``first`` and ``second``; sharing lists hold
-    every category of the group, absent ones as 0.
+    every category of the group, absent ones as 0. Counts, vectors and placed state changes are written once, and read by all that is made of them.
     """
-    counts = w.window_counts(events, KEYS, category, delta_us, known=known)
-    vectors = w.share_vectors(counts, KEYS, category)
+    counts = save(w.window_counts(events, KEYS, category, delta_us, known=known), "counts")
+    vectors = save(w.share_vectors(counts, KEYS, category), "vectors")
     members = counts.groupBy(*KEYS).agg(F.array_sort(F.collect_set(category)).alias("members"))
     if names is not None:
         # categories are named once a group and category, after all counting
@@ -57,8 +57,10 @@ def sections(events: DataFrame, states: DataFrame, known: DataFrame | None, delt
         return F.array_join(F.transform("members", one), ", ")
 
     pairs = w.window_pairs(vectors, KEYS).withColumn("label", w.label(F.col("t0"), F.col("step"), delta_us))
-    spans = placement.spans(counts, KEYS)
-    placed = {whole: placement.place(states, spans, KEYS, delta_us, on=["callsite_id"], order=("ord",), whole=whole) for whole in (False, True)}
+    spans = save(placement.spans(counts, KEYS), "spans")
+    # the steps are the same whether windows or what lies between them are counted; only where they end differs
+    every = save(placement.place(states, spans, KEYS, delta_us, on=["callsite_id"], order=("ord",), whole=True), "placed")
+    placed = {True: every, False: every.where(F.col("step") <= F.col("n_windows") - 2)}
     named = lambda rows: rows.join(members, KEYS)
     pair_text = {"first": text(F.col("prev_shares")), "second": text(F.col("shares"))}
     present = lambda c: F.transform(F.filter("members", lambda m: F.exists(c, lambda s: s["name"] == m["name"])), lambda m: m["label"])
@@ -130,23 +132,23 @@ def statistics(rows: DataFrame, window_us: int, keys: list[str] = ["callsite", "
     """
     if "step" not in rows.columns:
         rows = rows.withColumns({"step": F.col("ord"), "kind_ord": F.lit(0)})
+    rows = save(rows.where(F.col("section").isin("Changes", "Inversions", "RawWindowInformation")), "timelines")
     changes, inversions = (rows.where(F.col("section") == s) for s in ("Changes", "Inversions"))
     if "first_shares" not in rows.columns:
         inversions = inversions.withColumns({"first_shares": reports.parsed_shares(F.col("first")), "second_shares": reports.parsed_shares(F.col("second"))})
     top = at.leading_two(F.col("first_shares"), F.col("second_shares"))
     cleaned = inversions.withColumn("top", top)
     cleaned = cleaned.withColumns({"first_sig": at.signature(at.keep_names(F.col("first_shares"), F.col("top"))), "second_sig": at.signature(at.keep_names(F.col("second_shares"), F.col("top")))})
-    changes_in, inversions_in = at.attribute_state(changes, keys), at.attribute_state(cleaned, keys)
+    changes_in = at.attribute_state(changes, keys)
+    inversions_in = save(at.attribute_state(cleaned.select(*keys, "step", "kind_ord", "tag", "id", "kind", "first_sig", "second_sig"), keys), "states")
     seen = at.attribution_order(inversions_in, keys)
     pair, step = ["first_sig", "second_sig"], ["first_sig", "second_sig", "next_first_sig", "next_second_sig"]
     joined = lambda c: F.concat_ws(" -> ", *c)
     frequent = at.most_frequent(at.frequencies(seen, keys, pair), keys).select(*keys, joined(pair).alias("most_frequent_inversion"), F.col("n").alias("most_frequent_inversion_value"))
     often = at.most_frequent(at.frequencies(at.transitions(seen, keys, pair), keys, step), keys).select(*keys, joined(step).alias("most_frequent_oscillation"), F.col("n").alias("most_frequent_oscillation_value"))
-    before = at.observations_before_end(cleaned, keys)
-    ended = changes.where("tag = 'D'").select(*keys, "id").unionByName(inversions.where("tag = 'D'").select(*keys, "id"))
-    lines = at.line_counts(changes, keys).select(*keys, F.col("lines").alias("changes"), F.col("pairs").alias("change_pairs"), "compilations", "decompilations")
+    before = save(at.observations_before_end(inversions_in.drop("state", "epoch"), keys), "before")
+    ended = rows.where("tag = 'D' and section <> 'RawWindowInformation'").select(*keys, "id")
     parts = [
-        at.line_counts(inversions, keys).select(*keys, F.col("lines").alias("inversions"), F.col("pairs").alias("inversion_pairs")),
         at.counts_in_state(changes_in, keys).withColumnRenamed("after_compilation", "changes_after_compilation"),
         at.counts_in_state(inversions_in, keys).withColumnRenamed("after_compilation", "inversions_after_compilation"),
         at.time_in_wrong_state(before, ended, keys, window_us),
@@ -154,7 +156,16 @@ def statistics(rows: DataFrame, window_us: int, keys: list[str] = ["callsite", "
         frequent,
         often,
     ]
-    out = rows.select(*keys).distinct().join(lines, keys, "left")
+    # the lines of both sections in one pass: an observation takes three
+    count = lambda section, **each: F.sum(F.when(F.col("section") == section, F.create_map(*[F.lit(x) for kv in each.items() for x in kv])[F.col("tag")]).otherwise(0))
+    out = rows.groupBy(*keys).agg(
+        count("Changes", W=3, C=1, D=1).alias("changes"),
+        count("Changes", W=1, C=0, D=0).alias("change_pairs"),
+        count("Changes", W=0, C=1, D=0).alias("compilations"),
+        count("Changes", W=0, C=0, D=1).alias("decompilations"),
+        count("Inversions", W=3, C=1, D=1).alias("inversions"),
+        count("Inversions", W=1, C=0, D=0).alias("inversion_pairs"),
+    )
     for part in parts:
         out = out.join(part, keys, "left")
     zero = [c for c in out.columns if c not in keys and not c.startswith("most_frequent")]
