@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Columns, Scratch
@@ -138,9 +138,31 @@ def scan_unseen(scratch: Scratch, blobs: DataFrame, ledger: DataFrame | None, ru
     return todo.select("blob", pairs.alias("scanned"), F.array_sort(F.concat(*found)).alias("spans"))
 
 
+def keep_ledger(ledger: DataFrame, path: str) -> None:
+    """Writes the ledger of a run to a folder of the caller's, beside those of the runs before. A ledger from ``scan`` lies in scratch, which ends with the driver."""
+    name = f"{len(_ledgers(ledger.sparkSession, path)):08d}"
+    ledger.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last ledger that was written whole to the folder, None if there is none."""
+    whole = _ledgers(spark, path)
+    return spark.read.schema(LEDGER).parquet(whole[-1]) if whole else None
+
+
+def _ledgers(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.isDirectory())
+    return [f for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(``columns`` of every row with blob and its spans, the ledger for the next run).
 
+    The ledger is read from scratch, and gone when the driver ends: ``keep_ledger`` keeps it, and ``read_ledger`` finds it again.
     Only names of blobs and their findings meet in the join; a blob that very many rows hold is a
     skewed key there, which adaptive execution splits.
     """

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from eventloom.llm.secret_scan import BASE_RULES, RULES, Rule, _fetched, blob_name, digest, redact, scan
+from eventloom.llm.secret_scan import BASE_RULES, RULES, Rule, _fetched, blob_name, digest, keep_ledger, read_ledger, redact, scan
 
 KINDS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
@@ -96,3 +96,27 @@ def test_very_long_text_and_names_that_differ_in_case(spark):
     out, _ = scan(spark.createDataFrame([(1, text, 5, 6)], "doc_id long, text string, Spans int, BLOB int"))
     row = out.first()
     assert out.columns == ["doc_id", "text", "blob", "spans"] and [(s.kind, s.start, s.end) for s in row.spans] == [("assign", 1_000_000, 1_000_022)]
+
+
+def test_a_ledger_outlives_its_session(spark, tmp_path):
+    import pathlib
+    import subprocess
+    import sys
+
+    path = f"file://{tmp_path}/ledger"
+    assert read_ledger(spark, path) is None
+    code = (
+        "from pyspark.sql import SparkSession; from eventloom.llm.secret_scan import keep_ledger, scan; "
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); "
+        f"keep_ledger(scan(s.createDataFrame([(1, 'token=abcdefghijklmnop'), (2, 'none')], 'doc_id long, text string'))[1], '{path}')"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parents[2], check=True, timeout=300, capture_output=True)
+    ledger = read_ledger(spark, path)
+    # rules that find nothing: what was seen is taken from the ledger, and only the new text is asked
+    same = tuple(Rule(r.name, r.version, "fresh", "fresh") for r in RULES)
+    out, grown = scan(spark.createDataFrame([(1, "token=abcdefghijklmnop"), (3, "fresh")], "doc_id long, text string"), ledger, same)
+    got = {r.doc_id: len(r.spans) for r in out.collect()}
+    assert got == {1: 1, 3: len(RULES)}
+    keep_ledger(grown, path)
+    (tmp_path / "ledger" / "00000007").mkdir()  # one that was stopped
+    assert read_ledger(spark, path).count() == 3
