@@ -39,6 +39,7 @@ def run_analyse(spark: SparkSession, a: argparse.Namespace) -> None:
     files.write_json(plan.reductions(rows), f"{base}/reduction")
     files.write_csv(plan.oscillations(rows), f"{base}/oscillations")
     metrics = ["changes", "inversions", "compilations", "decompilations", "changes_after_compilation", "inversions_after_compilation", "suboptimal_us"]
+    files.write_csv(files.points(stat, metrics, "id"), f"{base}/charts/points")
     for m, top in files.chart_data(stat, metrics, "id").items():
         files.write_csv(top, f"{base}/charts/top_{m}")
         values = stat.select("id", F.col(m).cast("double").alias(m))
@@ -56,7 +57,7 @@ def run_overhead(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_steady_state(spark: SparkSession, a: argparse.Namespace) -> None:
-    runs = listings.read_run_series(spark, f"{a.input_folder}/*.csv")
+    runs = stats.without(listings.read_run_series(spark, f"{a.input_folder}/*.csv"), a.exclude, variant="variant", side="normal")
     out = None
     for value in ("duration", "uptime"):
         pairs = stats.pair_runs(runs.withColumn("value", F.col(value).cast("double")), ["bench"], "variant", ("normal", "tweaked"))
@@ -82,7 +83,7 @@ def run_hot_methods(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_dump(spark: SparkSession, a: argparse.Namespace) -> None:
-    events = traces.read_traces(spark, a.traces or traces.folder_paths(a.input_folder)["traces"])
+    events = traces.read_traces(spark, a.callsite or traces.folder_paths(a.input_folder)["traces"])
     sites = traces.read_dictionary(spark, a.id, "callsite", "callsite_id")
     classes = traces.read_dictionary(spark, a.id_class, "class_name", "class_id")
     files.write_text(traces.readable(events, sites, classes), a.output_folder)
@@ -110,13 +111,19 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--archives", help="pattern of archives whose text members are the reports, instead")
     t = tool("overhead", run_overhead, i="./output/")
     t.add_argument("--short", action="store_true", help="read one digit of minutes")
-    tool("steady-state", run_steady_state, o="./threshold_result/")
+    t.add_argument("--delta", type=int, default=1000, help="taken for compatibility; runs have no windows")
+    t = tool("steady-state", run_steady_state, o="./threshold_result/")
+    t.add_argument("--exclude", action="append", default=[], help="a benchmark to leave out; may be given several times")
     tool("log-compare", run_log_compare)
     t = tool("hot-methods", run_hot_methods, o="./hotness/")
     t.add_argument("--limit", type=int)
-    t = tool("dump", run_dump, i=".", o="./readable/")
-    t.add_argument("-t", "--traces", help="trace files, instead of a folder's")
-    t.add_argument("--id", required=True, help="site dictionary")
+    t = tools.add_parser("dump")
+    t.set_defaults(run=run_dump)
+    source = t.add_mutually_exclusive_group()
+    source.add_argument("-f", "--input-folder", default=".", help="folder of trace files")
+    source.add_argument("-c", "--callsite", help="one trace file, instead of a folder's")
+    t.add_argument("-o", "--output-folder", default="./readable/")
+    t.add_argument("-i", "--id", required=True, help="site dictionary")
     t.add_argument("-k", "--id-class", required=True, help="category dictionary")
     return p
 

@@ -22,6 +22,14 @@ def pair_runs(runs: DataFrame, keys: list[str], variant: str, names: tuple[str,
     return paired.where(F.col("a").isNotNull() & F.col("b").isNotNull()).join(whole, keys, "left_semi")
 
 
+def without(runs: DataFrame, names: list[str], bench: str = "bench", variant: str | None = None, side: str | None = None) -> DataFrame:
+    """The runs but those of these benchmarks, or of one variant of them; a benchmark that so has one side only has no pairs."""
+    out = F.col(bench).isin(names) if names else F.lit(False)
+    if variant is not None:
+        out = out & (F.col(variant) == side)
+    return runs.where(~F.coalesce(out, F.lit(False)))
+
+
 def summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Means and population deviations of both sides."""
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{name}") for c in ("a", "b") for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))])

@@ -405,6 +405,15 @@ def top30_metric(spark, d):
     return stats.top(counts, "inversions", 30, tuple(KEYS))
 
 
+_METRICS = f"SELECT callsite_id, count(*) AS inversions, sum(CASE WHEN len(rank) > 2 THEN 1 ELSE 0 END) AS wide FROM iv GROUP BY callsite_id"
+
+
+@_query("chart_points", f"SELECT metric, callsite_id, value FROM (SELECT callsite_id, 'inversions' AS metric, inversions::DOUBLE AS value FROM ({_METRICS}) UNION ALL SELECT callsite_id, 'wide', wide::DOUBLE FROM ({_METRICS})) WHERE value > 0")
+def chart_points(spark, d):
+    counts = w.rank_inversions(_pairs(spark, d)).groupBy("callsite_id").agg(F.count("*").alias("inversions"), F.count_if(F.size("rank") > 2).alias("wide"))
+    return files.points(counts, ["inversions", "wide"], "callsite_id")
+
+
 _BOX = "SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events WHERE value > 0 GROUP BY ALL"
 
 
@@ -460,6 +469,13 @@ def paired_runs(spark, d):
     return _paired(spark, d).select("bench", "run_no", "a", "b")
 
 
+@_query("paired_without", _RUNS + "SELECT bench, CAST(run_no AS INTEGER) AS run_no, a, b FROM pr WHERE bench NOT IN (2, 3)", parts=False)
+def paired_without(spark, d):
+    """Benchmarks left out of one side: they have no pairs."""
+    kept = stats.without(runs(spark, d), [2, 3], variant="variant", side="default")
+    return stats.pair_runs(kept, ["bench"], "variant", ("default", "instrumented")).select("bench", "run_no", "a", "b")
+
+
 @_query("paired_summary", _RUNS + "SELECT bench, CAST(count(*) AS BIGINT) AS n, round(avg(a), 6) AS a_mean, round(stddev_pop(a), 6) AS a_std, round(avg(b), 6) AS b_mean, round(stddev_pop(b), 6) AS b_std FROM pr GROUP BY ALL", parts=False)
 def paired_summary(spark, d):
     return stats.summary(_paired(spark, d), ["bench"]).select("bench", "n", *[F.round(c, 6).alias(c) for c in ("a_mean", "a_std", "b_mean", "b_std")])

@@ -38,6 +38,12 @@ def paired_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("value"))
 
 
+def points(rows: DataFrame, metrics: list[str], key: str) -> DataFrame:
+    """metric, key, value of all values above 0, as scatter charts of all metrics show them; in one pass."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return rows.select(key, F.explode(pairs).alias("p")).select("p.metric", key, "p.value").where("value > 0")
+
+
 def chart_data(rows: DataFrame, metrics: list[str], key: str, n: int = 30) -> dict[str, DataFrame]:
     """For each metric the rows with the largest values, as a bar chart shows them."""
     return {m: rows.select(key, m).where(F.col(m) > 0).orderBy(F.desc(m), key).limit(n) for m in metrics}

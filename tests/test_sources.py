@@ -234,7 +234,7 @@ def test_digest_and_analysis(spark, tmp_path):
     assert cost["cpu cycles"] == "200.0" and float(cost.normalized_inversions_after_compilation) == 1 / 200
     reduction = spark.read.json(str(tmp_path / "stats" / "w" / "reduction")).first()
     assert json.loads(reduction.json)["interpreter - before"] == 0
-    run("dump", "-i", tmp_path / "in", "--id", tmp_path / "in" / "callsite_to_id.csv", "-k", tmp_path / "in" / "classNameMapping.csv", "-o", tmp_path / "readable")
+    run("dump", "-f", tmp_path / "in", "-i", tmp_path / "in" / "callsite_to_id.csv", "-k", tmp_path / "in" / "classNameMapping.csv", "-o", tmp_path / "readable")
     assert spark.read.text(str(tmp_path / "readable")).count() == 20_000
 
 
@@ -250,6 +250,8 @@ def test_run_tools(spark, tmp_path):
     row = spark.read.csv(str(tmp_path / "o" / "overhead"), header=True).first()
     assert row.bench == "ren_x" and float(row.geometric_ratio) > 1 and 0 <= float(row.p_value) <= 1
     assert "Cohen d: -" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "o" / "overhead_text")).collect())
+    run("steady-state", "-i", tmp_path, "-o", tmp_path / "none", "--exclude", "x")
+    assert not [r for f in (tmp_path / "none" / "statistics").glob("*.csv") for r in f.read_text().splitlines()[1:]]
     run("steady-state", "-i", tmp_path, "-o", tmp_path / "s")
     row = spark.read.csv(str(tmp_path / "s" / "statistics_sig"), header=True).first()
     assert row.bench == "x" and float(row.duration_p_value) < 1e-6 and float(row.duration_percent_difference) < 0
