@@ -75,7 +75,7 @@ class DigestIndex:
             self.buckets, id_type = kept["buckets"], kept["id_type"]
         else:
             self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            spark.createDataFrame([(self.buckets, id_type)], "buckets int, id_type string").coalesce(1).write.parquet(f"{self.path}/about")
+            spark.range(1).select(F.lit(self.buckets).alias("buckets"), F.lit(id_type).alias("id_type")).coalesce(1).write.parquet(f"{self.path}/about")
         self.name = f"eventloom_index_{uuid.uuid4().hex}"
         schema = f"digest binary, first boolean, size bigint, best struct<less: int, no_id: boolean, id: {id_type}, delivery: string, row: bigint>, delivery string"
         spark.sql(f"CREATE TABLE {self.name} ({schema}) USING parquet OPTIONS (path '{self.path}/entries') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
