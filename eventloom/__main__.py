@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import stats
+from eventloom.plans import comparisons
 from eventloom.plans import digest as plan
 from eventloom.sinks import files
 from eventloom.sources import archives, eventlog, listings, reports, traces
@@ -48,24 +49,14 @@ def run_analyse(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_overhead(spark: SparkSession, a: argparse.Namespace) -> None:
-    pairs = stats.pair_runs(listings.read_elapsed(spark, f"{a.input_folder}/*.txt", a.short), ["bench"], "variant", ("default", "instrumented"))
-    s = stats.summary(pairs, ["bench"]).withColumn("d", stats.cohen_d(F.col("a_mean"), F.col("b_mean"), F.col("a_std"), F.col("b_std")))
-    geo = pairs.groupBy("bench").agg((stats.geometric_mean(F.col("b")) / stats.geometric_mean(F.col("a"))).alias("geometric_ratio"))
-    out = s.join(stats.signed_rank(pairs, ["bench"]).drop("n"), "bench", "left").join(geo, "bench").cache()
+    out = comparisons.overhead(listings.read_elapsed(spark, f"{a.input_folder}/*.txt", a.short)).cache()
     files.write_text(files.paired_text(out), f"{a.output_folder}/overhead_text")
     files.write_csv(out, f"{a.output_folder}/overhead")
 
 
 def run_steady_state(spark: SparkSession, a: argparse.Namespace) -> None:
     runs = stats.without(listings.read_run_series(spark, f"{a.input_folder}/*.csv"), a.exclude, variant="variant", side="normal")
-    out = None
-    for value in ("duration", "uptime"):
-        pairs = stats.pair_runs(runs.withColumn("value", F.col(value).cast("double")), ["bench"], "variant", ("normal", "tweaked"))
-        part = stats.summary(pairs, ["bench"]).drop("n").join(stats.paired_t(pairs, ["bench"]).drop("n"), "bench")
-        part = part.withColumn("percent_difference", stats.percent_difference(F.col("a_mean"), F.col("b_mean")))
-        part = part.select("bench", *[F.col(c).alias(f"{value}_{c}") for c in part.columns if c != "bench"])
-        out = part if out is None else out.join(part, "bench")
-    out = out.orderBy(F.desc("duration_percent_difference"), "bench")
+    out = comparisons.steady_state(runs)
     files.write_csv(out, f"{a.output_folder}/statistics")
     files.write_csv(stats.significant(out, "duration_p_value"), f"{a.output_folder}/statistics_sig")
 

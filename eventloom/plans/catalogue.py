@@ -14,7 +14,7 @@ from eventloom.operators import windows as w
 from eventloom.sources import eventlog, reports, traces
 from eventloom.sinks import files
 from eventloom.sinks.scratch import scratch_folder
-from eventloom.plans import digest, file_catalogue, incremental
+from eventloom.plans import comparisons, digest, file_catalogue, incremental
 from eventloom.streaming import windows as streams
 from eventloom.plans.surrogate import DELTA, KEYS, dispatches, runs, states, table
 
@@ -548,6 +548,36 @@ def paired_p_values(spark, d):
     return out.select("bench", F.round("t_p_value", 6).alias("t_p_value"), F.round("rank_p_value", 6).alias("rank_p_value"), F.coalesce("significant", F.lit(False)).alias("significant"))
 
 
+_EACH = "count(*) AS n, avg(a) AS am, stddev_pop(a) AS sa, avg(b) AS bm, stddev_pop(b) AS sb"
+
+
+@_query(
+    "overhead_table",
+    _TAILS + f", s AS (SELECT bench, {_EACH}, exp(avg(ln(b))) / exp(avg(ln(a))) AS g FROM pr GROUP BY bench) "
+    "SELECT bench, CAST(s.n AS BIGINT) AS n, round(am, 6) AS a_mean, round(sa, 6) AS a_std, round(bm, 6) AS b_mean, round(sb, 6) AS b_std, round(CASE WHEN sa + sb > 0 THEN (am - bm) / sqrt((sa * sa + sb * sb) / 2) END, 6) AS d, round(ws.w, 6) AS w, round(wp.p, 6) AS p_value, round(g, 6) AS geometric_ratio FROM s LEFT JOIN ws USING (bench) LEFT JOIN wp USING (bench)",
+    parts=False,
+)
+def overhead_table(spark, d):
+    """The table of the overhead tool."""
+    out = comparisons.overhead(runs(spark, d))
+    return out.select("bench", "n", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("a_mean", "a_std", "b_mean", "b_std", "d", "w", "p_value", "geometric_ratio")])
+
+
+@_query(
+    "steady_state_table",
+    _TAILS + f", s AS (SELECT bench, {_EACH} FROM pr GROUP BY bench), q AS (SELECT s.*, tt.t * sign(am - bm) AS t, tp.p FROM s JOIN tt USING (bench) JOIN tp USING (bench)) "
+    "SELECT bench, round(am, 6) AS duration_a_mean, round(bm, 6) AS duration_b_mean, round(t, 6) AS duration_t, round(p, 6) AS duration_p_value, round(100 - bm / am * 100, 6) AS duration_percent_difference, "
+    "round(3 * am - 1, 6) AS uptime_a_mean, round(3 * sb, 6) AS uptime_b_std, round(t, 6) AS uptime_t, round(100 - (3 * bm - 1) / (3 * am - 1) * 100, 6) AS uptime_percent_difference FROM q WHERE p < 0.3",
+    parts=False,
+)
+def steady_state_table(spark, d):
+    """The table of the steady-state tool, of benchmarks under a level of significance."""
+    rows = runs(spark, d).withColumns({"duration": F.col("value"), "uptime": 3 * F.col("value") - 1})
+    out = stats.significant(comparisons.steady_state(rows, variants=("default", "instrumented")), "duration_p_value", 0.3)
+    columns = ("duration_a_mean", "duration_b_mean", "duration_t", "duration_p_value", "duration_percent_difference", "uptime_a_mean", "uptime_b_std", "uptime_t", "uptime_percent_difference")
+    return out.select("bench", *[F.round(c, 6).alias(c) for c in columns])
+
+
 @_query("c2_count", "SELECT callsite_id, CAST(count(*) AS BIGINT) AS n FROM st WHERE kind = 'c2' GROUP BY ALL")
 def c2_count(spark, d):
     return states(spark, d).where("kind = 'c2'").groupBy("callsite_id").agg(F.count("*").alias("n"))
