@@ -66,8 +66,12 @@ LINE_ORDER = ("callsite_id", "compile_id", "part", "step", "kind_ord", "mark", "
 
 
 def write_report(lines: DataFrame, folder: str) -> None:
-    """The report's lines as text, in a folder for each bucket; a group's lines follow one another in one file, as they are sorted, not gathered."""
-    dealt = lines.repartition("callsite_id", "compile_id").sortWithinPartitions("bucket", *LINE_ORDER)
+    """The report's lines as text, in a folder for each bucket; a group's lines follow one another in one file, as they are sorted, not gathered.
+
+    Lines are dealt by bucket: dealing by group would be left out as done already by the joins that made titles, headings and bodies, whose partitions adaptive
+    execution may then join otherwise. A bucket that is never null is not sorted once more by the writer, which keeps no order among equals when it spills.
+    """
+    dealt = lines.withColumn("bucket", F.coalesce("bucket", F.lit(""))).repartition("bucket").sortWithinPartitions("bucket", *LINE_ORDER)
     dealt.select("value", "bucket").write.mode("overwrite").partitionBy("bucket").text(folder)
 
 
