@@ -262,3 +262,24 @@ def test_run_tools(spark, tmp_path):
     (tmp_path / "hot" / "b.txt").write_text("h\n" * 7 + "1 2 a.B.c()\nend\n")
     run("hot-methods", "-i", tmp_path / "hot", "-o", tmp_path / "h")
     assert spark.read.csv(str(tmp_path / "h" / "hot_methods"), header=True).first().method_descriptor == "a/B.c()"
+
+
+@pytest.mark.parametrize("settings", [{"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}])
+def test_lines_of_a_report_stay_together(spark, tmp_path, settings):
+    """However many partitions the lines come in, a group is written into one file, its headings first."""
+    from eventloom.plans import catalogue
+
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        reports.write_report(reports.report_lines(catalogue._sections(spark, "/root/testdata/sf0.001"), catalogue.DELTA), str(tmp_path / "report"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    texts = [f.read_text().splitlines() for f in (tmp_path / "report").glob("*/*.txt")]
+    titles = [line for text in texts for line in text if line.startswith("CCU")]
+    assert len(titles) == len(set(titles)) == 30
+    for text in texts:
+        assert text[0].startswith("CCU")
+        assert all(b.startswith(("    Changes[", "    Inversions[")) for a, b in zip(text, text[1:] + [""]) if a.startswith("CCU"))
