@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.operators import joins
 from eventloom.sinks import scratch
 from eventloom.sources import eventlog, lines, listings, reports, traces
 
@@ -283,3 +284,32 @@ def test_lines_of_a_report_stay_together(spark, tmp_path, settings):
     for text in texts:
         assert text[0].startswith("CCU")
         assert all(b.startswith(("    Changes[", "    Inversions[")) for a, b in zip(text, text[1:] + [""]) if a.startswith("CCU"))
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """A log of one id, under which 60 methods were compiled and 50 ends are."""
+    folder = tmp_path_factory.mktemp("crowded")
+    made = [f"<nmethod compile_id='7' compiler='c1' method='M{k} run ()V' stamp='1.{k:03d}'/>" for k in range(60)]
+    ends = [f"<make_not_entrant compile_id='7' stamp='2.{k:03d}'/>" for k in range(50)]
+    (folder / "log.xml").write_text("\n".join(made + ends) + "\n")
+    return eventlog.read_log(spark, str(folder))
+
+
+def spread(rows):
+    """How many rows, and how many tasks make them."""
+    return rows.withColumn("task", F.spark_partition_id()).agg(F.count("*"), F.countDistinct("task")).first()
+
+
+def test_ends_of_one_id_are_spread(crowded, monkeypatch):
+    monkeypatch.setattr(joins, "JOINED", 10)
+    rows, tasks = spread(eventlog.decompilations(crowded))
+    assert rows == 3000 and tasks > 2
+
+
+def test_ends_of_sites_by_part_are_spread(spark, crowded, monkeypatch):
+    monkeypatch.setattr(joins, "JOINED", 10)
+    sites = spark.createDataFrame([(1, "run ()"), (2, "9 run"), (3, "none")], "callsite_id long, descriptor string")
+    rows = eventlog.state_events(crowded, sites, 0, by_part=True).where("tag = 'D'")
+    assert {tuple(r) for r in rows.groupBy("callsite_id").count().collect()} == {(1, 3000), (2, 300)}
+    assert spread(rows)[1] > 2
