@@ -313,3 +313,10 @@ def test_ends_of_sites_by_part_are_spread(spark, crowded, monkeypatch):
     rows = eventlog.state_events(crowded, sites, 0, by_part=True).where("tag = 'D'")
     assert {tuple(r) for r in rows.groupBy("callsite_id").count().collect()} == {(1, 3000), (2, 300)}
     assert spread(rows)[1] > 2
+
+
+def test_ends_of_sites_are_spread(spark, crowded, monkeypatch):
+    monkeypatch.setattr(joins, "JOINED", 10)
+    sites = spark.createDataFrame([(k, f"M{k} run ()V") for k in range(40)], "callsite_id long, descriptor string")
+    rows, tasks = spread(eventlog.state_events(crowded, sites, 0).where("tag = 'D'"))
+    assert rows == 2000 and tasks > 2
