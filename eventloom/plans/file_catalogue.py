@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import stats
 from eventloom.plans.surrogate import table
 from eventloom.sinks import files
-from eventloom.sinks.scratch import number_rows, scratch_folder, write_named, write_ordered
+from eventloom.sinks.scratch import number_rows, scratch_folder, write_named, write_ordered, write_series
 from eventloom.sources import archives, eventlog, listings, reports, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,7 +225,7 @@ def elapsed_files(spark, d):
     rows = table(spark, d, "lineitem").where("l_returnflag in ('A', 'R')")
     name = F.format_string("%s_ren_s%d.txt", F.when(F.col("l_returnflag") == "A", "default").otherwise("instrumented"), F.col("l_suppkey") % 7)
     line = F.format_string("1.0user %d:%02d.25elapsed 99%%", F.col("l_linenumber") % 3, F.col("l_quantity").cast("int"))
-    folder = write_named(rows.select(name.alias("name"), line.alias("value"), *_ORDER), scratch_folder(spark, "elapsed"), *_ORDER)
+    folder = write_series(rows.select(name.alias("name"), line.alias("value"), *_ORDER), scratch_folder(spark, "elapsed"), *_ORDER)
     return listings.read_elapsed(spark, folder).withColumn("value", F.round("value", 2))
 
 
@@ -236,7 +236,7 @@ def elapsed_files(spark, d):
 def run_series(spark, d):
     name = F.format_string("%s_s%d.csv", F.when(F.col("l_linenumber") % 2 == 0, "normal").otherwise("th"), F.col("l_suppkey") % 5)
     rows = table(spark, d, "lineitem").select(name.alias("name"), F.format_string("x,%d,%d", "l_partkey", "l_orderkey").alias("value"), *_ORDER)
-    folder = write_named(rows, scratch_folder(spark, "series"), *_ORDER)
+    folder = write_series(rows, scratch_folder(spark, "series"), *_ORDER)
     return listings.read_run_series(spark, folder)
 
 

@@ -59,9 +59,24 @@ def write_ordered(rows: DataFrame, folder: str, *order: str) -> str:
 
 def write_named(rows: DataFrame, folder: str, *order: str, compression: str = "none") -> str:
     """A file ``folder/name`` for each value of ``name``, with the lines ``value`` in this order. Each file is written by one task."""
+    return _write_files(rows.repartition("name").sortWithinPartitions("name", *order), folder, compression)
+
+
+def write_series(rows: DataFrame, folder: str, *order: str) -> str:
+    """The lines ``value`` of each ``name`` in this order, over files of that name with other endings, which follow each other by name.
+
+    Ranges of (name, order) are dealt to as many tasks as there are, so that a name of any size is written by several.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, "name", *order).sortWithinPartitions("name", *order)
+    ending = F.lpad(F.spark_partition_id().cast("string"), 8, "0")
+    return _write_files(ranged.withColumn("name", F.concat_ws(".", F.regexp_replace("name", r"\.[^.]*$", ""), ending)), folder, "none")
+
+
+def _write_files(rows: DataFrame, folder: str, compression: str) -> str:
     spark = rows.sparkSession
     parts = f"{folder}/parts"
-    rows.repartition("name").sortWithinPartitions("name", *order).select("name", "value").write.partitionBy("name").text(parts, compression=compression)
+    rows.select("name", "value").write.partitionBy("name").text(parts, compression=compression)
     path, fs = _path(spark, parts)
     for status in fs.listStatus(path):
         if status.isDirectory():

@@ -41,9 +41,13 @@ def read_elapsed(spark: SparkSession, path: str, short: bool = False) -> DataFra
 
 
 def read_run_series(spark: SparkSession, path: str, last: int = 100) -> DataFrame:
-    """bench, variant, run_no, duration, uptime: the last lines of files ``normal_*`` and ``th_*``."""
-    rows = numbered_lines(spark, path).where(F.col("ord") >= F.col("lines") - last)
+    """bench, variant, run_no, duration, uptime: the last lines of files ``normal_*`` and ``th_*``.
+
+    A series is one file, or several of the same name but for its ending, whose lines follow by file name; its last lines are meant.
+    """
+    rows = numbered_lines(spark, path).where(F.col("ord") >= F.col("lines") - last)  # what a file has before them is not among its series' either
     parts = F.split("line", ",")
-    rows = rows.select(series_name(F.col("file"), ("normal_", "th_")).alias("bench"), F.when(F.col("file").startswith("th_"), "tweaked").otherwise("normal").alias("variant"), "ord", parts[1].try_cast("long").alias("duration"), parts[2].try_cast("long").alias("uptime"))
-    number = F.row_number().over(Window.partitionBy("bench", "variant").orderBy("ord"))
-    return rows.select("bench", "variant", number.alias("run_no"), "duration", "uptime")
+    rows = rows.select(series_name(F.col("file"), ("normal_", "th_")).alias("bench"), F.when(F.col("file").startswith("th_"), "tweaked").otherwise("normal").alias("variant"), "file", "ord", parts[1].try_cast("long").alias("duration"), parts[2].try_cast("long").alias("uptime"))
+    of = lambda *order: Window.partitionBy("bench", "variant").orderBy(*order)
+    rows = rows.withColumn("from_end", F.row_number().over(of(F.desc("file"), F.desc("ord")))).where(F.col("from_end") <= last)
+    return rows.select("bench", "variant", F.row_number().over(of("file", "ord")).alias("run_no"), "duration", "uptime")

@@ -320,3 +320,14 @@ def test_ends_of_sites_are_spread(spark, crowded, monkeypatch):
     sites = spark.createDataFrame([(k, f"M{k} run ()V") for k in range(40)], "callsite_id long, descriptor string")
     rows, tasks = spread(eventlog.state_events(crowded, sites, 0).where("tag = 'D'"))
     assert rows == 2000 and tasks > 2
+
+
+def test_series_are_written_by_several_tasks(spark, tmp_path):
+    """The lines of one name are dealt to several tasks and files, and come back in their order."""
+    rows = spark.range(3000).selectExpr("'normal_s1.csv' as name", "id as at", "concat('x,', id, ',', 2 * id) as value")
+    folder = scratch.write_series(rows, str(tmp_path / "series"), "at")
+    assert len(list((tmp_path / "series").glob("normal_s1.*"))) > 2
+    got = sorted(tuple(r) for r in listings.read_run_series(spark, folder).collect())
+    assert got == [("s1", "normal", k + 1, 2900 + k, 2 * (2900 + k)) for k in range(100)]
+    few = sorted(tuple(r) for r in listings.read_run_series(spark, folder, 1000).select("run_no", "duration").collect())
+    assert few == [(k + 1, 2000 + k) for k in range(1000)]
