@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import bucket, shares
+from eventloom.sinks.scratch import save
 from eventloom.sources.lines import beside, carried, numbered_lines
 
 # Fixed values of the format.
@@ -45,6 +46,8 @@ def report_lines(rows: DataFrame, window_us: int, always_raw: bool = False) -> D
     told = rows.where(~raw).groupBy(*keys).agg(F.max(F.col("section") == SECTIONS[1]).alias("__inverted"))
     rows = rows.join(told, keys)
     rows = rows if always_raw else rows.where(~raw | F.col("__inverted"))
+    # written once, and read by titles, headings and bodies
+    rows = save(rows.select(*keys, "callsite", "t0", "section", "step", "kind_ord", "tag", "time_us", "id", "kind", "reason", "action", "label", "first", "second"), "reported")
     lines = F.when(F.col("tag") == "C", F.array(compilation_line(F.col("time_us"), F.col("kind"), F.col("id"))))
     lines = lines.when(F.col("tag") == "D", F.array(decompilation_line(F.col("time_us"), F.col("id"), F.col("kind"), F.col("reason"), F.col("action"))))
     lines = lines.otherwise(observation_lines(F.col("section"), F.col("label"), F.col("first"), F.col("second")))
