@@ -40,6 +40,18 @@ def _delete(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile has its shuffle files removed as soon as it is written; they would stay until the driver forgets them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables in the shared folder. They cut lineage, and outlive the executors that wrote them."""
 
@@ -53,13 +65,15 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with shuffles_dropped(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """As ``save``, in ``buckets`` buckets by ``key``, sorted within: such tables are joined by key without a shuffle."""
         table = f"eventloom_{uuid.uuid4().hex}"
-        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
+        with shuffles_dropped(self.spark):
+            df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)
 

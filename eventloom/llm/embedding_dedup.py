@@ -42,8 +42,10 @@ SUBSTRING, LOAD = 16, 4096
 MISS, MARGIN = 0.03, 18
 #: Tables at most, and pairs that they are tried on.
 MOST_TABLES, TRIED = 64, 20_000
-#: Vectors compared with as many others at once, and codes.
-BLOCK, CODES = 256, 4096
+#: Vectors that are compared without codes at most, those of a cluster compared with as many others at once, and codes.
+BLOCK, LINKED, CODES = 256, 1024, 4096
+#: Places of codes in tables that are shuffled at once; of more codes, one table after the other.
+PLACED = 1_000_000
 #: Hot buckets whose keys are broadcast, 16 bytes each; more are joined.
 HOT_ROWS = 1_000_000
 
@@ -231,10 +233,11 @@ def near_forest(rep: np.ndarray, codes: np.ndarray, near: int) -> list[tuple[int
     return edges
 
 
-def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool, hot: Broadcast | None = None, only: bool = False) -> DataFrame:
+def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool, hot: Broadcast | None = None, only: bool = False, some: range | None = None) -> DataFrame:
     """key, rep, c0, c1 of every code in every table: its substring's bucket and, to flip, those with one bit of it changed.
 
     In buckets that ``hot`` (sorted keys, blocks) has, the key's upper bits name the code's block. ``only`` gives their rows alone, as key, block, blocks, rep, c0, c1.
+    ``some`` names the tables, all if None.
     """
     width = len(tables[0])
     names = ["key", *(["block", "blocks"] if only else []), "rep", "c0", "c1"]
@@ -244,7 +247,8 @@ def _keys(coded: DataFrame, tables: list[np.ndarray], flip: bool, hot: Broadcast
         for batch in batches:
             rep, c0, c1 = (batch.column(k).to_numpy() for k in range(3))
             bits = np.unpackbits(np.ascontiguousarray(np.stack([c0, c1], axis=1)).view(np.uint8).reshape(len(rep), 16), axis=1, bitorder="little")
-            for t, places in enumerate(tables):
+            for t in range(len(tables)) if some is None else some:
+                places = tables[t]
                 own = bits[:, places].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
                 columns = [(own[:, None] ^ flips[None, :]).ravel() | t << width, *(np.repeat(x, len(flips)) for x in (rep, c0, c1))]
                 if hot is not None:
@@ -310,18 +314,29 @@ def _forests(scratch: Scratch, coded: DataFrame, tables: list[np.ndarray], near:
     spread = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = scratch.save(_hot(coded, tables), f"{name}-hot")
     n_hot = hot.count()
+    shared = None
     if 0 < n_hot <= HOT_ROWS:
         rows = hot.orderBy("key").toArrow()
         shared = coded.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("key", "blocks")))  # its rows are counted
-        placed, members = _keys(coded, tables, True, shared), scratch.save(_keys(coded, tables, True, shared, True), f"{name}-members")
-    elif n_hot:
-        dealt = _keys(coded, tables, True).join(hot, "key", "left").withColumn("block", F.expr("if(blocks is null, 0L, pmod(xxhash64(rep), blocks))"))
-        members = scratch.save(dealt.where("blocks is not null"), f"{name}-members")
-        placed = dealt.select((F.col("key") + F.shiftleft("block", 47)).alias("key"), "rep", "c0", "c1")
-    else:
-        placed = _keys(coded, tables, True)
-    found = placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(tidied(join), "a long, b long").distinct()
-    found = scratch.save(found, f"{name}-forests")
+        members = scratch.save(_keys(coded, tables, True, shared, True), f"{name}-members")
+
+    def dealt(some: range | None) -> DataFrame:
+        out = _keys(coded, tables, True, some=some).join(hot, "key", "left")
+        return out.withColumn("block", F.expr("if(blocks is null, 0L, pmod(xxhash64(rep), blocks))"))
+
+    if n_hot > HOT_ROWS:
+        members = scratch.save(dealt(None).where("blocks is not null"), f"{name}-members")
+    # one table after the other, so that no more than its places lie on disk at once
+    found, each = None, max(1, PLACED // max(1, coded.count() * (len(tables[0]) + 1)))
+    for t in range(0, len(tables), each):
+        some = range(t, min(t + each, len(tables)))
+        if n_hot > HOT_ROWS:
+            placed = dealt(some).select((F.col("key") + F.shiftleft("block", 47)).alias("key"), "rep", "c0", "c1")
+        else:
+            placed = _keys(coded, tables, True, shared, some=some)
+        edges = placed.repartition(spread, "key").sortWithinPartitions("key", "rep").mapInArrow(tidied(join), "a long, b long").distinct()
+        edges = scratch.save(edges, f"{name}-forests-{t}")
+        found = edges if found is None else found.unionByName(edges)
     if not n_hot:
         return found
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "c0", "c1")).alias("hub"))
@@ -385,7 +400,7 @@ def _links(clusters: DataFrame, classes: DataFrame, threshold: float, dimension:
     """rep, links to vectors of other classes and, in forest rows, b: a class that it is linked with."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     rows = clusters.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "size", "v"), "node")
-    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(n / {LINKED}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "v")
 
@@ -448,6 +463,8 @@ def _linked(scratch: Scratch, vectors: DataFrame, threshold: float, substring: i
                 clusters = components(scratch, _forests(scratch, coded, tables, near, f"near-{dimension}"), f"clusters-{dimension}")
             part = scratch.save(_links(clusters, mine, threshold, dimension), f"links-{dimension}")
             links = part if links is None else links.unionByName(part)
+            if plan is not None:  # all that is made of these tables is written
+                scratch.drop(f"coded-{dimension}", *(f"near-{dimension}-{n}" for n in ("hot", "members", "stars", "all")), *(f"near-{dimension}-forests-{t}" for t in range(len(tables))))
         found = components(scratch, links.where("b is not null").selectExpr("rep a", "b"), "all")
         counts = links.where("b is null").groupBy("rep").agg(F.sum("n").alias("n"))
         labels = classes.select("key", "rep", "size").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

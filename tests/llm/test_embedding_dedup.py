@@ -172,3 +172,27 @@ def test_plans_follow_the_vectors():
     assert np.abs(quantiser.mean).max() > 0 and len(tables) <= 12 and near <= 44
     other = plan_for(common, 3000, 0.9)
     assert other is None or not other[0].mean.any()
+
+
+def test_tables_are_shuffled_one_after_the_other(spark, monkeypatch):
+    """No step of many codes writes all tables' places at once, and no shuffle file outlives its step."""
+    from eventloom.llm.common import Scratch
+
+    written = []
+    save = Scratch.save
+
+    def seen(self, df, name):
+        out = save(self, df, name)
+        written.append((name, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    monkeypatch.setattr(embedding_dedup, "PLACED", 1000)
+    rng = np.random.default_rng(41)
+    base = rng.standard_normal((300, 16))
+    rows = list(enumerate([*base.tolist(), *(base + 0.05 * rng.standard_normal((300, 16))).tolist()]))
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = brute(rows)
+    assert sum(a == b for a, b in zip(sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), want)) >= 0.95 * len(want)
+    assert len([name for name, _ in written if "-forests-" in name]) > 2
+    assert {kept for _, kept in written} == {"false"}  # as the session had it
