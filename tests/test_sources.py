@@ -331,3 +331,11 @@ def test_series_are_written_by_several_tasks(spark, tmp_path):
     assert got == [("s1", "normal", k + 1, 2900 + k, 2 * (2900 + k)) for k in range(100)]
     few = sorted(tuple(r) for r in listings.read_run_series(spark, folder, 1000).select("run_no", "duration").collect())
     assert few == [(k + 1, 2000 + k) for k in range(1000)]
+
+
+def test_elapsed_of_a_large_series_keeps_its_order(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("'default_ren_s1.txt' as name", "id as at", "format_string('1.0user %d:%02d.25elapsed 99%%', id div 60, id % 60) as value")
+    folder = scratch.write_series(rows, str(tmp_path / "elapsed"), "at")
+    assert len(list((tmp_path / "elapsed").glob("default_ren_s1.*"))) > 2
+    got = sorted(tuple(r) for r in listings.read_elapsed(spark, folder).collect())
+    assert got == [("ren_s1", "default", k + 1, k + 0.25) for k in range(2000)]
