@@ -106,8 +106,13 @@ def rank_inversions(pairs: DataFrame) -> DataFrame:
     return ranked.where(~prefix_compatible(F.col("prev_rank"), F.col("rank")))
 
 
+def six_digits(share: Column) -> Column:
+    """A share with six decimals, of exact halves the even one as C prints them; ``format_string`` rounds them up, and a double's shortest digits instead of its value."""
+    return F.format_number(share, 6)
+
+
 def shares_text(shares: Column, names: Column | None = None) -> Column:
     """``a: 0.500000, b: 0.250000``; with ``names``, of these categories, absent ones as 0."""
     if names is None:
-        return F.array_join(F.transform(shares, lambda s: F.format_string("%s: %.6f", s["name"].cast("string"), s["ratio"])), ", ")
-    return F.array_join(F.transform(names, lambda n: F.format_string("%s: %.6f", n.cast("string"), _share_of(shares, n))), ", ")
+        return F.array_join(F.transform(shares, lambda s: F.format_string("%s: %s", s["name"].cast("string"), six_digits(s["ratio"]))), ", ")
+    return F.array_join(F.transform(names, lambda n: F.format_string("%s: %s", n.cast("string"), six_digits(_share_of(shares, n)))), ", ")

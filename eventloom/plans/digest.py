@@ -52,7 +52,7 @@ def sections(events: DataFrame, states: DataFrame, known: DataFrame | None, delt
     def text(shares):
         def one(m):
             found = F.filter(shares, lambda s: s["name"] == m["name"])
-            return F.format_string("%s: %.6f", m["label"], F.coalesce(F.get(found, F.lit(0))["ratio"], F.lit(0.0)))
+            return F.format_string("%s: %s", m["label"], w.six_digits(F.coalesce(F.get(found, F.lit(0))["ratio"], F.lit(0.0))))
 
         return F.array_join(F.transform("members", one), ", ")
 

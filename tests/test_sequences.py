@@ -226,3 +226,12 @@ def test_spread_groups_have_the_same_states_and_steps(spark, kind):
     spans = spark.createDataFrame([(0, 1000, 500), (1, 0, 300)], "g long, t0 long, n_windows long")
     place = lambda spread: sorted(map(str, placement.place(marks, spans, ["g"], 1000, order=("n",), spread=spread).select("g", "tag", "n", "step").collect()))
     assert place(True) == place(False)
+
+
+def test_shares_are_printed_as_sql_prints_them(spark):
+    """Shares of which six decimals leave exactly, or nearly, a half."""
+    import duckdb
+
+    values = sorted({k / n for n in (128, 640, 1280, 3) for k in range(n + 1)})
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(w.shares_text(F.array(F.struct(F.lit("a").alias("name"), F.col("v").alias("ratio")))).alias("t")).collect()]
+    assert got == [duckdb.sql(f"SELECT 'a: ' || printf('%.6f', {v!r}::DOUBLE)").fetchall()[0][0] for v in values]
