@@ -339,3 +339,20 @@ def test_elapsed_of_a_large_series_keeps_its_order(spark, tmp_path):
     assert len(list((tmp_path / "elapsed").glob("default_ren_s1.*"))) > 2
     got = sorted(tuple(r) for r in listings.read_elapsed(spark, folder).collect())
     assert got == [("ren_s1", "default", k + 1, k + 0.25) for k in range(2000)]
+
+
+def test_a_log_is_parsed_once(crowded):
+    """What is made of a log reads its entries, not the text anew for each kind of them."""
+    sites = crowded.sparkSession.createDataFrame([(1, "M1 run ()V")], "callsite_id long, descriptor string")
+    for rows in (eventlog.compilations(crowded), eventlog.decompilations(crowded), eventlog.state_events(crowded, sites, 0), eventlog.state_events(crowded, sites, 0, by_part=True)):
+        assert "FileScan text" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["log_site_events", "log_site_events_by_part"])
+def test_a_log_is_removed_once_it_is_parsed(spark, tmp_path, monkeypatch, name):
+    """The log's text is most of what lies on disk, and is not kept until the result is read."""
+    from eventloom.plans import file_catalogue
+
+    monkeypatch.setattr(file_catalogue, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    file_catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not (tmp_path / "log").exists()
