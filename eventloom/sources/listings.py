@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.descriptors import hot_descriptor, strip_hidden
 from eventloom.functions.text import elapsed_seconds, series_name
-from eventloom.sources.lines import numbered_lines
+from eventloom.sinks.scratch import broadcast_if
+from eventloom.sources.lines import SPLITS, numbered_lines
 
 # Fixed values of the formats: heading lines of a cost listing, and columns of the cost table.
 HEADING_LINES = 7
@@ -36,7 +37,7 @@ def read_elapsed(spark: SparkSession, path: str, short: bool = False) -> DataFra
     # a series is one file, or several of the same name but for its ending, whose runs follow by file name
     before = Window.partitionBy("bench", "variant").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("bench", "variant", "file").agg(F.count("*").alias("n")).select("bench", "variant", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = rows.join(files, ["bench", "variant", "file"])
+    rows = rows.join(broadcast_if(files, SPLITS), ["bench", "variant", "file"])  # one row a file
     return rows.select("bench", "variant", (F.col("before") + F.col("ord") + 1).cast("int").alias("run_no"), "value")
 
 

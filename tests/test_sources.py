@@ -356,3 +356,15 @@ def test_a_log_is_removed_once_it_is_parsed(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(file_catalogue, "scratch_folder", lambda spark, name: str(tmp_path / name))
     file_catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not (tmp_path / "log").exists()
+
+
+def test_lines_of_a_series_are_bounded_a_task_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """A large series is written by more tasks than shuffles have, and its kept lines are numbered where they are read."""
+    rows = spark.range(3000).selectExpr("'default_ren_s1.txt' as name", "id as at", "if(id % 3 = 0, 'other', format_string('1.0user %d:%02d.25elapsed 99%%', id div 60, id % 60)) as value")
+    monkeypatch.setattr(scratch, "SERIES_ROWS", 100)
+    folder = scratch.write_series(rows, str(tmp_path / "bounded"), "at")
+    sizes = [len(f.read_text().splitlines()) for f in (tmp_path / "bounded").glob("default_ren_s1.*")]
+    assert sum(sizes) == 3000 and len(sizes) > 20 and max(sizes) < 300
+    got = listings.read_elapsed(spark, folder)
+    assert sorted(tuple(r) for r in got.collect()) == [("ren_s1", "default", n + 1, k + 0.25) for n, k in enumerate(k for k in range(3000) if k % 3)]
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
