@@ -622,24 +622,28 @@ def delivered_inversions(spark, d):
 
 
 # ------------------------------------------------------------------- streaming
+#: Groups of a stream whose state is one row, about.
+STREAMED = 64
+
+
 @_query(
     "stream_window_pairs",
     f"SELECT {_K}, prev_win, win, coalesce(c, false) AS changed, coalesce(i, false) AS inverted FROM p LEFT JOIN (SELECT {_K}, win, true AS c FROM ch) USING ({_K}, win) LEFT JOIN (SELECT {_K}, win, true AS i FROM iv) USING ({_K}, win)",
 )
 def stream_window_pairs(spark, d):
-    """The events as a stream of four files, up to a day out of order, and of one event far ahead that closes all windows."""
+    """The events as a stream of four deliveries, up to a day out of order, and of one event far ahead that closes all windows."""
     events = dispatches(spark, d).select(*KEYS, "class", "t_us")
-    first, last = events.agg(F.min("t_us"), F.max("t_us")).first()
+    first, last, groups = events.agg(F.min("t_us"), F.max("t_us"), F.approx_count_distinct(F.struct(*KEYS))).first()
     folder, day = scratch_folder(spark, "stream"), 86_400_000_000
     late = F.pmod(F.xxhash64("t_us", "callsite_id"), F.lit(day))
     part = F.least(F.floor((F.col("t_us") + late - F.lit(first or 0)) * 4 / F.lit(max((last or 0) - (first or 0), 1))), F.lit(3))
-    for k in range(4):  # one after the other, as they would arrive
-        events.where(part == k).withColumn("ts", F.timestamp_micros("t_us")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     ahead = events.limit(1).select(F.lit(-1).cast(events.schema["callsite_id"].dataType).alias("callsite_id"), "compile_id", "class", (F.lit(last or 0) + 40 * day).alias("t_us"))
-    ahead.withColumn("ts", F.timestamp_micros("t_us")).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema.add("ts", "timestamp")).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    pairs = streams.window_pairs_in_event_time(stream, KEYS, "class", DELTA, delay="26 hours")
-    pairs.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), groups // STREAMED)
+    for rows in [*(events.where(part == k) for k in range(4)), ahead]:  # one after the other, as they would arrive
+        rows.withColumn("ts", F.timestamp_micros("t_us")).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in events.schema)}, ts timestamp").parquet(f"{folder}/in")
+        pairs = streams.window_pairs_in_event_time(stream, KEYS, "class", DELTA, delay="26 hours", buckets=buckets)
+        pairs.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     out = spark.read.schema(pairs.schema).parquet(f"{folder}/out")
     return out.select(*KEYS, "prev_win", "win", "changed", "inverted")
 

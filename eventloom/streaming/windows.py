@@ -66,59 +66,68 @@ def window_pairs_stream(events: DataFrame, keys: list[str], category: str, delta
     return events.select(*keys, category, time).groupBy(*keys).applyInPandasWithState(advance, schema, STATE, "append", "NoTimeout")
 
 
-PENDING = "anchor long, pending string, open string, prev_win long, prev string"
+PENDING = "groups string"
 
 
-def window_pairs_in_event_time(events: DataFrame, keys: list[str], category: str, delta_us: int, time: str = "t_us", stamp: str = "ts", delay: str = "1 hour") -> DataFrame:
+def window_pairs_in_event_time(events: DataFrame, keys: list[str], category: str, delta_us: int, time: str = "t_us", stamp: str = "ts", delay: str = "1 hour", buckets: int | None = None) -> DataFrame:
     """As ``window_pairs_stream``, for events in any order that are at most ``delay`` behind: the pairs equal those of a batch of all events.
 
     Events wait until the watermark on ``stamp``, the time as a timestamp, has passed a group's first one, so that no older one can move the anchor; from then on
     they are counts of their windows. A timer closes each window when the watermark passes its end, so a
     group's last window comes out too, as soon as any group's events are far enough ahead. State is a group's events of one delay, and counts of its open windows.
+
+    With ``buckets``, so many rows of state hold the groups dealt to them, and Python is called once for each of these instead of once for each group: for streams of very
+    many small groups. Some tens of groups a bucket are enough, and their states are one row.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    columns = [*keys, "prev_win", "win", "prev_shares", "shares", "changed", "inverted", "late"]
-    schema = ", ".join(f"`{k}` {names[k]}" for k in keys) + ", " + OUTPUT
+    columns = ["group", "prev_win", "win", "prev_shares", "shares", "changed", "inverted", "late"]
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        anchor, pending, open_, prev_win, prev = state.get if state.exists else (None, "[]", "{}", None, None)
-        pending, prev = json.loads(pending), json.loads(prev) if prev else None
-        open_ = {int(w): c for w, c in json.loads(open_).items()}
+        # group: [anchor, waiting events, counts by open window, last closed window, its shares]
+        groups = json.loads(state.get[0]) if state.exists else {}
 
-        def count(t: int, name: str) -> None:
-            mine = open_.setdefault((t - anchor) // delta_us, {})
+        def count(group: list, t: int, name: str) -> None:
+            mine = group[2].setdefault(str((t - group[0]) // delta_us), {})
             mine[name] = mine.get(name, 0) + 1
 
         if not state.hasTimedOut:
             for rows in batches:
-                for t, name in zip(rows[time].tolist(), rows[category].astype(str).tolist()):
-                    pending.append((t, name)) if anchor is None else count(t, name)
+                for at, t, name in zip(rows["group"].tolist(), rows[time].tolist(), rows[category].astype(str).tolist()):
+                    group = groups.setdefault(at, [None, [], {}, None, None])
+                    group[1].append((t, name)) if group[0] is None else count(group, t, name)
         now = state.getCurrentWatermarkMs() * 1000
-        if anchor is None and pending and now >= min(t for t, _ in pending):
-            anchor = min(t for t, _ in pending)
-            for t, name in pending:
-                count(t, name)
-            pending = []
-        out = []
-        for win in sorted(open_):
-            if anchor + (win + 1) * delta_us > now:
-                break
-            counts = open_.pop(win)
-            total = sum(counts.values())
-            shares = {k: n / total for k, n in counts.items()}
-            if prev is not None:
-                out.append((*key, prev_win, win, json.dumps(prev, sort_keys=True), json.dumps(shares, sort_keys=True), *compare(prev, shares), 0))
-            prev_win, prev = win, shares
-        state.update((anchor, json.dumps(pending), json.dumps(open_), prev_win, json.dumps(prev) if prev is not None else None))
-        due = [anchor + (w + 1) * delta_us for w in open_] or [t for t, _ in pending]
+        out, due = [], []
+        for at, group in groups.items():
+            if group[0] is None and now >= (first := min(t for t, _ in group[1])):
+                group[0] = first
+                for t, name in group[1]:
+                    count(group, t, name)
+                group[1] = []
+            open_ = group[2]
+            for win in sorted(map(int, open_)):
+                if group[0] + (win + 1) * delta_us > now:
+                    break
+                counts = open_.pop(str(win))
+                total = sum(counts.values())
+                shares = {k: n / total for k, n in counts.items()}
+                if group[4] is not None:
+                    out.append((at, group[3], win, json.dumps(group[4], sort_keys=True), json.dumps(shares, sort_keys=True), *compare(group[4], shares), 0))
+                group[3:] = win, shares
+            due += [group[0] + (int(w) + 1) * delta_us for w in open_] or [t for t, _ in group[1]]
+        state.update((json.dumps(groups),))
         if due:
             state.setTimeoutTimestamp(max(min(due), now) // 1000 + 1)
-        yield pd.DataFrame(out, columns=columns)
-
-    rows = events.withWatermark(stamp, delay).select(*keys, category, time, stamp)
-    return rows.groupBy(*keys).applyInPandasWithState(advance, schema, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    # a group is told apart by its keys as JSON, which has nulls too
+    rows = events.withWatermark(stamp, delay).select(F.to_json(F.struct(*keys)).alias("group"), category, time, stamp)
+    held = F.col("group") if buckets is None else F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("string")
+    pairs = rows.withColumn("held", held).groupBy("held").applyInPandasWithState(advance, "group string, " + OUTPUT, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.from_json("group", ", ".join(f"`{k}` {names[k]}" for k in keys))
+    return pairs.select(*[group[k].alias(k) for k in keys], *columns[1:])
 
 
 def window_counts_stream(events: DataFrame, anchors: DataFrame, keys: list[str], category: str, delta_us: int, time: str = "t_us", stamp: str = "ts", delay: str = "1 day") -> DataFrame:

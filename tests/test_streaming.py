@@ -65,3 +65,23 @@ def test_events_out_of_order_equal_the_batch(spark, tmp_path):
     assert {(r.callsite_id, r.prev_win, r.win) for r in got} == {(r.callsite_id, r.prev_win, r.win) for r in batch.collect()} and len(got) > 100
     for name, f in (("changed", w.share_changes), ("inverted", w.rank_inversions)):
         assert {(r.callsite_id, r.win) for r in got if r[name]} == {(r.callsite_id, r.win) for r in f(batch).collect()}
+
+
+def test_many_groups_in_one_row_of_state(spark, tmp_path):
+    """Groups that share a row of state, one of them without a key, have the pairs that they have in a batch, and Python is called once a bucket."""
+    second = 1_000_000
+    rows = [(g or None, 1, "abc"[(g + k * k) % 3], g * 7 + k * 3 * second) for g in range(40) for k in range(60)]
+    schema = "callsite_id long, compile_id long, class string, t_us long"
+    events = spark.createDataFrame(rows, schema)
+    for part in (events.where(f"t_us < {90 * second}"), events.where(f"t_us >= {90 * second}"), spark.createDataFrame([(99, 1, "a", 10_000 * second)], schema)):
+        part.withColumn("ts", F.timestamp_micros("t_us")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema + ", ts timestamp").parquet(str(tmp_path / "in"))
+        pairs = window_pairs_in_event_time(stream, KEYS, "class", 20 * second, delay="61 seconds", buckets=3)
+        query = pairs.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    got = spark.read.schema(pairs.schema).parquet(str(tmp_path / "out")).collect()
+    known = events.fillna({"callsite_id": -5})  # a batch joins groups by their keys
+    batch = w.window_pairs(w.share_vectors(w.window_counts(known, KEYS, "class", 20 * second), KEYS, "class"), KEYS)
+    want = {(r.callsite_id, r.prev_win, r.win) for r in batch.collect()}
+    assert {(-5 if r.callsite_id is None else r.callsite_id, r.prev_win, r.win) for r in got} == want and len(got) == len(want) > 100
