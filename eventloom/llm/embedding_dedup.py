@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.common import Columns, Scratch, by_number, components, mix, tidied
 
@@ -43,9 +44,13 @@ MISS, MARGIN = 0.03, 18
 #: Tables at most, and pairs that they are tried on.
 MOST_TABLES, TRIED = 64, 20_000
 #: Vectors that are compared without codes at most, those of a cluster compared with as many others at once, and codes.
-BLOCK, LINKED, CODES = 256, 1024, 4096
+BLOCK, LINKED, CODES = 256, 8192, 4096
+#: Numbers of the vectors of a block, about; and vectors sent in a pass, if those of the clusters are fewer.
+NUMBERS, SENT = 1 << 20, 100_000
 #: Places of codes in tables that are shuffled at once; of more codes, one table after the other.
 PLACED = 1_000_000
+#: Columns of links and forest rows.
+LINKS = "rep long, n long, b long"
 #: Hot buckets whose keys are broadcast, 16 bytes each; more are joined.
 HOT_ROWS = 1_000_000
 
@@ -174,11 +179,14 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 def classes_of(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[int, int]]:
     """For vectors (id, v): (id and class key of every row, null where unusable; one row per class: rep, size, vector), and the classes of each length that several have."""
+    kind = vectors.schema["v"].dataType
     v = F.col("v").cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select("id", F.when(good, v).alias("v"))
     # 0.0 and -0.0 are one number
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("key", F.when(F.col("v").isNotNull(), F.unhex(F.sha2(F.to_json(F.struct("v")), 256))))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType):
+        rows = rows.withColumn("v", F.col("v").cast("array<float>"))  # as they were given: half the bytes on disk, and the same numbers
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v"))
     classes = scratch.save(classes, "classes")
     lengths = classes.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()
@@ -189,7 +197,7 @@ def sample_of(classes: DataFrame, dimension: int, sample: int = SAMPLE) -> np.nd
     """Unit vectors that a hash chooses."""
     n = classes.count()
     rate = min(1.0, sample / max(n, 1))
-    chosen = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < rate).orderBy("key").select("v").toArrow()
+    chosen = classes.where(F.pmod(F.xxhash64(F.lower(F.hex("key"))), F.lit(1 << 30)) / float(1 << 30) < rate).orderBy("key").select("v").toArrow()
     return unit(_matrix(chosen.column("v").combine_chunks(), dimension))
 
 
@@ -396,49 +404,77 @@ def _small_forest(rep: np.ndarray, codes: np.ndarray, near: int) -> list[tuple[i
     return edges
 
 
-def _links(clusters: DataFrame, classes: DataFrame, threshold: float, dimension: int) -> DataFrame:
-    """rep, links to vectors of other classes and, in forest rows, b: a class that it is linked with."""
+def _links(scratch: Scratch, clusters: DataFrame, classes: DataFrame, threshold: float, dimension: int) -> list[str]:
+    """The names of tables of rep, links to vectors of other classes and, in forest rows, b: a class that it is linked with.
+
+    A block of a cluster meets each other one, and its vectors are sent once for each. That is done in passes, each of which sends about as many vectors
+    as the clusters have, and whose shuffle files are gone before the next: what lies on disk doesn't grow with the clusters' blocks.
+    """
+    total = clusters.count()
+    most = min(LINKED, max(BLOCK, NUMBERS // dimension), max(BLOCK, total // 64))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     rows = clusters.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "size", "v"), "node")
-    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(n / {LINKED}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "v")
+    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(n / {most}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    name = f"links-{dimension}"
+    rows = scratch.save(rows.select("component", "blocks", "block", "node", "size", "v"), f"{name}-members")
+    sent = rows.agg(F.sum("blocks")).first()[0] or 0
+    passes = max(1, -(-sent // max(SENT, total)))
 
     def compare(table):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block, node, size = (table.column(c).to_numpy() for c in ("block", "node", "size"))
         vectors = unit(_matrix(table.column("v").combine_chunks(), dimension))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        linked = vectors[left] @ vectors[right].T >= threshold
-        if i == j:
-            np.fill_diagonal(linked, False)
-        out: dict[int, int] = {}
-        for mine, theirs, hits in ((left, right, linked), (right, left, linked.T)):
-            for k, n in zip(node[mine].tolist(), (hits @ size[theirs]).tolist(), strict=True):
-                out[k] = out.get(k, 0) + n
+        linked = np.zeros((len(left), len(right)), bool)
+        weight, counts = size.astype(np.float64), np.zeros(len(node))  # sums of whole numbers, exact
+        single, slack = vectors.astype(np.float32), (dimension + 8) * 2.0**-22
+        theirs = np.ascontiguousarray(single[right].T)
+        for a in range(0, len(left), 512):
+            mine = left[a : a + 512]
+            # single precision rules most pairs out; double precision decides the others
+            x, y = np.divmod(np.flatnonzero(single[mine] @ theirs >= threshold - slack), len(right))
+            if len(x) > len(mine) * len(right) // 16:
+                x, y = np.divmod(np.flatnonzero(vectors[mine] @ vectors[right].T >= threshold), len(right))
+            else:
+                parts = [np.zeros(0, bool)]
+                for c in range(0, len(x), most):
+                    parts.append(np.einsum("ij,ij->i", vectors[mine[x[c : c + most]]], vectors[right[y[c : c + most]]]) >= threshold)
+                some = np.concatenate(parts)
+                x, y = x[some], y[some]
             if i == j:
-                break
+                other = x + a != y
+                x, y = x[other], y[other]
+            linked[x + a, y] = True
+            counts[mine] += np.bincount(x, weight[right[y]], len(mine))
+            if i != j:
+                counts[right] += np.bincount(y, weight[mine[x]], len(right))
         # a forest of the links: breadth first from each class not yet reached
-        total, where = np.unique(np.concatenate([left, right]), return_inverse=True)
-        at_left, at_right = where[: len(left)], where[len(left) :]
-        near = np.zeros((len(total), len(total)), bool)
-        near[np.ix_(at_left, at_right)] = linked
-        near |= near.T
-        new, a, b = np.ones(len(total), bool), [], []
-        for start in range(len(total)):
-            if not new[start]:
+        sides = ((linked, left, right), (np.ascontiguousarray(linked.T), right, left))
+        new, a, b = np.ones(len(node), bool), [], []
+        for start in np.flatnonzero(linked.any(axis=1)).tolist():
+            if not new[left[start]]:
                 continue
-            new[start], todo = False, [start]
+            new[left[start]], todo = False, [(0, start)]
             while todo:
-                x = todo.pop()
-                found = np.flatnonzero(near[x] & new)
-                new[found] = False
-                a += [int(node[total[x]])] * len(found)
-                b += node[total[found]].tolist()
-                todo += found.tolist()
-        return pa.table({"rep": pa.array([*out, *a], pa.int64()), "n": pa.array([*out.values(), *[0] * len(a)], pa.int64()), "b": pa.array([*[None] * len(out), *b], pa.int64())})
-
-    return rows.groupBy("component", "i", "j").applyInArrow(compare, "rep long, n long, b long")
+                side, x = todo.pop()
+                near, mine, theirs = sides[side]
+                found = np.flatnonzero(near[x] & new[theirs])
+                new[theirs[found]] = False
+                a += [int(node[mine[x]])] * len(found)
+                b += node[theirs[found]].tolist()
+                todo += [(1 - side if i != j else 0, y) for y in found.tolist()]
+        some = np.flatnonzero(counts)
+        return pa.table({"rep": pa.array([*node[some].tolist(), *a], pa.int64()), "n": pa.array([*counts[some].astype(np.int64).tolist(), *[0] * len(a)], pa.int64()), "b": pa.array([*[None] * len(some), *b], pa.int64())})
+
+    names = []
+    for k in range(passes):
+        first = F.expr(f"cast(pmod({k} - block - pmod(xxhash64(component), {passes}), {passes}) as int)")
+        pairs = rows.withColumn("first", first).where("first < blocks").withColumn("other", F.explode(F.expr(f"sequence(first, blocks - 1, {passes})")))
+        pairs = pairs.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "v")
+        names.append(f"{name}-{k}")
+        scratch.save(pairs.groupBy("component", "i", "j").applyInArrow(compare, LINKS), names[-1])
+    scratch.drop(f"{name}-members")
+    return names
 
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embedding", threshold: float = 0.9, substring: int = SUBSTRING) -> DataFrame:
@@ -451,7 +487,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", column: str = "embed
 def _linked(scratch: Scratch, vectors: DataFrame, threshold: float, substring: int) -> DataFrame:
     rows, classes, dimensions = classes_of(vectors, scratch)
     if dimensions:
-        links = None
+        names: list[str] = []
         for dimension, n in dimensions.items():
             mine = classes.where(F.size("v") == dimension)
             plan = plan_for(sample_of(mine, dimension), n, threshold, substring) if n > BLOCK else None
@@ -461,10 +497,10 @@ def _linked(scratch: Scratch, vectors: DataFrame, threshold: float, substring: i
                 quantiser, tables, near = plan
                 coded = scratch.save(_sent(mine, quantiser, dimension), f"coded-{dimension}")
                 clusters = components(scratch, _forests(scratch, coded, tables, near, f"near-{dimension}"), f"clusters-{dimension}")
-            part = scratch.save(_links(clusters, mine, threshold, dimension), f"links-{dimension}")
-            links = part if links is None else links.unionByName(part)
+            names += _links(scratch, clusters, mine, threshold, dimension)
             if plan is not None:  # all that is made of these tables is written
                 scratch.drop(f"coded-{dimension}", *(f"near-{dimension}-{n}" for n in ("hot", "members", "stars", "all")), *(f"near-{dimension}-forests-{t}" for t in range(len(tables))))
+        links = scratch.spark.read.schema(LINKS).parquet(*map(scratch.path, names))
         found = components(scratch, links.where("b is not null").selectExpr("rep a", "b"), "all")
         counts = links.where("b is null").groupBy("rep").agg(F.sum("n").alias("n"))
         labels = classes.select("key", "rep", "size").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -196,3 +196,25 @@ def test_tables_are_shuffled_one_after_the_other(spark, monkeypatch):
     assert sum(a == b for a, b in zip(sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), want)) >= 0.95 * len(want)
     assert len([name for name, _ in written if "-forests-" in name]) > 2
     assert {kept for _, kept in written} == {"false"}  # as the session had it
+
+
+def test_clusters_are_sent_in_passes(spark, monkeypatch):
+    """However many blocks a cluster has, no pass sends many more vectors than the clusters have."""
+    rng = np.random.default_rng(11)
+    vectors = (rng.standard_normal(16) * 2 + rng.standard_normal((400, 16))).astype(np.float32)
+    vectors[7] = vectors[3]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    for name, value in (("LINKED", 25), ("SENT", 100)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    passes, save = [], embedding_dedup.Scratch.save
+
+    def spy(self, df, name):
+        passes.append(name) if name.startswith("links-16-") else None
+        return save(self, df, name)
+
+    monkeypatch.setattr(embedding_dedup.Scratch, "save", spy)
+    monkeypatch.setattr(embedding_dedup, "plan_for", lambda *_: None)  # all are one cluster
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(rows).collect())
+    assert len(passes) >= 16  # of 400 / 25 blocks
+    want = brute([(k, v.tolist()) for k, v in enumerate(vectors)])
+    assert found == want and sum(n for _, n, _, _ in want) > 400
